@@ -5,17 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import langid, pii, quality, simhash
 from .common import documents
+from .sample import fold
+
+
+def held_out(folds: int, kept_back: int):
+    """Whether a doc_id is in the fold kept back from training; a null id is not."""
+    return F.coalesce(fold(F.col("doc_id"), folds) == kept_back, F.lit(False))
+
+
+def op1_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, fold(F.col("doc_id"), 4) != 2, per_label=1000)
+    return langid.languages(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels, fold(F.col("doc_id"), 3) != 1, per_label=2000)
+    return quality.scores(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_offsets": op1_pii_offsets,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {}
