@@ -88,9 +88,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.margin(*self.features.vector(text, meta)), -35, 35))))
 
 
-def train(rows: list[tuple[str, tuple, int]], rank: int = 8, epochs: int = 8, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> Model:
+def train(rows: list[tuple[str, tuple, int]], rank: int = 8, epochs: int = 8, rate: float = 0.05, decay: float = 1e-4, seed: int = 0, n_meta: int | None = None) -> Model:
     """Fits on (text, metadata, label 0 or 1) rows; no rows give a model that answers 0.5."""
-    n_meta = len(rows[0][1]) if rows else 0
+    if n_meta is None:
+        n_meta = len(rows[0][1]) if rows else 0
     features = Features(n_meta=n_meta)
     if rows:
         stats = np.array([features.raw(t)[2] for t, _, _ in rows])
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc
     known = known.where(train_on).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     own = texts(docs, id_col, text_col, *meta_cols)
     rows = sampled(own.join(known, "doc_id"), "label", per_label, 2)
-    return train([(r["text"], tuple(r[m] for m in meta_cols), r["label"]) for r in rows])
+    return train([(r["text"], tuple(r[m] for m in meta_cols), r["label"]) for r in rows], n_meta=len(meta_cols))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("n_chars",)) -> DataFrame:
