@@ -49,12 +49,10 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame, spark: SparkSession) -> None:
-    """Removes the files of a ``stored`` frame that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on whatever file system its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: StructType | str) -> DataFrame:

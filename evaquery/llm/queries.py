@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, quality, simhash
+from . import langid, pfor, pii, quality, simhash, tokencount
 from .common import documents
 from .sample import fold
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file; the files are installed beside the libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def held_out(folds: int, kept_back: int):
     """Whether a doc_id is in the fold kept back from training; a null id is not."""
     return F.coalesce(fold(F.col("doc_id"), folds) == kept_back, F.lit(False))
@@ -21,6 +28,14 @@ def op1_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor.token_files(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=512)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
 
@@ -40,6 +55,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_offsets": op1_pii_offsets,
+    "op4_token_id_files": op4_token_id_files,
+    "op5_token_counts": op5_token_counts,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
