@@ -45,7 +45,9 @@ SPELLED = {
 LEAST_DIGITS = 4
 
 _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
-_ANY_WORD = re.compile(rf"\b(?:{_WORDS})\b", re.I)
+_APART = bytes(c if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in range(256))
+#: Words that call for a closer look; "un" is too common to, and never stands alone in a number.
+_SIGNALS = frozenset(w.encode() for w in (*SPELLED, "dot") if w != "un")
 _GAP = r"[\s,-]{1,3}"
 _RUN = re.compile(rf"\b(?:plus{_GAP})?(?:{_WORDS}|[0-9]{{1,19}})(?:{_GAP}(?:{_WORDS}|dot|[0-9]{{1,19}}))+\b", re.I)
 _PART = re.compile(rf"plus|dot|{_WORDS}|[0-9]+", re.I)
@@ -53,7 +55,7 @@ _AT_MARK = r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}"
 _DOT_MARK = r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}"
 _DOT = rf"(?:{_DOT_MARK}|\s{{1,3}}dot\s{{1,3}})"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
-_TRIGGER = re.compile(rf"\bdot\b|{_AT_MARK}|{_DOT_MARK}", re.I)
+_MARKED = re.compile(rf"{_AT_MARK}|{_DOT_MARK}", re.I)
 _ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9._%+-]{{1,64}}){{0,4}}"
     rf"(?:{_AT_MARK}{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|(?:\s{{1,3}}at\s{{1,3}}|@){_LABEL}(?:\.{_LABEL}){{0,9}}(?:{_DOT}{_LABEL})+)",
@@ -129,6 +131,32 @@ def _odd_characters() -> re.Pattern[str]:
     return re.compile("[" + re.escape("".join(map(chr, character_table())) + INVISIBLE) + "]")
 
 
+@cache
+def _odd_set() -> tuple[frozenset[str], str]:
+    odd = frozenset(map(chr, character_table())) | frozenset(INVISIBLE)
+    return odd, "".join(sorted(c for c in odd if ord(c) < 256))
+
+
+def has_odd_characters(text: str) -> bool:
+    """Whether a character of the table occurs; texts within Latin-1 are told by a few byte searches."""
+    if text.isascii():
+        return False
+    odd, narrow = _odd_set()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not odd.isdisjoint(text)
+    return any(c in text for c in narrow)
+
+
+def has_signals(text: str) -> bool:
+    """Whether a bracketed at or dot, a spelled digit or the word dot occurs."""
+    if any(c in text for c in "[({<") and _MARKED.search(text):
+        return True
+    lower = text if text.isascii() else text.lower()
+    return not _SIGNALS.isdisjoint(lower.encode("utf-8", "surrogatepass").lower().translate(_APART).split())
+
+
 class Mapped:
     """A rewritten text in which every character knows the source span it came from."""
 
@@ -179,8 +207,8 @@ def _digits(m: re.Match[str]) -> str | None:
 
 def undisguised(text: str) -> Mapped | None:
     """``text`` after the three rewrites, or None if they leave it as it is."""
-    odd = not text.isascii() and _odd_characters().search(text)
-    if not odd and not _ANY_WORD.search(text) and not _TRIGGER.search(text):
+    odd = has_odd_characters(text)
+    if not odd and not has_signals(text):
         return None
     out = Mapped(text)
     if odd:
