@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pfor, pii, quality, simhash, tokencount
+from . import langid, pfor, pii, quality, rules, simhash, tokencount
 from .common import documents
 from .sample import fold
 
@@ -28,6 +28,10 @@ def op1_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir)).drop("class_distance", "common_distance")
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.token_files(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -55,6 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_offsets": op1_pii_offsets,
+    "op2_quality_rules": op2_quality_rules,
     "op4_token_id_files": op4_token_id_files,
     "op5_token_counts": op5_token_counts,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
