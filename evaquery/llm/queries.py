@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pfor, pii, quality, rules, simhash, tokencount
+from . import decontaminate, langid, pfor, pii, quality, rules, simhash, templates, tokencount
 from .common import documents
 from .sample import fold
 
@@ -32,6 +32,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir)).drop("class_distance", "common_distance")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.token_files(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -44,6 +48,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.line_dedup(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs, fold(F.col("doc_id"), 4) != 2, per_label=1000)
@@ -60,9 +68,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_offsets": op1_pii_offsets,
     "op2_quality_rules": op2_quality_rules,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_token_id_files": op4_token_id_files,
     "op5_token_counts": op5_token_counts,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_line_templates": op7_line_templates,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
 }
