@@ -28,14 +28,22 @@ class Cached:
     def __init__(self, encode: Callable[[list[str]], Iterable], most: int = MOST_CACHED) -> None:
         self.encode, self.most, self.young, self.old = encode, most, {}, {}
 
-    def values(self, pieces: list[str]) -> list:
-        got = list(map(self.young.get, pieces))
-        if None in got:
-            asked = {p for p, v in zip(pieces, got) if v is None}
+    def values(self, lists: list[list[str]]) -> list[list]:
+        """The values of lists of pieces; what is missing in any of them is encoded at once."""
+        got = [list(map(self.young.get, pieces)) for pieces in lists]
+        holes, asked = [], set()
+        for pieces, values in zip(lists, got):
+            if None in values:
+                at = [i for i, v in enumerate(values) if v is None]
+                holes.append((pieces, values, at))
+                asked.update(map(pieces.__getitem__, at))
+        if asked:
             made = {p: self.old[p] for p in asked if p in self.old}
             missing = [p for p in asked if p not in made]
             made |= zip(missing, self.encode(missing))
-            got = [made[p] if v is None else v for p, v in zip(pieces, got)]
+            for pieces, values, at in holes:
+                for i in at:
+                    values[i] = made[pieces[i]]
             if len(self.young) + len(made) > self.most // 2:
                 self.old, self.young = self.young, {}
             self.young |= {p: v for p, v in made.items() if len(p) <= LONGEST_CACHED}

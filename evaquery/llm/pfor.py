@@ -17,6 +17,8 @@ system even when executors are lost; ``shard`` and ``unshard`` are the bytes the
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -24,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,20 +134,90 @@ def unshard(data: bytes, blocks: slice | None = None) -> tuple[list[int | None],
     return [None if z else int(d) for d, z in zip(ids, nulls)], lengths, whole
 
 
+#: The normaliser and the split of a lower-casing, word-end BPE, as its file states them.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: That split within lower-case Latin-1, where no sign composes and case maps one to one; apostrophes aside. A line end parts words.
+_PARTS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|\\n|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+_NOT_PLAIN = ("'", "<|")
+
+
+class Encoder:
+    """Texts to little-endian 16- or 32-bit ids, exactly as the library gives them.
+
+    In general a text goes to the library by pieces. Where the tokenizer's file states
+    NORMALIZERS and SPLIT, texts within Latin-1 are lower-cased and cut into words in
+    Arrow; each distinct word of a call is cut into pre-tokens once, these are cached,
+    and only a new pre-token meets the BPE model.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.library = library_tokenizer(path)
+        self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.pieces = Cached(lambda p: [self._bytes(e.ids) for e in self.library.encode_batch_fast(p, add_special_tokens=False)])
+        self.parts = Cached(self._parts)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        steps = [x.get("type") for x in (said["normalizer"] or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") for x in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_words = steps == NORMALIZERS and splits == [SPLIT, None]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        tokenize, letter = self.library.model.tokenize, self.letters.__getitem__
+        return [self._bytes([t.id for t in tokenize(p if p.isascii() and p.isalpha() else "".join(map(letter, p.encode())))]) for p in parts]
+
+    def _by_words(self, lower: list[str]) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(pa.array(lower, pa.large_string()))
+        words = lists.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        parts = _PARTS.findall("\n".join(words.dictionary.to_pylist()))
+        made, sizes, n, word = [], np.zeros(len(words.dictionary), dtype=np.int64), 0, 0
+        for part, ids in zip(parts, self.parts.values([parts])[0]):
+            if part == "\n":
+                sizes[word], n, word = n, 0, word + 1
+            else:
+                made.append(ids)
+                n += len(ids)
+        if len(sizes):
+            sizes[word] = n
+        sizes //= self.kind.itemsize
+        ids = np.frombuffer(b"".join(made), dtype=self.kind)
+        own = sizes[at]
+        ends = np.cumsum(own)
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        return [out[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def encode(self, texts_: list[str]) -> list[np.ndarray]:
+        plain = [self.by_words and _within_latin(t) and not any(x in t for x in _NOT_PLAIN) for t in texts_]
+        by_word = iter(self._by_words([t.lower() for t, p in zip(texts_, plain) if p]) if any(plain) else ())
+        by_piece = iter(self.pieces.values([SPACED.findall(t) for t, p in zip(texts_, plain) if not p]))
+        return [next(by_word) if p else np.frombuffer(b"".join(next(by_piece)), dtype=self.kind) for p in plain]
+
+
+def _within_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @cache
-def _encoder(path: str) -> Cached:
-    """Pieces to little-endian 16- or 32-bit ids, one tokenizer and cache a worker."""
-    library = library_tokenizer(path)
-    kind = np.dtype("<u2") if library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-    made = Cached(lambda pieces: [np.array(e.ids, dtype=kind).tobytes() for e in library.encode_batch_fast(pieces, add_special_tokens=False)])
-    made.kind = kind
-    return made
+def _encoder(path: str) -> Encoder:
+    """One tokenizer and its caches a worker."""
+    return Encoder(path)
 
 
-def encoded(text: str, path: str) -> np.ndarray:
-    """Ids of the whole text, as the tokenizers library gives them (16 or 32 bits each)."""
-    encoder = _encoder(path)
-    return np.frombuffer(b"".join(encoder.values(SPACED.findall(text))), dtype=encoder.kind)
+def encoded(texts_: list[str], path: str) -> list[np.ndarray]:
+    """Ids of whole texts, as the tokenizers library gives them."""
+    return _encoder(path).encode(texts_)
 
 
 FILES = "part int, start bigint, n_docs bigint, n_ids bigint, shard binary"
@@ -170,8 +243,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col
 
         for batch in batches:
             for some in sliced(batch):
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    own = encoded(text, tokenizer)
+                for doc_id, own in zip(some.column(0).to_pylist(), encoded(some.column(1).to_pylist(), tokenizer)):
                     ids += (own, ending)
                     held.append((doc_id, len(own) + len(ending)))
                     n += held[-1][1]

@@ -31,13 +31,13 @@ def tokenizer_digest(path: str) -> str:
 
 @cache
 def _counter(path: str):
-    """Text -> number of tokens; one tokenizer and one cache of pieces a worker."""
+    """Texts -> numbers of tokens; one tokenizer and one cache of pieces a worker."""
     if path.endswith(".model"):
         library = library_pieces(path)
-        return lambda text: len(library.encode(text))
+        return lambda texts_: [len(library.encode(t)) for t in texts_]
     library = library_tokenizer(path)
     cached = Cached(lambda pieces: [len(e) for e in library.encode_batch_fast(pieces, add_special_tokens=False)])
-    return lambda text: sum(cached.values(SPACED.findall(text)))
+    return lambda texts_: list(map(sum, cached.values(list(map(SPACED.findall, texts_)))))
 
 
 def counted(texts_: DataFrame, path: str) -> DataFrame:
@@ -45,7 +45,7 @@ def counted(texts_: DataFrame, path: str) -> DataFrame:
 
     def rows(x: dict[str, list]) -> dict[str, list]:
         once = dict(zip(x["content"], x["text"]))
-        return {"content": list(once), "n_tokens": list(map(_counter(path), once.values()))}
+        return {"content": list(once), "n_tokens": _counter(path)(list(once.values()))}
 
     each = arrow_map(texts_.select("content", "text"), rows, "content binary, n_tokens bigint")
     return each.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # repeated rows share doc_id and content
