@@ -3,7 +3,7 @@
 Lines are parsed as log messages are: routed by their number of tokens and their
 leading tokens to a leaf of a tree of fixed depth. Variable fields become a wildcard in
 two ways: tokens that hold a digit, an @ or :// always do, and in a leaf whose lines
-agree on most places, so does every place on which they differ. A template that occurs
+agree on most places, so do the places on which they differ. A template that occurs
 in different documents is recurring; its first line stays and all others are dropped.
 """
 
@@ -17,6 +17,8 @@ from .rules import SPACE, SPACES
 
 VARIABLE = "(?<!\\S)(?=\\S*?(?:[0-9@]|://))\\S+"
 WILDCARD = "<*>"
+#: Places that a leaf compares: tokens of lines up to this length, runs of tokens in longer ones.
+PLACES = 16
 _ID, _ROW, _DROP = "__line_dedup_id", "__line_dedup_row", "__line_dedup_drop"
 
 
@@ -24,23 +26,36 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _occurrences(text: Column, of: str) -> Column:
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(of), F.lit("")))) / len(of)).cast("int")
+
+
 def parsed(keyed: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """(id, row, pos, n, leaf, template, masked): the lines of ``least_tokens`` tokens or more."""
+    """(id, row, pos, n, leaf, template, places): the lines of ``least_tokens`` constant tokens or more.
+
+    leaf is the path through the tree, token count then leading tokens; places holds the
+    hash of each place. Lines are rewritten only if they hold what there is to rewrite.
+    """
     lines = keyed.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("masked", F.regexp_replace(F.regexp_replace(F.trim("line", F.lit(SPACES)), SPACE, " "), VARIABLE, WILDCARD))
-    n = (F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).alias("n")
-    lines = lines.select("id", "row", "pos", "masked", n).where(F.col("n") >= least_tokens)
-    return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", depth))).withColumn("template", _digest(F.col("masked")))
+    bare = lines.withColumn("bare", F.trim("line", F.lit(SPACES)))
+    plain = bare.withColumn("plain", F.when(F.col("bare").rlike("[\\x09-\\x0D]|\\x20\\x20"), F.regexp_replace("bare", SPACE, " ")).otherwise(F.col("bare")))
+    masked = plain.withColumn("masked", F.when(F.col("plain").rlike("[0-9@:]"), F.regexp_replace("plain", VARIABLE, WILDCARD)).otherwise(F.col("plain")))
+    counted = masked.select("id", "row", "pos", "masked", (_occurrences(F.col("masked"), " ") + 1).alias("n"))
+    counted = counted.where(F.col("n") - _occurrences(F.col("masked"), WILDCARD) >= least_tokens)
+    run = F.ceil(F.col("n") / PLACES).cast("int")
+    tokens = counted.withColumn("tokens", F.split("masked", " ")).withColumn("run", run)
+    places = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.hash(F.slice("tokens", i * F.col("run") + 1, F.col("run"))))
+    return tokens.select("id", "row", "pos", "n", F.xxhash64("n", F.slice("tokens", 1, depth)).alias("leaf"), _digest(F.col("masked")).alias("template"), places.alias("places"))
 
 
 def generalised_leaves(lines: DataFrame, similarity: float) -> DataFrame:
-    """Leaves that hold different templates and agree on at least ``similarity`` of their places."""
-    mixed = lines.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).where("a <> b").select("leaf")
-    tokens = lines.select("leaf", "masked").join(mixed, "leaf").select("leaf", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    tokens = tokens.select("leaf", "place", F.xxhash64("token").alias("t"), (F.col("token") == WILDCARD).alias("wild"))
-    places = tokens.groupBy("leaf", "place").agg((F.min("t") == F.max("t")).alias("same"), F.bool_or("wild").alias("wild"))
-    shares = places.groupBy("leaf").agg(F.avg((F.col("same") & ~F.col("wild")).cast("double")).alias("share"))
-    return shares.where(F.col("share") >= similarity).select("leaf", F.lit(True).alias("general"))
+    """Leaves whose lines differ, yet agree on at least ``similarity`` of their places."""
+    at = [F.get("places", F.lit(i)) for i in range(PLACES)]
+    seen = lines.groupBy("leaf").agg(F.min("n").alias("n"), *[f(x).alias(f"{name}{i}") for i, x in enumerate(at) for name, f in (("a", F.min), ("b", F.max))])
+    run = F.ceil(F.col("n") / PLACES)
+    used = F.ceil(F.col("n") / run)
+    differ = sum((F.col(f"a{i}") != F.col(f"b{i}")).cast("int") for i in range(PLACES))
+    return seen.where((differ > 0) & (used - differ >= similarity * used)).select("leaf", F.lit(True).alias("general"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> DataFrame:
@@ -51,7 +66,7 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, lea
     thin = lines.select("id", "row", "pos", "leaf", "template").join(general, "leaf", "left")
     thin = thin.withColumn("key", F.when(F.col("general"), _digest(F.col("leaf").cast("string"))).otherwise(F.col("template")))
     place = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("pos"))
-    thin = stored(thin.select("id", "row", "pos", "key"))
+    thin = thin.select("id", "row", "pos", "key")
     found = thin.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min(place).alias("first")).where("a <> b").select("key", "first")
     extra = thin.join(found, "key").where(place != F.col("first"))
     return extra.groupBy("id", "row").agg(F.array_distinct(F.collect_list("pos")).alias("drop"))
@@ -73,7 +88,7 @@ def _cleaned(text: Column) -> Column:
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_tokens: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, their texts without recurring template lines.
 
-    A line counts from ``least_tokens`` tokens on. A template recurs if it occurs in two
+    A line counts from ``least_tokens`` constant tokens on. A template recurs if it occurs in two
     different texts; exact copies of a document are one text, so they lose no line to
     each other and are left to near-duplicate removal. Of a recurring template the line
     with the least (doc_id, text digest, line number) stays, null ids last, and every

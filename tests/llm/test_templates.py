@@ -20,15 +20,16 @@ def brute(rows, depth=3, least=5, similarity=0.8):
     for i, t in rows:
         for pos, line in enumerate((t or "").split("\n")):
             tok = tokens(line)
-            if len(tok) >= least:
+            if len(tok) - tok.count("<*>") >= least:
                 lines.append((i, t or "", pos, tuple(tok)))
     leaves = defaultdict(set)
     for *_, tok in lines:
         leaves[(len(tok), tok[:depth])].add(tok)
     general = set()
     for leaf, ts in leaves.items():
-        same = [len(set(c)) == 1 and c[0] != "<*>" for c in zip(*ts)]
-        if len(ts) > 1 and sum(same) / len(same) >= similarity:
+        run = -(-leaf[0] // 16)
+        same = [len({t[k : k + run] for t in ts}) == 1 for k in range(0, leaf[0], run)]
+        if len(ts) > 1 and sum(same) >= similarity * len(same):
             general.add(leaf)
     seen = defaultdict(list)
     for i, t, pos, tok in lines:
@@ -58,7 +59,7 @@ def test_query_matches_brute_force(spark):
 
 def test_odd_rows(spark):
     rnd = random.Random(8)
-    stock = ["user 17 logged in from 10.0.0.%d at noon" % i for i in range(5)] + ["All rights reserved by the owner Smith", "All rights reserved by the owner Jones", "one two three four five six", "\t padded  line of five  words ", "short line", "", " "]
+    stock = ["long " + " ".join("tok%s" % chr(97 + k % 26) for k in range(40)) + " tail %s end" % x for x in "abc"] + ["user 17 logged in from 10.0.0.%d at noon" % i for i in range(5)] + ["All rights reserved by the owner Smith", "All rights reserved by the owner Jones", "one two three four five six", "\t padded  line of five  words ", "short line", "", " "]
     rows = [(i, "\n".join(rnd.choice(stock + ["body %s line of document number x" % "".join(rnd.choice("abc") for _ in range(9))]) for _ in range(rnd.randint(1, 9)))) for i in range(60)]
     rows += [(3, None), (None, None), (None, rows[4][1]), (7, rows[7][1]), (7, rows[7][1]), (8, "a b c d e f g\n" * 500), (200, "a b c d e f g"), (201, ""), (202, "x" * 100000)]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id bigint, text string, key int, `row.x` string").repartition(3)
