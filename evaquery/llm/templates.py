@@ -9,6 +9,9 @@ in different documents is recurring; its first line stays and all others are dro
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ VARIABLE = "(?<!\\S)(?=\\S*?(?:[0-9@]|://))\\S+"
 WILDCARD = "<*>"
 #: Places that a leaf compares: tokens of lines up to this length, runs of tokens in longer ones.
 PLACES = 16
+#: Generalised leaves, at 9 bytes each, are broadcast up to this number and joined by shuffle beyond.
+BROADCAST_LEAVES = 500_000
 _ID, _ROW, _DROP = "__line_dedup_id", "__line_dedup_row", "__line_dedup_drop"
 
 
@@ -30,43 +35,50 @@ def _occurrences(text: Column, of: str) -> Column:
     return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(of), F.lit("")))) / len(of)).cast("int")
 
 
-def parsed(keyed: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """(id, row, pos, n, leaf, template, places): the lines of ``least_tokens`` constant tokens or more.
+def parsed(keyed: DataFrame, depth: int) -> DataFrame:
+    """(id, row, pos, n, constant, leaf, template, p0 ... p3): the lines that have a token.
 
-    leaf is the path through the tree, token count then leading tokens; places holds the
-    hash of each place. Lines are rewritten only if they hold what there is to rewrite.
+    leaf is the path through the tree, token count then leading tokens; constant counts
+    the tokens that are no wildcard; p0 to p3 hold 16 bits of the hash of each place.
+    Lines are rewritten only if they hold what there is to rewrite.
     """
-    lines = keyed.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    bare = lines.withColumn("bare", F.trim("line", F.lit(SPACES)))
-    plain = bare.withColumn("plain", F.when(F.col("bare").rlike("[\\x09-\\x0D]|\\x20\\x20"), F.regexp_replace("bare", SPACE, " ")).otherwise(F.col("bare")))
-    masked = plain.withColumn("masked", F.when(F.col("plain").rlike("[0-9@:]"), F.regexp_replace("plain", VARIABLE, WILDCARD)).otherwise(F.col("plain")))
-    counted = masked.select("id", "row", "pos", "masked", (_occurrences(F.col("masked"), " ") + 1).alias("n"))
-    counted = counted.where(F.col("n") - _occurrences(F.col("masked"), WILDCARD) >= least_tokens)
-    run = F.ceil(F.col("n") / PLACES).cast("int")
-    tokens = counted.withColumn("tokens", F.split("masked", " ")).withColumn("run", run)
-    places = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.hash(F.slice("tokens", i * F.col("run") + 1, F.col("run"))))
-    return tokens.select("id", "row", "pos", "n", F.xxhash64("n", F.slice("tokens", 1, depth)).alias("leaf"), _digest(F.col("masked")).alias("template"), places.alias("places"))
+    bare = keyed.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "row", "pos", F.trim("line", F.lit(SPACES)).alias("bare"))
+    uneven = F.contains("bare", F.lit("  ")) | reduce(or_, [F.contains("bare", F.lit(c)) for c in SPACES if c not in " \n"])
+    plain = bare.select("id", "row", "pos", F.when(uneven, F.regexp_replace("bare", SPACE, " ")).otherwise(F.col("bare")).alias("plain"))
+    fields = F.col("plain").rlike("[0-9@:]")
+    masked = plain.select("id", "row", "pos", F.when(fields, F.regexp_replace("plain", VARIABLE, WILDCARD)).otherwise(F.col("plain")).alias("masked"))
+    cut = masked.select("id", "row", "pos", "masked", F.split("masked", " ").alias("tokens"))
+    sized = cut.select("*", F.size("tokens").alias("n"), F.ceil(F.size("tokens") / PLACES).cast("int").alias("run"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.pmod(F.hash(F.slice("tokens", i * F.col("run") + 1, F.col("run"))), F.lit(1 << 16)).cast("bigint"))
+    hashed = sized.select("*", places.alias("places"))
+    packed = [sum(F.shiftleft(F.get("places", F.lit(4 * i + k)), 16 * k) for k in range(4)).alias(f"p{i}") for i in range(4)]
+    constant = (F.col("n") - _occurrences(F.col("masked"), WILDCARD)).alias("constant")
+    return hashed.select("id", "row", "pos", "n", constant, F.xxhash64("n", F.slice("tokens", 1, depth)).alias("leaf"), _digest(F.col("masked")).alias("template"), *packed)
 
 
 def generalised_leaves(lines: DataFrame, similarity: float) -> DataFrame:
-    """Leaves whose lines differ, yet agree on at least ``similarity`` of their places."""
-    at = [F.get("places", F.lit(i)) for i in range(PLACES)]
-    seen = lines.groupBy("leaf").agg(F.min("n").alias("n"), *[f(x).alias(f"{name}{i}") for i, x in enumerate(at) for name, f in (("a", F.min), ("b", F.max))])
-    run = F.ceil(F.col("n") / PLACES)
-    used = F.ceil(F.col("n") / run)
-    differ = sum((F.col(f"a{i}") != F.col(f"b{i}")).cast("int") for i in range(PLACES))
-    return seen.where((differ > 0) & (used - differ >= similarity * used)).select("leaf", F.lit(True).alias("general"))
+    """Leaves whose lines differ, yet agree on at least ``similarity`` of their places.
+
+    Lines agree on a place if the conjunction and the disjunction of its bits are equal.
+    """
+    seen = lines.groupBy("leaf").agg(F.min("n").alias("n"), *[f(f"p{i}").alias(f"{name}{i}") for i in range(4) for name, f in (("a", F.bit_and), ("b", F.bit_or))])
+    used = F.ceil(F.col("n") / F.ceil(F.col("n") / PLACES))
+    unlike = [F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")) for i in range(4)]
+    differ = sum((F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF)) != 0).cast("int") for x in unlike for k in range(4))
+    seen = seen.select("leaf", used.alias("used"), differ.alias("differ"))
+    return seen.where((F.col("differ") > 0) & (F.col("used") - F.col("differ") >= similarity * F.col("used"))).select("leaf", F.lit(True).alias("general"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> DataFrame:
     """(id, row, drop array<int>): line numbers to drop, for the documents that have any."""
     keyed = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    lines = stored(parsed(keyed.withColumn("row", _digest(F.col("text"))), depth, least_tokens))
-    general = generalised_leaves(lines, similarity)
+    lines = stored(parsed(keyed.withColumn("row", F.xxhash64("text")), depth)).where(F.col("constant") >= least_tokens)
+    general = stored(generalised_leaves(lines, similarity))
+    if general.count() <= BROADCAST_LEAVES:
+        general = F.broadcast(general)
     thin = lines.select("id", "row", "pos", "leaf", "template").join(general, "leaf", "left")
-    thin = thin.withColumn("key", F.when(F.col("general"), _digest(F.col("leaf").cast("string"))).otherwise(F.col("template")))
+    thin = thin.select("id", "row", "pos", F.when(F.col("general"), _digest(F.col("leaf").cast("string"))).otherwise(F.col("template")).alias("key"))
     place = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("pos"))
-    thin = thin.select("id", "row", "pos", "key")
     found = thin.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min(place).alias("first")).where("a <> b").select("key", "first")
     extra = thin.join(found, "key").where(place != F.col("first"))
     return extra.groupBy("id", "row").agg(F.array_distinct(F.collect_list("pos")).alias("drop"))
@@ -76,7 +88,7 @@ def _with_drops(docs: DataFrame, id_col: str, text_col: str, depth: int, least_t
     """``docs`` and, for each row, the numbers of the lines to drop (null: none)."""
     drops = recurring_lines(docs, id_col, text_col, depth, least_tokens, similarity)
     drops = drops.select(F.col("id").alias(_ID), F.col("row").alias(_ROW), F.col("drop").alias(_DROP))
-    row = _digest(F.coalesce(col(text_col), F.lit("")))
+    row = F.xxhash64(F.coalesce(col(text_col), F.lit("")))
     return docs.join(drops.hint("shuffle_hash"), col(id_col).cast("bigint").eqNullSafe(F.col(_ID)) & (row == F.col(_ROW)), "left")
 
 
@@ -91,7 +103,7 @@ def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     A line counts from ``least_tokens`` constant tokens on. A template recurs if it occurs in two
     different texts; exact copies of a document are one text, so they lose no line to
     each other and are left to near-duplicate removal. Of a recurring template the line
-    with the least (doc_id, text digest, line number) stays, null ids last, and every
+    with the least (doc_id, text hash, line number) stays, null ids last, and every
     other is dropped, in hot templates as in rare ones. Texts change by whole lines only;
     a null text stays null and a text may become empty; repeated rows are treated alike;
     an empty table gives no rows.

@@ -2,20 +2,24 @@ import random
 import re
 from collections import defaultdict
 
+import xxhash
+
 from evaquery.llm import templates
 from evaquery.llm.queries import op7_line_templates
 
 SF = "/root/testdata/sf0.01"
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def tokens(line):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
     return ["<*>" if re.search(r"[0-9@]|://", x) else x for x in w]
 
 
 def brute(rows, depth=3, least=5, similarity=0.8):
-    import hashlib
-
     lines = []
     for i, t in rows:
         for pos, line in enumerate((t or "").split("\n")):
@@ -34,7 +38,7 @@ def brute(rows, depth=3, least=5, similarity=0.8):
     seen = defaultdict(list)
     for i, t, pos, tok in lines:
         leaf = (len(tok), tok[:depth])
-        seen[leaf if leaf in general else ("own", tok)].append((i is None, i or 0, hashlib.md5(t.encode()).digest(), pos, i, t))
+        seen[leaf if leaf in general else ("own", tok)].append((i is None, i or 0, signed(xxhash.xxh64_intdigest(t.encode(), 42)), pos, i, t))
     drop = defaultdict(set)
     for places in seen.values():
         if len({p[5] for p in places}) > 1:
