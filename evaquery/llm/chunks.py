@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 #: Unicode white space: Python's \s without the four separators that the libraries take as signs.
 SPACED = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 LONGEST_CACHED = 64
-MOST_CACHED = 400_000
+MOST_CACHED = 300_000
 
 
 class Cached:
@@ -28,6 +28,9 @@ class Cached:
     def __init__(self, encode: Callable[[list[str]], Iterable], most: int = MOST_CACHED) -> None:
         self.encode, self.most, self.young, self.old = encode, most, {}, {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def values(self, lists: list[list[str]]) -> list[list]:
         """The values of lists of pieces; what is missing in any of them is encoded at once."""
         got = [list(map(self.young.get, pieces)) for pieces in lists]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +72,18 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, out)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1500) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows in jobs that start inside; the setting is put back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sliced(batch: pa.RecordBatch, target_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``target_bytes``, one row at least: Python objects are made for a slice at a time."""
     if batch.num_rows:

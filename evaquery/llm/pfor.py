@@ -20,19 +20,21 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import SPACED, Cached, library_tokenizer
-from .common import shared_dir, sliced, texts
+from .common import shared_dir, sliced, small_batches, texts
 
 BLOCK = 128
 PERCENTILE = 90
@@ -137,8 +139,8 @@ def unshard(data: bytes, blocks: slice | None = None) -> tuple[list[int | None],
 #: The normaliser and the split of a lower-casing, word-end BPE, as its file states them.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: That split within lower-case Latin-1, where no sign composes and case maps one to one; apostrophes aside. A line end parts words.
-_PARTS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|\\n|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: That split within lower-case Latin-1, where no sign composes and case maps one to one; apostrophes aside.
+_PARTS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _NOT_PLAIN = ("'", "<|")
 
 
@@ -146,9 +148,8 @@ class Encoder:
     """Texts to little-endian 16- or 32-bit ids, exactly as the library gives them.
 
     In general a text goes to the library by pieces. Where the tokenizer's file states
-    NORMALIZERS and SPLIT, texts within Latin-1 are lower-cased and cut into words in
-    Arrow; each distinct word of a call is cut into pre-tokens once, these are cached,
-    and only a new pre-token meets the BPE model.
+    NORMALIZERS and SPLIT, texts within Latin-1 are lower-cased and cut into pre-tokens;
+    each distinct one of a call is looked up once, and only a new one meets the BPE model.
     """
 
     def __init__(self, path: str) -> None:
@@ -166,34 +167,31 @@ class Encoder:
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return array(self.kind.char, ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype=self.kind).tobytes()
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         tokenize, letter = self.library.model.tokenize, self.letters.__getitem__
         return [self._bytes([t.id for t in tokenize(p if p.isascii() and p.isalpha() else "".join(map(letter, p.encode())))]) for p in parts]
 
     def _by_words(self, lower: list[str]) -> list[np.ndarray]:
-        lists = pc.ascii_split_whitespace(pa.array(lower, pa.large_string()))
-        words = lists.flatten().dictionary_encode()
-        at = words.indices.to_numpy()
-        parts = _PARTS.findall("\n".join(words.dictionary.to_pylist()))
-        made, sizes, n, word = [], np.zeros(len(words.dictionary), dtype=np.int64), 0, 0
-        for part, ids in zip(parts, self.parts.values([parts])[0]):
-            if part == "\n":
-                sizes[word], n, word = n, 0, word + 1
-            else:
-                made.append(ids)
-                n += len(ids)
-        if len(sizes):
-            sizes[word] = n
-        sizes //= self.kind.itemsize
-        ids = np.frombuffer(b"".join(made), dtype=self.kind)
+        lists = list(map(_PARTS.findall, lower))
+        parts = pa.array(chain.from_iterable(lists), pa.string(), size=sum(map(len, lists))).dictionary_encode()
+        at = parts.indices.to_numpy()
+        values = self.parts.values([parts.dictionary.to_pylist()])[0]
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.kind.itemsize
+        ids = np.frombuffer(b"".join(values), dtype=self.kind)
         own = sizes[at]
-        ends = np.cumsum(own)
-        out = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], own) + np.arange(ends[-1])]
+        cuts = ends[np.cumsum([0, *map(len, lists)])]
         return [out[i:j] for i, j in zip(cuts, cuts[1:])]
 
+    def forget(self) -> None:
+        """Lets an idle worker hold no more than the tokenizer."""
+        self.parts.clear()
+        self.pieces.clear()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts_: list[str]) -> list[np.ndarray]:
         plain = [self.by_words and _within_latin(t) and not any(x in t for x in _NOT_PLAIN) for t in texts_]
         by_word = iter(self._by_words([t.lower() for t, p in zip(texts_, plain) if p]) if any(plain) else ())
@@ -242,7 +240,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([v], pa.int64()) for v in (start, len(held), n)), pa.array([data], pa.binary())], names=["part", "start", "n_docs", "n_ids", "shard"])
 
         for batch in batches:
-            for some in sliced(batch):
+            for some in sliced(batch, 4 << 20):
                 for doc_id, own in zip(some.column(0).to_pylist(), encoded(some.column(1).to_pylist(), tokenizer)):
                     ids += (own, ending)
                     held.append((doc_id, len(own) + len(ending)))
@@ -252,8 +250,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col
                         start, held, ids, n = start + n, [], [], 0
         if held:
             yield flushed()
+        _encoder(tokenizer).forget()
 
-    dealt.mapInArrow(run, FILES).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        dealt.mapInArrow(run, FILES).write.parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
