@@ -126,13 +126,18 @@ def train(rows: list[tuple[str, tuple, int]], rank: int = 8, epochs: int = 8, ra
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple[str, ...] = ("n_chars",), per_label: int = 2000) -> Model:
     """Trains on rows of ``docs`` that have a 0/1 label and for which ``train_on`` (over doc_id) holds.
 
-    At most about ``per_label`` rows of each label are drawn, by the hash of doc_id.
+    About ``per_label`` ids of each label are drawn, by the hash of doc_id, from the
+    labels alone; their texts come to the driver, and no other text moves.
     Labels of a doc_id that disagree, and null ones, are left out.
     """
     known = labels.select(col(id_col).cast("bigint").alias("doc_id"), col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(train_on).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
-    own = texts(docs, id_col, text_col, *meta_cols)
-    rows = sampled(own.join(known, "doc_id"), "label", per_label, 2)
+    picked = sampled(known, "label", per_label, 2)
+    if not picked:
+        return train([], n_meta=len(meta_cols))
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in picked], "doc_id bigint, label int")
+    own = texts(docs, id_col, text_col, *meta_cols).join(F.broadcast(chosen), "doc_id")  # as many rows as were drawn
+    rows = sorted(own.collect(), key=lambda r: (r["doc_id"], r["text"]))
     return train([(r["text"], tuple(r[m] for m in meta_cols), r["label"]) for r in rows], n_meta=len(meta_cols))
 
 

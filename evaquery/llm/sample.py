@@ -25,4 +25,4 @@ def sampled(rows: DataFrame, label: str, per_label: int, max_labels: int, key: s
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     bound = sum(min(r["count"], int(1.3 * per_label) + 50) for r in counts)
     taken = rows.where(draw < share[F.col(label)]).limit(bound).collect()
-    return sorted(taken, key=lambda r: (r[key] is None, r[key], r["text"]))
+    return sorted(taken, key=lambda r: (r[key] is None, *map(str, r)))
