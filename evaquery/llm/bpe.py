@@ -1,33 +1,43 @@
-"""Byte-level BPE in Spark SQL functions: encoding and decoding by a rank file.
+"""Byte-level BPE encoding and decoding by a rank file.
 
 Text is split by the tokenizer's pattern. A word is an array of one-byte pieces; a fold
-merges the adjacent pair of least rank, leftmost first, until no pair has a rank. Ranks
-are a literal map, cut into buckets by the crc32 of the key because a map is searched
-from its start. Bytes are written as Latin-1 characters, one for each byte, so pieces
-concatenate as strings and turn back into binary at the end.
-
-Distinct frequent words of a bounded sample are folded once, and their ids ride along
-as a second literal map; any other word is folded where it stands. What the sample
-holds decides how fast a word is encoded, never how.
+merges the adjacent pair of least rank, leftmost first, until no pair has a rank.
+Decoding puts the binary pieces of the ids end to end.
+
+The fold exists twice. ``spark_encoded`` is Spark's own higher-order functions over a
+literal rank map, and gives every result; measured, it needs several times the CPU that
+is allowed (see the README), so ``encoded`` folds the same way in Arrow batches: each
+distinct word of a batch once, with a bounded cache of words between batches.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
 import json
+import re
 import zlib
+from array import array
+from collections.abc import Iterable
 from functools import cache
+from itertools import chain, islice
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .chunks import Cached
+from .common import arrow_map, texts
 
 BUCKETS = 1 << 15
-#: Words folded ahead, the documents they are drawn from, and their greatest length.
-AHEAD_WORDS = 50_000
-AHEAD_DOCUMENTS = 4_000
-AHEAD_LENGTH = 32
+SLICE_BYTES = 4 << 20
+#: The split of the public byte-level vocabularies, and the same within Latin-1,
+#: where letters, numbers and white space can be listed.
+UNICODE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
 @cache
@@ -98,30 +108,20 @@ def _folded(table: Column, word: Column) -> Column:
     return _once(_as_bytes(word), parts)
 
 
-def frequent_words(docs: DataFrame, path: str, pattern: str, most: int, sample: int) -> dict[str, list[int]]:
-    """The ``most`` frequent words of about ``sample`` documents, chosen by hash, and their ids.
+def spark_encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids array<int>) of (doc_id, text) rows, in Spark's functions alone.
 
-    At most ``most`` words of AHEAD_LENGTH characters come to the driver.
+    Ranks are a literal map, cut into buckets by the crc32 of the key because Spark
+    searches a map from its start. Bytes are written as Latin-1 characters, one for
+    each, so pieces concatenate as strings.
     """
-    share = min(1.0, sample / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    each = some.select(F.explode(words_of(F.col("text"), pattern)).alias("w")).where(F.length("w") <= AHEAD_LENGTH)
-    top = each.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
     table = _literal_map({k.decode("latin-1"): v for k, v in ranks(path).items()}, "int")
-    return {r["w"]: r["ids"] for r in top.select("w", _once(table, lambda t: _folded(t, F.col("w"))).alias("ids")).collect()}
-
-
-def encoded(docs: DataFrame, path: str, pattern: str, most: int = AHEAD_WORDS, sample: int = AHEAD_DOCUMENTS) -> DataFrame:
-    """(doc_id, ids array<int>) of (doc_id, text) rows."""
-    known = frequent_words(docs, path, pattern, most, sample)
-    table = _literal_map({k.decode("latin-1"): v for k, v in ranks(path).items()}, "int")
-    ahead = _literal_map(known, "array<int>")
-    ids = _once(table, lambda t: _once(ahead, lambda a: F.flatten(F.transform(words_of(F.col("text"), pattern), lambda w: F.coalesce(_found(a, w), _folded(t, w))))))
+    ids = _once(table, lambda t: F.flatten(F.transform(words_of(F.col("text"), pattern), lambda w: _folded(t, w))))
     return docs.select("doc_id", ids.alias("ids"))
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """The bytes of an array of ids: the pieces they stand for, end to end. An unknown id gives null."""
+def spark_decoded(ids: Column, path: str) -> Column:
+    """The bytes of an array of ids, in Spark's functions alone. An unknown id gives null."""
     listed = sorted((v, k.decode("latin-1")) for k, v in ranks(path).items())
     table = [None] * (listed[-1][0] + 1)
     for v, k in listed:
@@ -131,15 +131,126 @@ def decoded(ids: Column, path: str) -> Column:
     return F.when(~F.exists(made, lambda p: p.isNull()), F.encode(F.array_join(made, ""), "ISO-8859-1"))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = AHEAD_WORDS, sample: int = AHEAD_DOCUMENTS) -> DataFrame:
+def folded(word: bytes, rank: dict[bytes, int]) -> list[int]:
+    """Ids of one word: its own, or those of its pieces after all merges.
+
+    Short words look all pairs over for each merge; in longer ones a heap holds the
+    pairs, so a word of n bytes takes time in n log n.
+    """
+    whole = rank.get(word)
+    if whole is not None:
+        return [whole]
+    if len(word) > 48:
+        return _folded_long(word, rank)
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    get, none = rank.get, len(rank) + 1
+    pairs = [get(a + b, none) for a, b in zip(pieces, pieces[1:])]
+    while pairs:
+        least = min(pairs)
+        if least == none:
+            break
+        i = pairs.index(least)
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(pieces[i - 1] + pieces[i], none)
+        if i < len(pairs):
+            pairs[i] = get(pieces[i] + pieces[i + 1], none)
+    return [rank[p] for p in pieces]
+
+
+def _folded_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
+    n = len(word)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i] if alive[i] else n
+        if j >= n or end[j] != stop:
+            continue  # one of the two has been merged since
+        end[i], after[i], alive[j] = stop, after[j], False
+        if after[i] < n:
+            before[after[i]] = i
+            if (r := rank.get(word[i : end[after[i]]])) is not None:
+                heapq.heappush(heap, (r, i, end[after[i]]))
+        if before[i] >= 0 and (r := rank.get(word[before[i] : stop])) is not None:
+            heapq.heappush(heap, (r, before[i], stop))
+    return [rank[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
+class Codec:
+    """A rank file and a pattern at work in one worker."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        self.rank = ranks(path)
+        self.piece = {v: k for k, v in self.rank.items()}
+        self.decimal = {v: str(v) for v in self.piece}
+        self.split = regex.compile(pattern)
+        self.narrow = re.compile(LATIN_PATTERN) if pattern == UNICODE_PATTERN else None
+        self.kind = "H" if max(self.piece) < 1 << 16 else "I"
+        self.words = Cached(lambda ws: [array(self.kind, folded(w.encode("utf-8", "surrogatepass"), self.rank)).tobytes() for w in ws])
+
+    def _split(self, text: str) -> list[str]:
+        if self.narrow:
+            try:
+                text.encode("latin-1")
+                return self.narrow.findall(text)
+            except UnicodeEncodeError:
+                pass
+        return self.split.findall(text)
+
+    def encode(self, texts_: list[str]) -> list[array]:
+        lists = list(map(self._split, texts_))
+        words = pa.array(chain.from_iterable(lists), pa.string(), size=sum(map(len, lists))).dictionary_encode()
+        values = self.words.values([words.dictionary.to_pylist()])[0]
+        at = iter(map(values.__getitem__, words.indices.to_pylist()))
+        out = []
+        for one in lists:
+            ids = array(self.kind)
+            ids.frombytes(b"".join(islice(at, len(one))))
+            out.append(ids)
+        return out
+
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.piece.__getitem__, ids))
+
+    def text_of(self, ids: Iterable[int]) -> str:
+        return " ".join(map(self.decimal.__getitem__, ids))
+
+
+@cache
+def codec(path: str, pattern: str) -> Codec:
+    """One codec, and its cache of words, a worker."""
+    return Codec(path, pattern)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>): the ids of each row's whole text, without special tokens; none of a null one."""
+
+    def rows(x: dict[str, list]) -> dict[str, list]:
+        return {"doc_id": x["doc_id"], "ids": [ids.tolist() for ids in codec(path, pattern).encode(x["text"])]}
+
+    return arrow_map(texts(docs, id_col, text_col), rows, "doc_id bigint, ids array<int>", SLICE_BYTES)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): one row for each row of ``docs``.
 
     The ids are those of the rank file's tokenizer for the whole text, without special
     tokens; their digest is of the decimal ids joined by one space, the other one of the
     bytes that the ids decode to. A null text counts as empty: no ids, digests of
-    nothing. Repeated rows repeat; an empty table gives no rows. Nothing is shuffled but
-    the sample's word counts. Folding a single word of n bytes takes time in n squared.
+    nothing. Repeated rows repeat; an empty table gives no rows; nothing is shuffled.
     """
-    got = encoded(texts(docs, id_col, text_col), path, pattern, most, sample)
-    got = got.withColumn("joined", F.array_join(F.col("ids").cast("array<string>"), " ")).withColumn("bytes", decoded(F.col("ids"), path))
-    return got.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("joined", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+    def rows(x: dict[str, list]) -> dict[str, list]:
+        own, digest = codec(path, pattern), lambda data: hashlib.sha256(data).hexdigest()
+        out = {"doc_id": x["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for ids in own.encode(x["text"]):
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(digest(own.text_of(ids).encode()))
+            out["decoded_sha256"].append(digest(own.decode(ids)))
+        return out
+
+    return arrow_map(texts(docs, id_col, text_col), rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", SLICE_BYTES)

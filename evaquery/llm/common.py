@@ -56,7 +56,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: StructType | str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: StructType | str, slice_bytes: int = 8 << 20) -> DataFrame:
     """Maps Arrow batches column-wise: ``rows`` gets lists by column name and returns lists by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -65,7 +65,7 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, slice_bytes):
                 made = rows({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pfor, pii, quality, rules, simhash, templates, tokencount
+from . import bpe, decontaminate, langid, pfor, pii, quality, rules, simhash, templates, tokencount
 from .common import documents
 from .sample import fold
 
@@ -19,6 +19,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pattern() -> str:
+    """The split that goes with the public rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def held_out(folds: int, kept_back: int):
     """Whether a doc_id is in the fold kept back from training; a null id is not."""
     return F.coalesce(fold(F.col("doc_id"), folds) == kept_back, F.lit(False))
@@ -52,6 +59,10 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.line_dedup(documents(spark, sf_dir))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), pattern())
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs, fold(F.col("doc_id"), 4) != 2, per_label=1000)
@@ -73,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_line_templates": op7_line_templates,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
 }
