@@ -225,7 +225,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
             for batch in batches:
                 for part in sliced(batch):
                     bad = {d for d, *_ in block.find(part.column(part.schema.names.index(text_col)).to_pylist())}
-                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)]))
+                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

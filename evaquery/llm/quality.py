@@ -9,13 +9,15 @@ computed in linear time: the sum over pairs <v_i, v_j> x_i x_j is half of
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, texts
+from .common import arrow_map, col, sliced, texts
 from .sample import sampled
 
 WORD_BUCKETS = 1 << 14
@@ -153,3 +155,15 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return {"doc_id": x["doc_id"], "score": got, "predicted": [int(s >= 0.5) for s in got]}
 
     return arrow_map(texts(docs, id_col, text_col, *meta_cols), rows, "doc_id bigint, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", meta_cols: tuple[str, ...] = ("n_chars",), least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns as they are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                columns = [part.column(part.schema.names.index(c)).to_pylist() for c in (text_col, *meta_cols)]
+                yield part.filter(pa.array([model.score(t or "", tuple(m)) >= least for t, *m in zip(*columns)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

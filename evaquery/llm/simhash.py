@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored, texts
+from .common import arrow_map, col, stored, texts
 from .graph import connected_components
 
 SEED = 42
@@ -141,3 +141,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     of = of.join(least, "root").select("fp", "component_id")
     return own.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with all their columns as they are.
+
+    Of each component the rows with its least id stay; rows with a null id have no id
+    to compare and stay too. Rows that share the least id all stay.
+    """
+    groups = near_duplicates(docs, id_col, text_col, shingle, distance)
+    first = groups.where("doc_id = component_id").select(F.col("component_id").alias("__simhash_first")).distinct()
+    key = col(id_col).cast("bigint")
+    kept = docs.join(first.hint("shuffle_hash"), key == F.col("__simhash_first"), "left_semi")
+    return kept.unionByName(docs.where(key.isNull()))
