@@ -1,11 +1,9 @@
-"""Query name -> Spark function and oracle SQL; what ``__spark_entry__`` serves."""
+"""All queries and their oracles; importing this module registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import relational  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 FLAGSHIP = "slice1_masked_graph_summary"
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
