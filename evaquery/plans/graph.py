@@ -2,45 +2,97 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 
+#: A graph of at most so many directed edges, counted first, goes whole to every task that
+#: searches it (some megabytes); a larger one is relaxed over tables.
+SMALL_GRAPH = 100_000
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """(u, v, weight) in both directions."""
     return edges.select("u", "v", "weight").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> DataFrame:
+def _searched(both: DataFrame, sources: DataFrame) -> DataFrame:
+    """``distances`` in a small graph: a search from each source, sources dealt over the tasks."""
+    near: dict[int, list[tuple[int, float]]] = {}
+    for u, v, w in both.collect():
+        near.setdefault(u, []).append((v, float(w)))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for source in rows["node"].tolist():
+                done, heap = set(), [(0.0, -1, source)]
+                while heap:
+                    cost, before, node = heapq.heappop(heap)
+                    if node in done:
+                        continue
+                    done.add(node)
+                    out.append((source, node, cost, None if before == -1 and node == source else before))
+                    for other, w in near.get(node, ()):
+                        if other not in done:
+                            heapq.heappush(heap, (cost + w, node, other))
+            yield pd.DataFrame(out, columns=["source", "node", "cost", "previous"]).astype({"previous": "Int64"})
+
+    kind = sources.schema["node"].dataType.simpleString()
+    return sources.select("node").distinct().mapInPandas(run, f"source {kind}, node {kind}, cost double, previous long")
+
+
+def distances(edges: DataFrame, sources: DataFrame, rounds: int = 200, small: int = SMALL_GRAPH) -> DataFrame:
     """(source, node, cost, previous): least costs from each source over undirected edges.
 
-    Relaxes from the nodes that improved in the round before; each round is two
-    shuffles by node, reduced by a minimum before the exchange. Ties take the least
-    previous node. Weights must not be negative; unreachable nodes have no row.
+    Relaxes from the nodes that improved in the round before; a round is one reduction by
+    node, a minimum taken before the exchange, and one join with what is known, written
+    once. Ties take the least previous node. Edges without a weight, or with a negative
+    one, do not exist; unreachable nodes have no row.
     """
     both = stored(symmetric(edges).where("weight is not null and weight >= 0"))
-    best = sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("double").alias("cost"), F.lit(None).cast("long").alias("previous")).distinct()
-    best = frontier = stored(best)
+    if both.count() <= small:
+        return _searched(both, sources)
+    nothing = F.lit(None).cast("long")
+    state = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("double").alias("cost"), nothing.alias("previous"), F.lit(True).alias("fresh")).distinct())
     for _ in range(rounds):
-        reached = frontier.join(both, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), F.struct((F.col("cost") + F.col("weight")).alias("cost"), F.col("u").cast("long").alias("previous")).alias("c"))
+        step = F.struct((F.col("cost") + F.col("weight")).alias("cost"), F.col("u").cast("long").alias("previous"))
+        reached = state.where("fresh").join(both, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), step.alias("c"))
         least = reached.groupBy("source", "node").agg(F.min("c").alias("c"))
-        old = best.select("source", "node", F.col("cost").alias("old"))
-        frontier = stored(least.join(old, ["source", "node"], "left").where("old is null or c.cost < old").select("source", "node", "c.cost", "c.previous"))
-        if frontier.isEmpty():
-            return best
-        best = stored(best.join(frontier.select("source", "node"), ["source", "node"], "left_anti").unionByName(frontier))
+        better = F.col("c").isNotNull() & (F.col("cost").isNull() | (F.col("c.cost") < F.col("cost")))
+        pick = lambda name: F.when(better, F.col(f"c.{name}")).otherwise(F.col(name)).alias(name)  # noqa: B023,E731
+        state = stored(state.drop("fresh").join(least, ["source", "node"], "full").select("source", "node", pick("cost"), pick("previous"), better.alias("fresh")))
+        if state.where("fresh").isEmpty():
+            return state.drop("fresh")
     raise RuntimeError(f"costs still fall after {rounds} rounds")
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, rounds: int = 200, small: int = SMALL_GRAPH) -> DataFrame:
     """(node, root): the least node that undirected ``links`` (u, v) reach, itself if none.
 
     Labels fall to the least of a node's neighbours and then to the label of the label,
     so rounds grow with the logarithm of the longest path.
     """
     both = stored(links.select("u", "v").union(links.select("v", "u")))
+    if both.count() <= small:
+        own: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while own.setdefault(x, x) != x:
+                x = own[x]
+            return x
+
+        for u, v in both.collect():
+            a, b = root(u), root(v)
+            own[max(a, b)] = min(a, b)
+        kind = nodes.schema["node"].dataType.simpleString()
+        named = nodes.sparkSession.createDataFrame([(x, root(x)) for x in own], f"k {kind}, least {kind}")
+        return nodes.select("node").distinct().join(F.broadcast(named), F.col("node") == F.col("k"), "left").select("node", F.coalesce("least", "node").alias("root"))
     label = stored(nodes.select("node", F.col("node").alias("root")).distinct())
     for _ in range(rounds):
         heard = both.join(label, F.col("u") == F.col("node")).groupBy("v").agg(F.min("root").alias("heard"))

@@ -58,14 +58,18 @@ def test_unreachable_and_betweenness():
     assert len(kernels.removals([0, 1, 2, 3], 2)) == 3
 
 
-def test_plans_against_kernels(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_plans_against_kernels(spark, small):
     g = random_graph(3, n=12, p=0.25)
     edges = spark.createDataFrame([(a, b, float(w)) for a in g for b, w in g[a].items() if a < b], "u long, v long, weight double")
     nodes = spark.range(12).toDF("node")
-    got = {(r.source, r.node): r.cost for r in graph.distances(edges, nodes.where("node < 3")).collect()}
+    got = {(r.source, r.node): r.cost for r in graph.distances(edges, nodes.where("node < 3"), small=small).collect()}
     want = {(s, t): c for s in range(3) for t in range(12) if (c := kernels.search(g, s, t)[0] if s != t else 0.0) < math.inf}
     assert got == want
-    comp = {r.node: r.root for r in graph.components(nodes, edges).collect()}
+    costs = graph.distances(edges, nodes.where("node = 0"), small=small)
+    routes = graph.paths(costs, costs.where("node <> 0").select("source", F.col("node").alias("target")))
+    assert {r.target: r.cost for r in graph.route_costs(routes, edges).collect()} == {t: c for (s, t), c in want.items() if s == 0 and t != 0}
+    comp = {r.node: r.root for r in graph.components(nodes, edges, small=small).collect()}
     assert all(comp[a] == comp[b] for a in g for b in g[a]) and all(comp[n] == min(k for k in comp if comp[k] == comp[n]) for n in comp)
 
 
