@@ -240,7 +240,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([v], pa.int64()) for v in (start, len(held), n)), pa.array([data], pa.binary())], names=["part", "start", "n_docs", "n_ids", "shard"])
 
         for batch in batches:
-            for some in sliced(batch, 4 << 20):
+            for some in sliced(batch):
                 for doc_id, own in zip(some.column(0).to_pylist(), encoded(some.column(1).to_pylist(), tokenizer)):
                     ids += (own, ending)
                     held.append((doc_id, len(own) + len(ending)))
@@ -252,7 +252,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col
             yield flushed()
         _encoder(tokenizer).forget()
 
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 2500):
         dealt.mapInArrow(run, FILES).write.parquet(path)
 
 
