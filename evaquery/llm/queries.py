@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, pfor, pii, quality, rules, simhash, templates, tokencount
+from . import bpe, decontaminate, langid, oracles, pfor, pii, quality, rules, simhash, templates, tokencount
 from .common import documents
 from .sample import fold
 
@@ -89,4 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": oracles.quality_rules(),
+    "op7_line_templates": oracles.line_templates(),
+}
