@@ -5,16 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What the named layers of a view stand for.
+#: The layers that can be asked for; a group stands for its members.
 LAYERS = {
-    "all": ("general", "transfer", "wall", "object", "boundary", "virtual", "node", "edge"),
-    "cells": ("general", "transfer", "wall", "object"),
-    "navigable": ("general", "transfer"),
-    "graph": ("node", "edge"),
-    "boundaries": ("boundary", "virtual"),
+    "source": ("source",), "general": ("general",), "transfer": ("transfer",), "non_navigable": ("non_navigable",), "object": ("object",),
+    "navigable_boundaries": ("navigable_boundaries",), "non_navigable_boundaries": ("non_navigable_boundaries",), "nodes": ("nodes",), "edges": ("edges",),
+    "cells": ("general", "transfer", "non_navigable", "object"), "boundaries": ("navigable_boundaries", "non_navigable_boundaries"), "dual": ("nodes", "edges"),
+    "all": ("source", "general", "transfer", "non_navigable", "object", "navigable_boundaries", "non_navigable_boundaries", "nodes", "edges"),
+}
+#: Named views, each a list of layers and a graph view.
+PRESETS = {
+    "basic": ("general,transfer", None),
+    "spaces": ("general,transfer,object,non_navigable", None),
+    "navigable-boundaries": ("general,transfer,navigable_boundaries", None),
+    "non-navigable": ("non_navigable,object", None),
+    "overlaps": ("general,transfer,object,non_navigable", None),
+    "graph-base-dual": ("cells", "base_dual"),
+    "graph-space-adjacency": ("general,navigable_boundaries", "space_adjacency"),
+    "graph-space-connectivity": ("general,transfer,navigable_boundaries", "space_connectivity"),
+    "graph-room-adjacency": ("general,transfer,non_navigable", "room_adjacency"),
+    "graph-room-to-room": ("general,transfer", "room_to_room_accessibility"),
+    "graph-room-transfer": ("general,transfer,navigable_boundaries", "space_connectivity"),
+    "graph-transfer-to-transfer": ("general,transfer,navigable_boundaries,non_navigable_boundaries", "transfer_to_transfer"),
+    "graph-door-to-door": ("general,transfer", "door_to_door"),
+    "graph-vertical": ("transfer", "vertical_connectivity"),
+    "graph-multilevel-vertical": ("general,transfer", "vertical_connectivity"),
 }
-#: A view is a set of layers and a graph.
-PRESETS = {"overview": ("all", "base_dual"), "rooms": ("navigable", "room_adjacency"), "doors": ("navigable", "door_to_door"), "walls": ("cells", "base_dual"), "routing": ("graph", "space_connectivity")}
 
 
 def optional_equal(df: DataFrame, **wanted: object) -> DataFrame:
@@ -76,14 +91,46 @@ def without_banned(edges: DataFrame, nodes: DataFrame, needed: str = "Rolling")
 
 
 def layers_of(selection: str) -> set[str]:
-    """The layers that a comma list names, group names expanded; unknown names raise."""
-    known = {x for group in LAYERS.values() for x in group}
+    """The layers that a comma list names, groups expanded; none named means all, unknown names raise."""
     out: set[str] = set()
     for name in filter(None, (x.strip().lower() for x in selection.split(","))):
-        if name not in LAYERS and name not in known:
+        if name not in LAYERS:
             raise ValueError(f"unknown layer {name}")
-        out |= set(LAYERS.get(name, (name,)))
-    return out
+        out |= set(LAYERS[name])
+    return out or set(LAYERS["all"])
+
+
+def preset(name: str) -> tuple[set[str], str | None]:
+    """(layers, graph view) of a named view."""
+    layers, view = PRESETS[name]
+    return layers_of(layers), view
+
+
+def layer_of_cell() -> Column:
+    kind = F.col("navigation_type")
+    return F.when(kind == "GeneralSpace", "general").when(kind == "TransferSpace", "transfer").when(kind == "ObjectSpace", "object").otherwise("non_navigable")
+
+
+def in_layers(cells: DataFrame, selection: str) -> DataFrame:
+    return cells.where(layer_of_cell().isin(*layers_of(selection)))
+
+
+def transfer_is_open() -> Column:
+    """Not closed by default, and of a kind one can pass."""
+    return F.coalesce(F.col("default_traversable"), F.lit(True)) & F.coalesce(F.col("category").isin("Door", "Exit", "Stair", "Ramp", "Elevator"), F.lit(False))
+
+
+def connector_id() -> Column:
+    return F.when(F.col("category").isin("Stair", "Ramp", "Elevator"), F.col("connector_id"))
+
+
+def is_wall_cell() -> Column:
+    return (F.col("navigation_type") == "NonNavigableSpace") & (F.col("function") == "Wall") & F.col("category").isin("WallSegment", "WallJunction")
+
+
+def colliders(walls: DataFrame) -> DataFrame:
+    """One row: how many outer and inner walls there are to collide with."""
+    return walls.agg(F.count_if(F.col("tipo") == "muro_exterior").alias("exterior"), F.count_if(F.col("tipo") == "muro_interior").alias("interior"))
 
 
 def without_closed(edges: DataFrame, door_states: DataFrame) -> DataFrame:

@@ -26,7 +26,16 @@ CONTACT = "level string, a string, b string, is_virtual boolean, ax double, ay d
 WALLS = ("muro_exterior", "muro_interior")
 OPENINGS = {"puerta_simple": "Door", "puerta_doble": "Door", "salida": "Exit", "ventana": "Window", "ventana_practicable": "Window"}
 CONNECTORS = {"stair": "Stair", "ramp": "Ramp", "elevator": "Elevator"}
-DEFAULTS = {"Window": {"defaultTraversable": "false"}, "Stair": {"locomotion": "Walking"}, "Ramp": {"locomotion": "Walking,Rolling"}, "Elevator": {"locomotion": "Walking,Rolling"}}
+#: Attributes that a category has unless it is given others.
+DEFAULTS = {
+    "Window": {"windowType": "fixed", "defaultTraversable": "false", "scenarioControllable": "true", "sillHeightM": "0.9"},
+    "Door": {"defaultTraversable": "true"},
+    "Stair": {"requiresSteps": "true", "wheelchairAccessible": "false"},
+    "Ramp": {"requiresSteps": "false", "wheelchairAccessible": "true", "slope": "0.08"},
+    "Elevator": {"requiresSteps": "false", "wheelchairAccessible": "true"},
+}
+#: What one can use each connector with.
+CONNECTOR_LOCOMOTION = {"Elevator": ("Walking", "Rolling"), "Ramp": ("Walking", "Rolling"), "Stair": ("Walking",)}
 
 
 def is_opening(kind: Column) -> Column:
@@ -35,8 +44,22 @@ def is_opening(kind: Column) -> Column:
 
 def is_transfer(kind: Column, name: Column, klass: Column) -> Column:
     """A space that only leads on: by type, by what its name holds, or by class."""
-    low = F.lower(name)
-    return kind.isin(*OPENINGS, *CONNECTORS, "frontera_virtual") | low.contains("puerta") | low.contains("frontera") | F.coalesce(klass == "TransferSpace", F.lit(False))
+    low = F.lower(F.coalesce(name, F.lit("")))
+    named = low.contains("puerta") | low.contains("salida") | low.contains("ventana") | low.contains("window") | low.contains("frontera")
+    return F.coalesce(kind.isin(*OPENINGS, *CONNECTORS, "frontera_virtual"), F.lit(False)) | named | F.coalesce(klass.isin("TransferSpace", "AnchorSpace"), F.lit(False))
+
+
+def connector_locomotion(kind: Column) -> Column:
+    out = F.array(F.lit("Walking"))
+    for name, allowed in CONNECTOR_LOCOMOTION.items():
+        out = F.when(kind == name, F.array(*map(F.lit, allowed))).otherwise(out)
+    return out
+
+
+def next_level(levels: DataFrame) -> DataFrame:
+    """(id, target): the level above in order, a top level itself."""
+    by = Window.orderBy("order", "id")
+    return levels.select("id", F.coalesce(F.lead("id").over(by), F.col("id")).alias("target"))
 
 
 def is_object(markers: Column) -> Column:

@@ -10,6 +10,7 @@ from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Graph = dict[int, dict[int, float]]
 Place = dict[int, tuple[float, float]]
@@ -156,6 +157,11 @@ def betweenness(graph: Graph, sources: list[int], targets: list[int]) -> dict[in
     return {v: x / ((n - 1) * (n - 2)) if n > 2 else x for v, x in score.items()}
 
 
+def _own(queries: DataFrame, group: str) -> DataFrame:
+    """Queries under column ids of their own, for they may stem from the frame that the edges do."""
+    return queries.select(F.col(group).alias("asked_group"), F.col("start").alias("start"), F.col("goal").alias("goal"))
+
+
 def routes(edges: DataFrame, queries: DataFrame, group: str, algorithm: str = "dijkstra") -> DataFrame:
     """(group, start, goal, cost, path) for ``queries`` (group, start, goal) on the graph of each group.
 
@@ -169,7 +175,7 @@ def routes(edges: DataFrame, queries: DataFrame, group: str, algorithm: str = "d
         return pd.DataFrame([(g, a, b, None if c == math.inf else c, p) for g, a, b, c, p in got], columns=[group, "start", "goal", "cost", "path"])
 
     kind = edges.schema[group].dataType.simpleString()
-    return edges.groupBy(group).cogroup(queries.groupBy(group)).applyInPandas(run, f"{group} {kind}, start long, goal long, cost double, path array<long>")
+    return edges.groupBy(group).cogroup(_own(queries, group).groupBy("asked_group")).applyInPandas(run, f"{group} {kind}, start long, goal long, cost double, path array<long>")
 
 
 def resilience(edges: DataFrame, queries: DataFrame, group: str, tolerance: float = 0.5, k: int = 3) -> DataFrame:
@@ -183,4 +189,4 @@ def resilience(edges: DataFrame, queries: DataFrame, group: str, tolerance: floa
         return pd.DataFrame(out, columns=[group, "start", "goal", "cost", "path", "robustness", "level1", "distinct1", "level2", "distinct2"])
 
     kind = edges.schema[group].dataType.simpleString()
-    return edges.groupBy(group).cogroup(queries.groupBy(group)).applyInPandas(run, f"{group} {kind}, start long, goal long, cost double, path array<long>, robustness int, level1 int, distinct1 int, level2 int, distinct2 int")
+    return edges.groupBy(group).cogroup(_own(queries, group).groupBy("asked_group")).applyInPandas(run, f"{group} {kind}, start long, goal long, cost double, path array<long>, robustness int, level1 int, distinct1 int, level2 int, distinct2 int")

@@ -82,7 +82,8 @@ def test_windows_and_masks(spark):
     c = spark.createDataFrame([(2, 2.0), (3, 8.0)], "node int, c double")
     assert aggregates.geometric_agility(paths, c).first().agility == pytest.approx(4.0)
     assert aggregates.path_scores(paths, c.select("node", (F.col("c") / 10).alias("score"))).first().least == 0.2
-    assert filters.layers_of("graph, virtual") == {"node", "edge", "virtual"}
+    assert filters.layers_of("dual, object") == {"nodes", "edges", "object"} and filters.layers_of("") == set(filters.LAYERS["all"])
+    assert len(filters.LAYERS) == 13 and len(filters.PRESETS) == 15 and filters.preset("graph-vertical") == ({"transfer"}, "vertical_connectivity")
     with pytest.raises(ValueError):
         filters.layers_of("nothing")
     times = spark.createDataFrame([(1, float(t)) for t in range(4)], "node int, t double")
