@@ -32,7 +32,7 @@ from .chunks import Cached
 from .common import arrow_map, texts
 
 BUCKETS = 1 << 15
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 #: The split of the public byte-level vocabularies, and the same within Latin-1,
 #: where letters, numbers and white space can be listed.
 UNICODE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -204,7 +204,7 @@ class Codec:
     def encode(self, texts_: list[str]) -> list[array]:
         lists = list(map(self._split, texts_))
         words = pa.array(chain.from_iterable(lists), pa.string(), size=sum(map(len, lists))).dictionary_encode()
-        values = self.words.values([words.dictionary.to_pylist()])[0]
+        values = self.words.distinct(words.dictionary.to_pylist())
         at = iter(map(values.__getitem__, words.indices.to_pylist()))
         out = []
         for one in lists:

@@ -52,6 +52,23 @@ class Cached:
             self.young |= {p: v for p, v in made.items() if len(p) <= LONGEST_CACHED}
         return got
 
+    def distinct(self, pieces: list[str]) -> list:
+        """The values of pieces that do not repeat; what an Arrow dictionary holds, for one."""
+        got = list(map(self.young.get, pieces))
+        at = [i for i, v in enumerate(got) if v is None]
+        if at:
+            unknown = list(map(pieces.__getitem__, at))
+            made = list(map(self.old.get, unknown))
+            missing = [i for i, v in enumerate(made) if v is None]
+            for i, value in zip(missing, self.encode(list(map(unknown.__getitem__, missing)))):
+                made[i] = value
+            for i, value in zip(at, made):
+                got[i] = value
+            if len(self.young) + len(made) > self.most // 2:
+                self.old, self.young = self.young, {}
+            self.young.update((p, v) for p, v in zip(unknown, made) if len(p) <= LONGEST_CACHED)
+        return got
+
 
 def library_tokenizer(path: str):
     """The tokenizers library's tokenizer of a .json file, on one thread."""

@@ -142,6 +142,7 @@ SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: That split within lower-case Latin-1, where no sign composes and case maps one to one; apostrophes aside.
 _PARTS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _NOT_PLAIN = ("'", "<|")
+MOST_PARTS = 600_000
 
 
 class Encoder:
@@ -156,7 +157,7 @@ class Encoder:
         self.library = library_tokenizer(path)
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.pieces = Cached(lambda p: [self._bytes(e.ids) for e in self.library.encode_batch_fast(p, add_special_tokens=False)])
-        self.parts = Cached(self._parts)
+        self.parts = Cached(self._parts, MOST_PARTS)
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         steps = [x.get("type") for x in (said["normalizer"] or {}).get("normalizers", [])]
@@ -177,7 +178,7 @@ class Encoder:
         lists = list(map(_PARTS.findall, lower))
         parts = pa.array(chain.from_iterable(lists), pa.string(), size=sum(map(len, lists))).dictionary_encode()
         at = parts.indices.to_numpy()
-        values = self.parts.values([parts.dictionary.to_pylist()])[0]
+        values = self.parts.distinct(parts.dictionary.to_pylist())
         sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.kind.itemsize
         ids = np.frombuffer(b"".join(values), dtype=self.kind)
         own = sizes[at]

@@ -33,6 +33,7 @@ def test_cache_keeps_values_when_it_turns_over():
     for _ in range(3):
         for n in range(1, 30):
             assert cached.values([["x" * n, "y"], [], ["x" * n]]) == [[n, 1], [], [n]]
+    assert cached.distinct(["q", "y", "x"]) == [1, 1, 1] and cached.distinct([]) == []
     assert len(cached.young) <= 10 and calls.count("y") == 1
 
 
