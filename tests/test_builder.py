@@ -127,7 +127,7 @@ def test_detection(spark):
 def test_small_rules(spark):
     f = builder.source_features(frame(spark, space("b", sq(0, 0, 1)), space("a", sq(1, 0, 1)))).select("name", "feature").collect()
     assert {tuple(r) for r in f} == {("a", "SF_L00_SPACE_001"), ("b", "SF_L00_SPACE_002")}
-    r = spark.range(1).select(builder.with_defaults(F.lit("Ramp"), F.create_map(F.lit("locomotion"), F.lit("Rolling"))).alias("m"), builder.is_object(F.array(F.lit("Column"))).alias("o"), builder.is_transfer(F.lit("space"), F.lit("Puerta 1"), F.lit(None).cast("string")).alias("t")).first()
-    assert r.m == {"locomotion": "Rolling"} and r.o and r.t
+    r = spark.range(1).select(builder.with_defaults(F.lit("Ramp"), F.create_map(F.lit("slope"), F.lit("0.1"))).alias("m"), builder.is_object(F.array(F.lit("Column"))).alias("o"), builder.is_transfer(F.lit("space"), F.lit("Puerta 1"), F.lit(None).cast("string")).alias("t")).first()
+    assert r.m == {"slope": "0.1", "requiresSteps": "false", "wheelchairAccessible": "true"} and r.o and r.t
     snaps = spark.createDataFrame([(1, "a", "x", False), (2, "b", "y", False), (3, "a", None, True)], "version int, key string, value string, deleted boolean")
     assert {r.key for r in builder.history(snaps, 3).collect()} == {"b"} and builder.history(snaps, 2).count() == 2
