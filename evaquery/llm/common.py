@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shipping import ship
+
 
 def col(name: str) -> Column:
     """A top-level column by its literal name, dots and backticks included."""
@@ -23,6 +25,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
 
     Everything else of ``docs`` is left behind, so columns of any name may ride along.
     """
+    ship(docs.sparkSession)
     return docs.select(col(id_col).cast("bigint").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"), *[col(c).alias(c) for c in more])
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import col, sliced, texts
 
 WORD = re.compile(r"\w+")
@@ -219,6 +220,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns as they are."""
+    ship(docs.sparkSession)
     for block in blocks(items, item_id_col, item_text_col, similarity, recall):
 
         def run(batches: Iterable[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:

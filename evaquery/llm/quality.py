@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import arrow_map, col, sliced, texts
 from .sample import sampled
 
@@ -166,4 +167,5 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", meta_cols: t
                 columns = [part.column(part.schema.names.index(c)).to_pylist() for c in (text_col, *meta_cols)]
                 yield part.filter(pa.array([model.score(t or "", tuple(m)) >= least for t, *m in zip(*columns)], pa.bool_()))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
