@@ -38,18 +38,18 @@ def r05(spark: SparkSession, d: str) -> DataFrame:
     return graph.with_fallback(every(spark, d), n.where(filters.is_exit()), n.where(filters.is_last_resort()))
 
 
-@query("r09_route_costs", sql(f", {SYM}, {REACH} SELECT source, node AS target, CAST(cost AS DOUBLE) AS cost FROM r WHERE source = 0 AND node <> 0", "nodes", "edges", recursive=True))
+@query("r09_route_costs", sql(f", {SYM}, {REACH} SELECT source, node AS target, CAST(cost AS DOUBLE) AS cost FROM r WHERE node <> source", "nodes", "edges", recursive=True))
 def r09(spark: SparkSession, d: str) -> DataFrame:
     e = domain.edges(spark, d)
-    costs = graph.distances(e, domain.nodes(spark, d).where("node = 0"))
-    routes = graph.paths(costs, costs.where("node <> 0").select("source", F.col("node").alias("target")))
+    costs = graph.distances(e, domain.nodes(spark, d))
+    routes = graph.paths(costs, costs.where("node <> source").select("source", F.col("node").alias("target")))
     return graph.route_costs(routes, e).select("source", "target", F.col("cost").cast("double").alias("cost"))
 
 
-@query("r03_r04_kernel_routes", sql(f", {SYM}, {REACH} SELECT g AS grp, source AS start, node AS goal, CAST(cost AS DOUBLE) AS cost FROM r, (VALUES ('dijkstra'), ('astar'), ('yen_ksp')) t(g) WHERE source < 6 AND node IN (7, 19)", "nodes", "edges", recursive=True))
+@query("r03_r04_kernel_routes", sql(f", {SYM}, {REACH} SELECT g AS grp, source AS start, node AS goal, CAST(cost AS DOUBLE) AS cost FROM r, (VALUES ('dijkstra'), ('astar'), ('yen_ksp')) t(g) WHERE node IN (7, 19)", "nodes", "edges", recursive=True))
 def r03(spark: SparkSession, d: str) -> DataFrame:
     e, n, out = domain.edges(spark, d), domain.nodes(spark, d).select("node"), None
-    asked = n.where("node < 6").select(F.col("node").cast("long").alias("start")).crossJoin(n.where("node in (7, 19)").select(F.col("node").cast("long").alias("goal")))
+    asked = n.select(F.col("node").cast("long").alias("start")).crossJoin(n.where("node in (7, 19)").select(F.col("node").cast("long").alias("goal")))
     for name in kernels.ALGORITHMS:
         made = kernels.routes(e.withColumn("grp", F.lit(name)), asked.withColumn("grp", F.lit(name)), "grp", name).select("grp", "start", "goal", "cost")
         out = made if out is None else out.unionByName(made)
@@ -59,7 +59,7 @@ def r03(spark: SparkSession, d: str) -> DataFrame:
 @query("r10_r12_resilience")
 def r10(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d).select("node")
-    asked = n.where("node < 8").select(F.col("node").cast("long").alias("start"), F.lit(19).cast("long").alias("goal"), F.lit("all").alias("grp"))
+    asked = n.select(F.col("node").cast("long").alias("start"), F.lit(19).cast("long").alias("goal"), F.lit("all").alias("grp"))
     return kernels.resilience(domain.edges(spark, d).withColumn("grp", F.lit("all")), asked, "grp")
 
 
@@ -71,9 +71,9 @@ def r17(spark: SparkSession, d: str) -> DataFrame:
     return graph.fire_weights(e, n.where("node % 6 = 1"))
 
 
-@query("r19_reachable", sql(f", {SYM}, r(source, node) AS (SELECT node, node FROM nodes WHERE node < 5 UNION SELECT r.source, s.v FROM r JOIN sym s ON r.node = s.u) SELECT source, count(*) AS n FROM r GROUP BY source", "nodes", "edges", recursive=True))
+@query("r19_reachable", sql(f", {SYM}, r(source, node) AS (SELECT node, node FROM nodes UNION SELECT r.source, s.v FROM r JOIN sym s ON r.node = s.u) SELECT source, count(*) AS n FROM r GROUP BY source", "nodes", "edges", recursive=True))
 def r19(spark: SparkSession, d: str) -> DataFrame:
-    return graph.distances(domain.edges(spark, d), domain.nodes(spark, d).where("node < 5")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return graph.distances(domain.edges(spark, d), domain.nodes(spark, d)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t01_scores_over_time", sql(""", w AS (SELECT node, 10.0 + node AS start, 12.0 AS dur, 0.5 AS low FROM nodes UNION ALL SELECT node, 15.0, 10.0, 0.2 FROM nodes WHERE node % 2 = 0), t AS (SELECT node, t * 4.0 AS t FROM nodes, range(0, 9) r(t)),
