@@ -67,6 +67,22 @@ def stuck(df: DataFrame, key: str, order: str, rows: int = 20, least: float = 0.
     return df.withColumn("moved", moved).where(F.col("moved") < least)
 
 
+def global_row_number(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
+    """Numbers all rows from 1 in an order, without bringing them to one task.
+
+    Rows are range-partitioned, sorted and written with their place in the partition;
+    only the partitions' sizes meet in a window.
+    """
+    from ..sources.storage import stored
+
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at") + 1).drop("__part", "__at", "__start")
+
+
 def hysteresis(df: DataFrame, key: str, order: str, value: str, high: float, low: float) -> DataFrame:
     """Adds ``active``: on at ``high`` or more, off under ``low``, else as before; off at the start."""
     signal = F.when(F.col(value) >= high, True).when(F.col(value) < low, False)

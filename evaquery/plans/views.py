@@ -7,11 +7,13 @@ Cells are (cell, level, navigation_type, category, traversable, x, y, ring), bou
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import polygon as P
 from ..operators.aggregates import merged_contacts
+from ..operators.windows import global_row_number
+from ..sources.storage import stored
 from .graph import components
 
 DOORS = ("Door", "Exit")
@@ -41,8 +43,9 @@ def _direct(cells: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def numbered(edges: DataFrame, prefix: str) -> DataFrame:
-    """Edges with ids in order of their ends; a view of one building is numbered as one."""
-    return edges.withColumn("edge", F.concat(F.lit(f"{prefix}_"), F.lpad(F.row_number().over(Window.orderBy("u", "v")).cast("string"), 3, "0")))
+    """Edges with ids in order of their ends."""
+    text = F.col("n").cast("string")
+    return global_row_number(edges, "u", "v").withColumn("edge", F.concat(F.lit(f"{prefix}_"), F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text))).drop("n")
 
 
 def base_dual(cells: DataFrame, bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +60,7 @@ def space_adjacency(cells: DataFrame, bounds: DataFrame) -> DataFrame:
 def rooms(cells: DataFrame, bounds: DataFrame) -> DataFrame:
     """(cell, room): general cells merged through virtual boundaries; a room is named by its least cell."""
     g = general(cells).select("cell")
-    code = g.select("cell", F.row_number().over(Window.orderBy("cell")).cast("long").alias("node"))
+    code = stored(global_row_number(g, "cell", name="node"))
     link = bounds.where("is_virtual").join(code.select(F.col("cell").alias("a"), F.col("node").alias("u")), "a").join(code.select(F.col("cell").alias("b"), F.col("node").alias("v")), "b")
     root = components(code, link).join(code, "node").select("cell", "root")
     return root.join(code.select(F.col("node").alias("root"), F.col("cell").alias("room")), "root").select("cell", "room")

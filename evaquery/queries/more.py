@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars
-from ..operators import aggregates, filters
+from ..operators import aggregates, filters, windows
 from ..plans import graph
 from ..registry import query
 from ..sources import domain
@@ -60,8 +60,7 @@ def j23(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d)
     a, b = n.select("level", F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), n.select("level", F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     pairs = a.join(b, "level").where("a < b")
-    n_ = F.row_number().over(Window.orderBy("a", "b"))  # the pairs of one building
-    return pairs.select(F.concat(F.lit("EG-"), F.lpad(n_.cast("string"), 4, "0")).alias("id"), "a", "b", F.round(G.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 6).alias("cost"))
+    return windows.global_row_number(pairs, "a", "b").select(F.concat(F.lit("EG-"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("id"), "a", "b", F.round(G.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 6).alias("cost"))
 
 
 @query("j26_score_default", sql("SELECT c.cell_id, coalesce(n.score, 1.0) AS score FROM cells c LEFT JOIN nodes n ON c.cell % 60 = n.node", "cells", "nodes"))
