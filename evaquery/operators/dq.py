@@ -57,3 +57,13 @@ def chain_faults(tiles: DataFrame) -> DataFrame:
     step = F.abs(F.col("x") - F.lag("x").over(by)) + F.abs(F.col("y") - F.lag("y").over(by))
     seen = F.count(F.lit(1)).over(Window.partitionBy("chain", "x", "y"))
     return tiles.select("chain", "pos", F.when(seen > 1, "repeated").when(step != 1, "gap").alias("fault")).where("fault is not null")
+
+
+def opening_faults(cells: DataFrame, bounds: DataFrame, least: float = 0.05) -> DataFrame:
+    """(rule, key): doors that do not lead from one space to one other, windows that belong to none."""
+    touch = bounds.where(F.col("length") >= least) if "length" in bounds.columns else bounds
+    sides = touch.select(F.col("a").alias("via"), F.col("b").alias("cell")).union(touch.select(F.col("b").alias("via"), F.col("a").alias("cell")))
+    spaces = cells.where("navigation_type = 'GeneralSpace'").select("cell")
+    n = sides.join(spaces, "cell", "left_semi").groupBy("via").agg(F.countDistinct("cell").alias("n"))
+    own = cells.where("category in ('Door', 'Window')").join(n, F.col("cell") == F.col("via"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return breach(own, "door without two spaces", "cell", (F.col("category") == "Door") & (F.col("n") != 2)).unionByName(breach(own, "window without a space", "cell", (F.col("category") == "Window") & (F.col("n") < 1)))

@@ -126,6 +126,29 @@ def evacuation_centrality(graph: Graph, start: int, goal: int, tolerance: float)
     return len(one), len(set(one)), len(two), len(set(two))
 
 
+def edge_disjoint(graph: Graph, start: int, goal: int) -> int:
+    """How many routes share no edge: augmenting paths over edges of capacity one."""
+    spare = {(a, b): 1 for a in graph for b in graph[a]}
+    n = 0
+    while start != goal:
+        back, queue = {start: start}, [start]
+        while queue and goal not in back:
+            node = queue.pop(0)
+            for other in sorted(graph.get(node, {})):
+                if other not in back and spare[node, other] > 0:
+                    back[other] = node
+                    queue.append(other)
+        if goal not in back:
+            break
+        at = goal
+        while at != start:
+            spare[back[at], at] -= 1
+            spare[at, back[at]] += 1
+            at = back[at]
+        n += 1
+    return n
+
+
 def betweenness(graph: Graph, sources: list[int], targets: list[int]) -> dict[int, float]:
     """Share of cheapest routes from sources to targets that pass through each node, over n (n - 1)."""
     score = dict.fromkeys(graph, 0.0)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evaquery.functions import polygon as P
+from evaquery.operators import dq
 from evaquery.plans import builder, views
 
 
@@ -91,6 +92,11 @@ def test_wall_and_modes(spark):
         builder.dual(cells, bounds, "other")
 
 
+def test_opening_rules(spark):
+    cells, bounds, _ = built(spark, space("A", sq(0, 0, 2)), line("puerta_simple", "D", 2.1, 0.5, 2.1, 1.5, 0.2), line("ventana", "W", -5, 0, -5, 1, 0.2))
+    assert {r.rule for r in dq.opening_faults(cells, bounds).collect()} == {"door without two spaces", "window without a space"}
+
+
 def test_ramp_joins_rooms(spark):
     cells, bounds, _ = built(spark, space("A", sq(0, 0, 1)), space("B", sq(3, 0, 1)), ("ramp", "R", sq(1, 0, 2, 1), None, None, None))
     assert "connector" in views.room_to_room(cells, bounds).first().kinds

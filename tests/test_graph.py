@@ -1,6 +1,6 @@
 import math
 import random
-from itertools import permutations
+from itertools import combinations, permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +50,14 @@ def test_kernels_against_all_paths(seed):
         assert n1 == kernels.robustness(g, path, 0.5) and d1 <= n1 and d2 <= n2
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_edge_disjoint_routes(seed):
+    g = random_graph(seed)
+    sides = [{0, *x} for k in range(6) for x in combinations(range(1, 6), k)]
+    cut = min(sum(b not in side for a in side for b in g.get(a, {})) for side in sides)
+    assert kernels.edge_disjoint(g, 0, 6) == cut
+
+
 def test_unreachable_and_betweenness():
     g = {0: {1: 1.0}, 1: {0: 1.0, 2: 1.0}, 2: {1: 1.0}, 9: {}}
     assert kernels.search(g, 0, 9) == (math.inf, []) and kernels.evacuation_centrality(g, 0, 9, 0.5) == (0, 0, 0, 0)
