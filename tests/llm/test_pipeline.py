@@ -89,3 +89,17 @@ def test_representatives_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b"), (None, "a b"), (3, None), (4, ""), (7, "z z z")], "doc_id bigint, text string")
     assert sorted(str(r.doc_id) for r in simhash.representatives(df).collect()) == ["1", "3", "7", "None"]
     assert simhash.representatives(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rows", ["none", "odd"])
+def test_stages_on_odd_tables(spark, rows):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    odd = [(None, None, None, None, None), (1, None, "en", "s", 5), (1, None, "en", "s", 5), (2, "", None, None, 0), (3, "plain words " * 9000, "en", "s", None), (None, "some words without an id", "xx", "s", 7)]
+    docs = spark.createDataFrame(odd if rows == "odd" else [], schema).withColumns({"row": F.lit(1), "fp": F.lit("x")})
+    for name, stage in pipeline.STAGES:
+        made = stage(spark, docs, SF)
+        got = made.collect()
+        assert len(got) <= docs.count() and (rows == "odd" or not got)
+        if name != "byte_bpe":
+            assert made.columns == docs.columns
+    assert len(got) == len(odd) * (rows == "odd")
