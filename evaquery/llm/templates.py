@@ -3,7 +3,7 @@
 Lines are parsed as log messages are: routed by their number of tokens and their
 leading tokens to a leaf of a tree of fixed depth. Variable fields become a wildcard in
 two ways: tokens that hold a digit, an @ or :// always do, and in a leaf whose lines
-agree on most places, so do the places on which they differ. A template that occurs
+agree on most tokens, so do the tokens on which they differ. A template that occurs
 in different documents is recurring; its first line stays and all others are dropped.
 """
 
@@ -20,10 +20,10 @@ from .rules import SPACE, SPACES
 
 VARIABLE = "(?<!\\S)(?=\\S*?(?:[0-9@]|://))\\S+"
 WILDCARD = "<*>"
-#: Places that a leaf compares: tokens of lines up to this length, runs of tokens in longer ones.
+#: The runs that the SQL of ``op7`` cuts a line into; all tokens are compared here.
 PLACES = 16
-#: Generalised leaves, at 9 bytes each, are broadcast up to this number and joined by shuffle beyond.
-BROADCAST_LEAVES = 500_000
+#: Mixed leaves, at 8 bytes each, and generalised templates, at 32, are broadcast up to this number and joined by shuffle beyond.
+BROADCAST_ROWS = 500_000
 _ID, _ROW, _DROP = "__line_dedup_id", "__line_dedup_row", "__line_dedup_drop"
 
 
@@ -35,12 +35,12 @@ def _occurrences(text: Column, of: str) -> Column:
     return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(of), F.lit("")))) / len(of)).cast("int")
 
 
-def parsed(keyed: DataFrame, depth: int) -> DataFrame:
-    """(id, row, pos, n, constant, leaf, template, p0 ... p3): the lines that have a token.
+def masked_lines(keyed: DataFrame, depth: int) -> DataFrame:
+    """(id, row, pos, tokens, n, constant, leaf, template): the lines, their variable tokens as wildcards.
 
     leaf is the path through the tree, token count then leading tokens; constant counts
-    the tokens that are no wildcard; p0 to p3 hold 16 bits of the hash of each place.
-    Lines are rewritten only if they hold what there is to rewrite.
+    the tokens that are no wildcard. Lines are rewritten only if they hold what there is
+    to rewrite.
     """
     bare = keyed.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "row", "pos", F.trim("line", F.lit(SPACES)).alias("bare"))
     uneven = F.contains("bare", F.lit("  ")) | reduce(or_, [F.contains("bare", F.lit(c)) for c in SPACES if c not in " \n"])
@@ -48,42 +48,50 @@ def parsed(keyed: DataFrame, depth: int) -> DataFrame:
     fields = F.col("plain").rlike("[0-9@:]")
     masked = plain.select("id", "row", "pos", F.when(fields, F.regexp_replace("plain", VARIABLE, WILDCARD)).otherwise(F.col("plain")).alias("masked"))
     cut = masked.select("id", "row", "pos", "masked", F.split("masked", " ").alias("tokens"))
-    sized = cut.select("*", F.size("tokens").alias("n"), F.ceil(F.size("tokens") / PLACES).cast("int").alias("run"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.pmod(F.hash(F.slice("tokens", i * F.col("run") + 1, F.col("run"))), F.lit(1 << 16)).cast("bigint"))
-    hashed = sized.select("*", places.alias("places"))
-    packed = [sum(F.shiftleft(F.get("places", F.lit(4 * i + k)), 16 * k) for k in range(4)).alias(f"p{i}") for i in range(4)]
-    constant = (F.col("n") - _occurrences(F.col("masked"), WILDCARD)).alias("constant")
-    return hashed.select("id", "row", "pos", "n", constant, F.xxhash64("n", F.slice("tokens", 1, depth)).alias("leaf"), _digest(F.col("masked")).alias("template"), *packed)
+    constant = (F.size("tokens") - _occurrences(F.col("masked"), WILDCARD)).alias("constant")
+    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf")
+    return cut.select("id", "row", "pos", "tokens", F.size("tokens").alias("n"), constant, leaf, _digest(F.col("masked")).alias("template"))
 
 
-def generalised_leaves(lines: DataFrame, similarity: float) -> DataFrame:
-    """Leaves whose lines differ, yet agree on at least ``similarity`` of their places.
+def counted(lines: DataFrame, least_tokens: int) -> DataFrame:
+    """The lines that are compared: ``least_tokens`` constant tokens or more."""
+    return lines.where(F.col("constant") >= least_tokens)
 
-    Lines agree on a place if the conjunction and the disjunction of its bits are equal.
+
+def generalised_leaves(tokens: DataFrame, similarity: float) -> DataFrame:
+    """(template, key) of the leaves whose templates, all of them, agree on ``similarity`` of their tokens.
+
+    ``tokens`` has a row (leaf, n, template, tokens) for each template of a mixed leaf.
     """
-    seen = lines.groupBy("leaf").agg(F.min("n").alias("n"), *[f(f"p{i}").alias(f"{name}{i}") for i in range(4) for name, f in (("a", F.bit_and), ("b", F.bit_or))])
-    used = F.ceil(F.col("n") / F.ceil(F.col("n") / PLACES))
-    unlike = [F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")) for i in range(4)]
-    differ = sum((F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF)) != 0).cast("int") for x in unlike for k in range(4))
-    seen = seen.select("leaf", used.alias("used"), differ.alias("differ"))
-    return seen.where((F.col("differ") > 0) & (F.col("used") - F.col("differ") >= similarity * F.col("used"))).select("leaf", F.lit(True).alias("general"))
+    at = tokens.select("leaf", "n", F.posexplode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("place", "t"))
+    same = at.groupBy("leaf", "n", "place").agg((F.min("t") == F.max("t")).cast("int").alias("same"))
+    general = same.groupBy("leaf", "n").agg(F.sum("same").alias("same")).where(F.col("same") >= similarity * F.col("n"))
+    return tokens.join(general.select("leaf"), "leaf", "left_semi").select("template", _digest(F.col("leaf").cast("string")).alias("key"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> DataFrame:
-    """(id, row, drop array<int>): line numbers to drop, for the documents that have any."""
-    keyed = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    lines = stored(parsed(keyed.withColumn("row", F.xxhash64("text")), depth)).where(F.col("constant") >= least_tokens)
-    general = stored(generalised_leaves(lines, similarity))
-    if general.count() <= BROADCAST_LEAVES:
-        general = F.broadcast(general)
-    thin = lines.select("id", "row", "pos", "leaf", "template").join(general, "leaf", "left")
-    thin = thin.select("id", "row", "pos", F.when(F.col("general"), _digest(F.col("leaf").cast("string"))).otherwise(F.col("template")).alias("key"))
+    """(id, row, drop array<int>): line numbers to drop, for the documents that have any.
+
+    Only leaves that hold different templates are read a second time, with their tokens.
+    """
+    keyed = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
+    lines = stored(counted(masked_lines(keyed, depth), least_tokens).select("id", "row", "pos", "leaf", "template"))
+    mixed = stored(lines.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).where("a <> b").select("leaf"))
+    again = counted(masked_lines(keyed, depth), least_tokens).join(_small(mixed), "leaf", "left_semi")
+    tokens = stored(again.groupBy("leaf", "n", "template").agg(F.first("tokens").alias("tokens")))
+    general = stored(generalised_leaves(tokens, similarity))
+    thin = lines.join(_small(general), "template", "left").select("id", "row", "pos", F.coalesce("key", "template").alias("key"))
     place = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("pos"))
     found = thin.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min(place).alias("first")).where("a <> b").select("key", "first")
     extra = thin.join(found, "key").where(place != F.col("first"))
     return extra.groupBy("id", "row").agg(F.array_distinct(F.collect_list("pos")).alias("drop"))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if it has no more rows than the limit."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _with_drops(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> DataFrame:
     """``docs`` and, for each row, the numbers of the lines to drop (null: none)."""
     drops = recurring_lines(docs, id_col, text_col, depth, least_tokens, similarity)
