@@ -2,8 +2,8 @@
 
 Lines are parsed as log messages are: routed by their number of tokens and their
 leading tokens to a leaf of a tree of fixed depth. Variable fields become a wildcard in
-two ways: tokens that hold a digit, an @ or :// always do, and in a leaf whose lines
-agree on most tokens, so do the tokens on which they differ. A template that occurs
+two ways: tokens that hold a digit, an @ or :// always do, and within a leaf, lines that
+agree with another one on most tokens are the same template. A template that occurs
 in different documents is recurring; its first line stays and all others are dropped.
 """
 
@@ -22,7 +22,7 @@ VARIABLE = "(?<!\\S)(?=\\S*?(?:[0-9@]|://))\\S+"
 WILDCARD = "<*>"
 #: The runs that the SQL of ``op7`` cuts a line into; all tokens are compared here.
 PLACES = 16
-#: Mixed leaves, at 8 bytes each, and generalised templates, at 32, are broadcast up to this number and joined by shuffle beyond.
+#: Mixed leaves, at 8 bytes each, and templates that join another, at 32, are broadcast up to this number and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 _ID, _ROW, _DROP = "__line_dedup_id", "__line_dedup_row", "__line_dedup_drop"
 
@@ -58,15 +58,24 @@ def counted(lines: DataFrame, least_tokens: int) -> DataFrame:
     return lines.where(F.col("constant") >= least_tokens)
 
 
-def generalised_leaves(tokens: DataFrame, similarity: float) -> DataFrame:
-    """(template, key) of the leaves whose templates, all of them, agree on ``similarity`` of their tokens.
+def template_groups(tokens: DataFrame, similarity: float) -> DataFrame:
+    """(template, key): templates that join another one of their leaf, and that one's digest.
 
-    ``tokens`` has a row (leaf, n, template, tokens) for each template of a mixed leaf.
+    ``tokens`` has a row (leaf, template, first, tokens) for each template of a mixed leaf.
+    In the order of their first places a template leads a group if it agrees on less than
+    ``similarity`` of its tokens with each leader before it; the others join the leader that
+    they agree with most, the first on ties. What comes later changes no group before it.
+    A task holds the templates of one leaf at a time, at 8 bytes a token.
     """
-    at = tokens.select("leaf", "n", F.posexplode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("place", "t"))
-    same = at.groupBy("leaf", "n", "place").agg((F.min("t") == F.max("t")).cast("int").alias("same"))
-    general = same.groupBy("leaf", "n").agg(F.sum("same").alias("same")).where(F.col("same") >= similarity * F.col("n"))
-    return tokens.join(general.select("leaf"), "leaf", "left_semi").select("template", _digest(F.col("leaf").cast("string")).alias("key"))
+    own = tokens.select("leaf", F.struct("first", "template", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")).alias("t"))
+    leaves = own.groupBy("leaf").agg(F.array_sort(F.collect_list("t")).alias("all"))
+    agree = lambda a, b: F.aggregate(F.zip_with(a["tokens"], b["tokens"], lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    alike = lambda a, b: agree(a, b) >= similarity * F.size(a["tokens"])
+    lead = F.aggregate("all", F.slice("all", 1, 0), lambda found, t: F.when(F.exists(found, lambda f: alike(f, t)), found).otherwise(F.concat(found, F.array(t))))
+    led = leaves.select("all", lead.alias("lead")).where(F.size("lead") < F.size("all"))
+    best = lambda t: F.array_min(F.transform("lead", lambda f: F.struct((-agree(f, t)).alias("n"), f["first"].alias("first"), f["template"].alias("key"))))["key"]
+    joined = led.select(F.inline(F.transform("all", lambda t: F.struct(t["template"].alias("template"), best(t).alias("key")))))
+    return joined.where("template <> key")
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> DataFrame:
@@ -78,10 +87,10 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, lea
     lines = stored(counted(masked_lines(keyed, depth), least_tokens).select("id", "row", "pos", "leaf", "template"))
     mixed = stored(lines.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).where("a <> b").select("leaf"))
     again = counted(masked_lines(keyed, depth), least_tokens).join(_small(mixed), "leaf", "left_semi")
-    tokens = stored(again.groupBy("leaf", "n", "template").agg(F.first("tokens").alias("tokens")))
-    general = stored(generalised_leaves(tokens, similarity))
-    thin = lines.join(_small(general), "template", "left").select("id", "row", "pos", F.coalesce("key", "template").alias("key"))
     place = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("pos"))
+    tokens = again.groupBy("leaf", "template").agg(F.min(place).alias("first"), F.first("tokens").alias("tokens"))
+    groups = stored(template_groups(tokens, similarity))
+    thin = lines.join(_small(groups), "template", "left").select("id", "row", "pos", F.coalesce("key", "template").alias("key"))
     found = thin.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min(place).alias("first")).where("a <> b").select("key", "first")
     extra = thin.join(found, "key").where(place != F.col("first"))
     return extra.groupBy("id", "row").agg(F.array_distinct(F.collect_list("pos")).alias("drop"))

@@ -1,4 +1,4 @@
-"""op7 against a brute-force version that compares lines token by token."""
+"""op7 compares lines token by token, in groups within a leaf."""
 
 from evaquery.llm import templates
 from evaquery.llm.queries import op7_line_templates
@@ -20,5 +20,11 @@ def test_long_lines_agree_by_token(spark):
     assert dropped(spark, far) == [0, 0]
 
 
+def test_an_unlike_line_undoes_no_template(spark):
+    log = ["job in queue was started by user %s on the main host" % x for x in ("anna", "bert", "carl")]
+    other = ["job in queue gives no reason to wait for all other things", "job in queue gives no reason to wait for all many things"]
+    assert dropped(spark, [log[0], other[0], log[1], "job in queue whose name is not any that we all know", log[2], other[1]]) == [0, 0, 1, 0, 1, 1]
+
+
 def test_all_lines_of_the_table(spark):
     assert sum(r.n_dropped for r in op7_line_templates(spark, SF).collect()) == 919
