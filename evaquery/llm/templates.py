@@ -54,8 +54,8 @@ def masked_lines(keyed: DataFrame, depth: int) -> DataFrame:
 
 
 def counted(lines: DataFrame, least_tokens: int) -> DataFrame:
-    """The lines that are compared: ``least_tokens`` constant tokens or more."""
-    return lines.where(F.col("constant") >= least_tokens)
+    """The lines that are compared: ``least_tokens`` tokens or more, not all of them wildcards."""
+    return lines.where((F.col("n") >= least_tokens) & (F.col("constant") > 0))
 
 
 def template_groups(tokens: DataFrame, similarity: float) -> DataFrame:
@@ -117,7 +117,7 @@ def _cleaned(text: Column) -> Column:
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_tokens: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, their texts without recurring template lines.
 
-    A line counts from ``least_tokens`` constant tokens on. A template recurs if it occurs in two
+    A line counts from ``least_tokens`` tokens on, wildcards included, unless all are wildcards. A template recurs if it occurs in two
     different texts; exact copies of a document are one text, so they lose no line to
     each other and are left to near-duplicate removal. Of a recurring template the line
     with the least (doc_id, text hash, line number) stays, null ids last, and every

@@ -26,5 +26,10 @@ def test_an_unlike_line_undoes_no_template(spark):
     assert dropped(spark, [log[0], other[0], log[1], "job in queue whose name is not any that we all know", log[2], other[1]]) == [0, 0, 1, 0, 1, 1]
 
 
+def test_wildcards_count_as_tokens(spark):
+    texts = ["Licensed under CC BY-NC 4.0.\nown alpha", "Licensed under CC BY-NC 4.0.\nown beta", "Licensed under CC BY-NC 4.1.", "1 2 3 4 5", "1 2 3 4 6", "one two three 4"]
+    assert dropped(spark, texts + ["one two three 4\n"]) == [0, 1, 1, 0, 0, 0, 0]
+
+
 def test_all_lines_of_the_table(spark):
-    assert sum(r.n_dropped for r in op7_line_templates(spark, SF).collect()) == 919
+    assert sum(r.n_dropped for r in op7_line_templates(spark, SF).collect()) == 922
