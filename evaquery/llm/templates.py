@@ -82,13 +82,15 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, lea
     """(id, row, drop array<int>): line numbers to drop, for the documents that have any.
 
     Only leaves that hold different templates are read a second time, with their tokens.
+    Lines are filtered after what is stored or aggregated: before, the filter would be
+    pushed down and every line be rewritten once more for it.
     """
     keyed = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    lines = stored(counted(masked_lines(keyed, depth), least_tokens).select("id", "row", "pos", "leaf", "template"))
+    lines = counted(stored(masked_lines(keyed, depth).drop("tokens")), least_tokens)
     mixed = stored(lines.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).where("a <> b").select("leaf"))
-    again = counted(masked_lines(keyed, depth), least_tokens).join(_small(mixed), "leaf", "left_semi")
+    again = masked_lines(keyed, depth).join(_small(mixed), "leaf", "left_semi")
     place = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("pos"))
-    tokens = again.groupBy("leaf", "template").agg(F.min(place).alias("first"), F.first("tokens").alias("tokens"))
+    tokens = counted(again.groupBy("leaf", "template").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("tokens", "n", "constant")]), least_tokens)
     groups = stored(template_groups(tokens, similarity))
     thin = lines.join(_small(groups), "template", "left").select("id", "row", "pos", F.coalesce("key", "template").alias("key"))
     found = thin.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min(place).alias("first")).where("a <> b").select("key", "first")
