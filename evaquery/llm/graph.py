@@ -9,7 +9,7 @@ from .common import stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node bigint, root bigint) for every end of ``links`` (a bigint, b bigint).
+    """(node, root) for every end of ``links`` (a, b), bigint or binary.
 
     Each round every node points to its neighbour of least random rank (the rank is a
     hash of node and round) unless its own rank is less; links are rewritten to the

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rules, templates
+from . import rules
 
 
 def _list(words: list[str]) -> str:
@@ -13,16 +13,18 @@ TOKENS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+
 
 
 def line_templates(depth: int = 3, least: int = 5, similarity: float = 0.8) -> str:
-    """``op7``: templates by token count and leading tokens, leaves that agree generalised, later lines dropped."""
+    """``op7``: templates by token count and leading tokens, alike ones of a leaf connected, later lines dropped."""
     return rf"""
-WITH l AS (SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+WITH RECURSIVE l AS (SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
 t AS (SELECT *, list_transform({TOKENS.format('line')}, lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS tok FROM l),
-k AS (SELECT *, len(tok) AS n, array_to_string(tok, ' ') AS template, len(tok) || ' ' || array_to_string(tok[1:{depth}], ' ') AS leaf, (len(tok) + {templates.PLACES - 1}) // {templates.PLACES} AS run
- FROM t WHERE len(tok) - len(list_filter(tok, lambda x: x = '<*>')) >= {least}),
-p AS (SELECT leaf, unnest(range(0, n, run)) AS place, unnest(list_transform(range(0, n, run), lambda i: array_to_string(tok[i + 1:i + run], ' '))) AS part FROM (SELECT DISTINCT leaf, n, run, tok FROM k)),
-s AS (SELECT leaf, place, count(DISTINCT part) = 1 AS same FROM p GROUP BY 1, 2),
-g AS (SELECT leaf FROM s GROUP BY leaf HAVING count(*) FILTER (WHERE same) >= {similarity} * count(*) AND count(*) FILTER (WHERE NOT same) > 0),
-e AS (SELECT k.doc_id, k.text, k.pos, CASE WHEN g.leaf IS NULL THEN 'line ' || k.template ELSE 'leaf ' || k.leaf END AS key FROM k LEFT JOIN g USING (leaf)),
+k AS MATERIALIZED (SELECT *, len(tok) AS n, array_to_string(tok, ' ') AS template, len(tok) || ' ' || array_to_string(tok[1:{depth}], ' ') AS leaf FROM t
+ WHERE len(tok) >= {least} AND len(list_filter(tok, lambda x: x <> '<*>')) > 0),
+u AS MATERIALIZED (SELECT DISTINCT leaf, n, tok, template FROM k),
+p AS MATERIALIZED (SELECT a.template AS a, b.template AS b FROM u a JOIN u b ON a.leaf = b.leaf AND a.template <> b.template
+ AND len(list_filter(list_zip(a.tok, b.tok), lambda z: z[1] <> z[2])) <= floor((1 - {similarity}) * a.n + 1e-9)),
+r(template, root) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.template),
+g AS (SELECT template, min(root) AS key FROM r GROUP BY template),
+e AS (SELECT k.doc_id, k.text, k.pos, coalesce(g.key, k.template) AS key FROM k LEFT JOIN g USING (template)),
 f AS (SELECT key, min((doc_id, pos)) AS first FROM e GROUP BY key HAVING count(DISTINCT text) > 1),
 d AS (SELECT DISTINCT e.doc_id, e.pos FROM e JOIN f USING (key) WHERE (e.doc_id, e.pos) <> f.first)
 SELECT l.doc_id, count(*) AS n_lines, count(d.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE d.pos IS NULL), '') AS text

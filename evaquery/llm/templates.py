@@ -3,8 +3,9 @@
 Lines are parsed as log messages are: routed by their number of tokens and their
 leading tokens to a leaf of a tree of fixed depth. Variable fields become a wildcard in
 two ways: tokens that hold a digit, an @ or :// always do, and within a leaf, lines that
-agree with another one on most tokens are the same template. A template that occurs
-in different documents is recurring; its first line stays and all others are dropped.
+agree on most tokens are of one template, and so is what such lines connect. Further
+lines only ever add to a template. One that occurs in different documents is recurring;
+its first line stays and all others are dropped.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, stored
+from .graph import connected_components
 from .rules import SPACE, SPACES
 
 VARIABLE = "(?<!\\S)(?=\\S*?(?:[0-9@]|://))\\S+"
 WILDCARD = "<*>"
-#: The runs that the SQL of ``op7`` cuts a line into; all tokens are compared here.
-PLACES = 16
-#: Mixed leaves, at 8 bytes each, and templates that join another, at 32, are broadcast up to this number and joined by shuffle beyond.
-BROADCAST_ROWS = 500_000
+#: Tables of keys and digests, at 100 bytes a row or less, are broadcast up to this number of rows and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
+#: A branch of the tree is compared in one row up to this number of templates and split beyond.
+ROW_GROUP = 32
 _ID, _ROW, _DROP = "__line_dedup_id", "__line_dedup_row", "__line_dedup_drop"
 
 
@@ -58,30 +60,76 @@ def counted(lines: DataFrame, least_tokens: int) -> DataFrame:
     return lines.where((F.col("n") >= least_tokens) & (F.col("constant") > 0))
 
 
-def template_groups(tokens: DataFrame, similarity: float) -> DataFrame:
-    """(template, key): templates that join another one of their leaf, and that one's digest.
+def _alike(a: Column, b: Column, edits: Column) -> Column:
+    """Whether two token arrays of one length differ in at most ``edits`` places."""
+    unlike = F.zip_with(a, b, lambda x, y: (x != y).cast("int"))
+    return F.aggregate(unlike, F.lit(0), lambda n, x: n + x) <= edits
 
-    ``tokens`` has a row (leaf, template, first, tokens) for each template of a mixed leaf.
-    In the order of their first places a template leads a group if it agrees on less than
-    ``similarity`` of its tokens with each leader before it; the others join the leader that
-    they agree with most, the first on ties. What comes later changes no group before it.
-    A task holds the templates of one leaf at a time, at 8 bytes a token.
+
+def _branches(members: DataFrame) -> DataFrame:
+    """The members, once for each branch below their key: the places that are still open
+    are cut into one piece more than may differ, and a branch fixes the tokens of one piece.
+
+    Two alike templates of a key share a branch, since one piece holds none of their
+    differences. With no more open places than may differ there is one branch, of all.
+    """
+    size, cuts = F.size("open"), F.col("edits") + 1
+    at = lambda i: F.floor(size * i / cuts).cast("int")
+    piece = lambda i: F.slice("open", at(i) + 1, at(i + 1) - at(i))
+    fixed = lambda i: F.struct(F.xxhash64("key", i, F.transform(piece(i), lambda p: F.get("tokens", p))).alias("key"), F.array_except("open", piece(i)).alias("open"))
+    cut = F.when(size > F.col("edits"), F.transform(F.sequence(F.lit(0), F.col("edits")), fixed)).otherwise(F.array(F.struct(F.col("key"), F.col("open"))))
+    return members.select("template", "tokens", "edits", F.inline(cut))
+
+
+def _linked(groups: DataFrame) -> DataFrame:
+    """(a, b): links that connect the alike members of each small group, each to the least it is connected to."""
+    own = groups.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("template", "tokens", "edits", F.col("template").alias("label")))).alias("all"))
+
+    def joined(done: Column, t: Column) -> Column:
+        met = F.transform(F.filter(done, lambda f: _alike(f["tokens"], t["tokens"], t["edits"])), lambda f: f["label"])
+        label = F.coalesce(F.array_min(met), t["template"])
+        put = lambda f, to: F.struct(f["template"].alias("template"), f["tokens"].alias("tokens"), f["edits"].alias("edits"), to.alias("label"))
+        return F.concat(F.transform(done, lambda f: put(f, F.when(F.array_contains(met, f["label"]), label).otherwise(f["label"]))), F.array(put(t, label)))
+
+    ends = own.select(F.inline(F.aggregate("all", F.slice("all", 1, 0), joined)))
+    return ends.where("label <> template").select(F.col("template").alias("a"), F.col("label").alias("b"))
+
+
+def template_links(tokens: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(a, b): links between template digests that connect all that are alike in a leaf.
+
+    ``tokens`` has a row (leaf, template, tokens) for each template of a mixed leaf; two
+    are alike if they agree on ``similarity`` of their tokens. The tree goes on below the
+    leaf, in branches that two alike templates cannot all miss. A branch of at most
+    ROW_GROUP templates is compared in one row. In a larger one all are compared with the
+    least; if some are unlike it, the branch is split by further pieces and nothing else.
+    Every level leaves fewer places open, and when no more are than may differ, all are alike.
     """
-    own = tokens.select("leaf", F.struct("first", "template", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")).alias("t"))
-    leaves = own.groupBy("leaf").agg(F.array_sort(F.collect_list("t")).alias("all"))
-    agree = lambda a, b: F.aggregate(F.zip_with(a["tokens"], b["tokens"], lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    alike = lambda a, b: agree(a, b) >= similarity * F.size(a["tokens"])
-    lead = F.aggregate("all", F.slice("all", 1, 0), lambda found, t: F.when(F.exists(found, lambda f: alike(f, t)), found).otherwise(F.concat(found, F.array(t))))
-    led = leaves.select("all", lead.alias("lead")).where(F.size("lead") < F.size("all"))
-    best = lambda t: F.array_min(F.transform("lead", lambda f: F.struct((-agree(f, t)).alias("n"), f["first"].alias("first"), f["template"].alias("key"))))["key"]
-    joined = led.select(F.inline(F.transform("all", lambda t: F.struct(t["template"].alias("template"), best(t).alias("key")))))
-    return joined.where("template <> key")
+    spare = F.floor((1 - similarity) * F.size("tokens") + 1e-9).cast("int")
+    members = tokens.select("template", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"), spare.alias("edits"), F.col("leaf").alias("key"))
+    places = F.when(F.size("tokens") > depth, F.sequence(F.lit(depth), F.size("tokens") - 1)).otherwise(F.array().cast("array<int>"))
+    members = stored(members.where("edits > 0").withColumn("open", places))
+    links = members.select(F.col("template").alias("a"), F.col("template").alias("b")).limit(0)
+    while not members.isEmpty():
+        cut = _branches(members)
+        sizes = stored(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("template").alias("least")).where("n > 1"))
+        kept = stored(cut.join(_small(sizes), "key"))
+        links = links.unionByName(_linked(kept.where(F.col("n") <= ROW_GROUP)))
+        large = kept.where(F.col("n") > ROW_GROUP).drop("n")
+        least = stored(large.where("template = least").select("key", F.col("tokens").alias("least_tokens")))
+        met = stored(large.join(_small(least), "key").withColumn("alike", _alike(F.col("tokens"), F.col("least_tokens"), F.col("edits"))).drop("least_tokens"))
+        links = links.unionByName(met.where("alike and template <> least").select(F.col("template").alias("a"), F.col("least").alias("b")))
+        split = stored(met.groupBy("key").agg(F.bool_and("alike").alias("alike")).where("not alike").select("key"))
+        members = met.join(_small(split), "key", "left_semi").select("template", "tokens", "edits", "key", "open")
+    return links
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> DataFrame:
     """(id, row, drop array<int>): line numbers to drop, for the documents that have any.
 
     Only leaves that hold different templates are read a second time, with their tokens.
+    What is joined with all lines, templates of families and recurring ones, is broadcast
+    if counted small; beyond, its rows are stored before the join, so hot keys can be split.
     Lines are filtered after what is stored or aggregated: before, the filter would be
     pushed down and every line be rewritten once more for it.
     """
@@ -89,13 +137,13 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, lea
     lines = counted(stored(masked_lines(keyed, depth).drop("tokens")), least_tokens)
     mixed = stored(lines.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).where("a <> b").select("leaf"))
     again = masked_lines(keyed, depth).join(_small(mixed), "leaf", "left_semi")
+    tokens = counted(again.groupBy("leaf", "template").agg(*[F.first(c).alias(c) for c in ("tokens", "n", "constant")]), least_tokens)
+    families = connected_components(template_links(tokens, depth, similarity)).where("node <> root").select(F.col("node").alias("template"), F.col("root").alias("key"))
     place = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("pos"))
-    tokens = counted(again.groupBy("leaf", "template").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("tokens", "n", "constant")]), least_tokens)
-    groups = stored(template_groups(tokens, similarity))
-    thin = lines.join(_small(groups), "template", "left").select("id", "row", "pos", F.coalesce("key", "template").alias("key"))
+    thin = lines.join(_small(stored(families)), "template", "left").select("id", "row", "pos", F.coalesce("key", "template").alias("key"))
     found = thin.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min(place).alias("first")).where("a <> b").select("key", "first")
-    extra = thin.join(found, "key").where(place != F.col("first"))
-    return extra.groupBy("id", "row").agg(F.array_distinct(F.collect_list("pos")).alias("drop"))
+    extra = thin.join(_small(stored(found)), "key").where(place != F.col("first"))
+    return extra.groupBy("id", "row").agg(F.collect_set("pos").alias("drop"))
 
 
 def _small(table: DataFrame) -> DataFrame:

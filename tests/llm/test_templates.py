@@ -19,26 +19,37 @@ def tokens(line):
     return ["<*>" if re.search(r"[0-9@]|://", x) else x for x in w]
 
 
+def families(templates_, depth, similarity):
+    """Each template's family: the least that chains of alike templates of its leaf reach, by all pairs."""
+    own = {t: t for t in templates_}
+    leaves = defaultdict(list)
+    for t in templates_:
+        leaves[len(t), t[:depth]].append(t)
+
+    def root(t):
+        while own[t] != t:
+            t = own[t]
+        return t
+
+    for ts in leaves.values():
+        for i, a in enumerate(ts):
+            for b in ts[:i]:
+                if sum(x != y for x, y in zip(a, b)) <= int((1 - similarity) * len(a) + 1e-9):
+                    own[max(root(a), root(b))] = min(root(a), root(b))
+    return {t: root(t) for t in templates_}
+
+
 def brute(rows, depth=3, least=5, similarity=0.8):
     lines = []
     for i, t in rows:
         for pos, line in enumerate((t or "").split("\n")):
             tok = tokens(line)
-            if len(tok) - tok.count("<*>") >= least:
+            if len(tok) >= least and set(tok) != {"<*>"}:
                 lines.append((i, t or "", pos, tuple(tok)))
-    leaves = defaultdict(set)
-    for *_, tok in lines:
-        leaves[(len(tok), tok[:depth])].add(tok)
-    general = set()
-    for leaf, ts in leaves.items():
-        run = -(-leaf[0] // 16)
-        same = [len({t[k : k + run] for t in ts}) == 1 for k in range(0, leaf[0], run)]
-        if len(ts) > 1 and sum(same) >= similarity * len(same):
-            general.add(leaf)
+    family = families({tok for *_, tok in lines}, depth, similarity)
     seen = defaultdict(list)
     for i, t, pos, tok in lines:
-        leaf = (len(tok), tok[:depth])
-        seen[leaf if leaf in general else ("own", tok)].append((i is None, i or 0, signed(xxhash.xxh64_intdigest(t.encode(), 42)), pos, i, t))
+        seen[family[tok]].append((i is None, i or 0, signed(xxhash.xxh64_intdigest(t.encode(), 42)), pos, i, t))
     drop = defaultdict(set)
     for places in seen.values():
         if len({p[5] for p in places}) > 1:
@@ -74,6 +85,34 @@ def test_odd_rows(spark):
     assert templates.line_dedup(df.limit(0)).count() == 0
 
 
+def test_large_branches_are_split(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(160):
+        kind = rnd.choice("pqr")
+        n = rnd.choice([5, 9, 14, 31])
+        words = ["lead", "of", kind[0] * rnd.randint(1, 2)] + [f"{kind}{chr(97 + k % 26)}" for k in range(n - 3)]
+        for _ in range(rnd.randint(0, n // 3)):
+            words[rnd.randrange(3, n)] = "".join(rnd.choice("xyz") for _ in range(3))
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    for size in (1, 4, 1000):
+        monkeypatch.setattr(templates, "ROW_GROUP", size)
+        assert sorted(map(tuple, templates.line_dedup(df).collect()), key=str) == want
+    monkeypatch.setattr(templates, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, templates.line_dedup(df).collect()), key=str) == want
+
+
+def test_more_documents_keep_no_more_lines(spark):
+    rnd = random.Random(9)
+    stock = ["worker %s took the %s job from the queue" % (a, b) for a in ("ann", "bob", "cyd", "dan") for b in ("red", "blue", "grey")] + ["worker %s has no job and waits for all others" % a for a in ("ann", "eve", "bob")]
+    rows = [(i, "\n".join(rnd.choice(stock) for _ in range(3)) + "\nown %d" % i) for i in range(40)]
+    few = {r[0]: r[2] for r in map(tuple, templates.line_dedup(spark.createDataFrame(rows[:9], "doc_id bigint, text string")).collect())}
+    many = {r[0]: r[2] for r in map(tuple, templates.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())}
+    assert all(many[i] >= n for i, n in few.items()) and sum(few.values()) > 5
+
+
 def test_copies_keep_their_lines_and_one_line_stays(spark):
     line = "the same passage of more than five words"
     rows = [(1, line + "\nown alpha"), (2, line + "\nown beta"), (3, line + "\nown beta"), (4, "unique words that nobody else has here"), (5, "unique words that nobody else has here")]
