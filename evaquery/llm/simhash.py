@@ -1,8 +1,9 @@
-"""SimHash near-duplicates: fingerprints, pigeonhole blocks, exact Hamming verification."""
+"""SimHash near-duplicates: fingerprints, blocks that close pairs share, exact Hamming verification."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -20,29 +21,56 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bito
 _COLUMNS = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """64-bit SimHash of the word shingles of ``text``.
+#: Distinct fingerprints of one bucket that are compared in one go; a larger bucket is cut into chunks and compared chunk by chunk.
+CHUNK = 1 << 17
+#: Tables of 100 bytes a row or less are broadcast up to this number of rows and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
+
+
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of the word shingles of ``text``, repeats included, as uint64.
 
-    A-Z are lower-cased, words are runs of anything but ASCII white space, shingles
-    repeat as they occur. A bit is set if it is set in more than half of the XXH64
-    hashes. Fewer words than a shingle hash as one sequence; none give 0.
+    A-Z are lower-cased, words are runs of anything but ASCII white space. Fewer words
+    than a shingle hash as one sequence; none give no hash.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        starts = [0, *accumulate(len(w) + 1 for w in words)]
-        hashes = [digest(joined[i : j - 1], SEED) for i, j in zip(starts, starts[shingle:])]
-    octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    return np.array([digest(joined[i : j - 1], SEED) for i, j in zip(starts, starts[shingle:])], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in more than half of the hashes; no hashes give 0."""
+    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     counts = np.bincount((octets + _COLUMNS).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
     bits = (2 * counts.ravel() > len(hashes)).astype(np.uint8)
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
+def mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Other 64-bit hashes made of ``hashes``, independent of them and of those of other turns."""
+    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (turn + 1)) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """64-bit SimHash of the word shingles of ``text``; no words give 0."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def wide_fingerprint(text: str, shingle: int = 5, words: int = 4) -> bytes:
+    """``words`` times 64 bits of SimHash; no words give zeros."""
+    hashes = shingle_hashes(text, shingle)
+    return b"".join(majority(mixed(hashes, i)).to_bytes(8, "little") for i in range(words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp bigint): one row for each row of ``docs``; a null text counts as empty."""
 
@@ -52,6 +80,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(texts(docs, id_col, text_col), rows, "doc_id bigint, fp bigint")
 
 
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4) -> DataFrame:
+    """(doc_id, fp binary): one row for each row of ``docs``; a null text counts as empty."""
+
+    def rows(x: dict[str, list]) -> dict[str, list]:
+        return {"doc_id": x["doc_id"], "fp": [wide_fingerprint(t, shingle, words) for t in x["text"]]}
+
+    return arrow_map(texts(docs, id_col, text_col), rows, "doc_id bigint, fp binary")
+
+
 def block_masks(distance: int, shared: int = 3) -> list[int]:
     """Masks of which any two fingerprints within ``distance`` agree on at least one.
 
@@ -64,6 +101,52 @@ def block_masks(distance: int, shared: int = 3) -> list[int]:
     return [sum(c) for c in combinations(blocks, shared)]
 
 
+def in_blocks(fps: DataFrame, distance: int = 4) -> DataFrame:
+    """(m, k, fp): each fingerprint (fp bigint) in the bucket k of every mask m of ``block_masks``."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance)]
+    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("smallint").alias("m"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("k")) for i, m in enumerate(signed)])).alias("x"))
+    return keyed.select("x.m", "x.k", "fp")
+
+
+def bit_difference(similarity: float) -> float:
+    """Expected share of differing bits of two texts of one length at a Jaccard ``similarity`` of their shingles."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def split_count(similarity: float, recall: float, bits: int, block_bits: int) -> int:
+    """Random splits of ``bits`` into blocks after which a pair shares one with probability ``recall``."""
+    shared = (1 - bit_difference(similarity)) ** block_bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - shared) / (bits // block_bits))
+
+
+def in_split_blocks(fps: DataFrame, words: int, block_bits: int, splits: int, seed: int = 11) -> DataFrame:
+    """(m, k, fp): each fingerprint (fp binary) in the bucket of each of its blocks, for several random splits."""
+    rng, bits = np.random.default_rng(seed), BITS * words
+    weights = np.zeros((bits, splits * (bits // block_bits)))
+    for s in range(splits):
+        order = rng.permutation(bits)
+        for b in range(bits // block_bits):
+            weights[order[b * block_bits : (b + 1) * block_bits], s * (bits // block_bits) + b] = 2.0 ** np.arange(block_bits)
+    count = weights.shape[1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                own = batch.column(0).slice(i, 1000)
+                each = np.unpackbits(np.frombuffer(b"".join(own.to_pylist()), dtype=np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+                keys = (each.astype(np.float64) @ weights).astype(np.int64).ravel()
+                at = pa.array(np.repeat(np.arange(len(own)), count))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(count, dtype=np.int16), len(own))), pa.array(keys), own.take(at)], names=["m", "k", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "m smallint, k bigint, fp binary")
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, one uint64 or a row of them each."""
+    x = np.bitwise_count(a ^ b)
+    return x if x.ndim == 1 else x.sum(axis=1, dtype=np.int64)
+
+
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Spanning forest, as index pairs, of the graph of all pairs of ``fps`` within ``distance``.
 
@@ -75,7 +158,7 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= distance
+            near = hamming(fps[left], fps[at]) <= distance
             if near.any():
                 found = left[near]
                 links += [(int(at), int(x)) for x in found]
@@ -84,40 +167,63 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b) bigint: links within ``distance`` that connect what all such links connect.
+def in_tiles(keyed: DataFrame, distinct: int) -> DataFrame:
+    """(m, k, tile, fp): rows of a bucket above CHUNK go to the tiles that pair their chunk with every chunk.
 
-    ``fps`` has distinct fingerprints in column fp. Each goes to every mask's bucket;
-    buckets are hash-partitioned, sorted by Spark (which spills) and streamed, so a
-    task holds one bucket of distinct fingerprints at a time, at 8 bytes each.
+    Any two rows of a bucket meet in a tile, and a tile holds two chunks. With no more
+    than CHUNK distinct fingerprints in all there is no such bucket to look for.
     """
-    masks = block_masks(distance)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("m"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("k")) for i, m in enumerate(signed)])).alias("x")).select("fp", "x.m", "x.k")
-    dealt = keyed.repartition("m", "k").sortWithinPartitions("m", "k")
+    plain = keyed.select("m", "k", F.lit(0).cast("bigint").alias("tile"), "fp")
+    if distinct <= CHUNK:
+        return plain
+    hot = stored(keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK))
+    if hot.isEmpty():
+        return plain
+    chunks = F.ceil(F.col("n") / CHUNK).cast("bigint")
+    both = keyed.join(_small(hot), ["m", "k"], "left").withColumn("chunks", F.coalesce(chunks, F.lit(1)))
+    own = both.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
+    tile = lambda other: F.least("chunk", other) * F.col("chunks") + F.greatest("chunk", other)
+    return own.select("m", "k", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), tile)).alias("tile"), "fp")
+
+
+def links(keyed: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links within ``distance`` that connect what all such links of a bucket connect.
+
+    ``keyed`` has rows (m, k, tile, fp) of distinct fingerprints, bigint or binary. Tiles of
+    buckets are hash-partitioned, sorted by Spark (which spills) and streamed, so a task
+    holds one tile of fingerprints at a time.
+    """
+    kind = keyed.schema["fp"].dataType.simpleString()
+    dealt = keyed.repartition("m", "k", "tile").sortWithinPartitions("m", "k", "tile")
+
+    def numbers(fp: pa.Array) -> np.ndarray:
+        if kind == "bigint":
+            return fp.to_numpy(zero_copy_only=False).view(np.uint64)
+        return np.frombuffer(b"".join(fp.to_pylist()), dtype="<u8").reshape(len(fp), -1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = tuple(np.empty(0, dtype=np.int64) for _ in range(3))
+        rest = None
         for batch in _ended(batches):
-            if batch is None:
-                fp, m, k = rest
-                ends = np.array([len(fp)])
-            else:
-                fp, m, k = (np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, ("fp", "m", "k")))
-                ends = np.array([], dtype=np.int64)
-            new = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1])) + 1
-            cuts = np.concatenate([[0], new, ends]).astype(np.int64)
-            rest = (fp[cuts[-1] :], m[cuts[-1] :], k[cuts[-1] :])
+            if batch is not None:
+                parts = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "k", "tile")), numbers(batch.column(3))]
+                rest = parts if rest is None else [np.concatenate([r, x]) for r, x in zip(rest, parts)]
+            if rest is None:
+                return
+            m, k, tile, fp = rest
+            new = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1]) | (tile[1:] != tile[:-1])) + 1
+            cuts = np.concatenate([[0], new, [len(m)] if batch is None else []]).astype(np.int64)
+            rest = [x[cuts[-1] :] for x in rest]
             a, b = [], []
             for i in np.flatnonzero(np.diff(cuts) > 1):
                 group = fp[cuts[i] : cuts[i + 1]]
-                for x, y in forest(group.view(np.uint64), distance):
+                for x, y in forest(group, distance):
                     a.append(group[x])
                     b.append(group[y])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, dtype=np.int64)), pa.array(np.array(b, dtype=np.int64))], names=["a", "b"])
+                pairs = (pa.array(np.array(e).view(np.int64)) if kind == "bigint" else pa.array([x.tobytes() for x in e], pa.binary()) for e in (a, b))
+                yield pa.RecordBatch.from_arrays(list(pairs), names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _ended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -125,31 +231,66 @@ def _ended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if it has no more rows than the limit."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _groups(own: DataFrame, keyed: Callable[[DataFrame], DataFrame], distance: int) -> DataFrame:
+    """(doc_id, fp, component_id) of (doc_id, fp) rows, links made in the buckets that ``keyed`` gives.
+
+    Copies meet once as a distinct fingerprint before any comparison. Only fingerprints
+    that are linked get another id than their own least one; what is joined on a hot
+    fingerprint or component is broadcast if counted small and stored before the join
+    beyond that, so that a hot key can be split.
+    """
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = connected_components(links(in_tiles(keyed(distinct.select("fp")), distinct.count()), distance))
+    linked = stored(distinct.join(_small(roots.withColumnRenamed("node", "fp")), "fp"))
+    least = stored(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    moved = stored(linked.join(_small(least), "root").select("fp", F.col("component_id").alias("moved")))
+    of = stored(distinct.join(_small(moved), "fp", "left").select("fp", F.coalesce("moved", "first").alias("component_id")))
+    return own.join(_small(of), "fp", "left").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): a row for each row of ``docs``.
 
     Fingerprints within ``distance`` bits are linked; component_id is the least doc_id
     that links reach, the document's own included. Documents without words have
-    fingerprint zero and link like any other. Copies meet once as a distinct fingerprint
-    before any comparison. A null doc_id is kept and never chosen as component_id
-    unless its whole component has no other. An empty table gives no rows.
+    fingerprint zero and link like any other. A null doc_id is kept and never chosen as
+    component_id unless its whole component has no other. An empty table gives no rows.
     """
     own = stored(fingerprints(docs, id_col, text_col, shingle))
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(distinct.select("fp"), distance))
-    of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.join(least, "root").select("fp", "component_id")
-    return own.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = _groups(own, lambda fps: in_blocks(fps, distance), distance)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, words: int = 4, block_bits: int = 20) -> DataFrame:
+    """(doc_id, component_id): a row for each row of ``docs``, groups of texts alike in ``similarity`` of their shingles.
+
+    Similarity is that of shingle sets (Jaccard), measured by ``words`` * 64 bits of SimHash:
+    texts link at the number of differing bits that is expected at ``similarity`` and half a
+    standard deviation more. So wide a distance leaves no block untouched for certain; the
+    bits are split at random into blocks of ``block_bits``, as often as a pair at ``similarity``
+    needs to share one with probability ``recall``, closer pairs with more. A bucket holds
+    one part in 2 ** block_bits of unlike texts: larger corpora take more bits. Nulls,
+    empty texts, copies and empty tables are as in ``near_duplicates``.
+    """
+    bits, share = BITS * words, bit_difference(similarity)
+    distance = int(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    splits = split_count(similarity, recall, bits, block_bits)
+    own = stored(wide_fingerprints(docs, id_col, text_col, shingle, words))
+    return _groups(own, lambda fps: in_split_blocks(fps, words, block_bits, splits), distance).select("doc_id", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all their columns as they are.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of ``similar_documents``, with all their columns as they are.
 
     Of each component the rows with its least id stay; rows with a null id have no id
     to compare and stay too. Rows that share the least id all stay.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, distance)
+    groups = similar_documents(docs, id_col, text_col, shingle, similarity)
     first = groups.where("doc_id = component_id").select(F.col("component_id").alias("__simhash_first")).distinct()
     key = col(id_col).cast("bigint")
     kept = docs.join(first.hint("shuffle_hash"), key == F.col("__simhash_first"), "left_semi")

@@ -49,9 +49,15 @@ def test_line_dedup_is_the_brute_force_one(stages):
 
 def test_near_dedup_keeps_one_of_each_group(stages):
     _, docs, made = stages[2]
-    rows = {r.doc_id: r for r in docs.collect()}
-    comp = test_simhash.brute_components([(i, test_simhash.brute_fp(r.text)) for i, r in sorted(rows.items())])
-    assert sorted(r.doc_id for r in made.collect()) == sorted(set(comp.values()))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in made.collect()}
+    sets = {i: test_simhash.shingles(t) for i, t in rows.items()}
+    alike = test_simhash.alike_pairs(sets, 0.8)
+    assert len(alike) > 20 and sum(a in kept and b in kept for a, b, _ in alike) <= 0.1 * len(alike)
+    near = {i for a, b, _ in test_simhash.alike_pairs(sets, 0.65) for i in (a, b)}
+    assert set(rows) - kept <= near  # whatever goes is close to something
+    least = test_simhash.components(rows, [(a, b) for a, b, _ in test_simhash.alike_pairs(sets, 0.999)])
+    assert all(least[i] == i for i in kept)  # of equal ones only the first stays
     assert made.exceptAll(docs).count() == 0 and made.count() < docs.count()
 
 

@@ -47,6 +47,92 @@ def corpus():
     return rows
 
 
+def shingles(text, n=5):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or {tuple(words)}
+
+
+def alike_pairs(sets, least):
+    """(a, b, similarity) of all pairs with a Jaccard similarity of ``least`` or more, found by shared shingles."""
+    at = {}
+    for i, s in sets.items():
+        for x in s:
+            at.setdefault(x, []).append(i)
+    shared = {}
+    for ids in at.values():
+        for k, a in enumerate(ids):
+            for b in ids[:k]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    sims = ((a, b, n / (len(sets[a]) + len(sets[b]) - n)) for (a, b), n in shared.items())
+    return [(min(a, b), max(a, b), j) for a, b, j in sims if j >= least]
+
+
+def components(ids, links):
+    own = {i: i for i in ids}
+
+    def root(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        own[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def edited_corpus(seed=2):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
+    rows, at = [], 0
+    for _ in range(120):
+        base = [word() for _ in range(rnd.choice([60, 200, 700]))]
+        for share in (0, 0.004, 0.01, 0.018, 0.03, 0.1):
+            own = [word() if rnd.random() < share else w for w in base]
+            rows.append((at, " ".join(own)))
+            at += 1
+    return rows
+
+
+def test_groups_of_similar_texts(spark):
+    rows = edited_corpus()
+    sets = {i: shingles(t) for i, t in rows}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    pairs = alike_pairs(sets, 0.0)
+    near, close = [p for p in pairs if p[2] >= 0.8], [p for p in pairs if p[2] >= 0.87]
+    assert len(near) > 500 and sum(got[a] == got[b] for a, b, _ in near) >= 0.93 * len(near)
+    assert sum(got[a] == got[b] for a, b, _ in close) >= 0.99 * len(close)
+    far = [p for p in pairs if p[2] < 0.55]
+    reach = components(sets, [(a, b) for a, b, j in pairs if j >= 0.62])
+    assert len(far) > 100 and not any(got[a] == got[b] != reach[a] and reach[a] != reach[b] for a, b, _ in far)
+    assert {i: got[i] for i in got if i % 6 == 1} and all(got[i] <= i for i in got)
+
+
+def test_wide_fingerprints_join_as_by_brute_force(spark):
+    rows = [(i, t) for i, t in edited_corpus(4) if i % 5 < 3][:200] + [(900, None), (901, ""), (None, "x y"), (902, "x y"), (902, "x y")]
+    fps = [(i, int.from_bytes(simhash.wide_fingerprint(t or ""), "little")) for i, t in rows]
+    own = simhash.similar_documents(spark.createDataFrame([(i, t, 0, "f") for i, t in rows], "doc_id bigint, text string, component_id int, fp string"), recall=0.9999)
+    got = sorted(((r.doc_id, r.component_id) for r in own.collect()), key=str)
+    share = simhash.bit_difference(0.8)
+    most = int(256 * share + 0.5 * (256 * share * (1 - share)) ** 0.5)
+    at = components(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i][1] ^ fps[j][1]).bit_count() <= most])
+    least = {}
+    for i, (d, _) in enumerate(fps):
+        least[at[i]] = min(least.get(at[i], 10**9), 10**9 if d is None else d)
+    assert got == sorted(((d, least[at[i]]) for i, (d, _) in enumerate(fps)), key=str)
+
+
+def test_buckets_in_tiles_give_the_same(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    wide = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    monkeypatch.setattr(simhash, "CHUNK", 6)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == wide
+
+
 def test_fingerprint_and_components_match_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, fp string, component_id int")
