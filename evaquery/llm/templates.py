@@ -24,8 +24,10 @@ VARIABLE = "(?<!\\S)(?=\\S*?(?:[0-9@]|://))\\S+"
 WILDCARD = "<*>"
 #: Tables of keys and digests, at 100 bytes a row or less, are broadcast up to this number of rows and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
-#: A branch of the tree is compared in one row up to this number of templates and split beyond.
+#: The templates of a key of the tree are compared in one row up to this number.
 ROW_GROUP = 32
+#: Templates in a chunk of a larger key, two of which are compared in one row.
+TILE = 128
 _ID, _ROW, _DROP = "__line_dedup_id", "__line_dedup_row", "__line_dedup_drop"
 
 
@@ -67,18 +69,17 @@ def _alike(a: Column, b: Column, edits: Column) -> Column:
 
 
 def _branches(members: DataFrame) -> DataFrame:
-    """The members, once for each branch below their key: the places that are still open
-    are cut into one piece more than may differ, and a branch fixes the tokens of one piece.
+    """The members, once for each branch below their key (parent): the places that are still
+    open are cut into one piece more than may differ, and a branch fixes the tokens of one.
 
     Two alike templates of a key share a branch, since one piece holds none of their
-    differences. With no more open places than may differ there is one branch, of all.
+    differences. Where no more places are open than may differ, all of a key are alike.
     """
-    size, cuts = F.size("open"), F.col("edits") + 1
-    at = lambda i: F.floor(size * i / cuts).cast("int")
+    size = F.size("open")
+    at = lambda i: F.floor(size * i / (F.col("edits") + 1)).cast("int")
     piece = lambda i: F.slice("open", at(i) + 1, at(i + 1) - at(i))
     fixed = lambda i: F.struct(F.xxhash64("key", i, F.transform(piece(i), lambda p: F.get("tokens", p))).alias("key"), F.array_except("open", piece(i)).alias("open"))
-    cut = F.when(size > F.col("edits"), F.transform(F.sequence(F.lit(0), F.col("edits")), fixed)).otherwise(F.array(F.struct(F.col("key"), F.col("open"))))
-    return members.select("template", "tokens", "edits", F.inline(cut))
+    return members.select(F.col("key").alias("parent"), "template", "tokens", "edits", F.inline(F.transform(F.sequence(F.lit(0), F.col("edits")), fixed)))
 
 
 def _linked(groups: DataFrame) -> DataFrame:
@@ -95,33 +96,54 @@ def _linked(groups: DataFrame) -> DataFrame:
     return ends.where("label <> template").select(F.col("template").alias("a"), F.col("label").alias("b"))
 
 
+def _in_tiles(groups: DataFrame) -> DataFrame:
+    """The members of groups of ``n``, cut into chunks of TILE and dealt so that any two meet in a tile, which is the new key."""
+    chunks = F.ceil(F.col("n") / TILE).cast("bigint")
+    own = groups.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("template"), F.col("chunks")))
+    tile = lambda other: F.xxhash64("key", F.least("chunk", other), F.greatest("chunk", other))
+    each = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), tile)
+    return own.select("template", "tokens", "edits", F.explode(each).alias("key"))
+
+
 def template_links(tokens: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(a, b): links between template digests that connect all that are alike in a leaf.
 
     ``tokens`` has a row (leaf, template, tokens) for each template of a mixed leaf; two
-    are alike if they agree on ``similarity`` of their tokens. The tree goes on below the
-    leaf, in branches that two alike templates cannot all miss. A branch of at most
-    ROW_GROUP templates is compared in one row. In a larger one all are compared with the
-    least; if some are unlike it, the branch is split by further pieces and nothing else.
-    Every level leaves fewer places open, and when no more are than may differ, all are alike.
+    are alike if they agree on ``similarity`` of their tokens. Up to ROW_GROUP templates of
+    a key, at first the leaf, are compared in one row. In a larger key all are compared
+    with the least; the rest that is unlike it is, up to ROW_GROUP of them, compared with
+    all. With a larger rest the tree goes on in branches (see ``_branches``) if these hold
+    fewer pairs than the key does, and else the key is compared in tiles of bounded rows.
     """
     spare = F.floor((1 - similarity) * F.size("tokens") + 1e-9).cast("int")
     members = tokens.select("template", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"), spare.alias("edits"), F.col("leaf").alias("key"))
     places = F.when(F.size("tokens") > depth, F.sequence(F.lit(depth), F.size("tokens") - 1)).otherwise(F.array().cast("array<int>"))
     members = stored(members.where("edits > 0").withColumn("open", places))
-    links = members.select(F.col("template").alias("a"), F.col("template").alias("b")).limit(0)
-    while not members.isEmpty():
-        cut = _branches(members)
-        sizes = stored(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("template").alias("least")).where("n > 1"))
-        kept = stored(cut.join(_small(sizes), "key"))
-        links = links.unionByName(_linked(kept.where(F.col("n") <= ROW_GROUP)))
-        large = kept.where(F.col("n") > ROW_GROUP).drop("n")
+    links = None
+    while True:
+        sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("template").alias("least")).where("n > 1"))
+        kept = members.join(_small(sizes), "key")
+        found = _linked(kept.where(F.col("n") <= ROW_GROUP))
+        links = found if links is None else links.unionByName(found)
+        if sizes.where(F.col("n") > ROW_GROUP).isEmpty():
+            return links
+        large = stored(kept.where(F.col("n") > ROW_GROUP))
         least = stored(large.where("template = least").select("key", F.col("tokens").alias("least_tokens")))
         met = stored(large.join(_small(least), "key").withColumn("alike", _alike(F.col("tokens"), F.col("least_tokens"), F.col("edits"))).drop("least_tokens"))
         links = links.unionByName(met.where("alike and template <> least").select(F.col("template").alias("a"), F.col("least").alias("b")))
-        split = stored(met.groupBy("key").agg(F.bool_and("alike").alias("alike")).where("not alike").select("key"))
-        members = met.join(_small(split), "key", "left_semi").select("template", "tokens", "edits", "key", "open")
-    return links
+        rests = stored(met.where("not alike").groupBy("key").agg(F.count(F.lit(1)).alias("rest")))
+        few = met.where("not alike").join(_small(rests.where(F.col("rest") <= ROW_GROUP)), "key").groupBy("key").agg(F.collect_list(F.struct("template", "tokens")).alias("others"))
+        close = F.filter("others", lambda o: (o["template"] != F.col("template")) & _alike(o["tokens"], F.col("tokens"), F.col("edits")))
+        links = links.unionByName(met.join(_small(stored(few)), "key").select("template", F.explode(close).alias("o")).select(F.col("template").alias("a"), F.col("o.template").alias("b")))
+        many = met.join(_small(rests.where(F.col("rest") > ROW_GROUP)), "key").drop("least", "alike", "rest")
+        if many.isEmpty():
+            return links
+        many = stored(many)
+        below = stored(_branches(many))
+        children = below.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("parent").alias("key")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+        worth = stored(many.groupBy("key").agg(F.first("n").alias("n")).join(children, "key").select("key", (F.col("pairs") < F.col("n").cast("double") * F.col("n")).alias("worth")))
+        links = links.unionByName(_linked(_in_tiles(many.join(_small(worth.where("not worth")), "key"))))
+        members = stored(below.join(_small(worth.where("worth").select(F.col("key").alias("parent"))), "parent", "left_semi").drop("parent"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> DataFrame:

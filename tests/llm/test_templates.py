@@ -97,8 +97,9 @@ def test_large_branches_are_split(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute(rows)
-    for size in (1, 4, 1000):
+    for size, tile in ((1, 5), (4, 128), (1000, 128)):
         monkeypatch.setattr(templates, "ROW_GROUP", size)
+        monkeypatch.setattr(templates, "TILE", tile)
         assert sorted(map(tuple, templates.line_dedup(df).collect()), key=str) == want
     monkeypatch.setattr(templates, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, templates.line_dedup(df).collect()), key=str) == want
