@@ -53,6 +53,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of 100 bytes a row or less are broadcast up to this number of rows and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
+
+
+def small(table: DataFrame, beyond: str = "merge") -> DataFrame:
+    """``table``, to be broadcast if a count of it finds no more rows than the limit.
+
+    For stored tables of narrow rows. Beyond the limit the join shuffles, as the hint
+    ``beyond`` says; since neither side is aggregated in the join's own stage, adaptive
+    execution can split a hot key.
+    """
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint(beyond)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder is there, on whatever file system its path names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

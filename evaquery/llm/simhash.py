@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, stored, texts
+from .common import arrow_map, col, small, stored, texts
 from .graph import connected_components
 
 SEED = 42
@@ -23,8 +23,6 @@ _COLUMNS = np.arange(8, dtype=np.int64) * 256
 
 #: Distinct fingerprints of one bucket that are compared in one go; a larger bucket is cut into chunks and compared chunk by chunk.
 CHUNK = 1 << 17
-#: Tables of 100 bytes a row or less are broadcast up to this number of rows and joined by shuffle beyond.
-BROADCAST_ROWS = 200_000
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -180,7 +178,7 @@ def in_tiles(keyed: DataFrame, distinct: int) -> DataFrame:
     if hot.isEmpty():
         return plain
     chunks = F.ceil(F.col("n") / CHUNK).cast("bigint")
-    both = keyed.join(_small(hot), ["m", "k"], "left").withColumn("chunks", F.coalesce(chunks, F.lit(1)))
+    both = keyed.join(small(hot), ["m", "k"], "left").withColumn("chunks", F.coalesce(chunks, F.lit(1)))
     own = both.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
     tile = lambda other: F.least("chunk", other) * F.col("chunks") + F.greatest("chunk", other)
     return own.select("m", "k", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), tile)).alias("tile"), "fp")
@@ -231,11 +229,6 @@ def _ended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """``table``, to be broadcast if it has no more rows than the limit."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def _groups(own: DataFrame, keyed: Callable[[DataFrame], DataFrame], distance: int) -> DataFrame:
     """(doc_id, fp, component_id) of (doc_id, fp) rows, links made in the buckets that ``keyed`` gives.
 
@@ -246,11 +239,11 @@ def _groups(own: DataFrame, keyed: Callable[[DataFrame], DataFrame], distance: i
     """
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(in_tiles(keyed(distinct.select("fp")), distinct.count()), distance))
-    linked = stored(distinct.join(_small(roots.withColumnRenamed("node", "fp")), "fp"))
+    linked = stored(distinct.join(small(roots.withColumnRenamed("node", "fp")), "fp"))
     least = stored(linked.groupBy("root").agg(F.min("first").alias("component_id")))
-    moved = stored(linked.join(_small(least), "root").select("fp", F.col("component_id").alias("moved")))
-    of = stored(distinct.join(_small(moved), "fp", "left").select("fp", F.coalesce("moved", "first").alias("component_id")))
-    return own.join(_small(of), "fp", "left").select("doc_id", "fp", "component_id")
+    moved = stored(linked.join(small(least), "root").select("fp", F.col("component_id").alias("moved")))
+    of = stored(distinct.join(small(moved), "fp", "left").select("fp", F.coalesce("moved", "first").alias("component_id")))
+    return own.join(small(of), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:

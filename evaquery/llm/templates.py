@@ -16,14 +16,12 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, stored
+from .common import col, small, stored
 from .graph import connected_components
 from .rules import SPACE, SPACES
 
 VARIABLE = "(?<!\\S)(?=\\S*?(?:[0-9@]|://))\\S+"
 WILDCARD = "<*>"
-#: Tables of keys and digests, at 100 bytes a row or less, are broadcast up to this number of rows and joined by shuffle beyond.
-BROADCAST_ROWS = 200_000
 #: The templates of a key of the tree are compared in one row up to this number.
 ROW_GROUP = 32
 #: Templates in a chunk of a larger key, two of which are compared in one row.
@@ -122,28 +120,28 @@ def template_links(tokens: DataFrame, depth: int, similarity: float) -> DataFram
     links = None
     while True:
         sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("template").alias("least")).where("n > 1"))
-        kept = members.join(_small(sizes), "key")
+        kept = members.join(small(sizes), "key")
         found = _linked(kept.where(F.col("n") <= ROW_GROUP))
         links = found if links is None else links.unionByName(found)
         if sizes.where(F.col("n") > ROW_GROUP).isEmpty():
             return links
         large = stored(kept.where(F.col("n") > ROW_GROUP))
         least = stored(large.where("template = least").select("key", F.col("tokens").alias("least_tokens")))
-        met = stored(large.join(_small(least), "key").withColumn("alike", _alike(F.col("tokens"), F.col("least_tokens"), F.col("edits"))).drop("least_tokens"))
+        met = stored(large.join(small(least), "key").withColumn("alike", _alike(F.col("tokens"), F.col("least_tokens"), F.col("edits"))).drop("least_tokens"))
         links = links.unionByName(met.where("alike and template <> least").select(F.col("template").alias("a"), F.col("least").alias("b")))
         rests = stored(met.where("not alike").groupBy("key").agg(F.count(F.lit(1)).alias("rest")))
-        few = met.where("not alike").join(_small(rests.where(F.col("rest") <= ROW_GROUP)), "key").groupBy("key").agg(F.collect_list(F.struct("template", "tokens")).alias("others"))
+        few = met.where("not alike").join(small(rests.where(F.col("rest") <= ROW_GROUP)), "key").groupBy("key").agg(F.collect_list(F.struct("template", "tokens")).alias("others"))
         close = F.filter("others", lambda o: (o["template"] != F.col("template")) & _alike(o["tokens"], F.col("tokens"), F.col("edits")))
-        links = links.unionByName(met.join(_small(stored(few)), "key").select("template", F.explode(close).alias("o")).select(F.col("template").alias("a"), F.col("o.template").alias("b")))
-        many = met.join(_small(rests.where(F.col("rest") > ROW_GROUP)), "key").drop("least", "alike", "rest")
+        links = links.unionByName(met.join(small(stored(few)), "key").select("template", F.explode(close).alias("o")).select(F.col("template").alias("a"), F.col("o.template").alias("b")))
+        many = met.join(small(rests.where(F.col("rest") > ROW_GROUP)), "key").drop("least", "alike", "rest")
         if many.isEmpty():
             return links
         many = stored(many)
         below = stored(_branches(many))
         children = below.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("parent").alias("key")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
         worth = stored(many.groupBy("key").agg(F.first("n").alias("n")).join(children, "key").select("key", (F.col("pairs") < F.col("n").cast("double") * F.col("n")).alias("worth")))
-        links = links.unionByName(_linked(_in_tiles(many.join(_small(worth.where("not worth")), "key"))))
-        members = stored(below.join(_small(worth.where("worth").select(F.col("key").alias("parent"))), "parent", "left_semi").drop("parent"))
+        links = links.unionByName(_linked(_in_tiles(many.join(small(worth.where("not worth")), "key"))))
+        members = stored(below.join(small(worth.where("worth").select(F.col("key").alias("parent"))), "parent", "left_semi").drop("parent"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> DataFrame:
@@ -158,21 +156,16 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, lea
     keyed = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     lines = counted(stored(masked_lines(keyed, depth).drop("tokens")), least_tokens)
     mixed = stored(lines.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).where("a <> b").select("leaf"))
-    again = masked_lines(keyed, depth).join(_small(mixed), "leaf", "left_semi")
+    again = masked_lines(keyed, depth).join(small(mixed), "leaf", "left_semi")
     tokens = counted(again.groupBy("leaf", "template").agg(*[F.first(c).alias(c) for c in ("tokens", "n", "constant")]), least_tokens)
     families = connected_components(template_links(tokens, depth, similarity)).where("node <> root").select(F.col("node").alias("template"), F.col("root").alias("key"))
     place = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("pos"))
-    thin = lines.join(_small(stored(families)), "template", "left").select("id", "row", "pos", F.coalesce("key", "template").alias("key"))
+    thin = lines.join(small(stored(families)), "template", "left").select("id", "row", "pos", F.coalesce("key", "template").alias("key"))
     found = thin.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min(place).alias("first")).where("a <> b").select("key", "first")
-    extra = thin.join(_small(stored(found)), "key").where(place != F.col("first"))
+    extra = thin.join(small(stored(found)), "key").where(place != F.col("first"))
     return extra.groupBy("id", "row").agg(F.collect_set("pos").alias("drop"))
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """``table``, to be broadcast if it has no more rows than the limit."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def _with_drops(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> DataFrame:
     """``docs`` and, for each row, the numbers of the lines to drop (null: none)."""
     drops = recurring_lines(docs, id_col, text_col, depth, least_tokens, similarity)

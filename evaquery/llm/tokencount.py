@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import SPACED, Cached, library_pieces, library_tokenizer
-from .common import arrow_map, exists, shared_dir, stored, texts
+from .common import arrow_map, exists, shared_dir, small, stored, texts
 
 STORED = "content binary, n_tokens bigint, tokenizer string"
 
@@ -63,23 +63,25 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, cache_path: str |
     """(doc_id, n_bytes, n_tokens, over_limit): one row for each row of ``docs``.
 
     ``tokenizer`` is a .json file for the tokenizers library or a .model file for
-    sentencepiece; the count is the library's for the whole text, no begin, end or
-    special tokens added, over_limit is n_tokens > limit. Content is normalised only as
-    far as no count can change: a null text counts as empty. ``cache_path`` is a Parquet
+    sentencepiece; the count is the library's for the whole text, however long, no begin,
+    end or special tokens added, over_limit is n_tokens > limit. Content is normalised only
+    as far as no count can change: a null text counts as empty. ``cache_path`` is a Parquet
     folder that outlives the call (None: one of its own). Copies, of one document or of
-    a third of all rows, meet as one digest before any text moves; of each missing
-    digest the text of its least doc_id is encoded. An empty table gives no rows.
+    a third of all rows, meet as one digest; of each missing digest the text of its least
+    doc_id is encoded. Texts stay where they are read if the missing digests are few (none
+    with a warm cache); if they are many, which is a corpus not seen before, texts are
+    dealt to the tasks that encode them. A null doc_id stays null, repeated rows repeat,
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
     cache_path = cache_path or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
-    content = F.unhex(F.sha2("text", 256))
-    own = texts(docs, id_col, text_col).withColumn("content", content)
+    own = texts(docs, id_col, text_col).withColumn("content", F.unhex(F.sha2("text", 256)))
     thin = stored(own.select("doc_id", "content", F.octet_length("text").cast("bigint").alias("n_bytes")))
-    held = cached_counts(spark, cache_path, version)
-    missing = thin.groupBy("content").agg(F.min("doc_id").alias("rep")).join(held, "content", "left_anti")
-    missing = missing.select(F.col("content").alias("c"), "rep")
-    found = own.join(missing.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("content") == F.col("c")), "left_semi")
-    counted(found, tokenizer).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
-    counts = cached_counts(spark, cache_path, version)
-    return thin.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    distinct = thin.groupBy("content").agg(F.min("doc_id").alias("rep"))
+    missing = stored(distinct.join(cached_counts(spark, cache_path, version), "content", "left_anti").select(F.col("content").alias("c"), "rep"))
+    if not missing.isEmpty():
+        found = own.join(small(missing, "shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("content") == F.col("c")), "left_semi")
+        counted(found, tokenizer).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+    counts = stored(cached_counts(spark, cache_path, version))
+    return thin.join(small(counts), "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from evaquery.llm import simhash
+from evaquery.llm import common, simhash
 
 
 def brute_fp(text):
@@ -128,7 +128,7 @@ def test_buckets_in_tiles_give_the_same(spark, monkeypatch):
     want = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
     wide = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
     monkeypatch.setattr(simhash, "CHUNK", 6)
-    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == wide
 

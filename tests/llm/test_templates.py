@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import xxhash
 
-from evaquery.llm import templates
+from evaquery.llm import common, templates
 from evaquery.llm.queries import op7_line_templates
 
 SF = "/root/testdata/sf0.01"
@@ -101,7 +101,7 @@ def test_large_branches_are_split(spark, monkeypatch):
         monkeypatch.setattr(templates, "ROW_GROUP", size)
         monkeypatch.setattr(templates, "TILE", tile)
         assert sorted(map(tuple, templates.line_dedup(df).collect()), key=str) == want
-    monkeypatch.setattr(templates, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, templates.line_dedup(df).collect()), key=str) == want
 
 

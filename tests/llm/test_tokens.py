@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from evaquery.llm import chunks, pfor, tokencount
+from evaquery.llm import chunks, common, pfor, tokencount
 
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 ODD = ["", " ", "a", "  two  spaces\n\n and \t tabs ", "x\x1cy\x1d z", "foo bar baz　", "don't we'll", "<|endoftext|> mid<|endoftext|>dle <|startoftext|>", "é é ́x", "日本語 テスト", "a" * 5000, "12 345 !!! ??", "᠎ x ​ y", "İstanbul ΣΑΣ ς", "end \n", "ÀÖØÞß ÿµª² x³ ½!¿«»", "a\u0085b\xa0c ÉÈ", "A\x00B\x7f__C_", "A1b2, C-D. É!é"]
@@ -92,3 +92,25 @@ def test_counts_and_the_cache(spark, tmp_path, monkeypatch):
     assert tokencount.token_counts(df, PIECE, 512, where).count() == len(ROWS)
     assert spark.read.parquet(where).select("tokenizer").distinct().count() == 2
     assert tokencount.token_counts(df.limit(0), BYTE, 512).count() == 0
+
+
+def test_a_warm_cache_moves_and_encodes_no_text(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string").repartition(3)
+    where = str(tmp_path / "cache")
+    want = sorted(map(tuple, tokencount.token_counts(df, BYTE, 512, where).collect()), key=str)
+    encoded, counted = [], tokencount.counted
+    monkeypatch.setattr(tokencount, "counted", lambda found, path: encoded.append(found) or counted(found, path))
+    warm = tokencount.token_counts(df, BYTE, 512, where)
+    assert not encoded and "text" not in warm._jdf.queryExecution().toString()
+    assert sorted(map(tuple, warm.collect()), key=str) == want
+    more = df.union(spark.createDataFrame([(1000, "something new")], df.schema))
+    assert tokencount.token_counts(more, BYTE, 512, where).count() == len(want) + 1
+    plan = encoded[0]._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_counts_by_shuffle_are_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS * 2, "doc_id bigint, text string").repartition(3)
+    want = sorted(map(tuple, tokencount.token_counts(df, BYTE, 512).collect()), key=str)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, tokencount.token_counts(df, BYTE, 512).collect()), key=str) == want
