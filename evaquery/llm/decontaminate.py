@@ -5,16 +5,18 @@ repeated bit-sampling over item-sized windows proposes (window, item) pairs, and
 semi-global edit distance decides. Item and document are compared as word sequences,
 case and punctuation aside.
 
-A window within ``k`` edits of an item keeps one of any ``k + 1`` disjoint pieces of it
-whole, so only windows around a whole piece's seed words are embedded; the others are
-provably out of reach.
+The symbols that a walk writes are runs of up to three words. A repetition samples one
+step of a walk, and the bucket table holds, for every item, the symbol its own walk
+writes at that step. A window of a document is in an item's bucket if its walk writes the
+same symbol at the same step, so such windows are looked for around the places where the
+document has the symbol, and their walks are followed up to the step. An item above
+PIECE_WORDS is embedded piece by piece: one piece has no more than its share of the edits.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,11 +29,14 @@ from .common import col, sliced, texts
 
 WORD = re.compile(r"\w+")
 NOTHING, UNKNOWN = -2, -1
-SEED_WORDS = 3
-SAMPLED = 2
-#: Share of embedded positions that agree at the threshold; measured in tests, sets the repetitions.
-AGREEMENT = 0.5
-BLOCK_ITEMS = 2000
+SYMBOL_WORDS = 3
+PIECE_WORDS = 48
+#: Share of a piece's steps at which the walks of item and window agree at the threshold; measured in tests, sets the repetitions.
+AGREEMENT = 0.15
+#: Characters of benchmark text that are searched for in one pass over the documents.
+BLOCK_CHARS = 4_000_000
+#: (window, sampled step) pairs whose walks are followed at a time.
+WALKS_AT_ONCE = 1 << 20
 
 
 def words(text: str | None) -> list[str]:
@@ -39,8 +44,16 @@ def words(text: str | None) -> list[str]:
 
 
 def repetitions(recall: float) -> int:
-    """Repetitions of SAMPLED positions each that miss a pair at the threshold with probability 1 - recall."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREEMENT**SAMPLED))
+    """Repetitions of one sampled step each that miss a piece at the threshold with probability 1 - recall."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - AGREEMENT))
+
+
+def symbols(flat: np.ndarray, q: int) -> np.ndarray:
+    """A number for each run of ``q`` words of ``flat``."""
+    out = np.zeros(max(0, len(flat) - q + 1), dtype=np.int64)
+    for i in range(q):
+        out = out * np.int64(0x9E3779B97F4A7C1) + flat[i : len(flat) - q + 1 + i] + 3
+    return out
 
 
 class Items:
@@ -50,109 +63,96 @@ class Items:
         listed = [(i, words(t)) for i, t in items]
         listed = [(i, w) for i, w in listed if w]
         self.ids = [i for i, _ in listed]
-        often = Counter(w for _, own in listed for w in own)
-        self.vocabulary = {w: n for n, w in enumerate(often)}
+        self.vocabulary = {w: n for n, w in enumerate(dict.fromkeys(w for _, own in listed for w in own))}
         self.tokens = [np.array([self.vocabulary[w] for w in own], dtype=np.int64) for _, own in listed]
         self.size = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.edits = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
-        rng = np.random.default_rng(seed)
-        longest = int(self.size.max(initial=1))
-        reps = repetitions(recall)
-        self.walks = rng.integers(0, 2**63, (reps, 2 * longest + 1), dtype=np.int64) * 2 + 1
-        self.samples = np.sort(rng.random((reps, SAMPLED)), axis=1)
-        self.seeds = {q: self._seeds(q, [[often[w] for w in own] for _, own in listed]) for q in range(1, SEED_WORDS + 1)}
-        flat = np.concatenate([*self.tokens, np.zeros(0, dtype=np.int64)])
-        starts = np.cumsum(self.size) - self.size
-        self.signatures = {}
-        for n in np.unique(self.size):
-            own = np.flatnonzero(self.size == n)
-            self.signatures[int(n)] = (own, self._signed(flat, starts[own], starts[own] + n, int(n)))
-
-    def _seeds(self, q: int, often: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Packed seeds of ``q`` words, ascending and distinct, and the (item, offset) of each in a flat table."""
-        found = []
-        for item, (tokens, k) in enumerate(zip(self.tokens, self.edits)):
-            cuts = [len(tokens) * i // (int(k) + 1) for i in range(int(k) + 2)]
-            if min(SEED_WORDS, min(b - a for a, b in zip(cuts, cuts[1:]))) != q:
-                continue
-            for a, b in zip(cuts, cuts[1:]):
-                at = min(range(a, b - q + 1), key=lambda i: (sum(often[item][i : i + q]), i))
-                found.append((sum(int(t) << (21 * n) for n, t in enumerate(tokens[at : at + q])), item, at))
-        found.sort()
-        packed = np.array([f[0] for f in found], dtype=np.int64)
-        keys, first = np.unique(packed, return_index=True)
-        return keys, np.append(first, len(found)), np.array([f[1] for f in found], dtype=np.int64), np.array([f[2] for f in found], dtype=np.int64)
-
-    def _signed(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-        """(windows, repetitions) signatures of the windows of ``size`` words at ``starts``, cut at ``ends``.
-
-        A walk writes the word it stands on at every step and moves on if the hash of the
-        step and the word says so; a signature is the words written at the sampled steps.
+        rng, reps = np.random.default_rng(seed), repetitions(recall)
+        self.walks = rng.integers(0, 2**63, (reps, 2 * PIECE_WORDS), dtype=np.int64) * 2 + 1
+        self.samples = rng.random(reps)
+        self.buckets = self._buckets(similarity)
+
+    def _buckets(self, similarity: float) -> dict[int, tuple[np.ndarray, ...]]:
+        """For each symbol length: distinct symbols, ascending, where the entries of each begin,
+        and the entries' (item, repetition, step, place in the piece, place in the item, shift)."""
+        found: dict[int, list[tuple[int, ...]]] = {}
+        for item, tokens in enumerate(self.tokens):
+            n = -(-len(tokens) // PIECE_WORDS)
+            for i in range(n):
+                start, end = len(tokens) * i // n, len(tokens) * (i + 1) // n
+                k = int((1 - similarity) * (end - start) + 1e-9)
+                q = min(SYMBOL_WORDS, (end - start) // (k + 1))
+                own = symbols(tokens[start:end], q)
+                steps = (self.samples * 2 * len(own)).astype(np.int64)
+                for rep, (step, at) in enumerate(zip(steps, self._walked(own, np.zeros(len(steps), dtype=np.int64), np.arange(len(steps)), steps))):
+                    if at < len(own):
+                        found.setdefault(q, []).append((int(own[at]), item, rep, int(step), int(at), start + int(at), k))
+        out = {}
+        for q, entries in found.items():
+            table = np.array(sorted(entries), dtype=np.int64)
+            keys, first = np.unique(table[:, 0], return_index=True)
+            out[q] = (keys, np.append(first, len(table)), *table[:, 1:].T.copy())
+        return out
+
+    def _walked(self, own: np.ndarray, at: np.ndarray, rep: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Where walks that begin ``at`` places of the symbols ``own`` stand after ``steps`` steps.
+
+        A walk writes the symbol it stands on at every step and moves on if the hash of
+        the step and the symbol says so; past the last symbol it stays.
         """
-        out = np.empty((len(starts), len(self.walks)), dtype=np.int64)
-        stop = np.minimum(starts + size, ends)
-        for r, (walk, sample) in enumerate(zip(self.walks, self.samples)):
-            steps = np.minimum((sample * 2 * size).astype(np.int64), 2 * size - 1)
-            at, sign = starts.copy(), np.zeros(len(starts), dtype=np.int64)
-            for j in range(int(steps[-1]) + 1):
-                word = np.where(at < stop, flat[np.minimum(at, len(flat) - 1)], NOTHING)
-                for _ in range(int((steps == j).sum())):
-                    sign = sign * np.int64(1_000_003) + word + 3
-                at = at + (((word + 3) * walk[j]) < 0)
-            out[:, r] = sign
+        order = np.argsort(-steps, kind="stable")
+        at, rep, left = at[order], rep[order], np.searchsorted(-steps[order], -np.arange(int(steps.max(initial=0))), side="left")
+        for j, n in enumerate(left.tolist()):
+            here = at[:n]
+            inside = here < len(own)
+            here += inside & ((own[np.minimum(here, len(own) - 1)] * self.walks[rep[:n], j]) < 0)
+        out = np.empty_like(at)
+        out[order] = at
         return out
 
     def candidates(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, window start) triples, distinct, whose signatures agree in a repetition.
+        """(document, item, place where the item would begin), distinct, of windows in an item's bucket.
 
         ``flat`` holds the documents' word numbers end to end, ``starts`` where each begins and, last, ends.
         """
-        places, items = [], []
-        for q, (keys, first, item, offset) in self.seeds.items():
-            if not len(keys) or len(flat) < q:
-                continue
-            n = len(flat) - q + 1
-            known = np.logical_and.reduce([flat[i : n + i] >= 0 for i in range(q)])
-            at = np.flatnonzero(known)
-            packed = sum(flat[at + i] << np.int64(21 * i) for i in range(q))
-            near = np.minimum(np.searchsorted(keys, packed), len(keys) - 1)
-            hit = keys[near] == packed
-            at, near = at[hit], near[hit]
-            count = first[near + 1] - first[near]
-            table = np.repeat(first[near] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            places.append(np.repeat(at, count) - offset[table])
-            items.append(item[table])
-            own = np.searchsorted(starts, np.repeat(at, count), side="right") - 1
-            same = np.searchsorted(starts, np.repeat(at + q - 1, count), side="right") - 1 == own
-            places[-1], items[-1] = np.stack([places[-1], own])[:, same], items[-1][same]
-        if not places:
-            return (np.zeros(0, dtype=np.int64),) * 3
-        place, item = np.concatenate(places, axis=1), np.concatenate(items)
-        triple = np.unique(np.stack([place[1], item, place[0]]), axis=1)
         kept = [np.zeros((3, 0), dtype=np.int64)]
-        for size, (own, signed) in self.signatures.items():
-            some = triple[:, self.size[triple[1]] == size]
-            if not some.shape[1]:
-                continue
-            k = int(self.edits[own[0]])
-            shift = np.arange(-k, k + 1)
-            window = (some[2][:, None] + shift).ravel()
-            doc = np.repeat(some[0], 2 * k + 1)
-            inside = (window >= starts[doc]) & (window < starts[doc + 1])
-            agrees = np.zeros(len(window), dtype=bool)
-            want = signed[np.searchsorted(own, np.repeat(some[1], 2 * k + 1)[inside])]
-            agrees[inside] = (self._signed(flat, window[inside], starts[doc[inside] + 1], size) == want).any(axis=1)
-            kept.append(some[:, agrees.reshape(-1, 2 * k + 1).any(axis=1)])
-        return tuple(np.concatenate(kept, axis=1))
+        for q, (keys, first, item, rep, step, at_piece, at_item, shift) in self.buckets.items():
+            own = symbols(flat, q)
+            near = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            place = np.flatnonzero(keys[near] == own)
+            doc = np.searchsorted(starts, place, side="right") - 1
+            whole = place + q <= starts[doc + 1]
+            place, near = place[whole], near[place[whole]]
+            count = first[near + 1] - first[near]
+            most = 2 * int(shift.max()) + 1
+            for part in np.array_split(np.arange(len(place)), 1 + int(count.sum()) * most // WALKS_AT_ONCE):
+                n = count[part]
+                entry = np.repeat(first[near[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                stands = np.repeat(place[part], n)
+                # windows that begin up to the piece's edits away from where the item's would
+                entry, moved = (x.ravel() for x in np.broadcast_arrays(entry[:, None], np.arange(-(most // 2), most // 2 + 1)[None, :]))
+                stands = np.repeat(stands, most)
+                begins = stands - at_piece[entry] + moved
+                doc = np.searchsorted(starts, stands, side="right") - 1
+                some = (np.abs(moved) <= shift[entry]) & (begins >= starts[doc]) & (begins <= stands)
+                entry, stands, begins, doc = entry[some], stands[some], begins[some], doc[some]
+                some = self._walked(own, begins, rep[entry], step[entry]) == stands
+                kept.append(np.stack([doc[some], item[entry[some]], stands[some] - at_item[entry[some]]]))
+        doc, item, place = np.unique(np.concatenate(kept, axis=1), axis=1)
+        # places of a pair that one stretch of the document covers are compared once
+        stretch = np.stack([doc, item, place // (self.edits[item] + 1)])
+        once = np.unique(stretch, axis=1, return_index=True)[1]
+        return doc[once], item[once], place[once]
 
     def distances(self, flat: np.ndarray, starts: np.ndarray, doc: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Least edit distance of each item to any stretch of its document around ``place``."""
+        """Least edit distance of each item to any stretch of its document that begins within
+        its edits before ``place``, or twice its edits after it."""
         out = np.full(len(doc), np.iinfo(np.int64).max, dtype=np.int64)
         for one in np.unique(item):
             mine = np.flatnonzero(item == one)
             tokens, k = self.tokens[one], int(self.edits[one])
-            for part in np.array_split(mine, 1 + len(mine) * (len(tokens) + 4 * k) // 2_000_000):
-                at = place[part][:, None] + np.arange(-2 * k, len(tokens) + 2 * k)
+            for part in np.array_split(mine, 1 + len(mine) * (len(tokens) + 5 * k) // 2_000_000):
+                at = place[part][:, None] + np.arange(-k, len(tokens) + 3 * k)
                 inside = (at >= starts[doc[part]][:, None]) & (at < starts[doc[part] + 1][:, None])
                 region = np.where(inside, flat[np.clip(at, 0, max(0, len(flat) - 1))], NOTHING)
                 steps = np.arange(region.shape[1] + 1)
@@ -182,10 +182,10 @@ class Items:
 
 
 def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.99) -> Iterator[Items]:
-    """The benchmark in blocks of about BLOCK_ITEMS, so what a task is sent stays bounded however
+    """The benchmark in blocks of about BLOCK_CHARS, so what a task is sent stays bounded however
     large the benchmark is; every block is searched for in every document."""
     own = items.select(col(id_col).cast("bigint").alias("item_id"), col(text_col).alias("text"))
-    n = max(1, -(-own.count() // BLOCK_ITEMS))
+    n = max(1, -(-(own.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     for b in range(n):
         rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else own
         yield Items(sorted(((r["item_id"], r["text"]) for r in rows.collect()), key=str), similarity, recall)

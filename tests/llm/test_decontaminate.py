@@ -60,18 +60,39 @@ def test_finds_what_brute_force_finds():
     assert found > 400 and missed <= 0.01 * found, (found, missed)
 
 
+def edited(own, k, rnd):
+    own = list(own)
+    for _ in range(k):
+        at = rnd.randrange(len(own))
+        own[at : at + rnd.randint(0, 1)] = ["other%d" % rnd.randrange(10**6)] * rnd.randint(0, 1)
+    return own
+
+
 def test_agreement_at_the_threshold_is_at_least_what_the_repetitions_assume():
-    docs, items = corpus(3, n_items=40)
-    long = [(i, t) for i, t in items if len(t.split()) >= 15]
-    block, rnd, agree = dc.Items(long), random.Random(0), []
-    for place, (_, t) in enumerate(long):
-        tokens, n = block.tokens[place].copy(), int(block.size[place])
-        for _ in range(int(block.edits[place])):
-            tokens[rnd.randrange(n)] = -1
-        own, signed = block.signatures[n]
-        got = block._signed(tokens, np.array([0]), np.array([n]), n)
-        agree.append((got == signed[list(own).index(place)]).mean())
-    assert np.mean(agree) >= dc.AGREEMENT**dc.SAMPLED
+    rnd, agree = random.Random(0), []
+    for n in [*range(15, dc.PIECE_WORDS + 1, 3)] * 4:
+        item = ["w%d" % rnd.randrange(5000) for _ in range(n)]
+        block = dc.Items([(0, " ".join(item))])
+        own = edited(item, int(block.edits[0]), rnd)
+        flat = np.array([block.vocabulary.get(w, -1) for w in own])
+        for q, (_, first, _, rep, step, _, _, _) in block.buckets.items():
+            text = dc.symbols(flat, q)
+            at = block._walked(text, np.zeros(len(rep), dtype=np.int64), rep, step)
+            symbol = np.repeat(block.buckets[q][0], np.diff(first))
+            agree.append((np.append(text, 0)[np.minimum(at, len(text))] == symbol).mean())
+    assert np.mean(agree) >= dc.AGREEMENT
+
+
+def test_long_items_are_found_at_the_threshold():
+    rnd, found, asked = random.Random(5), 0, 0
+    for n in (60, 100, 200, 500, 900):
+        items = [(i, " ".join("w%d" % rnd.randrange(3000) for _ in range(n))) for i in range(12)]
+        block = dc.Items(items)
+        docs = [" ".join(["pad"] * 30 + edited(t.split(), n // 5, rnd) + ["pad"] * 30) for _, t in items]
+        got = {(d, i) for d, i, *_ in block.find(docs)}
+        asked += len(items)
+        found += sum((i, i) in got for i in range(len(items)))
+    assert found >= 0.99 * asked, (found, asked)
 
 
 def test_frames(spark):
@@ -95,5 +116,5 @@ def test_blocks_find_the_same(spark, monkeypatch):
     docs, items = corpus(11, n_docs=40)
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     whole = sorted((r.doc_id, r.item_id) for r in dc.contamination(d, b).collect())
-    monkeypatch.setattr(dc, "BLOCK_ITEMS", 9)
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 900)
     assert sorted((r.doc_id, r.item_id) for r in dc.contamination(d, b).collect()) == whole and whole
