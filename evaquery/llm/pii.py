@@ -34,35 +34,70 @@ LOOK_ALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕѵԁԛԝҺһΑ
 SIGNS = {"﹫": "@", "․": ".", "。": ".", "｡": ".", "﹒": ".", "·": ".", "−": "-", "﹣": "-", "﹘": "-", "⁻": "-", "﹢": "+", "⁺": "+"}
 #: Code points that show nothing.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-#: Digits spelled in the four languages of the corpus.
+#: Digits spelled in four languages.
 SPELLED = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
     "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
 }
+#: The numbers from ten on that are one word, and the tens that a unit may follow.
+TEENS = {
+    "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
+    "zehn": 10, "elf": 11, "zwölf": 12, "dreizehn": 13, "vierzehn": 14, "fünfzehn": 15, "sechzehn": 16, "siebzehn": 17, "achtzehn": 18, "neunzehn": 19,
+    "diez": 10, "once": 11, "doce": 12, "trece": 13, "catorce": 14, "quince": 15,
+    "dix": 10, "onze": 11, "douze": 12, "treize": 13, "quatorze": 14, "quinze": 15, "seize": 16,
+}
+TENS = {
+    "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
+    "zwanzig": 20, "dreißig": 30, "vierzig": 40, "fünfzig": 50, "sechzig": 60, "siebzig": 70, "achtzig": 80, "neunzig": 90,
+    "veinte": 20, "treinta": 30, "cuarenta": 40, "cincuenta": 50, "sesenta": 60, "setenta": 70, "ochenta": 80, "noventa": 90,
+    "vingt": 20, "trente": 30, "quarante": 40, "cinquante": 50, "soixante": 60,
+}
+#: Words for the sign in the middle of an address and for the dot, in the four languages.
+AT_WORDS = ("at", "ät", "arroba", "arobase", "klammeraffe")
+DOT_WORDS = ("dot", "punkt", "punto", "point")
+#: Endings that make "name at host.ending" an address, and words before "at" that do not name anyone.
+ENDINGS = "com org net edu gov mil int info biz name io co ai app dev me tv eu de at ch fr es it nl be pt pl uk ie us ca mx ar br cl au nz in jp cn ru se no dk fi example test".split()
+NOT_NAMES = (
+    "a an the this that these those it its he she they we you i us them him her and or but is are was were be been am do does did has had have look looks looked looking see seen available "
+    "found find hosted live lives lived meet met meeting visit visits online site website page pages home here there more read learn about out up down now not only also still even just back "
+    "get got go went come work works worked working stay start started starting end arrive arrived held aimed order buy sold sale shop price priced all one once both others people team support"
+).split()
 #: Fewer spelled or written digits than this in a row are ordinary prose.
 LEAST_DIGITS = 4
 
-_WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
+_alternatives = lambda words: "|".join(sorted(words, key=len, reverse=True))
+_UNIT, _TEEN, _TEN = _alternatives(w for w, d in SPELLED.items() if d), _alternatives(TEENS), _alternatives(TENS)
+_GERMAN = {u + "und" + t: TENS[t] + d for t in list(TENS)[8:16] for u, d in (("ein", 1), ("zwei", 2), ("drei", 3), ("vier", 4), ("fünf", 5), ("sechs", 6), ("sieben", 7), ("acht", 8), ("neun", 9))}
+_NUMBER = {**SPELLED, **TEENS, **TENS, **_GERMAN}
+_WORDS = rf"(?:{_TEN})(?:[\s-]{{1,2}}(?:(?:y|et)[\s-]{{1,2}})?(?:{_UNIT})\b)?|{_alternatives([*_GERMAN, *TEENS, *SPELLED])}"
 _APART = bytes(c if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in range(256))
 #: Words that call for a closer look; "un" is too common to, and never stands alone in a number.
-_SIGNALS = frozenset(w.encode() for w in (*SPELLED, "dot") if w != "un")
+_SIGNALS = frozenset(w.encode() for w in (*_NUMBER, *DOT_WORDS, "arroba", "arobase", "klammeraffe") if w != "un")
 _GAP = r"[\s,-]{1,3}"
-_RUN = re.compile(rf"\b(?:plus{_GAP})?(?:{_WORDS}|[0-9]{{1,19}})(?:{_GAP}(?:{_WORDS}|dot|[0-9]{{1,19}}))+\b", re.I)
-_PART = re.compile(rf"plus|dot|{_WORDS}|[0-9]+", re.I)
-_AT_MARK = r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}"
-_DOT_MARK = r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}"
+_RUN = re.compile(rf"\b(?:(?:plus|más){_GAP})?(?:{_WORDS}|[0-9]{{1,19}})(?:{_GAP}(?:{_WORDS}|{_alternatives(DOT_WORDS)}|[0-9]{{1,19}}))+\b", re.I)
+_PART = re.compile(rf"plus|más|{_alternatives(DOT_WORDS)}|{_WORDS}|[0-9]+", re.I)
+_AT_MARK = rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_alternatives(AT_WORDS)}|@)\s{{0,3}}[\])}}>]\s{{0,3}}"
+_AT_SURE = rf"(?:{_AT_MARK}|\s{{1,3}}(?:arroba|arobase|klammeraffe)\s{{1,3}})"
+_DOT_MARK = rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_alternatives(DOT_WORDS)}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}"
 _DOT = rf"(?:{_DOT_MARK}|\s{{1,3}}dot\s{{1,3}})"
+_DOT_ANY = rf"(?:{_DOT_MARK}|\s{{1,3}}(?:{_alternatives(DOT_WORDS)})\s{{1,3}})"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
+_LOCAL_PART = r"[A-Za-z0-9._%+-]{1,64}"
+_ENDING = rf"(?:{_alternatives(ENDINGS)})(?![A-Za-z0-9-]|\.[A-Za-z0-9])"
 _MARKED = re.compile(rf"{_AT_MARK}|{_DOT_MARK}", re.I)
+#: A bare "at" before a host that is written plainly.
+_BARE = re.compile(rf"\sat\s{{1,3}}(?:{_LABEL}\.){{1,9}}{_ENDING}", re.I)
 _ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9._%+-]{{1,64}}){{0,4}}"
-    rf"(?:{_AT_MARK}{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|(?:\s{{1,3}}at\s{{1,3}}|@){_LABEL}(?:\.{_LABEL}){{0,9}}(?:{_DOT}{_LABEL})+)",
+    rf"(?<![A-Za-z0-9._%+-])(?:"
+    rf"{_LOCAL_PART}(?:{_DOT_ANY}{_LOCAL_PART}){{0,4}}{_AT_SURE}{_LABEL}(?:(?:{_DOT_ANY}|\.){_LABEL})+"
+    rf"|{_LOCAL_PART}(?:{_DOT}{_LOCAL_PART}){{0,4}}(?:\s{{1,3}}at\s{{1,3}}|@){_LABEL}(?:\.{_LABEL}){{0,9}}(?:{_DOT}{_LABEL})+"
+    rf"|(?!(?:{_alternatives(NOT_NAMES)})\s){_LOCAL_PART}\s{{1,3}}at\s{{1,3}}(?:{_LABEL}\.){{1,9}}{_ENDING})",
     re.I,
 )
-_NUMBERS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_MARKS = re.compile(rf"(?P<at>{_AT_MARK}|\s{{1,3}}at\s{{1,3}})|(?P<dot>{_DOT})", re.I)
+_NUMBERS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT_ANY}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_MARKS = re.compile(rf"(?P<at>{_AT_SURE}|\s{{1,3}}at\s{{1,3}})|(?P<dot>{_DOT_ANY})", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -150,9 +185,11 @@ def has_odd_characters(text: str) -> bool:
 
 
 def has_signals(text: str) -> bool:
-    """Whether a bracketed at or dot, a spelled digit or the word dot occurs."""
+    """Whether a bracketed at or dot, a spelled number, a word for at or dot, or a bare at before a host occurs."""
     if any(c in text for c in "[({<") and _MARKED.search(text):
         return True
+    if _BARE.search(text):
+        return True
     lower = text if text.isascii() else text.lower()
     return not _SIGNALS.isdisjoint(lower.encode("utf-8", "surrogatepass").lower().translate(_APART).split())
 
@@ -198,10 +235,19 @@ class Mapped:
         return self.start[i], self.end[j - 1]
 
 
+def _number(words: str) -> str:
+    """The digits of a written or spelled number, of ten and a unit as well."""
+    if words.isdigit():
+        return words
+    parts = [w for w in re.split(r"[\s-]+", words) if w not in ("y", "et")]
+    return str(sum(_NUMBER[w] for w in parts))
+
+
 def _digits(m: re.Match[str]) -> str | None:
     parts = [p.lower() for p in _PART.findall(m.group())]
-    made = "".join({"plus": "+", "dot": "."}.get(p, str(SPELLED.get(p, p))) for p in parts)
-    spelled = any(p in SPELLED for p in parts)
+    signs = {"plus": "+", "más": "+", **dict.fromkeys(DOT_WORDS, ".")}
+    made = "".join(signs.get(p) or _number(p) for p in parts)
+    spelled = any(p not in signs and not p.isdigit() for p in parts)
     return made if spelled and sum(c.isdigit() for c in made) >= LEAST_DIGITS else None
 
 
