@@ -124,11 +124,11 @@ def train(rows: list[tuple[str, str]], width: int = 16, epochs: int = 6, rate: f
     return model
 
 
-def fit(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 1000, max_labels: int = 50) -> Model:
-    """Trains on rows of ``docs`` where ``train_on`` holds and the language is known:
-    about ``per_label`` of each of the ``max_labels`` most frequent languages."""
+def fit(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 1000, most_rows: int = 50_000) -> Model:
+    """Trains on rows of ``docs`` where ``train_on`` holds and the language is known: about
+    ``per_label`` of every language, fewer of each if they would exceed ``most_rows`` in all."""
     own = docs.where(train_on).select(col(id_col).cast("bigint").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"), col(lang_col).alias("lang"))
-    return train([(r["text"], r["lang"]) for r in sampled(own, "lang", per_label, max_labels)])
+    return train([(r["text"], r["lang"]) for r in sampled(own, "lang", per_label, most_rows)])
 
 
 def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +136,8 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
     A null text, an empty one, one without a letter, or an untrained model give ``und``,
     score 0 and rejected. ``rejected`` otherwise marks a calibrated probability under
-    the model's threshold. An empty table gives no rows.
+    the model's threshold. Of languages that tie, the first by name is given; equal texts
+    get equal answers, repeated rows repeat, a null doc_id stays null. An empty table gives no rows.
     """
 
     def rows(x: dict[str, list]) -> dict[str, list]:

@@ -130,25 +130,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc
     """Trains on rows of ``docs`` that have a 0/1 label and for which ``train_on`` (over doc_id) holds.
 
     About ``per_label`` ids of each label are drawn, by the hash of doc_id, from the
-    labels alone; their texts come to the driver, and no other text moves.
+    labels alone; their texts come to the driver, one for each id (the least of rows that
+    share an id), and no other text moves.
     Labels of a doc_id that disagree, and null ones, are left out.
     """
     known = labels.select(col(id_col).cast("bigint").alias("doc_id"), col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(train_on).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
-    picked = sampled(known, "label", per_label, 2)
+    picked = sampled(known, "label", per_label, 2 * per_label)
     if not picked:
         return train([], n_meta=len(meta_cols))
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in picked], "doc_id bigint, label int")
-    own = texts(docs, id_col, text_col, *meta_cols).join(F.broadcast(chosen), "doc_id")  # as many rows as were drawn
-    rows = sorted(own.collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return train([(r["text"], tuple(r[m] for m in meta_cols), r["label"]) for r in rows], n_meta=len(meta_cols))
+    own = texts(docs, id_col, text_col, *meta_cols).join(F.broadcast(chosen), "doc_id")
+    once = own.groupBy("doc_id", "label").agg(F.min(F.struct("text", *map(col, meta_cols))).alias("x"))
+    rows = sorted(once.collect(), key=lambda r: r["doc_id"])
+    return train([(r["x"]["text"], tuple(r["x"][m] for m in meta_cols), r["label"]) for r in rows], n_meta=len(meta_cols))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("n_chars",)) -> DataFrame:
     """(doc_id, score, predicted): one row for each row of ``docs``, from its whole text.
 
-    A null text scores as an empty one; null metadata is a value of its own; repeated
-    rows repeat; an empty table gives no rows. predicted is 1 if score >= 0.5.
+    A null text scores as an empty one; null metadata is a value of its own; equal rows
+    score equally and repeat; a null doc_id stays null; an empty table gives no rows.
+    predicted is 1 if score >= 0.5, a tie of both labels included.
     """
 
     def rows(x: dict[str, list]) -> dict[str, list]:

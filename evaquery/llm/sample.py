@@ -11,18 +11,22 @@ def fold(id_column: Column, folds: int) -> Column:
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
-def sampled(rows: DataFrame, label: str, per_label: int, max_labels: int, key: str = "doc_id", seed: int = 17) -> list:
-    """About ``per_label`` rows of each of the ``max_labels`` most frequent labels, collected.
+def sampled(rows: DataFrame, label: str, per_label: int, most_rows: int, key: str = "doc_id", seed: int = 17) -> list:
+    """About ``per_label`` rows of every label, fewer of each if they would exceed ``most_rows``, collected.
 
-    Labels are counted over all rows; a row is taken if the hash of its key falls under
-    its label's share, so the same table gives the same sample in any partitioning. At
-    most 1.3 * per_label + 50 rows of a label come to the driver.
+    Labels are counted over all rows, and none is left out; a row is taken if the hash of
+    its key falls under its label's share, so the same table gives the same sample in any
+    partitioning. At most 1.3 times the rows of a label's share, and 50, come to the driver.
+    With more labels than ``most_rows`` there is no such sample, which is an error.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(label).limit(most_rows + 1).collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(1.0, per_label / r["count"]))])
+    if len(counts) > most_rows:
+        raise ValueError(f"more than {most_rows} labels")
+    each = min(per_label, most_rows // len(counts))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(1.0, each / r["count"]))])
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    bound = sum(min(r["count"], int(1.3 * per_label) + 50) for r in counts)
+    bound = sum(min(r["count"], int(1.3 * each) + 50) for r in counts)
     taken = rows.where(draw < share[F.col(label)]).limit(bound).collect()
     return sorted(taken, key=lambda r: (r[key] is None, *map(str, r)))
