@@ -71,6 +71,23 @@ def small(table: DataFrame, beyond: str = "merge") -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint(beyond)
 
 
+#: A key with more than one in so many of all rows is hot; there are fewer hot keys than this.
+HOT_SHARE = 2000
+
+
+def joined_by(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """``left`` with the columns of ``right``, which has a row a key or none, as a left join.
+
+    ``sizes`` has the rows (key, n) of every key of ``left``. Rows of hot keys, of which
+    there are at most HOT_SHARE, meet a broadcast of theirs where they are; all others
+    are joined by shuffle, so no task gets more than its share of one key.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = stored(sizes.where(F.col("n") * HOT_SHARE > total).select(key).join(right, key, "left"))
+    spread = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, "left")
+    return left.join(F.broadcast(hot), key).unionByName(spread)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder is there, on whatever file system its path names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

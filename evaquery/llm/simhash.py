@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, small, stored, texts
+from .common import arrow_map, col, joined_by, small, stored, texts
 from .graph import connected_components
 
 SEED = 42
@@ -233,17 +233,16 @@ def _groups(own: DataFrame, keyed: Callable[[DataFrame], DataFrame], distance: i
     """(doc_id, fp, component_id) of (doc_id, fp) rows, links made in the buckets that ``keyed`` gives.
 
     Copies meet once as a distinct fingerprint before any comparison. Only fingerprints
-    that are linked get another id than their own least one; what is joined on a hot
-    fingerprint or component is broadcast if counted small and stored before the join
-    beyond that, so that a hot key can be split.
+    that are linked get another id than their own least one, and rows of hot fingerprints
+    are not dealt by fingerprint.
     """
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(links(in_tiles(keyed(distinct.select("fp")), distinct.count()), distance))
     linked = stored(distinct.join(small(roots.withColumnRenamed("node", "fp")), "fp"))
     least = stored(linked.groupBy("root").agg(F.min("first").alias("component_id")))
     moved = stored(linked.join(small(least), "root").select("fp", F.col("component_id").alias("moved")))
     of = stored(distinct.join(small(moved), "fp", "left").select("fp", F.coalesce("moved", "first").alias("component_id")))
-    return own.join(small(of), "fp", "left").select("doc_id", "fp", "component_id")
+    return joined_by(own, of, "fp", distinct).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:

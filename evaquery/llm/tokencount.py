@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import SPACED, Cached, library_pieces, library_tokenizer
-from .common import arrow_map, exists, shared_dir, small, stored, texts
+from .common import BROADCAST_ROWS, arrow_map, exists, joined_by, shared_dir, stored, texts
 
+#: A corpus of which the cache lacks more than one digest in so many is a new one.
+NEW_SHARE = 50
 STORED = "content binary, n_tokens bigint, tokenizer string"
 
 
@@ -68,9 +70,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, cache_path: str |
     as far as no count can change: a null text counts as empty. ``cache_path`` is a Parquet
     folder that outlives the call (None: one of its own). Copies, of one document or of
     a third of all rows, meet as one digest; of each missing digest the text of its least
-    doc_id is encoded. Texts stay where they are read if the missing digests are few (none
-    with a warm cache); if they are many, which is a corpus not seen before, texts are
-    dealt to the tasks that encode them. A null doc_id stays null, repeated rows repeat,
+    doc_id is encoded. Texts stay where they are read if the cache lacks few digests, at
+    most one in NEW_SHARE, which go to them; the texts of a new corpus are dealt to the
+    tasks that encode them. A null doc_id stays null, repeated rows repeat,
     an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -78,10 +80,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, cache_path: str |
     cache_path = cache_path or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     own = texts(docs, id_col, text_col).withColumn("content", F.unhex(F.sha2("text", 256)))
     thin = stored(own.select("doc_id", "content", F.octet_length("text").cast("bigint").alias("n_bytes")))
-    distinct = thin.groupBy("content").agg(F.min("doc_id").alias("rep"))
+    distinct = stored(thin.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     missing = stored(distinct.join(cached_counts(spark, cache_path, version), "content", "left_anti").select(F.col("content").alias("c"), "rep"))
     if not missing.isEmpty():
-        found = own.join(small(missing, "shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("content") == F.col("c")), "left_semi")
+        n = missing.count()
+        warm = n * NEW_SHARE <= distinct.count() and n <= BROADCAST_ROWS
+        wanted = F.broadcast(missing) if warm else missing.hint("shuffle_hash")
+        found = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("content") == F.col("c")), "left_semi")
         counted(found, tokenizer).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     counts = stored(cached_counts(spark, cache_path, version))
-    return thin.join(small(counts), "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return joined_by(thin, counts, "content", distinct).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -129,6 +129,7 @@ def test_buckets_in_tiles_give_the_same(spark, monkeypatch):
     wide = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
     monkeypatch.setattr(simhash, "CHUNK", 6)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 30)
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == wide
 

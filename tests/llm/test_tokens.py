@@ -112,5 +112,6 @@ def test_a_warm_cache_moves_and_encodes_no_text(spark, tmp_path, monkeypatch):
 def test_counts_by_shuffle_are_the_same(spark, monkeypatch):
     df = spark.createDataFrame(ROWS * 2, "doc_id bigint, text string").repartition(3)
     want = sorted(map(tuple, tokencount.token_counts(df, BYTE, 512).collect()), key=str)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tokencount, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 40)
     assert sorted(map(tuple, tokencount.token_counts(df, BYTE, 512).collect()), key=str) == want
