@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import boxes_meet, distance, rect
+from ..sources.storage import stored
 
 
 def tiles(df: DataFrame, size: float, r: dict[str, Column]) -> DataFrame:
@@ -46,19 +47,38 @@ def within(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
 def nearest(points: DataFrame, targets: DataFrame, key: str, target: str) -> DataFrame:
     """(key, target, d2): each point's nearest target, the least target id on ties.
 
-    ``targets`` is a bounded set (exits, nodes of a building): it is matched as a whole
-    against every point, and reduced by an aggregate, not a window.
+    Looks within a radius, at first that of one target's share of the floor, and doubles
+    it for the points that found none, so a point meets the targets around it and not
+    all. Points and targets without a place are left out; no targets give no rows.
     """
-    d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
-    listed = targets.select(F.col(target), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    own = points.select(F.col(key), "x", "y").join(listed, how="cross")
-    best = own.groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col(target))).alias("b"))
-    return best.select(key, F.col("b")[target].alias(target), F.col("b")["d2"].alias("d2"))
-
-
-def in_interval(times: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Rows of ``times`` (key, t) and of ``spans`` (key, start, dur) with start <= t <= start + dur."""
-    return times.join(spans, key).where("t >= start and t <= start + dur")
+    placed = lambda df, name: df.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(F.col(name), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    goals, left = stored(placed(targets, target).withColumnRenamed(target, "goal")), stored(placed(points, key))
+    box = goals.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{p}{c}") for c in "xy" for p, f in (("low", F.min), ("high", F.max))]).first()
+    found = left.select(F.col(key), F.lit(None).cast(goals.schema["goal"].dataType).alias(target), F.lit(None).cast("double").alias("d2")).limit(0)
+    if not box["n"]:
+        return found
+    wide, high = box["highx"] - box["lowx"], box["highy"] - box["lowy"]
+    radius = max((wide * high / box["n"]) ** 0.5, (wide + high) / box["n"], 1e-6) or 1.0
+    while not left.isEmpty():
+        d2 = (F.col("p_x") - F.col("t_x")) * (F.col("p_x") - F.col("t_x")) + (F.col("p_y") - F.col("t_y")) * (F.col("p_y") - F.col("t_y"))
+        best = within(left, goals, radius).groupBy(F.col(f"p_{key}").alias(key)).agg(F.min(F.struct(d2.alias("d2"), F.col("t_goal").alias("goal"))).alias("b"))
+        near = stored(best.select(key, F.col("b.goal").alias(target), F.col("b.d2").alias("d2")))
+        found, left, radius = found.unionByName(near), stored(left.join(near.select(key), key, "left_anti")), 2 * radius
+    return found
+
+
+def in_interval(times: DataFrame, spans: DataFrame, key: str, bucket: float | None = None) -> DataFrame:
+    """Rows of ``times`` (key, t) and of ``spans`` (key, start, dur) with start <= t <= start + dur.
+
+    Joins on key and stretch of time, so a time meets the spans around it and not all of
+    its key. A stretch is ``bucket`` long, the mean of the spans if none is given, so the
+    spans lie in about two stretches each. Spans that end before they start hold no time.
+    """
+    if bucket is None:
+        bucket = spans.where("dur >= 0").agg(F.avg(F.col("dur").cast("double"))).first()[0] or 1.0
+    at = lambda t: F.floor(t.cast("double") / bucket)
+    cut = spans.where("start is not null and dur >= 0").withColumn("__at", F.explode(F.sequence(at(F.col("start")), at(F.col("start") + F.col("dur")))))
+    return times.withColumn("__at", at(F.col("t"))).join(cut, [key, "__at"]).where("t >= start and t <= start + dur").drop("__at")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +26,33 @@ def mean_of_last(df: DataFrame, keys: list[str], ts: str, tie: str, value: str,
 def ema(df: DataFrame, key: str, ts: str, value: str, alpha: float = 0.3, first: float = 1.0) -> DataFrame:
     """(key, ema, n): exponential moving average over a key's rows in order of time, from ``first`` on.
 
-    A fold over the key's ordered values; a key is one sensor or node, whose series is short.
+    A row weighs alpha * (1 - alpha) ** (rows after it), so the average is a sum, and no
+    task holds a series. Equal times go by value; null values count as no row.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    after = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts), F.desc(value))) - 1
+    weighed = rows.select(key, (F.pow(F.lit(1 - alpha), after) * alpha * F.col(value)).alias("x"))
+    sums = weighed.groupBy(key).agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    return sums.select(key, F.round(F.col("x") + first * F.pow(F.lit(1 - alpha), "n"), 6).alias("ema"), "n")
+
+
+def smoothed(df: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
+    """The rows (key, order, value), each value the moving average up to it, from the key's first value on.
+
+    Rows are dealt by key, sorted by Spark and streamed: a task holds a batch and one average.
     """
-    series = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts, value))).alias("s"))
-    step = lambda acc, x: acc * (1 - alpha) + x[value] * alpha
-    return series.select(key, F.round(F.aggregate("s", F.lit(first), step), 6).alias("ema"), F.size("s").alias("n"))
+    own = df.select(key, order, value)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, mean = None, 0.0
+        for rows in batches:
+            out = []
+            for k, x in zip(rows[key].tolist(), rows[value].tolist()):
+                at, mean = (at, alpha * x + (1 - alpha) * mean) if at == (k,) else ((k,), x)
+                out.append(mean)
+            yield rows.assign(**{value: out})
+
+    return own.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, own.schema)
 
 
 def changes(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

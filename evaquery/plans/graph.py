@@ -31,59 +31,63 @@ def _searched(both: DataFrame, sources: DataFrame) -> DataFrame:
         for rows in batches:
             out = []
             for source in rows["node"].tolist():
-                done, heap = set(), [(0.0, -1, source)]
+                done, heap = set(), [(0.0, 0, source, source)]
                 while heap:
-                    cost, before, node = heapq.heappop(heap)
+                    cost, legs, before, node = heapq.heappop(heap)
                     if node in done:
                         continue
                     done.add(node)
-                    out.append((source, node, cost, None if before == -1 and node == source else before))
+                    out.append((source, node, cost, before if legs else None))
                     for other, w in near.get(node, ()):
                         if other not in done:
-                            heapq.heappush(heap, (cost + w, node, other))
+                            heapq.heappush(heap, (cost + w, legs + 1, node, other))
             yield pd.DataFrame(out, columns=["source", "node", "cost", "previous"]).astype({"previous": "Int64"})
 
     kind = sources.schema["node"].dataType.simpleString()
-    return sources.select("node").distinct().mapInPandas(run, f"source {kind}, node {kind}, cost double, previous long")
+    return sources.select("node").where("node is not null").distinct().mapInPandas(run, f"source {kind}, node {kind}, cost double, previous long")
 
 
-def distances(edges: DataFrame, sources: DataFrame, rounds: int = 200, small: int = SMALL_GRAPH) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(source, node, cost, previous): least costs from each source over undirected edges.
 
-    Relaxes from the nodes that improved in the round before; a round is one reduction by
-    node, a minimum taken before the exchange, and one join with what is known, written
-    once. Ties take the least previous node. Edges without a weight, or with a negative
-    one, do not exist; unreachable nodes have no row.
+    Of routes of equal cost the one of fewer legs is taken, of those the one whose last
+    node before is least, so a small graph and a large one give the same rows. A large
+    one is relaxed, from the nodes that improved in the round before, until none does; a
+    round is one reduction by node, a minimum taken before the exchange, and one join
+    with what is known, written once. Edges with a null end or weight, or a negative
+    weight, do not exist; unreachable nodes have no row.
     """
-    both = stored(symmetric(edges).where("weight is not null and weight >= 0"))
+    both = stored(symmetric(edges).where("u is not null and v is not null and weight is not null and weight >= 0"))
     if both.count() <= small:
         return _searched(both, sources)
+    own = sources.select("node").where("node is not null").distinct()
     nothing = F.lit(None).cast("long")
-    state = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("double").alias("cost"), nothing.alias("previous"), F.lit(True).alias("fresh")).distinct())
-    for _ in range(rounds):
-        step = F.struct((F.col("cost") + F.col("weight")).alias("cost"), F.col("u").cast("long").alias("previous"))
+    state = stored(own.select(F.col("node").alias("source"), "node", F.lit(0).cast("double").alias("cost"), F.lit(0).alias("legs"), nothing.alias("previous"), F.lit(True).alias("fresh")))
+    while not state.where("fresh").isEmpty():
+        step = F.struct((F.col("cost") + F.col("weight")).alias("cost"), (F.col("legs") + 1).alias("legs"), F.col("u").cast("long").alias("previous"))
         reached = state.where("fresh").join(both, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), step.alias("c"))
         least = reached.groupBy("source", "node").agg(F.min("c").alias("c"))
-        better = F.col("c").isNotNull() & (F.col("cost").isNull() | (F.col("c.cost") < F.col("cost")))
+        better = F.col("c").isNotNull() & (F.col("cost").isNull() | (F.struct("c.cost", "c.legs") < F.struct("cost", "legs")))
         pick = lambda name: F.when(better, F.col(f"c.{name}")).otherwise(F.col(name)).alias(name)  # noqa: B023,E731
-        state = stored(state.drop("fresh").join(least, ["source", "node"], "full").select("source", "node", pick("cost"), pick("previous"), better.alias("fresh")))
-        if state.where("fresh").isEmpty():
-            return state.drop("fresh")
-    raise RuntimeError(f"costs still fall after {rounds} rounds")
+        state = stored(state.drop("fresh").join(least, ["source", "node"], "full").select("source", "node", pick("cost"), pick("legs"), pick("previous"), better.alias("fresh")))
+    return state.drop("fresh", "legs")
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 200, small: int = SMALL_GRAPH) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(node, root): the least node that undirected ``links`` (u, v) reach, itself if none.
 
-    Labels fall to the least of a node's neighbours and then to the label of the label,
-    so rounds grow with the logarithm of the longest path.
+    Links with a null end do not exist. Labels fall to the least of a node's neighbours
+    and then to the label of the label, so rounds grow with the logarithm of the longest
+    path; they end when no label falls.
     """
-    both = stored(links.select("u", "v").union(links.select("v", "u")))
+    known = links.where("u is not null and v is not null")
+    both = stored(known.select("u", "v").union(known.select("v", "u")))
     if both.count() <= small:
         own: dict[int, int] = {}
 
         def root(x: int) -> int:
             while own.setdefault(x, x) != x:
+                own[x] = own.setdefault(own[x], own[x])
                 x = own[x]
             return x
 
@@ -94,7 +98,7 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 200, small: int
         named = nodes.sparkSession.createDataFrame([(x, root(x)) for x in own], f"k {kind}, least {kind}")
         return nodes.select("node").distinct().join(F.broadcast(named), F.col("node") == F.col("k"), "left").select("node", F.coalesce("least", "node").alias("root"))
     label = stored(nodes.select("node", F.col("node").alias("root")).distinct())
-    for _ in range(rounds):
+    while True:
         heard = both.join(label, F.col("u") == F.col("node")).groupBy("v").agg(F.min("root").alias("heard"))
         near = label.join(heard, F.col("node") == F.col("v"), "left").select("node", "root", F.least("root", F.coalesce("heard", "root")).alias("next"))
         jump = near.select(F.col("node").alias("k"), F.col("next").alias("then"))
@@ -102,7 +106,46 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 200, small: int
         label = moved.select("node", F.col("next").alias("root"))
         if moved.where("next <> root").isEmpty():
             return label
-    raise RuntimeError(f"labels still fall after {rounds} rounds")
+
+
+def reach(edges: DataFrame, targets: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """(node, target, cost): the cheapest of all ``targets`` (node) for every node that reaches one.
+
+    One search from all targets at once, so its rows grow with the nodes and not with
+    nodes times sources. Of targets at equal cost the least is taken.
+    """
+    both = stored(symmetric(edges).where("u is not null and v is not null and weight is not null and weight >= 0"))
+    own = targets.select("node").where("node is not null").distinct()
+    kind = targets.schema["node"].dataType.simpleString()
+    if both.count() <= small:
+        near: dict[int, list[tuple[int, float]]] = {}
+        for u, v, w in both.collect():
+            near.setdefault(u, []).append((v, float(w)))
+        heap, done = [(0.0, t, t) for (t,) in own.join(both.select(F.col("u").alias("node")), "node", "left_semi").collect()], {}
+        heapq.heapify(heap)
+        while heap:
+            cost, target, node = heapq.heappop(heap)
+            if node not in done:
+                done[node] = (node, target, cost)
+                for other, w in near.get(node, ()):
+                    if other not in done:
+                        heapq.heappush(heap, (cost + w, target, other))
+        found = targets.sparkSession.createDataFrame(list(done.values()), f"node {kind}, target {kind}, cost double")
+        alone = own.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("target"), F.lit(0.0).alias("cost"))
+        return found.unionByName(alone)
+    state = stored(own.select("node", F.struct(F.lit(0).cast("double").alias("cost"), F.col("node").alias("target")).alias("best"), F.lit(True).alias("fresh")))
+    while not state.where("fresh").isEmpty():
+        step = F.struct((F.col("best.cost") + F.col("weight")).alias("cost"), F.col("best.target").alias("target"))
+        least = state.where("fresh").join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node"), step.alias("c")).groupBy("node").agg(F.min("c").alias("c"))
+        better = F.col("c").isNotNull() & (F.col("best").isNull() | (F.col("c") < F.col("best")))
+        state = stored(state.drop("fresh").join(least, "node", "full").select("node", F.when(better, F.col("c")).otherwise(F.col("best")).alias("best"), better.alias("fresh")))
+    return state.select("node", "best.target", "best.cost")
+
+
+def reachable(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """(node, n): how many nodes each node reaches, itself included: the size of its component."""
+    of = stored(components(nodes, edges.where("weight is not null and weight >= 0"), small))
+    return of.join(of.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select("node", "n")
 
 
 def best_target(costs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -110,26 +153,26 @@ def best_target(costs: DataFrame, targets: DataFrame) -> DataFrame:
     return costs.join(targets.select("node").distinct(), "node", "left_semi").groupBy("source").agg(F.min(F.struct("cost", "node")).alias("b")).select("source", F.col("b.node").alias("target"), "b.cost")
 
 
-def with_fallback(costs: DataFrame, exits: DataFrame, last_resort: DataFrame) -> DataFrame:
-    """``best_target`` of the exits, and of exits and last resorts for sources that reach no exit."""
-    first = best_target(costs, exits)
-    rest = best_target(costs.join(first.select("source"), "source", "left_anti"), exits.select("node").union(last_resort.select("node")))
-    return first.unionByName(rest)
+def with_fallback(edges: DataFrame, nodes: DataFrame, exits: DataFrame, last_resort: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """(source, target, cost): the cheapest exit of every node, or exit or last resort where no exit is reached."""
+    first = stored(reach(edges, exits, small))
+    rest = reach(edges, exits.select("node").union(last_resort.select("node")), small).join(first.select("node"), "node", "left_anti")
+    found = first.unionByName(rest).join(nodes.select("node").distinct(), "node", "left_semi")
+    return found.select(F.col("node").alias("source"), "target", "cost")
 
 
-def paths(costs: DataFrame, ends: DataFrame, longest: int = 200) -> DataFrame:
-    """(source, target, path array): routes to ``ends`` (source, target), walked back along ``previous``."""
+def paths(costs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(source, target, path array): routes to ``ends`` (source, target), walked back along ``previous`` to the source."""
     step = costs.select("source", "node", "previous")
     open_ = ends.select("source", "target", F.array(F.col("target").cast("long")).alias("path"), F.col("target").cast("long").alias("at"))
     done = None
-    for _ in range(longest):
+    while True:
         walked = stored(open_.join(step.withColumnRenamed("node", "at"), ["source", "at"]))
         over = walked.where("previous is null").select("source", "target", "path")
         done = over if done is None else done.unionByName(over)
         open_ = walked.where("previous is not null").select("source", "target", F.concat(F.array("previous"), F.col("path")).alias("path"), F.col("previous").alias("at"))
         if open_.isEmpty():
-            break
-    return done
+            return done
 
 
 def legs(routes: DataFrame) -> DataFrame:

@@ -5,13 +5,16 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+from .graph import SMALL_GRAPH
+
 Graph = dict[int, dict[int, float]]
 Place = dict[int, tuple[float, float]]
 
@@ -185,31 +188,51 @@ def _own(queries: DataFrame, group: str) -> DataFrame:
     return queries.select(F.col(group).alias("asked_group"), F.col("start").alias("start"), F.col("goal").alias("goal"))
 
 
-def routes(edges: DataFrame, queries: DataFrame, group: str, algorithm: str = "dijkstra") -> DataFrame:
-    """(group, start, goal, cost, path) for ``queries`` (group, start, goal) on the graph of each group.
+def _dealt(edges: DataFrame, queries: DataFrame, group: str, rows: Callable[[object, Graph, list, list], list[tuple]], schema: str) -> DataFrame:
+    """``rows`` of every group's graph and its queries.
 
-    A group's edges and its queries meet in one task; groups are graphs of one building,
-    profile or time, and are dealt over the cluster.
+    If all graphs together are small, counted first, they go to every task and the queries are
+    dealt over the tasks; else the edges of a group meet its queries in a task.
     """
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    graphs = stored(edges.select(group, "u", "v", "weight"))
+    if graphs.count() <= SMALL_GRAPH:
+        held = {k: graph_of(own) for k, own in graphs.toPandas().groupby(group)}
+
+        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for asked in batches:
+                out = [r for k, a, b in zip(asked["asked_group"], asked["start"], asked["goal"]) if k in held for r in rows(k, held[k], [a], [b])]
+                yield pd.DataFrame(out, columns=names)
+
+        own = _own(queries, group)
+        return own.repartition(own.sparkSession.sparkContext.defaultParallelism, "asked_group", "start", "goal").mapInPandas(run, schema)
+
+    def one(key: tuple, graph_rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(rows(key[0], graph_of(graph_rows), asked["start"].tolist(), asked["goal"].tolist()), columns=names)
+
+    return graphs.groupBy(group).cogroup(_own(queries, group).groupBy("asked_group")).applyInPandas(one, schema)
+
+
+def routes(edges: DataFrame, queries: DataFrame, group: str, algorithm: str = "dijkstra") -> DataFrame:
+    """(group, start, goal, cost, path) for ``queries`` (group, start, goal) on the graph of each group; null cost if there is no way."""
 
-    def run(key: tuple, graph_rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        graph = graph_of(graph_rows)
-        got = [(key[0], a, b, *ALGORITHMS[algorithm](graph, a, b, None)) for a, b in zip(asked["start"], asked["goal"])]
-        return pd.DataFrame([(g, a, b, None if c == math.inf else c, p) for g, a, b, c, p in got], columns=[group, "start", "goal", "cost", "path"])
+    def rows(key: object, graph: Graph, starts: list, goals: list) -> list[tuple]:
+        got = [(a, b, *ALGORITHMS[algorithm](graph, a, b, None)) for a, b in zip(starts, goals)]
+        return [(key, a, b, None if c == math.inf else c, p) for a, b, c, p in got]
 
     kind = edges.schema[group].dataType.simpleString()
-    return edges.groupBy(group).cogroup(_own(queries, group).groupBy("asked_group")).applyInPandas(run, f"{group} {kind}, start long, goal long, cost double, path array<long>")
+    return _dealt(edges, queries, group, rows, f"{group} {kind}, start long, goal long, cost double, path array<long>")
 
 
 def resilience(edges: DataFrame, queries: DataFrame, group: str, tolerance: float = 0.5, k: int = 3) -> DataFrame:
     """Robust route and evacuation centrality for ``queries`` (group, start, goal)."""
 
-    def run(key: tuple, graph_rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        graph, out = graph_of(graph_rows), []
-        for a, b in zip(asked["start"], asked["goal"]):
+    def rows(key: object, graph: Graph, starts: list, goals: list) -> list[tuple]:
+        out = []
+        for a, b in zip(starts, goals):
             c, path, r = most_robust(graph, a, b, k, tolerance)
-            out.append((key[0], a, b, None if c == math.inf else c, path, r, *evacuation_centrality(graph, a, b, tolerance)))
-        return pd.DataFrame(out, columns=[group, "start", "goal", "cost", "path", "robustness", "level1", "distinct1", "level2", "distinct2"])
+            out.append((key, a, b, None if c == math.inf else c, path, r, *evacuation_centrality(graph, a, b, tolerance)))
+        return out
 
     kind = edges.schema[group].dataType.simpleString()
-    return edges.groupBy(group).cogroup(_own(queries, group).groupBy("asked_group")).applyInPandas(run, f"{group} {kind}, start long, goal long, cost double, path array<long>, robustness int, level1 int, distinct1 int, level2 int, distinct2 int")
+    return _dealt(edges, queries, group, rows, f"{group} {kind}, start long, goal long, cost double, path array<long>, robustness int, level1 int, distinct1 int, level2 int, distinct2 int")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, window_score
-from ..operators.joins import within
+from ..operators.joins import in_interval, within
+from ..operators.windows import smoothed
 
 SPAN = "node, kind, start, dur, v1, v2, ordinal"
 
@@ -18,7 +19,7 @@ def at_times(times: DataFrame, spans: DataFrame, combine: str = "min", default:
     the default. With ``alpha`` a node's series is smoothed in order of time, from its
     first value on.
     """
-    inside = times.join(spans, "node").where("t >= start and t <= start + dur")
+    inside = in_interval(times, spans, "node")
     value = window_score(*[F.col(c) for c in ("kind", "t", "start", "dur", "v1", "v2")])
     valued = inside.withColumn("v", value).where("v is not null")
     one = F.min("v") if combine == "min" else F.max_by("v", "ordinal")
@@ -26,10 +27,7 @@ def at_times(times: DataFrame, spans: DataFrame, combine: str = "min", default:
     out = times.join(found, ["node", "t"], "left").select("node", "t", clamp(F.coalesce("v", F.lit(default))).alias("score"))
     if alpha is None:
         return out
-    series = out.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("t", "score"))).alias("s"))
-    empty = F.array().cast("array<struct<t:double,score:double>>")
-    add = lambda acc, x: F.concat(acc, F.array(F.struct(x["t"].cast("double").alias("t"), F.when(F.size(acc) == 0, x["score"]).otherwise(alpha * x["score"] + (1 - alpha) * F.element_at(acc, -1)["score"]).alias("score"))))
-    return series.select("node", F.inline(F.aggregate("s", empty, add)))
+    return smoothed(out.select("node", F.col("t").cast("double").alias("t"), "score"), "node", "t", "score", alpha)
 
 
 def _triangles(starts: DataFrame, recover: float, dip: float) -> DataFrame:

@@ -14,22 +14,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from ..sources.storage import small, stored
 
 EVENTS = "run long, Step int, AgenteID string, Evento string, Valor string, Pos_X double, Pos_Y double"
 
 
+def floor_left(walls: DataFrame, width: float, height: float) -> bool:
+    """Whether some of the floor is under no wall (x0, y0, x1, y1): on the grid of the walls' own sides, a cell is free."""
+    inside = walls.select(*[F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(float(most))).alias(c) for c, most in (("x0", width), ("y0", height), ("x1", width), ("y1", height))]).where("x1 > x0 and y1 > y0").distinct()
+    boxes = np.array([tuple(r) for r in inside.collect()], dtype=float).reshape(-1, 4)
+    xs, ys = (np.unique(np.concatenate([[0.0, float(most)], boxes[:, i], boxes[:, i + 2]])) for i, most in ((0, width), (1, height)))
+    mx, my = (xs[:-1] + xs[1:]) / 2, (ys[:-1] + ys[1:]) / 2
+    for x in mx:
+        over = boxes[(boxes[:, 0] <= x) & (x <= boxes[:, 2])]
+        if not ((over[:, 1, None] <= my) & (my <= over[:, 3, None])).any(axis=0).all():
+            return True
+    return False
+
+
 def population(spark: SparkSession, n: int, width: float, height: float, walls: DataFrame, seed: int = 1) -> DataFrame:
     """(agent, profile, x, y): 70 % adults, 15 % rolling, 15 % elderly; nobody starts in a wall (x0, y0, x1, y1).
 
     Draws are hashes of the agent's number, so any partitioning gives the same crowd; a
-    draw inside a wall is replaced by the first of ten that is not.
+    draw inside a wall, its border included, is replaced by the agent's next, in rounds of
+    ten draws, until everybody stands. A floor that ``floor_left`` finds fully walled is an error.
     """
+    if n > 0 and not floor_left(walls, width, height):
+        raise ValueError("no floor is free of walls")
     draw = lambda *k: F.pmod(F.xxhash64("agent", *[F.lit(x) if not isinstance(x, str) else F.col(x) for x in k], F.lit(seed)), F.lit(1_000_000)) / 1e6
-    tries = spark.range(n).select(F.col("id").alias("agent")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    tries = tries.select("agent", "k", (draw("k", 1) * width).alias("x"), (draw("k", 2) * height).alias("y"))
-    inside = tries.join(F.broadcast(walls), (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")), "left_anti")
-    first = inside.groupBy("agent").agg(F.min(F.struct("k", "x", "y")).alias("p"))
+    solid = small(stored(walls.select("x0", "y0", "x1", "y1")))
+    left, first, turn = spark.range(n).select(F.col("id").alias("agent")), None, 0
+    while first is None or not left.isEmpty():
+        tries = left.withColumn("k", F.explode(F.sequence(F.lit(10 * turn), F.lit(10 * turn + 9))))
+        tries = tries.select("agent", "k", (draw("k", 1) * width).alias("x"), (draw("k", 2) * height).alias("y"))
+        free = tries.join(solid, (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")), "left_anti")
+        placed = stored(free.groupBy("agent").agg(F.min(F.struct("k", "x", "y")).alias("p")))
+        first = placed if first is None else first.unionByName(placed)
+        left, turn = stored(left.join(placed, "agent", "left_anti")), turn + 1
     u = draw(3)
     return first.select("agent", F.when(u < 0.7, "Adult").when(u < 0.85, "Rolling").otherwise("Elderly").alias("profile"), "p.x", "p.y")
 

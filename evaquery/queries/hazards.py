@@ -22,9 +22,9 @@ def every(spark: SparkSession, d: str) -> DataFrame:
     return graph.distances(domain.edges(spark, d), domain.nodes(spark, d).select("node"))
 
 
-@query("r01_components", sql(f", link AS (SELECT u, v FROM edges WHERE weight % 4 = 0), bi AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link), r(node, root) AS (SELECT node, node FROM nodes UNION SELECT b.v, r.root FROM r JOIN bi b ON r.node = b.u) SELECT node, min(root) AS root FROM r GROUP BY node", "nodes", "edges", recursive=True))
+@query("r01_components", sql(f", link AS (SELECT u, v FROM edges), bi AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link), r(node, root) AS (SELECT node, node FROM nodes UNION SELECT b.v, r.root FROM r JOIN bi b ON r.node = b.u) SELECT node, min(root) AS root FROM r GROUP BY node", "nodes", "edges", recursive=True))
 def r01(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(domain.nodes(spark, d).select("node"), domain.edges(spark, d).where("weight % 4 = 0"))
+    return graph.components(domain.nodes(spark, d).select("node"), domain.edges(spark, d))
 
 
 @query("r02_shortest_costs", sql(f", {SYM}, {REACH} SELECT source, node, CAST(cost AS DOUBLE) AS cost FROM r", "nodes", "edges", recursive=True))
@@ -35,7 +35,7 @@ def r02(spark: SparkSession, d: str) -> DataFrame:
 @query("r05_r06_best_exit", sql(f", {SYM}, {REACH} SELECT source, arg_min(node, cost * 1000 + node) AS target, CAST(min(cost) AS DOUBLE) AS cost FROM r WHERE node IN (7, 19) GROUP BY source", "nodes", "edges", recursive=True))
 def r05(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d)
-    return graph.with_fallback(every(spark, d), n.where(filters.is_exit()), n.where(filters.is_last_resort()))
+    return graph.with_fallback(domain.edges(spark, d), n, n.where(filters.is_exit()), n.where(filters.is_last_resort()))
 
 
 @query("r09_route_costs", sql(f", {SYM}, {REACH} SELECT source, node AS target, CAST(cost AS DOUBLE) AS cost FROM r WHERE node <> source", "nodes", "edges", recursive=True))
@@ -46,6 +46,44 @@ def r09(spark: SparkSession, d: str) -> DataFrame:
     return graph.route_costs(routes, e).select("source", "target", F.col("cost").cast("double").alias("cost"))
 
 
+#: Costs and legs from one node of the large graph, fewest legs on ties.
+LARGE = """both_ways AS (SELECT u, v, weight FROM stock UNION ALL SELECT v, u, weight FROM stock), depot AS (SELECT min(v) AS node FROM stock),
+ r(node, cost, legs) USING KEY (node) AS (SELECT node, 0.0::DOUBLE, 0 FROM depot UNION SELECT node, b.cost, b.legs FROM (SELECT s.v AS node, min({'cost': r.cost + s.weight, 'legs': r.legs + 1}) AS b FROM r JOIN both_ways s ON r.node = s.u
+ LEFT JOIN recurring.r o ON o.node = s.v WHERE o.cost IS NULL OR r.cost + s.weight < o.cost OR (r.cost + s.weight = o.cost AND r.legs + 1 < o.legs) GROUP BY 1))"""
+
+
+def from_depot(spark: SparkSession, d: str) -> DataFrame:
+    e = domain.stock(spark, d)
+    return graph.distances(e, e.agg(F.min("v").alias("node")))
+
+
+@query("r01_components_large", sql(""", both_ways AS (SELECT u, v FROM stock UNION ALL SELECT v, u FROM stock), r(node, root) USING KEY (node) AS (SELECT node, node FROM stock_nodes UNION SELECT s.v, min(r.root) FROM r JOIN both_ways s ON r.node = s.u JOIN recurring.r o ON o.node = s.v WHERE r.root < o.root GROUP BY 1)
+    SELECT node, root FROM r""", "stock", "stock_nodes", recursive=True))
+def r01_large(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(domain.stock_nodes(spark, d), domain.stock(spark, d))
+
+
+@query("r02_r08_costs_large", sql(f", {LARGE} SELECT r.node, any_value(r.cost) AS cost, min(s.u) AS previous FROM r LEFT JOIN (both_ways s JOIN r p ON p.node = s.u) ON s.v = r.node AND p.cost + s.weight = r.cost AND p.legs + 1 = r.legs GROUP BY r.node", "stock", recursive=True))
+def r02_large(spark: SparkSession, d: str) -> DataFrame:
+    return from_depot(spark, d).select("node", "cost", "previous")
+
+
+@query("r09_routes_large", sql(f", {LARGE} SELECT node AS target, cost, CAST(legs AS INTEGER) AS legs FROM r WHERE legs > 0", "stock", recursive=True))
+def r09_large(spark: SparkSession, d: str) -> DataFrame:
+    """Every route from the depot, walked back and its weights summed along it."""
+    costs = from_depot(spark, d)
+    routes = graph.paths(costs, costs.where("node <> source").select("source", F.col("node").alias("target")))
+    summed = graph.route_costs(routes, domain.stock(spark, d))
+    return summed.join(routes.select("target", (F.size("path") - 1).alias("legs")), "target").select("target", "cost", "legs")
+
+
+@query("r05_nearest_goal_large", sql(""", both_ways AS (SELECT u, v, weight FROM stock UNION ALL SELECT v, u, weight FROM stock), goal AS (SELECT 2 * p_partkey + 1 AS node FROM part WHERE p_partkey % 97 = 0),
+ r(node, cost, target) USING KEY (node) AS (SELECT node, 0.0::DOUBLE, node FROM goal UNION SELECT node, b.cost, b.target FROM (SELECT s.v AS node, min({'cost': r.cost + s.weight, 'target': r.target}) AS b FROM r JOIN both_ways s ON r.node = s.u
+ LEFT JOIN recurring.r o ON o.node = s.v WHERE o.cost IS NULL OR r.cost + s.weight < o.cost OR (r.cost + s.weight = o.cost AND r.target < o.target) GROUP BY 1)) SELECT node, target, cost FROM r""", "stock", recursive=True))
+def r05_large(spark: SparkSession, d: str) -> DataFrame:
+    return graph.reach(domain.stock(spark, d), domain.cells(spark, d).where("is_exit").select((2 * F.col("cell") + 1).alias("node")))
+
+
 @query("r03_r04_kernel_routes", sql(f", {SYM}, {REACH} SELECT g AS grp, source AS start, node AS goal, CAST(cost AS DOUBLE) AS cost FROM r, (VALUES ('dijkstra'), ('astar'), ('yen_ksp')) t(g) WHERE node IN (7, 19)", "nodes", "edges", recursive=True))
 def r03(spark: SparkSession, d: str) -> DataFrame:
     e, n, out = domain.edges(spark, d), domain.nodes(spark, d).select("node"), None
@@ -73,7 +111,7 @@ def r17(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r19_reachable", sql(f", {SYM}, r(source, node) AS (SELECT node, node FROM nodes UNION SELECT r.source, s.v FROM r JOIN sym s ON r.node = s.u) SELECT source, count(*) AS n FROM r GROUP BY source", "nodes", "edges", recursive=True))
 def r19(spark: SparkSession, d: str) -> DataFrame:
-    return graph.distances(domain.edges(spark, d), domain.nodes(spark, d)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return graph.reachable(domain.nodes(spark, d).select("node"), domain.edges(spark, d)).select(F.col("node").alias("source"), "n")
 
 
 @query("t01_scores_over_time", sql(""", w AS (SELECT node, 10.0 + node AS start, 12.0 AS dur, 0.5 AS low FROM nodes UNION ALL SELECT node, 15.0, 10.0, 0.2 FROM nodes WHERE node % 2 = 0), t AS (SELECT node, t * 4.0 AS t FROM nodes, range(0, 9) r(t)),

@@ -42,7 +42,7 @@ def p20(spark: SparkSession, d: str) -> DataFrame:
 @query("j01_j02_node_cell_joins", sql("SELECT c.cell_id, n.node, n.kind AS node_kind FROM cells c LEFT JOIN nodes n ON c.cell % 40 = n.node", "cells", "nodes"))
 def j01(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d).select("node", F.col("kind").alias("node_kind"))
-    return domain.cells(spark, d).withColumn("k", (F.col("cell") % 40).cast("int")).join(F.broadcast(n), F.col("k") == F.col("node"), "left").select("cell_id", "node", "node_kind")
+    return domain.cells(spark, d).withColumn("k", (F.col("cell") % 40).cast("int")).join(n, F.col("k") == F.col("node"), "left").select("cell_id", "node", "node_kind")
 
 
 @query("j16_fire_edge_penalties", sql(", m AS (SELECT u, v, (a.x + b.x) / 2.0 AS x, (a.y + b.y) / 2.0 AS y FROM edges JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node) SELECT u, v, count(*) AS fires FROM m JOIN nodes f ON f.node % 3 = 0 AND (f.x - m.x) ** 2 + (f.y - m.y) ** 2 <= 100 GROUP BY u, v", "nodes", "edges"))
@@ -66,7 +66,7 @@ def j23(spark: SparkSession, d: str) -> DataFrame:
 @query("j26_score_default", sql("SELECT c.cell_id, coalesce(n.score, 1.0) AS score FROM cells c LEFT JOIN nodes n ON c.cell % 60 = n.node", "cells", "nodes"))
 def j26(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d).select("node", "score")
-    return domain.cells(spark, d).withColumn("k", (F.col("cell") % 60).cast("int")).join(F.broadcast(n), F.col("k") == F.col("node"), "left").select("cell_id", F.coalesce("score", F.lit(1.0)).alias("score"))
+    return domain.cells(spark, d).withColumn("k", (F.col("cell") % 60).cast("int")).join(n, F.col("k") == F.col("node"), "left").select("cell_id", F.coalesce("score", F.lit(1.0)).alias("score"))
 
 
 @query("j27_two_sided_membership", sql("SELECT u || '-' || v AS boundary, u AS cell FROM edges UNION ALL SELECT u || '-' || v, v FROM edges", "edges"))
@@ -190,9 +190,8 @@ def g41(spark: SparkSession, d: str) -> DataFrame:
 def r07(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d)
     ok = n.where(filters.mobility_allowed(WALKERS))
-    costs = graph.distances(filters.induced(domain.edges(spark, d), ok), n)
-    best = graph.best_target(costs, n.where("node in (7, 19)"))
-    return n.select(F.col("node").alias("source")).join(best.select("source", "cost"), "source", "left")
+    best = graph.reach(filters.induced(domain.edges(spark, d), ok), n.where("node in (7, 19)"))
+    return n.select(F.col("node").alias("source")).join(best.select(F.col("node").alias("source"), "cost"), "source", "left")
 
 
 @query("r15_r20_degrees", sql("SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) GROUP BY node", "edges"))

@@ -23,7 +23,7 @@ MOVES = "(coalesce(locomotion IN ('WALK','RAMP'), false) OR (locomotion IS NULL
 )
 def slice1(spark: SparkSession, d: str) -> DataFrame:
     ok = domain.nodes(spark, d).where(filters.mobility_allowed(WALKERS) & filters.safe(0.3)).select("node", "level")
-    kept = filters.induced(filters.positive(domain.edges(spark, d)), ok).join(F.broadcast(ok).withColumnRenamed("node", "u"), "u")
+    kept = filters.induced(filters.positive(domain.edges(spark, d)), ok).join(ok.withColumnRenamed("node", "u"), "u")
     per = kept.groupBy("level").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("total"))
     return ok.groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes")).join(per, "level", "left").select("level", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("total", F.lit(0)).alias("total_weight"))
 
@@ -141,7 +141,7 @@ def j09(spark: SparkSession, d: str) -> DataFrame:
     row_number() OVER (PARTITION BY c.cell ORDER BY (c.x0 / 10.0 - n.x) * (c.x0 / 10.0 - n.x) + (c.y0 / 10.0 - n.y) * (c.y0 / 10.0 - n.y), n.node) AS rk FROM cells c, nodes n WHERE n.is_exit) WHERE rk = 1""", "cells", "nodes"))
 def j13(spark: SparkSession, d: str) -> DataFrame:
     c = domain.cells(spark, d).select("cell", (F.col("x0") / 10.0).alias("x"), (F.col("y0") / 10.0).alias("y"))
-    return joins.nearest(c, F.broadcast(domain.nodes(spark, d).where("is_exit")), "cell", "node")
+    return joins.nearest(c, domain.nodes(spark, d).where("is_exit"), "cell", "node")
 
 
 @query("j19_full_outer_counts", sql("""SELECT coalesce(a.agent, b.agent) AS agent, coalesce(a.n, 0) AS routes, coalesce(b.n, 0) AS replans FROM (SELECT agent, count(*) AS n FROM log WHERE event = 'CAMBIO_RUTA' GROUP BY 1) a

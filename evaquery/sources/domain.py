@@ -7,10 +7,10 @@ Each frame has a twin in SQL (the CTEs at the end) over the same tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOP_EDGES = 3
+from ..functions.ids import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     function = F.element_at(F.array(*map(F.lit, ["SPACE", "ADMIN", "STORAGE", "OFFICE", "CORRIDOR", "HALL", "STAIRS", "ELEVATOR", "ESCALATOR", "RAMP", "LOBBY", "DOOR", "WINDOW"])), (s % 13 + 1).cast("int"))
     base = table(spark, sf_dir, "part").select(
-        k.alias("cell"), F.concat(F.lit("CS-"), F.lpad(k.cast("string"), 6, "0")).alias("cell_id"), "p_name", (k % 3).cast("int").alias("level"),
+        k.alias("cell"), numbered("CS-", k, 6).alias("cell_id"), "p_name", (k % 3).cast("int").alias("level"),
         ((k - 1) % 50 * 10).cast("int").alias("x0"), F.expr("(p_partkey - 1) div 50 * 10").cast("int").alias("y0"), (8 + s % 5).cast("int").alias("w"), (8 + s % 4).cast("int").alias("h"),
         F.when(s % 13 >= 6, "TRANSFER").otherwise("GENERAL").alias("kind"), function.alias("function_code"),
         F.when(s % 13 >= 6, F.element_at(F.array(*map(F.lit, ["WALK", "STAIRS", "ELEVATOR", "RAMP"])), (k % 4 + 1).cast("int"))).alias("locomotion"), (k % 97 == 0).alias("is_exit"),
@@ -42,19 +42,25 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected edges u < v between nations that trade, the three busiest of each u.
-
-    The join keys are co-located by the planner; the aggregate runs before the window,
-    so the window sees nation pairs, not line items.
-    """
+    """Undirected edges u < v between all nations that trade."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("a"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("b"))
     trade = line.join(order, line.l_orderkey == order.o_orderkey).join(customer, order.o_custkey == customer.c_custkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
     pairs = trade.where("a <> b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("n"), "v"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= TOP_EDGES).select("u", "v", (1 + F.col("n") % 17).cast("int").alias("weight"))
+    return pairs.select("u", "v", (1 + F.col("n") % 17).cast("int").alias("weight"))
+
+
+def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large graph: orders (even nodes) and the parts in them (odd nodes), weighted by the least quantity."""
+    line = table(spark, sf_dir, "lineitem")
+    return line.groupBy((2 * F.col("l_orderkey")).alias("u"), (2 * F.col("l_partkey") + 1).alias("v")).agg(F.min("l_quantity").cast("double").alias("weight"))
+
+
+def stock_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders and parts as nodes of ``stock``, with links or without."""
+    return table(spark, sf_dir, "orders").select((2 * F.col("o_orderkey")).alias("node")).union(table(spark, sf_dir, "part").select(2 * F.col("p_partkey") + 1))
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +80,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same frames as DuckDB CTEs.
 CTE = {
-    "cells": """cells AS (SELECT p_partkey AS cell, 'CS-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS cell_id, p_name, CAST(p_partkey % 3 AS INTEGER) AS level,
+    "cells": """cells AS (SELECT p_partkey AS cell, 'CS-' || CASE WHEN p_partkey > 999999 THEN CAST(p_partkey AS VARCHAR) ELSE lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS cell_id, p_name, CAST(p_partkey % 3 AS INTEGER) AS level,
  CAST((p_partkey - 1) % 50 * 10 AS INTEGER) AS x0, CAST((p_partkey - 1) // 50 * 10 AS INTEGER) AS y0, CAST(8 + p_size % 5 AS INTEGER) AS w, CAST(8 + p_size % 4 AS INTEGER) AS h,
  CASE WHEN p_size % 13 >= 6 THEN 'TRANSFER' ELSE 'GENERAL' END AS kind,
  (['SPACE','ADMIN','STORAGE','OFFICE','CORRIDOR','HALL','STAIRS','ELEVATOR','ESCALATOR','RAMP','LOBBY','DOOR','WINDOW'])[p_size % 13 + 1] AS function_code,
@@ -84,9 +90,10 @@ CTE = {
  CASE WHEN n_nationkey % 3 = 0 THEN 'TRANSFER' ELSE 'GENERAL' END AS kind, CASE WHEN n_nationkey % 3 = 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'WALK' ELSE 'STAIRS' END END AS locomotion,
  n_nationkey IN (7, 19) AS is_exit, CASE n_nationkey WHEN 19 THEN 'EXIT' WHEN 13 THEN 'window' ELSE 'ROOM' END AS function_code,
  CASE WHEN n_nationkey % 6 <> 5 THEN round(1 - (n_nationkey % 10) / 10.0::DOUBLE, 1) END AS score FROM nation)""",
-    "edges": """edges AS (SELECT u, v, CAST(1 + n % 17 AS INTEGER) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n DESC, v) AS rk FROM (
- SELECT least(c_nationkey, s_nationkey) AS u, greatest(c_nationkey, s_nationkey) AS v, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
- JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)) WHERE rk <= 3)""",
+    "edges": """edges AS (SELECT u, v, CAST(1 + n % 17 AS INTEGER) AS weight FROM (SELECT least(c_nationkey, s_nationkey) AS u, greatest(c_nationkey, s_nationkey) AS v, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2))""",
+    "stock": "stock AS (SELECT 2 * l_orderkey AS u, 2 * l_partkey + 1 AS v, CAST(min(l_quantity) AS DOUBLE) AS weight FROM lineitem GROUP BY 1, 2)",
+    "stock_nodes": "stock_nodes AS (SELECT 2 * o_orderkey AS node FROM orders UNION ALL SELECT 2 * p_partkey + 1 FROM part)",
     "readings": "readings AS (SELECT event_id, user_id AS room, event_type AS variable, ts, value, props FROM events)",
     "log": """log AS (SELECT event_id, CAST(floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600) AS INTEGER) AS step, user_id AS agent,
  CASE event_type WHEN 'purchase' THEN 'CAMBIO_RUTA' WHEN 'error' THEN 'RECALCULO' WHEN 'signup' THEN 'EVACUACION_COMPLETA' WHEN 'click' THEN 'FUEGO_CREADO' ELSE 'OTHER' END AS event, value FROM events)""",

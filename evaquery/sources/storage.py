@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where none is named, as in tests."""
+    """``spark.checkpoint.dir`` of the session. In local mode, tests for one, a temporary folder
+    where none is named; on a cluster that would be a folder of one machine, so it is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="evaquery-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -22,3 +27,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/evaquery-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables of narrow rows are broadcast up to this number of rows and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if a count of it finds no more rows than the limit."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
