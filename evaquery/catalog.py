@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import hazards, models, more, relational, spatial  # noqa: F401
+from .queries import columns, hazards, models, more, relational, spatial  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "slice1_masked_graph_summary"

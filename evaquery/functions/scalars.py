@@ -153,3 +153,48 @@ def event_span(t0: Column, n: Column, step: float, shape: Column, recover: float
 def path_text(path: Column) -> Column:
     """a -> b -> c, a place that repeats its predecessor left out."""
     return F.array_join(F.filter(path, lambda x, i: (i == 0) | (x != F.get(path, i - 1))), " -> ")
+
+
+def _is_virtual(low: Column) -> Column:
+    return low.contains("frontera")
+
+
+def node_type(name: Column) -> Column:
+    """Type of a graph node by its name."""
+    low = F.lower(name)
+    return F.when(low.contains("salida"), "exit_space").when(_is_virtual(low), "virtual_boundary").when(low.contains("puerta"), "door_space").otherwise("space")
+
+
+def connector_type(origin: Column, target: Column) -> Column:
+    """What a link leads through, by the names of its ends."""
+    types = F.array(node_type(origin), node_type(target))
+    return F.when(F.array_contains(types, "exit_space"), "emergency_exit").when(F.array_contains(types, "virtual_boundary"), "virtual_boundary").otherwise("door_passage")
+
+
+def through_space(origin: Column, target: Column) -> Column:
+    """The first end that is a door or a virtual boundary by its name; null for none."""
+    leads = lambda n: F.lower(n).contains("puerta") | _is_virtual(F.lower(n))
+    return F.when(leads(origin), origin).when(leads(target), target)
+
+
+def exterior_role(navigation_type: Column, function: Column, wall_types: Column) -> Column:
+    """Role of a cell's border to the outside: anchor, outer shell, or null."""
+    wall = (navigation_type == "NonNavigableSpace") & (function == "Wall")
+    return F.when((navigation_type == "TransferSpace") & (function == "AnchorSpace"), "exterior_anchor").when(wall & F.coalesce(F.array_contains(wall_types, "muro_exterior"), F.lit(False)), "outer_shell")
+
+
+def utc_text(ts: Column) -> Column:
+    """A time in UTC to the second, ISO 8601 with Z; a timestamp without zone is taken for UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def velocity(vx: Column, vy: Column, fx: Column, fy: Column, limit: Column, inertia: float = 0.7) -> Column:
+    """struct(x, y): the velocity after a force, no faster than ``limit``."""
+    x, y = inertia * vx + (1 - inertia) * fx, inertia * vy + (1 - inertia) * fy
+    fast = F.hypot(x, y)
+    part = F.when(fast > limit, limit / fast).otherwise(1.0)
+    return F.struct((x * part).alias("x"), (y * part).alias("y"))
+
+
+#: Profiles of the offline simulation: least score, allowed locomotion, whether general spaces without one may be walked.
+PROFILES = {"GENERAL": (0.60, ("WALK", "RAMP"), True), "PMR": (0.75, ("RAMP",), False)}

@@ -63,6 +63,28 @@ def stock_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select((2 * F.col("o_orderkey")).alias("node")).union(table(spark, sf_dir, "part").select(2 * F.col("p_partkey") + 1))
 
 
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A floor plan: a room for each part on a grid of 50 columns, with a passage to the room on its right and one
+    to the room above; each passage is a door, exit, window, stair or ramp by the part's size."""
+    k = F.col("p_partkey")
+    base = table(spark, sf_dir, "part").select(k.alias("k"), "p_size", ((k - 1) % 50 * 10).cast("int").alias("x"), F.expr("(p_partkey - 1) div 50 * 10").cast("int").alias("y"))
+    box = lambda name, tag, x0, y0, x1, y1, category: F.struct((F.col("k") * 3 + tag).alias("cell"), numbered(name, F.col("k"), 6).alias("name"), (F.col("x") + x0).alias("x0"), (F.col("y") + y0).alias("y0"), (F.col("x") + x1).alias("x1"), (F.col("y") + y1).alias("y1"), category.alias("category"))
+    kinds = F.array(*map(F.lit, ("Door", "Door", "Exit", "Window", "Door", "Stair", "Door", "Ramp")))
+    kind = lambda shift: F.get(kinds, ((F.col("p_size") + shift) % 8).cast("int"))
+    boxes = F.array(box("CS_L00_ROOM_", 0, 0, 0, 9, 9, F.lit("Room")), box("CS_L00_EAST_", 1, 9, 3, 10, 5, kind(0)), box("CS_L00_NORTH_", 2, 3, 9, 6, 10, kind(3)))
+    cells = base.select(F.inline(boxes))
+    kind = F.when(F.col("category") == "Room", "GeneralSpace").otherwise("TransferSpace")
+    return cells.withColumn("level", F.lit(0)).withColumn("navigation_type", kind).withColumn("traversable", F.col("category") != "Window")
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of few nodes, for rules that SQL can only check by listing every route: trade between regions, weighted by its volume."""
+    area = table(spark, sf_dir, "nation")
+    of = lambda end: area.select(F.col("n_nationkey").alias(end), F.col("n_regionkey").cast("long").alias(f"r{end}"))
+    pairs = edges(spark, sf_dir).join(of("u"), "u").join(of("v"), "v").where("ru <> rv")
+    return pairs.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.sum(F.col("weight") * F.col("weight") + F.col("u") * F.col("v")).cast("double").alias("weight"))
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensor readings: a user is a room, an event type a variable."""
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("room"), F.col("event_type").alias("variable"), "ts", "value", "props")
@@ -92,6 +114,13 @@ CTE = {
  CASE WHEN n_nationkey % 6 <> 5 THEN round(1 - (n_nationkey % 10) / 10.0::DOUBLE, 1) END AS score FROM nation)""",
     "edges": """edges AS (SELECT u, v, CAST(1 + n % 17 AS INTEGER) AS weight FROM (SELECT least(c_nationkey, s_nationkey) AS u, greatest(c_nationkey, s_nationkey) AS v, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2))""",
+    "plan": """plan0 AS (SELECT p_partkey AS k, p_size AS s, CAST((p_partkey - 1) % 50 * 10 AS INTEGER) AS x, CAST((p_partkey - 1) // 50 * 10 AS INTEGER) AS y, CASE WHEN p_partkey > 999999 THEN CAST(p_partkey AS VARCHAR) ELSE lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS id,
+ ['Door', 'Door', 'Exit', 'Window', 'Door', 'Stair', 'Door', 'Ramp'] AS kinds FROM part),
+plan AS (SELECT *, 0 AS level, CASE WHEN category = 'Room' THEN 'GeneralSpace' ELSE 'TransferSpace' END AS navigation_type, category <> 'Window' AS traversable FROM (
+ SELECT k * 3 AS cell, 'CS_L00_ROOM_' || id AS name, x AS x0, y AS y0, x + 9 AS x1, y + 9 AS y1, 'Room' AS category FROM plan0
+ UNION ALL SELECT k * 3 + 1, 'CS_L00_EAST_' || id, x + 9, y + 3, x + 10, y + 5, kinds[s % 8 + 1] FROM plan0 UNION ALL SELECT k * 3 + 2, 'CS_L00_NORTH_' || id, x + 3, y + 9, x + 6, y + 10, kinds[(s + 3) % 8 + 1] FROM plan0))""",
+    "regions": """regions AS (SELECT least(a.n_regionkey, b.n_regionkey) AS u, greatest(a.n_regionkey, b.n_regionkey) AS v, CAST(sum(weight * weight + u * v) AS DOUBLE) AS weight FROM edges JOIN nation a ON u = a.n_nationkey JOIN nation b ON v = b.n_nationkey
+ WHERE a.n_regionkey <> b.n_regionkey GROUP BY 1, 2)""",
     "stock": "stock AS (SELECT 2 * l_orderkey AS u, 2 * l_partkey + 1 AS v, CAST(min(l_quantity) AS DOUBLE) AS weight FROM lineitem GROUP BY 1, 2)",
     "stock_nodes": "stock_nodes AS (SELECT 2 * o_orderkey AS node FROM orders UNION ALL SELECT 2 * p_partkey + 1 FROM part)",
     "readings": "readings AS (SELECT event_id, user_id AS room, event_type AS variable, ts, value, props FROM events)",
