@@ -72,3 +72,30 @@ def robust_share(flags: DataFrame) -> DataFrame:
 def document_counts(models: DataFrame, **arrays: str) -> DataFrame:
     """Total sizes of array columns over documents, by output name."""
     return models.agg(*[F.sum(F.coalesce(F.size(a), F.lit(0))).alias(name) for name, a in arrays.items()])
+
+
+def distinct_routes(routes: DataFrame, *by: str) -> DataFrame:
+    """(by, routes, distinct): how many routes (path) there are, and how many different ones."""
+    return routes.groupBy(*by).agg(F.count(F.lit(1)).alias("routes"), F.countDistinct("path").alias("distinct"))
+
+
+def run_totals(frames: DataFrame, *by: str) -> DataFrame:
+    """(by, frames, replans, travelled, mean, longest) of frames (replan, length): what a run adds up to."""
+    replans = F.count_if(F.coalesce("replan", F.lit(False)))
+    return frames.groupBy(*by).agg(F.count(F.lit(1)).alias("frames"), replans.alias("replans"), F.round(F.sum("length"), 6).alias("travelled"), F.round(F.avg("length"), 6).alias("mean"), F.max("length").alias("longest"))
+
+
+def largest(df: DataFrame, by: str, size: str, tie: str) -> DataFrame:
+    """The row of greatest ``size`` for each ``by``, the least ``tie`` of equal ones: an aggregate, no window."""
+    rest = [c for c in df.columns if c not in (by, size)]
+    top = df.groupBy(by).agg(F.max(size).alias(size))
+    best = df.join(top, [by, size]).groupBy(by, size).agg(F.min(F.struct(tie, *[c for c in rest if c != tie])).alias("b"))
+    return best.select(by, size, *[F.col("b")[c].alias(c) for c in rest])
+
+
+def shared_lines(contacts: DataFrame) -> DataFrame:
+    """(cell, lines, length): the borders (a, b, x0, y0, x1, y1) a cell shares, as one, each line counted once."""
+    line = F.struct("x0", "y0", "x1", "y1")
+    both = contacts.select(F.explode(F.array("a", "b")).alias("cell"), line.alias("line")).distinct()
+    long = F.hypot(F.col("line.x1") - F.col("line.x0"), F.col("line.y1") - F.col("line.y0"))
+    return both.groupBy("cell").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum(long), 6).alias("length"))

@@ -26,6 +26,43 @@ def dangling(df: DataFrame, rule: str, column: str, target: DataFrame, target_co
     return lost.select(F.lit(rule).alias("rule"), F.col(column).cast("string").alias("key")).distinct()
 
 
+def foreign_keys(tables: dict[str, DataFrame], keys: Iterable[tuple[str, str, str, str]]) -> DataFrame:
+    """(rule, key): references (table, column, target table, target column) that lead nowhere."""
+    return report(dangling(tables[t], f"{t}.{c}", c, tables[target], tc) for t, c, target, tc in keys)
+
+
+def unique_keys(tables: dict[str, DataFrame], keys: Iterable[tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """(rule, key): values that occur twice where (table, columns) says once; rows with a null among them are free."""
+    known = lambda t, cs: tables[t].where(" and ".join(f"{c} is not null" for c in cs))
+    return report(repeated(known(t, cs), f"{t}({', '.join(cs)})", *cs) for t, cs in keys)
+
+
+def same_theme(duals: DataFrame, primals: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (id_dual, id_primal) that no theme joins; ids that do not exist included."""
+    ok = duals.join(primals, "id_theme_layer").select("id_dual", "id_primal")
+    return pairs.select("id_dual", "id_primal").distinct().join(ok, ["id_dual", "id_primal"], "left_anti")
+
+
+def nodes_outside(nodes: DataFrame, cells: DataFrame, duals: DataFrame) -> DataFrame:
+    """Placed nodes (id_node, id_dual, id_cell, x, y) of duals that are not logical, whose cell (id_cell, x0, y0, x1, y1) does not cover them."""
+    real = nodes.where("x is not null and y is not null").join(duals.where("not is_logical").select("id_dual"), "id_dual", "left_semi")
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
+    return real.join(cells.select("id_cell", "x0", "y0", "x1", "y1"), "id_cell", "left").where(~F.coalesce(inside, F.lit(False))).select("id_node", "id_cell")
+
+
+def warnings_by_cell(overlaps: DataFrame, most: int = 20) -> DataFrame:
+    """(cell, other, area): overlaps (a, b, area) told to each of the two cells, the ``most`` largest of a cell, as its report lists them."""
+    from pyspark.sql import Window
+
+    both = overlaps.select(F.col("a").alias("cell"), F.col("b").alias("other"), "area").unionByName(overlaps.select(F.col("b").alias("cell"), F.col("a").alias("other"), "area"))
+    return both.withColumn("rn", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("area"), "other"))).where(F.col("rn") <= most).drop("rn")
+
+
+def first_errors(errors: DataFrame, most: int) -> DataFrame:
+    """The first errors by path, then message: the listing of a validation report."""
+    return errors.orderBy("path", "message").limit(most)
+
+
 def report(parts: Iterable[DataFrame]) -> DataFrame:
     out = None
     for p in parts:

@@ -55,6 +55,13 @@ def population(spark: SparkSession, n: int, width: float, height: float, walls:
     return first.select("agent", F.when(u < 0.7, "Adult").when(u < 0.85, "Rolling").otherwise("Elderly").alias("profile"), "p.x", "p.y")
 
 
+def activation(agents: DataFrame, step: int, seed: int = 1) -> DataFrame:
+    """``agents`` with their place in the random order of a step; the same step and seed give the same order."""
+    from ..operators.windows import global_row_number
+
+    return global_row_number(agents.withColumn("__draw", F.xxhash64("agent", F.lit(step), F.lit(seed))), "__draw", "agent", name="place").drop("__draw")
+
+
 def discrete(agents: DataFrame, routes: DataFrame, ticks: int, tick: float = 1.0, speed: float = 1.2, capacity: int = 3, alpha: float = 0.6) -> DataFrame:
     """(agent, leg, status, t): agents along fixed routes (agent, leg, u, v, length), slowed by who shares an edge.
 

@@ -2,6 +2,20 @@
 
 from __future__ import annotations
 
+#: The references and unique keys of the indoor database.
+FOREIGN_KEYS = (
+    ("primal_space_layer", "id_theme_layer", "theme_layer", "id_theme"), ("dual_space_layer", "id_theme_layer", "theme_layer", "id_theme"),
+    ("cell_space", "id_primal_space_layer", "primal_space_layer", "id_primal"), ("cell_boundary", "id_primal_space_layer", "primal_space_layer", "id_primal"),
+    ("cellspace_cellboundary", "id_cell_space", "cell_space", "id_cell_space"), ("cellspace_cellboundary", "id_cell_boundary", "cell_boundary", "id_cell_boundary"),
+    ("node", "id_dual", "dual_space_layer", "id_dual"), ("node", "id_cell_space", "cell_space", "id_cell_space"),
+    ("edge", "id_dual", "dual_space_layer", "id_dual"), ("edge", "id_cell_boundary", "cell_boundary", "id_cell_boundary"), ("edge", "from_node", "node", "id_node"), ("edge", "to_node", "node", "id_node"),
+    ("navigable_space", "id_cell_space", "cell_space", "id_cell_space"), ("navigable_space", "function_code", "nav_space_function", "code"),
+)
+UNIQUE_KEYS = (
+    ("primal_space_layer", ("id_theme_layer",)), ("dual_space_layer", ("id_theme_layer",)), ("cellspace_cellboundary", ("id_cell_space", "id_cell_boundary")),
+    ("node", ("id_dual", "id_cell_space")), ("edge", ("id_dual", "id_cell_boundary")), ("edge", ("id_dual", "low_node", "high_node")), ("cell_boundary", ("boundary_key",)),
+)
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Code, label, kind and default locomotion of the navigation functions.
