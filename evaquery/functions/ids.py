@@ -53,7 +53,7 @@ def db_edge_of_boundary(boundary: Column) -> Column:
     return F.when(boundary.rlike("^CB-[0-9]+$"), F.concat(F.lit("EG-"), F.substr(boundary, F.lit(4))))
 
 
-def numbered(prefix: str, n: Column, width: int) -> Column:
+def numbered(prefix: str | Column, n: Column, width: int) -> Column:
     """Prefix and the number, zero-padded to ``width`` digits at least."""
     text = n.cast("string")
     return F.concat(F.lit(prefix), F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0")))

@@ -104,3 +104,21 @@ def opening_faults(cells: DataFrame, bounds: DataFrame, least: float = 0.05) ->
     n = sides.join(spaces, "cell", "left_semi").groupBy("via").agg(F.countDistinct("cell").alias("n"))
     own = cells.where("category in ('Door', 'Window')").join(n, F.col("cell") == F.col("via"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return breach(own, "door without two spaces", "cell", (F.col("category") == "Door") & (F.col("n") != 2)).unionByName(breach(own, "window without a space", "cell", (F.col("category") == "Window") & (F.col("n") < 1)))
+
+
+def schema_errors(documents: DataFrame, key: str, text: str, schema: dict, most: int | None = None) -> DataFrame:
+    """(key, n, path, message): what breaks a JSON schema in each document, by path; the first ``most`` of a document where a report asks for so many.
+
+    Documents are independent and each is read whole, in Arrow batches.
+    """
+    import pandas as pd
+
+    from ..functions.schemas import validated
+
+    def run(batches):
+        for rows in batches:
+            out = [(k, i, *e) for k, t in zip(rows[key], rows[text]) for i, e in enumerate(validated(t, schema)[:most])]
+            yield pd.DataFrame(out, columns=[key, "n", "path", "message"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    return documents.select(key, text).mapInPandas(run, f"{key} {kind}, n long, path string, message string")

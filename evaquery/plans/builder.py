@@ -2,8 +2,9 @@
 
 Features are rows (level, kind, name, ring, thickness, width, host): walls, doors, exits
 and windows are centre lines of two points; spaces, objects and connector endpoints are
-rings; virtual boundaries are lines. Levels are independent, so each is built in a task
-of its own; inside a level order matters, and follows the feature's name.
+rings; virtual boundaries are lines. Features of many models carry a column model too.
+Levels of models are independent, so each is built in a task of its own; inside a level
+order matters, and follows the feature's name.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import polygon as P
-from ..functions.ids import edge_of_boundary, node_of_cell
-from ..functions.scalars import boundary_role, edge_weight
+from ..functions.ids import compact_cell, edge_of_boundary, node_of_cell, numbered
+from ..functions.scalars import boundary_role, edge_weight, exterior_role
 
 FEATURE = "level string, kind string, name string, ring array<array<double>>, thickness double, width double, host string"
 CELL = "level string, cell string, source string, navigation_type string, category string, traversable boolean, ring array<array<double>>, x double, y double, area double"
@@ -78,16 +79,34 @@ def with_defaults(category: Column, attributes: Column) -> Column:
 
 def source_features(features: DataFrame) -> DataFrame:
     """Features with ids SF_<level>_<kind>_<n>, counted by type in order of name."""
-    n = F.row_number().over(Window.partitionBy("level", "kind").orderBy("name"))
-    return features.withColumn("feature", F.concat_ws("_", F.lit("SF"), F.upper("level"), F.upper("kind"), F.lpad(n.cast("string"), 3, "0")))
+    n = F.row_number().over(Window.partitionBy(*_by(features), "kind").orderBy("name"))
+    return features.withColumn("feature", F.concat_ws("_", F.lit("SF"), F.upper("level"), F.upper("kind"), numbered("", n, 3)))
 
 
 def _points(ring: object) -> list[P.Point]:
     return [(float(p[0]), float(p[1])) for p in ring]
 
 
-def _level_cells(rows: pd.DataFrame) -> pd.DataFrame:
-    level = rows["level"].iloc[0]
+def _by(df: DataFrame) -> list[str]:
+    """What tells levels apart: the level, and the model where there are several."""
+    return [c for c in ("model", "level") if c in df.columns]
+
+
+def _schema(df: DataFrame, ddl: str) -> str:
+    return ("model string, " if "model" in df.columns else "") + ddl
+
+
+def _named(rows: pd.DataFrame, key: tuple, ddl: str, out: list[tuple]) -> pd.DataFrame:
+    """Rows of ``ddl``, the model of ``key`` before them where it has one."""
+    names = [c.split(" ")[0] for c in ddl.split(", ")]
+    made = pd.DataFrame(out, columns=names)
+    if len(key) > 1:
+        made.insert(0, "model", key[0])
+    return made
+
+
+def _level_cells(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    level, code = key[-1], "_".join(key)
     rows = rows.sort_values(["kind", "name"])
     lines = {r.name_: r for r in rows.rename(columns={"name": "name_"}).itertuples()}
     out: list[tuple] = []
@@ -97,7 +116,7 @@ def _level_cells(rows: pd.DataFrame) -> pd.DataFrame:
         for ring in parts:
             count[kind] = count.get(kind, 0) + 1
             x, y = P.inner_point(ring)
-            out.append((level, f"CS_{level}_{kind}_{count[kind]:03d}", name, nav, category, traversable, [list(p) for p in ring], x, y, abs(P.area(ring))))
+            out.append((level, f"CS_{code}_{kind}_{count[kind]:03d}", name, nav, category, traversable, [list(p) for p in ring], x, y, abs(P.area(ring))))
 
     def opening(r) -> P.Ring | None:
         a, b = _points(r.ring)[:2]
@@ -141,12 +160,12 @@ def _level_cells(rows: pd.DataFrame) -> pd.DataFrame:
             parts = P.merged(P.difference(P.convex_parts(ring), taken))
             add("ROOM", r.name, parts, "GeneralSpace", "Room", None)
             taken += parts
-    return pd.DataFrame(out, columns=[c.split(" ")[0] for c in CELL.split(", ")])
+    return _named(rows, key, CELL, out)
 
 
 def cells(features: DataFrame) -> DataFrame:
     """Non-overlapping cells of every level: objects, transfers, walls, then rooms, each clipped by those before."""
-    return features.groupBy("level").applyInPandas(_level_cells, CELL)
+    return features.groupBy(*_by(features)).applyInPandas(_level_cells, _schema(features, CELL))
 
 
 def contacts(cells_: DataFrame, features: DataFrame) -> DataFrame:
@@ -167,11 +186,11 @@ def contacts(cells_: DataFrame, features: DataFrame) -> DataFrame:
                 line = P.contact(rings[a][1], rings[b][1])
                 if line:
                     soft = any(P.project(p, *v)[2] <= 1e-6 and P.project(q, *v)[2] <= 1e-6 for v in virtual for p, q in (line,))
-                    out.append((key[0], rings[a][0], rings[b][0], soft, *line[0], *line[1], math.dist(*line)))
+                    out.append((key[-1], rings[a][0], rings[b][0], soft, *line[0], *line[1], math.dist(*line)))
             open_.append(i)
-        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in CONTACT.split(", ")])
+        return _named(own, key, CONTACT, out)
 
-    return cells_.groupBy("level").cogroup(features.groupBy("level")).applyInPandas(run, CONTACT)
+    return cells_.groupBy(*_by(cells_)).cogroup(features.groupBy(*_by(features))).applyInPandas(run, _schema(cells_, CONTACT))
 
 
 def boundaries(cells_: DataFrame, contacts_: DataFrame) -> DataFrame:
@@ -209,6 +228,66 @@ def exposed_length(cells_: DataFrame, contacts_: DataFrame) -> DataFrame:
     return cells_.select("cell", around.alias("around")).join(shared, "cell", "left").select("cell", F.round(F.greatest(F.col("around") - F.coalesce("shared", F.lit(0.0)), F.lit(0.0)), 6).alias("exposed"))
 
 
+def exterior_boundaries(cells_: DataFrame, contacts_: DataFrame, least: float = 0.1) -> DataFrame:
+    """(boundary, cell, role, ax, ay, bx, by): the stretches of a cell's border that face outside.
+
+    Of cells that anchor the outside or are outer wall (columns function and
+    source_wall_types); a stretch is what the contacts leave of a side, ``least`` long at
+    least. Ids are told apart by a number from the second stretch of a cell on.
+    """
+    role = exterior_role(F.col("navigation_type"), F.col("function"), F.col("source_wall_types"))
+    outer = cells_.withColumn("role", role).where("role is not null")
+    corner = lambda i, k: F.get(F.get("ring", i % F.size("ring")), F.lit(k))
+    ends = lambda i: F.struct(*[corner(j, k).alias(n) for n, j, k in (("ax", i, 0), ("ay", i, 1), ("bx", i + 1, 0), ("by", i + 1, 1))])
+    sides = outer.select("cell", "level", "role", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("ring") - 1), ends)).alias("side", "s")).select("cell", "level", "role", "side", "s.*")
+    own = contacts_.select(F.explode(F.array("a", "b")).alias("cell"), *[F.col(c).alias(f"c{c}") for c in ("ax", "ay", "bx", "by")])
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    along = lambda x, y: ((F.col(x) - F.col("ax")) * dx + (F.col(y) - F.col("ay")) * dy) / (dx * dx + dy * dy)
+    off = lambda x, y: F.abs((F.col(x) - F.col("ax")) * dy - (F.col(y) - F.col("ay")) * dx) / F.hypot(dx, dy)
+    on = (off("cax", "cay") <= 1e-6) & (off("cbx", "cby") <= 1e-6)
+    clip = lambda t: F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    taken = F.when(on, F.struct(clip(F.least(along("cax", "cay"), along("cbx", "cby"))).alias("a"), clip(F.greatest(along("cax", "cay"), along("cbx", "cby"))).alias("b")))
+    keys = ["cell", "level", "role", "side", "ax", "ay", "bx", "by"]
+    met = sides.where(F.hypot(dx, dy) > 0).join(own, "cell", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(taken)).alias("taken"))
+    # what is open lies between the furthest end so far and the next beginning
+    state = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<a:double,b:double>>").alias("open"))
+    step = lambda s, t: F.struct(F.greatest(s["at"], t["b"]).alias("at"), F.when(t["a"] > s["at"], F.concat(s["open"], F.array(F.struct(s["at"].alias("a"), t["a"].alias("b"))))).otherwise(s["open"]).alias("open"))
+    end = lambda s: F.when(s["at"] < 1.0, F.concat(s["open"], F.array(F.struct(s["at"].alias("a"), F.lit(1.0).alias("b"))))).otherwise(s["open"])
+    free = met.select(*keys, F.explode(F.aggregate("taken", state, step, end)).alias("o")).where((F.col("o.b") - F.col("o.a")) * F.hypot(dx, dy) >= least)
+    at = lambda c, d, t: F.col(c) + d * F.col(t)
+    lines = free.select("cell", "level", "role", "side", at("ax", dx, "o.a").alias("ax"), at("ay", dy, "o.a").alias("ay"), at("ax", dx, "o.b").alias("bx"), at("ay", dy, "o.b").alias("by"))
+    base = F.concat_ws("_", F.lit("CB"), F.col("level"), F.when(F.col("role") == "exterior_anchor", "ANCHOR").otherwise("OUTER"), compact_cell(F.col("cell")))
+    n = F.row_number().over(Window.partitionBy("base").orderBy("side", "ax", "ay"))
+    named = lines.withColumn("base", base).withColumn("n", n)
+    return named.select(F.when(F.col("n") == 1, F.col("base")).otherwise(numbered(F.concat("base", F.lit("_")), F.col("n"), 2)).alias("boundary"), "cell", "role", "ax", "ay", "bx", "by")
+
+
+def level_extents(levels: DataFrame, cells_: DataFrame) -> DataFrame:
+    """(level, x0, y0, x1, y1): the extent a level (id, extent, width, height) is given, else its canvas, else the box of its cells."""
+    xs = lambda k: F.transform("ring", lambda p: F.get(p, F.lit(k)))
+    box = cells_.groupBy("level").agg(F.min(F.array_min(xs(0))).alias("cx0"), F.min(F.array_min(xs(1))).alias("cy0"), F.max(F.array_max(xs(0))).alias("cx1"), F.max(F.array_max(xs(1))).alias("cy1"))
+    given, canvas = F.col("extent").isNotNull(), (F.col("width") > 0) & (F.col("height") > 0)
+    corner = lambda f, k: f(F.transform("extent", lambda p: F.get(p, F.lit(k))))
+    pick = lambda own, drawn, cells: F.when(given, own).when(canvas, drawn).otherwise(F.col(cells))
+    both = levels.join(box.withColumnRenamed("level", "id"), "id", "left")
+    return both.select(
+        F.col("id").alias("level"), pick(corner(F.array_min, 0), F.lit(0.0), "cx0").alias("x0"), pick(corner(F.array_min, 1), F.lit(0.0), "cy0").alias("y0"),
+        pick(corner(F.array_max, 0), F.col("width"), "cx1").alias("x1"), pick(corner(F.array_max, 1), F.col("height"), "cy1").alias("y1"),
+    )
+
+
+def collection(kind: Column) -> Column:
+    """The collection of a level that an authored line belongs to; unknown types are walls."""
+    return F.when(kind == "salida", "exits").when(kind == "frontera_virtual", "virtual_boundaries").when(kind.isin("ventana", "ventana_practicable"), "windows").when(kind.isin("puerta_simple", "puerta_doble"), "doors").otherwise("walls")
+
+
+def added_level(levels: DataFrame, name: str, height: float = 3.0) -> DataFrame:
+    """``levels`` (id, name, order, elevation) and one more above them, its elevation its order times ``height``."""
+    top = levels.agg((F.coalesce(F.max("order"), F.lit(-1)) + 1).alias("order"))
+    new = top.select(numbered("LEVEL_", F.col("order"), 2).alias("id"), F.lit(name).alias("name"), F.col("order").cast(levels.schema["order"].dataType).alias("order"), (F.col("order") * height).cast("double").alias("elevation"))
+    return levels.select("id", "name", "order", "elevation").unionByName(new)
+
+
 def vertical_links(endpoints: DataFrame) -> DataFrame:
     """(connector, lower, upper, from_cell, to_cell): consecutive endpoints (connector, level_order, level, cell) of each connector."""
     by = Window.partitionBy("connector").orderBy("level_order")
@@ -225,7 +304,7 @@ def detected_spaces(features: DataFrame, previous: DataFrame | None = None) -> D
     out = "level string, space string, ring array<array<double>>, area double, status string"
 
     def run(key: tuple, rows: pd.DataFrame, had: pd.DataFrame) -> pd.DataFrame:
-        level = key[0]
+        level = key[-1]
         walls = [tuple(_points(r)[:2]) for k, r in zip(rows["kind"], rows["ring"]) if k in WALLS]
         blocks = [x for k, r in zip(rows["kind"], rows["ring"]) if k == "object" for x in P.convex_parts(P.cleaned(_points(r)))]
         thick = [x for k, r, t in zip(rows["kind"], rows["ring"], rows["thickness"]) if k in WALLS and (x := P.band(*_points(r)[:2], t or 0.1))]
@@ -244,11 +323,11 @@ def detected_spaces(features: DataFrame, previous: DataFrame | None = None) -> D
                     used += 1
                     name = f"SPACE_{level}_{used:03d}"
                 made.append((level, name, [list(p) for p in part], abs(P.area(part)), "ok"))
-        return pd.DataFrame(made, columns=["level", "space", "ring", "area", "status"])
+        return _named(rows, key, out, made)
 
     if previous is None:
-        previous = features.sparkSession.createDataFrame([], "level string, space string, ring array<array<double>>")
-    return features.groupBy("level").cogroup(previous.groupBy("level")).applyInPandas(run, out)
+        previous = features.sparkSession.createDataFrame([], _schema(features, "level string, space string, ring array<array<double>>"))
+    return features.groupBy(*_by(features)).cogroup(previous.groupBy(*_by(previous))).applyInPandas(run, _schema(features, out))
 
 
 def history(snapshots: DataFrame, version: int) -> DataFrame:

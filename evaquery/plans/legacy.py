@@ -110,7 +110,7 @@ def beacon_cells(beacons: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def cut_walls(walls: DataFrame, openings: DataFrame) -> DataFrame:
-    """(wall, fragment, ring): walls (level, name, ring) minus the openings of their level, fragments numbered."""
+    """(wall, fragment, ring): walls (level, name, ring, and model if there are several) minus the openings of their level, fragments numbered."""
 
     def run(key: tuple, own: pd.DataFrame, holes: pd.DataFrame) -> pd.DataFrame:
         mass = [x for r in holes["ring"] if (c := P.cleaned([tuple(p) for p in r])) for x in P.convex_parts(c)]
@@ -120,7 +120,8 @@ def cut_walls(walls: DataFrame, openings: DataFrame) -> DataFrame:
             out += [(name, i + 1, [list(p) for p in part]) for i, part in enumerate(parts)]
         return pd.DataFrame(out, columns=["wall", "fragment", "ring"])
 
-    return walls.groupBy("level").cogroup(openings.groupBy("level")).applyInPandas(run, "wall string, fragment int, ring array<array<double>>")
+    by = [c for c in ("model", "level") if c in walls.columns]
+    return walls.groupBy(*by).cogroup(openings.groupBy(*by)).applyInPandas(run, "wall string, fragment int, ring array<array<double>>")
 
 
 def model_faults(cells: DataFrame, boundaries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -35,9 +35,9 @@ def ddl_to_struct(ddl: str) -> str:
     return ",".join(out)
 
 
-def legacy_map(spark: SparkSession, path: str) -> DataFrame:
-    """A map document as one row; a missing path raises."""
-    return spark.read.schema(schemas.LEGACY_MAP).json(path, multiLine=True)
+def legacy_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Map documents as one row each, a file a document, or a line with ``lines``; a missing path raises."""
+    return spark.read.schema(schemas.LEGACY_MAP).json(path, multiLine=not lines)
 
 
 def legacy_spaces(maps: DataFrame) -> DataFrame:
@@ -56,9 +56,9 @@ def legacy_links(maps: DataFrame) -> DataFrame:
     return flat.unionByName(up)
 
 
-def models(spark: SparkSession, path: str) -> DataFrame:
-    """Indoor models, one row a document; a root that is no object has all in _corrupt_record."""
-    return spark.read.schema(model_schema()).json(path, multiLine=True, mode="PERMISSIVE")
+def models(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Indoor models, one row a document, a file each, or a line each with ``lines``; a root that is no object has all in _corrupt_record."""
+    return spark.read.schema(model_schema()).json(path, multiLine=not lines, mode="PERMISSIVE")
 
 
 def latest_file(spark: SparkSession, folder: str, glob: str = "*.json") -> str | None:

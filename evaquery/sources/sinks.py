@@ -26,22 +26,40 @@ def monthly(df: DataFrame, path: str, ts: str = "ts") -> None:
     df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts)).write.mode("append").partitionBy("year", "month").parquet(path)
 
 
-def model_json(cells: DataFrame, boundaries: DataFrame, nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """One row (value): the model of a building as JSON without nulls.
+def model_json(cells: DataFrame, boundaries: DataFrame, nodes: DataFrame, edges: DataFrame, name: str | None = None, by: str | None = None) -> DataFrame:
+    """(value), a row a document: models as JSON without nulls; all rows are of the one model ``name``, or of the models that column ``by`` names."""
+    from ..plans.reexport import snapshot
+
+    parts = {"cells": cells, "boundaries": boundaries, "nodes": nodes, "edges": edges}
+    if by is None:
+        by, parts = "__model", {k: v.withColumn("__model", F.lit(name)) for k, v in parts.items()}
+    made = snapshot(by, **parts)
+    head = F.concat(F.lit('{"modelName":'), F.to_json(F.struct(F.col("model").alias("m"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("model").alias("m")))) - 6), F.lit(","))
+    out = made.select("model", F.concat(head, F.substr("value", F.lit(2))).alias("value"))
+    return out.select("value") if by == "__model" else out
 
-    A document is one row by its nature: this is for one building at a time.
-    """
-    packed = lambda df, out: df.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}))).alias(out))
-    all_ = packed(cells, "cells").join(packed(boundaries, "boundaries"), how="cross").join(packed(nodes, "nodes"), how="cross").join(packed(edges, "edges"), how="cross")
-    listed = [F.concat(F.lit(f'"{c}":['), F.array_join(c, ","), F.lit("]")) for c in ("cells", "boundaries", "nodes", "edges")]
-    return all_.select(F.concat(F.lit("{"), F.to_json(F.struct(F.lit(name).alias("modelName"))).substr(F.lit(2), F.lit(len(name) + 14)), F.lit(","), F.concat_ws(",", *listed), F.lit("}")).alias("value"))
 
+def legacy_json(spaces: DataFrame, links: DataFrame, walls: DataFrame | None = None, spawns: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """(value), a row a map: spaces by name, horizontal and vertical links, walls and spawn points, as JSON without nulls.
 
-def legacy_json(spaces: DataFrame, links: DataFrame) -> DataFrame:
-    """One row (value): spaces as a map by name, and links, as JSON."""
-    s = spaces.agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct(F.array("x", "y").alias("centroide"), F.col("poligono"), F.col("atributos"))))).alias("espacios_navegables"))
-    h = links.where("not vertical").agg(F.array_sort(F.collect_list(F.struct("origen", "destino", "tipo", "contexto"))).alias("conexiones_horizontales"))
-    return s.join(h, how="cross").select(F.to_json(F.struct("espacios_navegables", "conexiones_horizontales"), {"ignoreNullFields": "true"}).alias("value"))
+    All rows are of one map, or of the maps that column ``by`` names.
+    """
+    key = by or "__map"
+    own = lambda df: df if by else df.withColumn(key, F.lit(0))
+    s = own(spaces).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct(F.array("x", "y").alias("centroide"), F.col("poligono"), F.col("atributos"))))).alias("espacios_navegables"))
+    listed = lambda df, out, *cols: own(df).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(out))
+    parts = [listed(links.where("not vertical"), "conexiones_horizontales", "origen", "destino", "tipo", "contexto")]
+    parts.append(listed(links.where("vertical"), "conexiones_verticales", F.col("contexto").alias("nodo_id"), F.col("destino").alias("capa_superior"), F.col("origen").alias("capa_inferior"), F.col("tipo").alias("tipo_conexion")))
+    if walls is not None:
+        parts.append(listed(walls, "muros", "id", "tipo", "poligono"))
+    if spawns is not None:
+        parts.append(own(spawns).groupBy(key).agg(F.array_sort(F.collect_list(F.array("x", "y"))).alias("agentesspawn")))
+    out = s
+    for p in parts:
+        out = out.join(p, key, "left")
+    members = [c for c in out.columns if c != key]
+    value = F.to_json(F.struct(*members), {"ignoreNullFields": "true"}).alias("value")
+    return out.select(key, value) if by else out.select(value)
 
 
 def line_protocol(measurement: Column, room: Column, variable: Column, value: Column, ts: Column) -> Column:
