@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Cached
-from .common import arrow_map, texts
+from .common import arrow_map, joined_by, stored, texts
 
 BUCKETS = 1 << 15
 SLICE_BYTES = 6 << 20
@@ -120,6 +120,18 @@ def spark_encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", ids.alias("ids"))
 
 
+def spark_encoded_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``spark_encoded``, each distinct word of all texts folded once and joined back to its occurrences."""
+    table = _literal_map({k.decode("latin-1"): v for k, v in ranks(path).items()}, "int")
+    rows = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    found = stored(rows.select("row", F.posexplode(words_of(F.col("text"), pattern)).alias("pos", "word")))
+    sizes = stored(found.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    words = stored(sizes.select("word", _once(table, lambda t: _folded(t, F.col("word"))).alias("part")))
+    parts = joined_by(found, words, "word", sizes).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
+    ids = F.coalesce(F.flatten(F.transform("parts", lambda p: p["part"])), F.array().cast("array<int>"))
+    return rows.join(parts, "row", "left").select("doc_id", ids.alias("ids"))
+
+
 def spark_decoded(ids: Column, path: str) -> Column:
     """The bytes of an array of ids, in Spark's functions alone. An unknown id gives null."""
     listed = sorted((v, k.decode("latin-1")) for k, v in ranks(path).items())

@@ -49,10 +49,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, what ``stored`` wrote inside; for work whose own result is written before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors.
+
+    Within ``scratch`` the files go at its end unless they are to be kept; elsewhere they
+    stay, as a frame that reads them may be used at any time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evaquery-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

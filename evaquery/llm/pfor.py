@@ -137,11 +137,10 @@ def unshard(data: bytes, blocks: slice | None = None) -> tuple[list[int | None],
 
 
 #: The normaliser and the split of a lower-casing, word-end BPE, as its file states them.
-NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: That split within lower-case Latin-1, where no sign composes and case maps one to one; apostrophes aside.
 _PARTS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-_NOT_PLAIN = ("'", "<|")
 MOST_PARTS = 600_000
 
 
@@ -160,9 +159,10 @@ class Encoder:
         self.parts = Cached(self._parts, MOST_PARTS)
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        steps = [x.get("type") for x in (said["normalizer"] or {}).get("normalizers", [])]
+        steps = (said["normalizer"] or {}).get("normalizers", [])
         splits = [x.get("pattern", {}).get("Regex") for x in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.by_words = steps == NORMALIZERS and splits == [SPLIT, None]
+        self.not_plain = ("'", *(x["content"].lower() for x in said["added_tokens"]))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -194,8 +194,9 @@ class Encoder:
         pa.default_memory_pool().release_unused()
 
     def encode(self, texts_: list[str]) -> list[np.ndarray]:
-        plain = [self.by_words and _within_latin(t) and not any(x in t for x in _NOT_PLAIN) for t in texts_]
-        by_word = iter(self._by_words([t.lower() for t, p in zip(texts_, plain) if p]) if any(plain) else ())
+        lower = [t.lower() for t in texts_] if self.by_words else texts_
+        plain = [self.by_words and _within_latin(t) and not any(x in low for x in self.not_plain) for t, low in zip(texts_, lower)]
+        by_word = iter(self._by_words([low for low, p in zip(lower, plain) if p]) if any(plain) else ())
         by_piece = iter(self.pieces.values([SPACED.findall(t) for t, p in zip(texts_, plain) if not p]))
         return [next(by_word) if p else np.frombuffer(b"".join(next(by_piece)), dtype=self.kind) for p in plain]
 
@@ -225,11 +226,12 @@ FILES = "part int, start bigint, n_docs bigint, n_ids bigint, shard binary"
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of ``docs`` in ascending doc_id order to shards under ``path``.
 
-    Rows are range-partitioned by doc_id and sorted (nulls first, ties by text); a task
-    streams its range and holds one shard's ids, about a million, or one document's.
+    Rows are range-partitioned by doc_id, and by how their text begins where they share
+    one, and sorted (nulls first, ties by text); a task streams its range and holds one
+    shard's ids, about a million, or one document's, however long.
     A null text counts as empty and has only the end id, if there is one.
     """
-    dealt = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = texts(docs, id_col, text_col).repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     ending = np.zeros(0, dtype=np.uint32) if end_id is None else np.array([end_id], dtype=np.uint32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +288,9 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int | None, path: str |
 
     One row for each row of ``docs``: start (ids of all documents before it in ascending
     doc_id order), n_tokens (with the end id) and the crc32 of its ids as little-endian
-    unsigned 32-bit integers. An empty table writes no shard and gives no rows.
+    unsigned 32-bit integers. A null text has the end id alone; null doc_ids come first and
+    stay null; rows that share a doc_id follow each other in order of their text; an empty
+    table writes no shard and gives no rows.
     """
     spark = docs.sparkSession
     if path is None:

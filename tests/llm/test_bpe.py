@@ -60,3 +60,10 @@ def test_rows(spark):
     assert sorted(map(tuple, bpe.round_trip(df, PATH, P.PATTERN).collect()), key=str) == sorted(want, key=str)
     assert bpe.encoded(df, PATH, P.PATTERN).where("size(ids) > 0").count() == len([t for _, t in rows if t])
     assert bpe.round_trip(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_distinct_words_folded_in_spark_give_the_same(spark):
+    rows = [(i, t) for i, t in enumerate(odd_texts()[:60])] + [(3, ODD[3]), (None, "no id the the")]
+    got = bpe.spark_encoded_words(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, P.PATTERN).collect()
+    lib = library(PATH)
+    assert sorted([(r.doc_id, r.ids) for r in got], key=str) == sorted([(i, lib.encode_ordinary(t)) for i, t in rows], key=str)

@@ -109,3 +109,16 @@ def test_stages_on_odd_tables(spark, rows):
         if name != "byte_bpe":
             assert made.columns == docs.columns
     assert len(got) == len(odd) * (rows == "odd")
+
+
+def test_scratch_files_go_and_results_stay(spark):
+    from pathlib import Path
+
+    from evaquery.llm import common
+
+    at = Path(common.shared_dir(spark).replace("file:", ""))
+    before = set(at.glob("evaquery-*"))
+    with common.scratch(spark):
+        common.stored(spark.range(3))
+        kept = common.stored(common.stored(spark.range(5)), keep=True)
+    assert len(set(at.glob("evaquery-*")) - before) == 1 and kept.count() == 5
