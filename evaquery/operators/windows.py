@@ -80,9 +80,9 @@ def cumulative(df: DataFrame, order: str) -> DataFrame:
 
 
 def jaccard_with_previous(df: DataFrame, key: str, order: str, path: str) -> DataFrame:
-    """Overlap of each path with the one before, null for the first."""
+    """Overlap of each path with the one before, null for the first and where both are empty."""
     before = F.lag(path).over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("overlap", F.when(before.isNotNull(), F.size(F.array_intersect(path, before)) / F.size(F.array_union(path, before))))
+    return df.withColumn("overlap", F.when(before.isNotNull(), F.size(F.array_intersect(path, before)) / F.nullif(F.size(F.array_union(path, before)), F.lit(0))))
 
 
 def stuck(df: DataFrame, key: str, order: str, rows: int = 20, least: float = 0.2) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import polygon as P
 from ..functions.geometry import area, inflated, overlap_area, rect
 from ..operators.joins import pairs_in_group
+from ..sources.storage import small, stored
 
 REACH = 0.15
 DOOR_SHARE = 0.30
@@ -155,7 +156,7 @@ def frames(times: DataFrame, edges: DataFrame, scores: DataFrame, asked: DataFra
 
     ok = scores.where(F.coalesce("score", F.lit(1.0)) >= threshold)
     side = lambda end: ok.select("t", F.col("node").alias(end), F.col("score").alias(f"s_{end}"))
-    masked = times.select("t").join(F.broadcast(edges), how="cross").join(side("u"), ["t", "u"]).join(side("v"), ["t", "v"])
+    masked = times.select("t").join(small(stored(edges)), how="cross").join(side("u"), ["t", "u"]).join(side("v"), ["t", "v"])
     weighed = masked.select("t", "u", "v", risk_weight(F.col("weight"), F.col("s_u"), F.col("s_v"), beta).alias("weight"))
     found = routes(weighed, asked.join(times.select("t"), how="cross"), "t")
     key = F.concat_ws("-", F.col("start").cast("string"), F.col("goal").cast("string"))
