@@ -468,3 +468,16 @@ def m01(spark: SparkSession, d: str) -> DataFrame:
     walls = spark.createDataFrame([(0.0, 0.0, 60.0, 30.0)], "x0 double, y0 double, x1 double, y1 double")
     crowd = sim.population(spark, table(spark, d, "supplier").count(), 60.0, 40.0, walls)
     return sim.activation(crowd, step=3).where("y > 30").agg(F.count(F.lit(1)).alias("agents"), F.countDistinct("place").alias("places"))
+
+
+@query("m06_m09_discrete_ticks", """WITH RECURSIVE legs AS (SELECT c_custkey AS agent, CAST(i AS INTEGER) AS leg, least((c_nationkey + i) % 25, (c_nationkey + i + 1) % 25) AS eu, greatest((c_nationkey + i) % 25, (c_nationkey + i + 1) % 25) AS ev, 5.0::DOUBLE + (c_nationkey + i) % 4 AS length FROM customer, range(0, 3) r(i) WHERE c_custkey % 7 <> 0),
+    r(now, agent, leg, spent, status, t) AS (SELECT 0, c_custkey, 0, 0.0::DOUBLE, CASE WHEN c_custkey % 7 = 0 THEN 'stuck' ELSE 'moving' END, 0 FROM customer
+    UNION ALL SELECT now + 1, agent, CASE WHEN over AND leg < 2 THEN leg + 1 ELSE leg END, CASE WHEN over THEN 0.0 WHEN status = 'moving' THEN spent + 2.0 ELSE spent END, CASE WHEN over AND leg = 2 THEN 'done' ELSE status END, CASE WHEN over AND leg = 2 THEN now + 1 ELSE t END
+    FROM (SELECT r.*, status = 'moving' AND spent + 2.0 >= length / 1.2 * (1 + 0.6 * greatest(0, n - 3) / 3) AS over FROM r LEFT JOIN legs USING (agent, leg) LEFT JOIN (SELECT eu, ev, count(*) AS n FROM r JOIN legs USING (agent, leg) WHERE status = 'moving' GROUP BY 1, 2) USING (eu, ev)) WHERE now < 12)
+    SELECT agent, leg, status, t FROM r WHERE now = 12""")
+def m06(spark: SparkSession, d: str) -> DataFrame:
+    """Customers walk three edges each, slowed by who is on the same edge; a seventh of them have no route."""
+    c = table(spark, d, "customer")
+    k = F.col("c_nationkey") + F.col("leg")
+    legs = c.where("c_custkey % 7 <> 0").withColumn("leg", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(F.col("c_custkey").alias("agent"), "leg", (k % 25).alias("u"), ((k + 1) % 25).alias("v"), (5.0 + k % 4).alias("length"))
+    return sim.discrete(c.select(F.col("c_custkey").alias("agent")), legs, 12, tick=2.0)
