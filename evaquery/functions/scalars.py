@@ -172,8 +172,8 @@ def connector_type(origin: Column, target: Column) -> Column:
 
 
 def through_space(origin: Column, target: Column) -> Column:
-    """The first end that is a door or a virtual boundary by its name; null for none."""
-    leads = lambda n: F.lower(n).contains("puerta") | _is_virtual(F.lower(n))
+    """The first end that is a door, an exit or a virtual boundary by its name; null for none."""
+    leads = lambda n: node_type(n) != "space"
     return F.when(leads(origin), origin).when(leads(target), target)
 
 

@@ -69,6 +69,11 @@ def robust_share(flags: DataFrame) -> DataFrame:
     return flags.groupBy("path_id").agg(F.avg(F.col("robust").cast("double")).alias("share"))
 
 
+def sizes(documents: DataFrame, **arrays: str) -> DataFrame:
+    """Each document with the sizes of its array columns, by output name; a null array has none."""
+    return documents.select(*[c for c in documents.columns if c not in arrays.values()], *[F.coalesce(F.size(a), F.lit(0)).cast("bigint").alias(name) for name, a in arrays.items()])
+
+
 def document_counts(models: DataFrame, **arrays: str) -> DataFrame:
     """Total sizes of array columns over documents, by output name."""
     return models.agg(*[F.sum(F.coalesce(F.size(a), F.lit(0))).alias(name) for name, a in arrays.items()])

@@ -60,7 +60,7 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f15_connection_names", f"""WITH n AS (SELECT p_partkey, {NAMED} AS name FROM part), t AS (SELECT p_partkey, name, CASE WHEN lower(name) LIKE '%salida%' THEN 'exit_space' WHEN lower(name) LIKE '%frontera%' THEN 'virtual_boundary' WHEN lower(name) LIKE '%puerta%' THEN 'door_space' ELSE 'space' END AS type FROM n)
     SELECT a.p_partkey AS a, b.p_partkey AS b, a.type AS node_type, CASE WHEN a.type = 'exit_space' OR b.type = 'exit_space' THEN 'emergency_exit' WHEN a.type = 'virtual_boundary' OR b.type = 'virtual_boundary' THEN 'virtual_boundary' ELSE 'door_passage' END AS connector,
-    CASE WHEN a.type IN ('door_space', 'virtual_boundary') THEN a.name WHEN b.type IN ('door_space', 'virtual_boundary') THEN b.name END AS through FROM t a JOIN t b ON b.p_partkey = a.p_partkey + 1""")
+    CASE WHEN a.type <> 'space' THEN a.name WHEN b.type <> 'space' THEN b.name END AS through FROM t a JOIN t b ON b.p_partkey = a.p_partkey + 1""")
 def f15(spark: SparkSession, d: str) -> DataFrame:
     n = named(spark, d)
     a, b = n.select(F.col("p_partkey").alias("a"), F.col("name").alias("na")), n.select(F.col("p_partkey").alias("b"), F.col("name").alias("nb"))
