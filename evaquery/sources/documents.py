@@ -61,6 +61,18 @@ def models(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return spark.read.schema(model_schema()).json(path, multiLine=not lines, mode="PERMISSIVE")
 
 
+def source_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The source features of model documents, one row each, as ``reexport`` takes them; a document without any gives no row.
+
+    A line's coordinates are its points, an area's those of its outer ring.
+    """
+    kind = "id string, metadata struct<name:string>, sourceFeatures array<struct<id:string,level:string,sourceType:string,geometry:string,attributes:map<string,string>>>"
+    docs = spark.read.schema(kind).json(path, multiLine=not lines).select(F.coalesce("metadata.name", "id", F.lit("model")).alias("model"), F.inline("sourceFeatures").alias("id", "level", "sourceType", "g", "attributes"))
+    type_, text = F.get_json_object("g", "$.type"), F.get_json_object("g", "$.coordinates")
+    points = F.when(type_ == "Polygon", F.get(F.from_json(text, "array<array<array<double>>>"), F.lit(0))).otherwise(F.from_json(text, "array<array<double>>"))
+    return docs.select("model", "id", "level", "sourceType", F.struct(type_.alias("type"), points.alias("coordinates")).alias("geometry"), F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"))
+
+
 def latest_file(spark: SparkSession, folder: str, glob: str = "*.json") -> str | None:
     """The newest file of a folder by modification time, the greater path at equal times."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "modificationTime")
