@@ -37,9 +37,10 @@ def errors(value: object, schema: dict | bool, root: dict | None = None, path: t
     if kinds and not any(_is(value, k) for k in kinds):
         yield path, f"is not of type {' or '.join(kinds)}"
         return
-    if "const" in schema and value != schema["const"]:
+    same = lambda other: value == other and isinstance(value, bool) == isinstance(other, bool)
+    if "const" in schema and not same(schema["const"]):
         yield path, f"is not {json.dumps(schema['const'])}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(map(same, schema["enum"])):
         yield path, f"is none of {json.dumps(schema['enum'])}"
     if isinstance(value, dict):
         for name in schema.get("required", ()):

@@ -31,7 +31,9 @@ def f02(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", ids.prefixed("SP", name).alias("space"), ids.compact_cell(cell).alias("compact"), ids.display(marked, ["CS_L00_", "CS_", "CB_"]).alias("shown"))
 
 
-@query("f11_f38_f41_f42_scales", sql("SELECT u, v, round(10 + (40 - 10) * (weight / 17.0::DOUBLE), 6) AS ramp, round(1 + 4 * (17 - weight) / (17 - 1 + 1e-9), 6) AS width, CASE WHEN coalesce(score, 1.0) < 0.6 THEN 'grey' ELSE 'graded' END AS shade, CASE WHEN weight * 150 > 2000 THEN 'red' WHEN weight * 150 > 20 THEN 'yellow' ELSE 'cyan' END AS colour FROM edges JOIN nodes ON u = node", "edges", "nodes"))
+@query("f11_f38_f41_f42_scales", sql("""SELECT u, v, round(10 + (40 - 10) * (weight / 17.0::DOUBLE), 6) AS ramp, round(1 + 4 * (17 - weight) / (17 -
+    1 + 1e-9), 6) AS width, CASE WHEN coalesce(score, 1.0) < 0.6 THEN 'grey' ELSE 'graded' END AS shade,
+    CASE WHEN weight * 150 > 2000 THEN 'red' WHEN weight * 150 > 20 THEN 'yellow' ELSE 'cyan' END AS colour FROM edges JOIN nodes ON u = node""", "edges", "nodes"))
 def f11(spark: SparkSession, d: str) -> DataFrame:
     e = domain.edges(spark, d).join(domain.nodes(spark, d).select(F.col("node").alias("u"), "score"), "u")
     w = F.col("weight")
@@ -68,7 +70,8 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", scalars.node_type(na).alias("node_type"), scalars.connector_type(na, nb).alias("connector"), scalars.through_space(na, nb).alias("through"))
 
 
-@query("f17_f20_f21_speeds", sql("SELECT u, v, round(0.1 * CASE u % 3 WHEN 0 THEN 1.2 WHEN 1 THEN 0.5 ELSE 1.0 END, 6) AS speed, round(weight / 1.2::DOUBLE * (1 + 0.6 * greatest(0, v - 3) / 3), 6) AS time, greatest(1.0, round(weight / 0.6::DOUBLE, 2)) AS capacity FROM edges", "edges"))
+@query("f17_f20_f21_speeds", sql("""SELECT u, v, round(0.1 * CASE u % 3 WHEN 0 THEN 1.2 WHEN 1 THEN 0.5 ELSE 1.0 END, 6) AS speed, round(weight /
+    1.2::DOUBLE * (1 + 0.6 * greatest(0, v - 3) / 3), 6) AS time, greatest(1.0, round(weight / 0.6::DOUBLE, 2)) AS capacity FROM edges""", "edges"))
 def f17(spark: SparkSession, d: str) -> DataFrame:
     profile = F.when(F.col("u") % 3 == 0, "Rolling").when(F.col("u") % 3 == 1, "Elderly").otherwise("Adult")
     return domain.edges(spark, d).select("u", "v", F.round(scalars.profile_speed(profile), 6).alias("speed"), F.round(scalars.congested_time(F.col("weight"), F.col("v")), 6).alias("time"), scalars.edge_capacity(F.col("weight")).alias("capacity"))
@@ -92,7 +95,9 @@ def f24(spark: SparkSession, d: str) -> DataFrame:
     return s.select("room", "fire", "leak", "shock", cep.extreme_heat(F.col("temp"), F.col("hum")).alias("heat"), "state", F.array_join("reasons", ",").alias("reasons"), F.col("t_max").alias("minutes"))
 
 
-@query("f26_f27_f28_motion_rules", sql("SELECT u, v, CASE WHEN weight % 4 IN (0, 1) THEN 0.25 WHEN weight % 4 = 2 THEN 1.0 ELSE 1.2 END AS radius, CASE WHEN (u - v) / 10.0 < 0 THEN CASE WHEN (v - u) % 3 = 0 THEN 0.3 ELSE CASE WHEN (v - u) % 3 = 1 THEN 0.6 ELSE 1.0 END END END AS turn, round(least(4 * exp(-8 * weight / 40.0::DOUBLE), 6.0), 6) AS wall, round(least(1.5 * exp(-weight / 10.0::DOUBLE), 6.0), 6) AS social FROM edges", "edges"))
+@query("f26_f27_f28_motion_rules", sql("""SELECT u, v, CASE WHEN weight % 4 IN (0, 1) THEN 0.25 WHEN weight % 4 = 2 THEN 1.0 ELSE 1.2 END AS radius,
+    CASE WHEN (u - v) / 10.0 < 0 THEN CASE WHEN (v - u) % 3 = 0 THEN 0.3 ELSE CASE WHEN (v - u) % 3 = 1 THEN 0.6 ELSE 1.0 END END END AS turn,
+    round(least(4 * exp(-8 * weight / 40.0::DOUBLE), 6.0), 6) AS wall, round(least(1.5 * exp(-weight / 10.0::DOUBLE), 6.0), 6) AS social FROM edges""", "edges"))
 def f26(spark: SparkSession, d: str) -> DataFrame:
     w = F.col("weight")
     kind = F.get(F.array(*map(F.lit, ("door", "exit", "virtual", "room"))), w % 4)
@@ -100,7 +105,9 @@ def f26(spark: SparkSession, d: str) -> DataFrame:
     return domain.edges(spark, d).select("u", "v", scalars.arrival_radius(kind).alias("radius"), scalars.turn_factor(dot).alias("turn"), F.round(scalars.wall_force(w / 40), 6).alias("wall"), F.round(scalars.social_force(w / 10), 6).alias("social"))
 
 
-@query("f29_velocities", sql(", f AS (SELECT u, v, 0.7::DOUBLE * (u - 10) + 0.3::DOUBLE * weight AS x, 0.7::DOUBLE * (v - 15) - 0.3::DOUBLE * weight AS y FROM edges) SELECT u, v, round(x * CASE WHEN sqrt(x * x + y * y) > 5 THEN 5 / sqrt(x * x + y * y) ELSE 1 END, 6) AS x, round(y * CASE WHEN sqrt(x * x + y * y) > 5 THEN 5 / sqrt(x * x + y * y) ELSE 1 END, 6) AS y FROM f", "edges"))
+@query("f29_velocities", sql(""", f AS (SELECT u, v, 0.7::DOUBLE * (u - 10) + 0.3::DOUBLE * weight AS x, 0.7::DOUBLE * (v - 15) - 0.3::DOUBLE *
+    weight AS y FROM edges) SELECT u, v, round(x * CASE WHEN sqrt(x * x + y * y) > 5 THEN 5 / sqrt(x * x + y * y) ELSE 1 END, 6) AS x, round(y *
+    CASE WHEN sqrt(x * x + y * y) > 5 THEN 5 / sqrt(x * x + y * y) ELSE 1 END, 6) AS y FROM f""", "edges"))
 def f29(spark: SparkSession, d: str) -> DataFrame:
     made = scalars.velocity(F.col("u") - 10, F.col("v") - 15, F.col("weight"), -F.col("weight"), F.lit(5.0))
     return domain.edges(spark, d).select("u", "v", made.alias("w")).select("u", "v", F.round("w.x", 6).alias("x"), F.round("w.y", 6).alias("y"))
@@ -152,7 +159,8 @@ def f39(spark: SparkSession, d: str) -> DataFrame:
     return domain.edges(spark, d).select("u", "v", scalars.path_text(path).alias("path"), F.array_join(legacy.expanded(path, F.array(n(F.col("u") + 1), F.lit("N7"))), " -> ").alias("rooms"))
 
 
-@query("f44_event_spans", sql("SELECT node, 5.0 + node AS start, 5.0 + node + (node % 4) * 6.0 + CASE WHEN node % 2 = 0 THEN 25.0 ELSE 26.0 END AS stop FROM nodes", "nodes"))
+@query("f44_event_spans", sql("""SELECT node, 5.0 + node AS start, 5.0 + node + (node % 4) * 6.0 +
+    CASE WHEN node % 2 = 0 THEN 25.0 ELSE 26.0 END AS stop FROM nodes""", "nodes"))
 def f44(spark: SparkSession, d: str) -> DataFrame:
     span = scalars.event_span(5.0 + F.col("node"), F.col("node") % 4 + 1, 6.0, F.when(F.col("node") % 2 == 0, "triangle").otherwise("ramp_hold"))
     return domain.nodes(spark, d).select("node", span.alias("s")).select("node", "s.start", "s.stop")
@@ -163,7 +171,9 @@ def p03(spark: SparkSession, d: str) -> DataFrame:
     return domain.nodes(spark, d).where(filters.mobility_allowed(("WALK",), general_without=True)).select("node")
 
 
-@query("x08_profile_masks", sql("SELECT 'GENERAL' AS profile, node FROM nodes WHERE (coalesce(locomotion IN ('WALK', 'RAMP'), false) OR (locomotion IS NULL AND kind = 'GENERAL')) AND coalesce(score, 1.0) >= 0.6 UNION ALL SELECT 'PMR', node FROM nodes WHERE coalesce(locomotion IN ('RAMP'), false) AND coalesce(score, 1.0) >= 0.75", "nodes"))
+@query("x08_profile_masks", sql("""SELECT 'GENERAL' AS profile, node FROM nodes WHERE (coalesce(locomotion IN ('WALK', 'RAMP'), false) OR (locomotion
+    IS NULL AND kind = 'GENERAL')) AND coalesce(score, 1.0) >= 0.6 UNION ALL SELECT 'PMR', node FROM nodes
+    WHERE coalesce(locomotion IN ('RAMP'), false) AND coalesce(score, 1.0) >= 0.75""", "nodes"))
 def x08(spark: SparkSession, d: str) -> DataFrame:
     n, out = domain.nodes(spark, d), None
     for name, (least, allowed, general) in scalars.PROFILES.items():
@@ -184,7 +194,12 @@ def p13(spark: SparkSession, d: str) -> DataFrame:
     return n.select("p_partkey", builder.is_opening(F.col("kind")).alias("opening"), builder.is_transfer(F.col("kind"), F.col("name"), F.when(F.col("p_size") % 5 == 0, "AnchorSpace")).alias("transfer"), builder.is_object(marked).alias("object"), filters.transfer_is_open().alias("passable"), filters.connector_id().alias("connector"), filters.is_wall_cell().alias("wall"))
 
 
-@query("p21_view_presets", "SELECT * FROM (VALUES ('basic', 2, NULL), ('spaces', 4, NULL), ('navigable-boundaries', 3, NULL), ('non-navigable', 2, NULL), ('overlaps', 4, NULL), ('graph-base-dual', 4, 'base_dual'), ('graph-space-adjacency', 2, 'space_adjacency'), ('graph-space-connectivity', 3, 'space_connectivity'), ('graph-room-adjacency', 3, 'room_adjacency'), ('graph-room-to-room', 2, 'room_to_room_accessibility'), ('graph-room-transfer', 3, 'space_connectivity'), ('graph-transfer-to-transfer', 4, 'transfer_to_transfer'), ('graph-door-to-door', 2, 'door_to_door'), ('graph-vertical', 1, 'vertical_connectivity'), ('graph-multilevel-vertical', 2, 'vertical_connectivity')) t(preset, layers, view)")
+@query("p21_view_presets", """SELECT * FROM (VALUES ('basic', 2, NULL), ('spaces', 4, NULL), ('navigable-boundaries', 3, NULL), ('non-navigable', 2,
+    NULL), ('overlaps', 4, NULL), ('graph-base-dual', 4, 'base_dual'), ('graph-space-adjacency', 2, 'space_adjacency'), ('graph-space-connectivity',
+    3, 'space_connectivity'), ('graph-room-adjacency', 3, 'room_adjacency'), ('graph-room-to-room', 2, 'room_to_room_accessibility'),
+    ('graph-room-transfer', 3, 'space_connectivity'), ('graph-transfer-to-transfer', 4, 'transfer_to_transfer'), ('graph-door-to-door', 2,
+    'door_to_door'), ('graph-vertical', 1, 'vertical_connectivity'), ('graph-multilevel-vertical', 2, 'vertical_connectivity')) t(preset, layers,
+    view)""")
 def p21(spark: SparkSession, d: str) -> DataFrame:
     rows = [(name, len(layers), view) for name in filters.PRESETS for layers, view in [filters.preset(name)]]
     return spark.createDataFrame(rows, "preset string, layers int, view string")
@@ -201,7 +216,8 @@ def p26(spark: SparkSession, d: str) -> DataFrame:
     return filters.colliders(table(spark, d, "part").select(kind.alias("tipo")))
 
 
-@query("g01_g23_g24_lines", sql("SELECT e.u, e.v, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS length, (a.x + b.x) / 2.0 AS mx, (a.y + b.y) / 2.0 AS my, [a.x, a.y, b.x, b.y] AS line FROM edges e JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node", "edges", "nodes"))
+@query("g01_g23_g24_lines", sql("""SELECT e.u, e.v, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS length, (a.x + b.x) / 2.0 AS mx, (a.y +
+    b.y) / 2.0 AS my, [a.x, a.y, b.x, b.y] AS line FROM edges e JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node""", "edges", "nodes"))
 def g01(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).select("u", "v", F.round(G.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 6).alias("length"), ((F.col("ax") + F.col("bx")) / 2.0).alias("mx"), ((F.col("ay") + F.col("by")) / 2.0).alias("my"), F.array("ax", "ay", "bx", "by").alias("line"))
 
@@ -232,7 +248,8 @@ def g08(spark: SparkSession, d: str) -> DataFrame:
     return own.select("cell", "i", F.round("length", 6).alias("length"), (F.col("dx") / F.col("length")).alias("dx"), (F.col("dy") / F.col("length")).alias("dy"))
 
 
-@query("g13_g42_centres", sql("SELECT cell, (x0 + x1) / 2.0 AS x, (y0 + y1) / 2.0 AS y, CASE cell % 4 WHEN 0 THEN 'south' WHEN 1 THEN 'east' WHEN 2 THEN 'north' ELSE 'west' END AS side FROM cells", "cells"))
+@query("g13_g42_centres", sql("""SELECT cell, (x0 + x1) / 2.0 AS x, (y0 + y1) / 2.0 AS y,
+    CASE cell % 4 WHEN 0 THEN 'south' WHEN 1 THEN 'east' WHEN 2 THEN 'north' ELSE 'west' END AS side FROM cells""", "cells"))
 def g13(spark: SparkSession, d: str) -> DataFrame:
     r = G.rect()
     mid = G.vertex_mean(G.ring(r))
@@ -280,7 +297,8 @@ def s24(spark: SparkSession, d: str) -> DataFrame:
     return domain.cells(spark, d).select("cell", G.geojson("Point", point).alias("point"), G.geojson("Polygon", G.ring(G.rect())).alias("polygon"))
 
 
-@query("s23_line_protocol", sql("SELECT event_id, 'lectura,room=' || room || ',variable=' || replace(variable, ' ', '\\ ') || ' value=' || CAST(event_id % 100 AS VARCHAR) || ' ' || CAST(epoch_us(ts) AS VARCHAR) || '000' AS line FROM readings", "readings"))
+@query("s23_line_protocol", sql("""SELECT event_id, 'lectura,room=' || room || ',variable=' || replace(variable, ' ', '\\ ') || ' value=' ||
+    CAST(event_id % 100 AS VARCHAR) || ' ' || CAST(epoch_us(ts) AS VARCHAR) || '000' AS line FROM readings""", "readings"))
 def s23(spark: SparkSession, d: str) -> DataFrame:
     r = domain.readings(spark, d)
     return r.select("event_id", sinks.line_protocol(F.lit("lectura"), F.col("room").cast("string"), F.col("variable"), F.col("event_id") % 100, F.col("ts").cast("timestamp")).alias("line"))
@@ -304,6 +322,7 @@ def g27(spark: SparkSession, d: str) -> DataFrame:
     return domain.cells(spark, d).select("cell", F.round(G.area(wide), 6).alias("area"), F.round(G.overlap_length(wide["x0"], wide["x1"], F.lit(-1e9), F.col("x0") + 5.0), 6).alias("cut"))
 
 
-@query("g21_snapped_lines", sql(f", {LINES} SELECT u, v, round(round((ax / 7.0) / 0.001) * 0.001, 6) AS x, round(round((ay / 3.0) / 0.001) * 0.001, 6) AS y FROM ln", "edges", "nodes"))
+@query("g21_snapped_lines", sql(f""", {LINES} SELECT u, v, round(round((ax / 7.0) / 0.001) * 0.001, 6) AS x, round(round((ay / 3.0) / 0.001) * 0.001,
+    6) AS y FROM ln""", "edges", "nodes"))
 def g21(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).select("u", "v", F.round(G.snapped(F.col("ax") / 7.0), 6).alias("x"), F.round(G.snapped(F.col("ay") / 3.0), 6).alias("y"))

@@ -51,13 +51,15 @@ def b01(spark: SparkSession, d: str) -> DataFrame:
     return shown(builder.cells(houses(spark, d)))
 
 
-@query("b09_x10_built_boundaries", f"WITH {HOUSES} SELECT model, 'CS_' || model || '_L00_DOOR_001' AS a, 'CS_' || model || '_L00_ROOM_00' || i AS b, 1.0::DOUBLE AS length, false AS is_virtual FROM s, range(1, 3) r(i)")
+@query("b09_x10_built_boundaries", f"""WITH {HOUSES} SELECT model, 'CS_' || model || '_L00_DOOR_001' AS a, 'CS_' || model || '_L00_ROOM_00' || i AS b,
+    1.0::DOUBLE AS length, false AS is_virtual FROM s, range(1, 3) r(i)""")
 def b09(spark: SparkSession, d: str) -> DataFrame:
     f = houses(spark, d)
     return builder.contacts(builder.cells(f), f).select("model", "a", "b", F.round("length", 6).alias("length"), "is_virtual")
 
 
-@query("b02_source_feature_ids", f"WITH {HOUSES} SELECT model, name, 'SF_L00_' || kind || '_' || no AS feature FROM s, (VALUES ('A', 'SPACE', '001'), ('B', 'SPACE', '002'), ('D', 'PUERTA_SIMPLE', '001'), ('W', 'MURO_EXTERIOR', '001')) t(name, kind, no)")
+@query("b02_source_feature_ids", f"""WITH {HOUSES} SELECT model, name, 'SF_L00_' || kind || '_' || no AS feature
+    FROM s, (VALUES ('A', 'SPACE', '001'), ('B', 'SPACE', '002'), ('D', 'PUERTA_SIMPLE', '001'), ('W', 'MURO_EXTERIOR', '001')) t(name, kind, no)""")
 def b02(spark: SparkSession, d: str) -> DataFrame:
     return builder.source_features(houses(spark, d)).select("model", "name", "feature")
 
@@ -74,7 +76,8 @@ def b33(spark: SparkSession, d: str) -> DataFrame:
     return reexport.canvas(reexport.sources(houses(spark, d)))
 
 
-@query("b31_s22_snapshots", f"WITH {HOUSES} SELECT model, '{{\"levels\":[{{\"id\":\"L00\",\"height\":3.0}}],\"rooms\":[{{\"name\":\"A\",\"area\":' || (w * h) || '}},{{\"name\":\"B\"}}]}}' AS value FROM s")
+@query("b31_s22_snapshots", f"""WITH {HOUSES} SELECT model, '{{\"levels\":[{{\"id\":\"L00\",\"height\":3.0}}],\"rooms\":[{{\"name\":\"A\",\"area\":'
+    || (w * h) || '}},{{\"name\":\"B\"}}]}}' AS value FROM s""")
 def b31(spark: SparkSession, d: str) -> DataFrame:
     """Collections of each model as one text, without what is null."""
     f = houses(spark, d)
@@ -83,7 +86,9 @@ def b31(spark: SparkSession, d: str) -> DataFrame:
     return reexport.snapshot("model", levels=f.select("model", F.lit("L00").alias("id"), F.lit(3.0).alias("height"), F.lit(None).cast("string").alias("note")).distinct(), rooms=rooms)
 
 
-@query("b33_level_rows", "SELECT r_name AS model, CASE WHEN r_regionkey % 2 = 0 THEN 'L' || r_regionkey ELSE 'LEVEL_0' || r_regionkey END AS id, CASE WHEN r_regionkey % 2 = 0 THEN 'L' || r_regionkey ELSE 'LEVEL_0' || r_regionkey END AS name, r_regionkey AS \"order\", CASE WHEN r_regionkey = 3 THEN 20.0 ELSE r_regionkey * CASE WHEN r_regionkey = 4 THEN 5.0 ELSE 3.0 END END::DOUBLE AS elevation FROM region")
+@query("b33_level_rows", """SELECT r_name AS model, CASE WHEN r_regionkey % 2 = 0 THEN 'L' || r_regionkey ELSE 'LEVEL_0' || r_regionkey END AS id,
+    CASE WHEN r_regionkey % 2 = 0 THEN 'L' || r_regionkey ELSE 'LEVEL_0' || r_regionkey END AS name, r_regionkey AS \"order\",
+    CASE WHEN r_regionkey = 3 THEN 20.0 ELSE r_regionkey * CASE WHEN r_regionkey = 4 THEN 5.0 ELSE 3.0 END END::DOUBLE AS elevation FROM region""")
 def b33_levels(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("r_regionkey")
     none = F.lit(None)
@@ -91,26 +96,31 @@ def b33_levels(spark: SparkSession, d: str) -> DataFrame:
     return reexport.level_rows(levels).select("model", "id", "name", F.col("order").cast(table(spark, d, "region").schema["r_regionkey"].dataType).alias("order"), "elevation")
 
 
-@query("b30_authored_lines", "SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'doors' WHEN 1 THEN 'doors' WHEN 2 THEN 'exits' WHEN 3 THEN 'windows' WHEN 4 THEN 'virtual_boundaries' ELSE 'walls' END AS collection FROM part")
+@query("b30_authored_lines", """SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'doors' WHEN 1 THEN 'doors' WHEN 2 THEN 'exits' WHEN 3 THEN 'windows'
+    WHEN 4 THEN 'virtual_boundaries' ELSE 'walls' END AS collection FROM part""")
 def b30(spark: SparkSession, d: str) -> DataFrame:
     kind = F.get(F.array(*map(F.lit, ("puerta_simple", "puerta_doble", "salida", "ventana_practicable", "frontera_virtual", "muro_interior", "something"))), (F.col("p_size") % 7).cast("int"))
     return table(spark, d, "part").select("p_partkey", builder.collection(kind).alias("collection"))
 
 
-@query("b30_added_levels", "SELECT r_name AS id, r_name AS name, r_regionkey AS \"order\", r_regionkey * 3.0::DOUBLE AS elevation FROM region UNION ALL SELECT 'LEVEL_0' || (max(r_regionkey) + 1), 'Roof', max(r_regionkey) + 1, (max(r_regionkey) + 1) * 3.0 FROM region")
+@query("b30_added_levels", """SELECT r_name AS id, r_name AS name, r_regionkey AS \"order\", r_regionkey * 3.0::DOUBLE AS elevation FROM region
+    UNION ALL SELECT 'LEVEL_0' || (max(r_regionkey) + 1), 'Roof', max(r_regionkey) + 1, (max(r_regionkey) + 1) * 3.0 FROM region""")
 def b30_levels(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("r_regionkey")
     return builder.added_level(table(spark, d, "region").select(F.col("r_name").alias("id"), F.col("r_name").alias("name"), k.alias("order"), (k * 3.0).alias("elevation")), "Roof")
 
 
-@query("b27_snapshot_history", "SELECT o_custkey AS key, max_by(o_orderkey, o_orderkey) AS value FROM orders WHERE o_orderkey <= 3000 GROUP BY 1 HAVING max(o_orderkey) % 5 <> 0")
+@query("b27_snapshot_history", """SELECT o_custkey AS key, max_by(o_orderkey, o_orderkey) AS value FROM orders WHERE o_orderkey <= 3000
+    GROUP BY 1 HAVING max(o_orderkey) % 5 <> 0""")
 def b27(spark: SparkSession, d: str) -> DataFrame:
     """The state at version 3000 of an append-only log; a fifth of the last entries delete their key."""
     log = table(spark, d, "orders").select(F.col("o_orderkey").alias("version"), F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), (F.col("o_orderkey") % 5 == 0).alias("deleted"))
     return builder.history(log, 3000)
 
 
-@query("f34_b10_exterior_boundaries", sql(f", {TOUCH}, t AS (SELECT room AS cell, count(*) AS n, sum(CASE WHEN via LIKE '%EAST%' THEN 2 ELSE 3 END) AS len FROM touch GROUP BY 1) SELECT name AS cell, 'outer_shell' AS role, 4 + coalesce(n, 0) AS pieces, 4 + coalesce(n, 0) AS ids, round(36.0 - coalesce(len, 0), 6)::DOUBLE AS length FROM plan LEFT JOIN t ON t.cell = name WHERE category = 'Room' AND plan.cell % 2 = 0".replace("SELECT name AS cell", "SELECT plan.name AS cell").replace("t.cell = name", "t.cell = plan.name"), "plan"))
+@query("f34_b10_exterior_boundaries", sql(f""", {TOUCH}, t AS (SELECT room AS cell, count(*) AS n, sum(CASE WHEN via LIKE '%EAST%' THEN 2 ELSE 3 END)
+    AS len FROM touch GROUP BY 1) SELECT name AS cell, 'outer_shell' AS role, 4 + coalesce(n, 0) AS pieces, 4 + coalesce(n, 0) AS ids, round(36.0 -
+    coalesce(len, 0), 6)::DOUBLE AS length FROM plan LEFT JOIN t ON t.cell = name WHERE category = 'Room' AND plan.cell % 2 = 0""".replace("SELECT name AS cell", "SELECT plan.name AS cell").replace("t.cell = name", "t.cell = plan.name"), "plan"))
 def f34(spark: SparkSession, d: str) -> DataFrame:
     """Every other room taken for an outer wall: the stretches of its border that no passage touches."""
     cells, bounds = model(spark, d)
@@ -121,7 +131,9 @@ def f34(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("cell", "role").agg(F.count(F.lit(1)).alias("pieces"), F.countDistinct("boundary").alias("ids"), F.round(F.sum(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), 6).alias("length"))
 
 
-@query("b34_level_extents", sql("SELECT 'L' || level AS level, CASE level WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE min(x0) END::DOUBLE AS x0, CASE level WHEN 0 THEN 2.0 WHEN 1 THEN 0.0 ELSE min(y0) END::DOUBLE AS y0, CASE level WHEN 0 THEN 9.0 WHEN 1 THEN 40.0 ELSE max(x1) END::DOUBLE AS x1, CASE level WHEN 0 THEN 8.0 WHEN 1 THEN 30.0 ELSE max(y1) END::DOUBLE AS y1 FROM cells GROUP BY level", "cells"))
+@query("b34_level_extents", sql("""SELECT 'L' || level AS level, CASE level WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE min(x0) END::DOUBLE AS x0,
+    CASE level WHEN 0 THEN 2.0 WHEN 1 THEN 0.0 ELSE min(y0) END::DOUBLE AS y0, CASE level WHEN 0 THEN 9.0 WHEN 1 THEN 40.0 ELSE max(x1) END::DOUBLE AS
+    x1, CASE level WHEN 0 THEN 8.0 WHEN 1 THEN 30.0 ELSE max(y1) END::DOUBLE AS y1 FROM cells GROUP BY level""", "cells"))
 def b34(spark: SparkSession, d: str) -> DataFrame:
     """The extent a level is given, of its canvas, or of its cells: one level each."""
     c = domain.cells(spark, d)
@@ -130,7 +142,8 @@ def b34(spark: SparkSession, d: str) -> DataFrame:
     return builder.level_extents(levels, c.select(F.concat(F.lit("L"), F.col("level").cast("string")).alias("level"), ring.alias("ring")))
 
 
-@query("b18_q16_detected_spaces", f"WITH {HOUSES} SELECT model, CASE WHEN w = 4 THEN 'OLD' ELSE 'SPACE_L00_001' END AS space, CASE WHEN w = 4 THEN 9.0 ELSE round((w - 0.2) * (h - 0.2), 6) END::DOUBLE AS area, CASE WHEN w = 4 THEN 'open' ELSE 'ok' END AS status FROM s")
+@query("b18_q16_detected_spaces", f"""WITH {HOUSES} SELECT model, CASE WHEN w = 4 THEN 'OLD' ELSE 'SPACE_L00_001' END AS space,
+    CASE WHEN w = 4 THEN 9.0 ELSE round((w - 0.2) * (h - 0.2), 6) END::DOUBLE AS area, CASE WHEN w = 4 THEN 'open' ELSE 'ok' END AS status FROM s""")
 def b18(spark: SparkSession, d: str) -> DataFrame:
     """Rooms that four walls enclose; where one wall is missing the level keeps what it had."""
     k = F.col("s_suppkey")
@@ -146,7 +159,8 @@ def b18(spark: SparkSession, d: str) -> DataFrame:
     return builder.detected_spaces(features, previous).select("model", "space", F.round("area", 6).alias("area"), "status")
 
 
-@query("b21_cut_walls", f"WITH {HOUSES} SELECT 'W' || model AS wall, CAST(count(*) AS BIGINT) AS fragments, round(sum((2 * w + 1) * 0.2 - 0.2) / count(*), 6)::DOUBLE AS area FROM s GROUP BY model".replace("CAST(count(*) AS BIGINT)", "CAST(2 AS BIGINT)"))
+@query("b21_cut_walls", f"""WITH {HOUSES} SELECT 'W' || model AS wall, CAST(count(*) AS BIGINT) AS fragments, round(sum((2 * w + 1) * 0.2 - 0.2) /
+    count(*), 6)::DOUBLE AS area FROM s GROUP BY model""".replace("CAST(count(*) AS BIGINT)", "CAST(2 AS BIGINT)"))
 def b21(spark: SparkSession, d: str) -> DataFrame:
     """A wall a model, a metre of it cut out: two fragments. All levels have the same name."""
     k = F.col("s_suppkey")
@@ -183,7 +197,8 @@ def q12(spark: SparkSession, d: str) -> DataFrame:
     return dq.schema_errors(parts, "k", "text", SCHEMA)
 
 
-@query("s12_s14_event_log_round_trip", sql("SELECT step AS \"Step\", CAST(agent AS VARCHAR) AS \"AgenteID\", event AS \"Evento\", CAST(event_id AS VARCHAR) AS \"Valor\" FROM log", "log"))
+@query("s12_s14_event_log_round_trip", sql("""SELECT step AS \"Step\", CAST(agent AS VARCHAR) AS \"AgenteID\", event AS \"Evento\", CAST(event_id AS
+    VARCHAR) AS \"Valor\" FROM log""", "log"))
 def s12(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark)
     log = domain.event_log(spark, d).select(F.col("step").alias("Step"), F.col("agent").cast("string").alias("AgenteID"), F.col("event").alias("Evento"), F.col("event_id").cast("string").alias("Valor"), F.col("value").alias("Pos_X"), F.lit(0.0).alias("Pos_Y"))
@@ -191,7 +206,8 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
     return documents.event_log(spark, path).select("Step", "AgenteID", "Evento", "Valor")
 
 
-@query("s15_s17_summaries", "SELECT CAST(s_nationkey AS VARCHAR) AS run, CAST(count(*) AS VARCHAR) AS agents FROM supplier GROUP BY 1 UNION ALL SELECT 'all', CAST(count(*) AS VARCHAR) FROM supplier")
+@query("s15_s17_summaries", """SELECT CAST(s_nationkey AS VARCHAR) AS run, CAST(count(*) AS VARCHAR) AS agents FROM supplier GROUP BY 1 UNION ALL
+    SELECT 'all', CAST(count(*) AS VARCHAR) FROM supplier""")
 def s15(spark: SparkSession, d: str) -> DataFrame:
     """Run summaries appended one after another to one CSV folder, read back."""
     path, s = folder(spark), table(spark, d, "supplier")
@@ -208,7 +224,8 @@ def s26(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).where("variable = 'click'").groupBy("room", "variable").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s13_uplinks", sql("SELECT 'dev-' || (event_id % 7) AS sensor, 'room ' || room AS room, variable, CAST(event_id AS DOUBLE) AS value FROM readings UNION ALL SELECT 'dev-' || (event_id % 7), 'room ' || room, 'co2', 400.0 FROM readings", "readings"))
+@query("s13_uplinks", sql("""SELECT 'dev-' || (event_id % 7) AS sensor, 'room ' || room AS room, variable, CAST(event_id AS DOUBLE) AS value
+    FROM readings UNION ALL SELECT 'dev-' || (event_id % 7), 'room ' || room, 'co2', 400.0 FROM readings""", "readings"))
 def s13(spark: SparkSession, d: str) -> DataFrame:
     """Readings as messages of two variables each, some followed by what is no message, parsed again."""
     r = domain.readings(spark, d)
@@ -234,7 +251,9 @@ def document_rows(spark: SparkSession, d: str) -> DataFrame:
     return documents.models(spark, path, lines=True)
 
 
-@query("s02_s04_s18_model_round_trip", sql(f", {TOUCH}, b AS (SELECT name AS cell, 'N_' || name AS node FROM plan), e AS (SELECT via AS cell, room AS other FROM touch UNION ALL SELECT room, via FROM touch), f AS (SELECT e.cell, count(*) AS n FROM e GROUP BY 1) SELECT b.cell, node, n AS boundaries FROM b LEFT JOIN f ON f.cell = b.cell", "plan"))
+@query("s02_s04_s18_model_round_trip", sql(f""", {TOUCH}, b AS (SELECT name AS cell, 'N_' || name AS node
+    FROM plan), e AS (SELECT via AS cell, room AS other FROM touch UNION ALL SELECT room, via FROM touch), f AS (SELECT e.cell, count(*) AS n FROM e
+    GROUP BY 1) SELECT b.cell, node, n AS boundaries FROM b LEFT JOIN f ON f.cell = b.cell""", "plan"))
 def s04(spark: SparkSession, d: str) -> DataFrame:
     """Which node and how many boundaries the documents say belong to each cell."""
     m = document_rows(spark, d)
@@ -247,7 +266,8 @@ def s05(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("name").alias("cell"), F.array_sort(documents.reference_keys(F.col("ref"), F.lit("D"), F.lit("C"))).alias("keys"))
 
 
-@query("s01_s19_legacy_round_trip", f"WITH {HOUSES} SELECT 'Sala ' || model AS origen, 'Puerta ' || model AS destino, 'room_door' AS tipo, CAST(NULL AS VARCHAR) AS contexto, false AS vertical FROM s UNION ALL SELECT 'meso', 'micro', 'stairs', 'Escalera ' || model, true FROM s")
+@query("s01_s19_legacy_round_trip", f"""WITH {HOUSES} SELECT 'Sala ' || model AS origen, 'Puerta ' || model AS destino, 'room_door' AS tipo, CAST(NULL
+    AS VARCHAR) AS contexto, false AS vertical FROM s UNION ALL SELECT 'meso', 'micro', 'stairs', 'Escalera ' || model, true FROM s""")
 def s01(spark: SparkSession, d: str) -> DataFrame:
     """Older maps, one a supplier, written and read back: their links, level and vertical."""
     m = table(spark, d, "supplier").select(F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("map"))
@@ -276,12 +296,15 @@ def s03(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(documents.latest_file(spark, path).rsplit("/", 1)[-1],)], "name string")
 
 
-@query("s10_sample_cells", "SELECT 'P0' || l AS level, CAST(CASE l WHEN 0 THEN 81 WHEN 1 THEN 23 ELSE 19 END AS BIGINT) AS cells, CASE l WHEN 0 THEN 8100.0 WHEN 1 THEN 2300.0 ELSE 1900.0 END::DOUBLE AS area FROM range(0, 3) r(l)")
+@query("s10_sample_cells", """SELECT 'P0' || l AS level, CAST(CASE l WHEN 0 THEN 81 WHEN 1 THEN 23 ELSE 19 END AS BIGINT) AS cells,
+    CASE l WHEN 0 THEN 8100.0 WHEN 1 THEN 2300.0 ELSE 1900.0 END::DOUBLE AS area FROM range(0, 3) r(l)""")
 def s10(spark: SparkSession, d: str) -> DataFrame:
     return documents.sample_cells(spark).groupBy("level").agg(F.countDistinct("cell_id").alias("cells"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
 
 
-@query("q10_model_references", sql("SELECT 'cell duality' AS rule, 'N' || cell AS key FROM plan WHERE cell % 13 = 0 UNION ALL SELECT 'node without point', 'N' || cell FROM plan WHERE cell % 17 = 0 AND cell % 13 <> 0 UNION ALL SELECT 'cell without polygon', 'C' || cell FROM plan WHERE cell % 19 = 0 UNION ALL SELECT 'edge connects', 'N' || cell FROM plan WHERE cell % 13 = 0", "plan"))
+@query("q10_model_references", sql("""SELECT 'cell duality' AS rule, 'N' || cell AS key FROM plan WHERE cell % 13 = 0 UNION ALL
+    SELECT 'node without point', 'N' || cell FROM plan WHERE cell % 17 = 0 AND cell % 13 <> 0 UNION ALL SELECT 'cell without polygon', 'C' || cell
+    FROM plan WHERE cell % 19 = 0 UNION ALL SELECT 'edge connects', 'N' || cell FROM plan WHERE cell % 13 = 0""", "plan"))
 def q10(spark: SparkSession, d: str) -> DataFrame:
     """Members of a model that refer to nodes that are not there, or lack a geometry."""
     p = domain.plan(spark, d)
@@ -294,7 +317,11 @@ def q10(spark: SparkSession, d: str) -> DataFrame:
     return legacy.model_faults(cells, bounds, nodes, edges)
 
 
-@query("x02_x03_rebuild_cascade", sql("SELECT 'node' AS kind, count(*) AS n FROM cells UNION ALL SELECT 'edge', count(*) FROM (SELECT DISTINCT greatest(a.x0, b.x0), greatest(a.y0, b.y0), least(a.x1, b.x1), least(a.y1, b.y1), a.level FROM cells a JOIN cells b ON a.level = b.level AND a.cell < b.cell WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) = 0 AND (((a.x1 = b.x0 OR b.x1 = a.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)) OR ((a.y1 = b.y0 OR b.y1 = a.y0) AND least(a.x1, b.x1) > greatest(a.x0, b.x0))))", "cells"))
+@query("x02_x03_rebuild_cascade", sql("""SELECT 'node' AS kind, count(*) AS n FROM cells UNION ALL SELECT 'edge', count(*)
+    FROM (SELECT DISTINCT greatest(a.x0, b.x0), greatest(a.y0, b.y0), least(a.x1, b.x1), least(a.y1, b.y1), a.level FROM cells a
+    JOIN cells b ON a.level = b.level AND a.cell < b.cell WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1)
+    - greatest(a.y0, b.y0)) = 0 AND (((a.x1 = b.x0 OR b.x1 = a.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)) OR ((a.y1 = b.y0 OR b.y1 = a.y0) AND
+    least(a.x1, b.x1) > greatest(a.x0, b.x0))))""", "cells"))
 def x02(spark: SparkSession, d: str) -> DataFrame:
     """What a change of cells brings about: boundaries, nodes and edges derived anew."""
     c = domain.cells(spark, d)

@@ -22,7 +22,9 @@ def every(spark: SparkSession, d: str) -> DataFrame:
     return graph.distances(domain.edges(spark, d), domain.nodes(spark, d).select("node"))
 
 
-@query("r01_components", sql(f", link AS (SELECT u, v FROM edges), bi AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link), r(node, root) AS (SELECT node, node FROM nodes UNION SELECT b.v, r.root FROM r JOIN bi b ON r.node = b.u) SELECT node, min(root) AS root FROM r GROUP BY node", "nodes", "edges", recursive=True))
+@query("r01_components", sql(f""", link AS (SELECT u, v FROM edges), bi AS (SELECT u, v FROM link UNION ALL SELECT v, u
+    FROM link), r(node, root) AS (SELECT node, node FROM nodes UNION SELECT b.v, r.root FROM r JOIN bi b ON r.node = b.u)
+    SELECT node, min(root) AS root FROM r GROUP BY node""", "nodes", "edges", recursive=True))
 def r01(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(domain.nodes(spark, d).select("node"), domain.edges(spark, d))
 
@@ -32,7 +34,8 @@ def r02(spark: SparkSession, d: str) -> DataFrame:
     return every(spark, d).select("source", "node", "cost")
 
 
-@query("r05_r06_best_exit", sql(f", {SYM}, {REACH} SELECT source, arg_min(node, cost * 1000 + node) AS target, CAST(min(cost) AS DOUBLE) AS cost FROM r WHERE node IN (7, 19) GROUP BY source", "nodes", "edges", recursive=True))
+@query("r05_r06_best_exit", sql(f""", {SYM}, {REACH} SELECT source, arg_min(node, cost * 1000 + node) AS target, CAST(min(cost) AS DOUBLE) AS cost
+    FROM r WHERE node IN (7, 19) GROUP BY source""", "nodes", "edges", recursive=True))
 def r05(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d)
     return graph.with_fallback(domain.edges(spark, d), n, n.where(filters.is_exit()), n.where(filters.is_last_resort()))
@@ -63,7 +66,8 @@ def r01_large(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(domain.stock_nodes(spark, d), domain.stock(spark, d))
 
 
-@query("r02_r08_costs_large", sql(f", {LARGE} SELECT r.node, any_value(r.cost) AS cost, min(s.u) AS previous FROM r LEFT JOIN (both_ways s JOIN r p ON p.node = s.u) ON s.v = r.node AND p.cost + s.weight = r.cost AND p.legs + 1 = r.legs GROUP BY r.node", "stock", recursive=True))
+@query("r02_r08_costs_large", sql(f""", {LARGE} SELECT r.node, any_value(r.cost) AS cost, min(s.u) AS previous FROM r LEFT JOIN (both_ways s
+    JOIN r p ON p.node = s.u) ON s.v = r.node AND p.cost + s.weight = r.cost AND p.legs + 1 = r.legs GROUP BY r.node""", "stock", recursive=True))
 def r02_large(spark: SparkSession, d: str) -> DataFrame:
     return from_depot(spark, d).select("node", "cost", "previous")
 
@@ -84,7 +88,8 @@ def r05_large(spark: SparkSession, d: str) -> DataFrame:
     return graph.reach(domain.stock(spark, d), domain.cells(spark, d).where("is_exit").select((2 * F.col("cell") + 1).alias("node")))
 
 
-@query("r03_r04_kernel_routes", sql(f", {SYM}, {REACH} SELECT g AS grp, source AS start, node AS goal, CAST(cost AS DOUBLE) AS cost FROM r, (VALUES ('dijkstra'), ('astar'), ('yen_ksp')) t(g) WHERE node IN (7, 19)", "nodes", "edges", recursive=True))
+@query("r03_r04_kernel_routes", sql(f""", {SYM}, {REACH} SELECT g AS grp, source AS start, node AS goal, CAST(cost AS DOUBLE) AS cost
+    FROM r, (VALUES ('dijkstra'), ('astar'), ('yen_ksp')) t(g) WHERE node IN (7, 19)""", "nodes", "edges", recursive=True))
 def r03(spark: SparkSession, d: str) -> DataFrame:
     e, n, out = domain.edges(spark, d), domain.nodes(spark, d).select("node"), None
     asked = n.select(F.col("node").cast("long").alias("start")).crossJoin(n.where("node in (7, 19)").select(F.col("node").cast("long").alias("goal")))
@@ -97,11 +102,14 @@ def r03(spark: SparkSession, d: str) -> DataFrame:
 @query("r10_r12_resilience")
 def r10(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d).select("node")
-    asked = n.select(F.col("node").cast("long").alias("start"), F.lit(19).cast("long").alias("goal"), F.lit("all").alias("grp"))
+    exits = domain.nodes(spark, d).where("is_exit").select(F.col("node").cast("long").alias("goal"))
+    asked = n.select(F.col("node").cast("long").alias("start"), F.lit("all").alias("grp")).join(F.broadcast(exits), how="cross")  # two exits
     return kernels.resilience(domain.edges(spark, d).withColumn("grp", F.lit("all")), asked, "grp")
 
 
-@query("r17_fire_penalty", sql(", m AS (SELECT u, v, weight, (a.x + b.x) / 2.0 AS x, (a.y + b.y) / 2.0 AS y FROM edges JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node) SELECT u, v, CAST(weight + 5000 * (SELECT count(*) FROM nodes f WHERE f.node % 6 = 1 AND sqrt((f.x - m.x) ** 2 + (f.y - m.y) ** 2) <= 5.0) AS DOUBLE) AS weight FROM m", "nodes", "edges"))
+@query("r17_fire_penalty", sql(""", m AS (SELECT u, v, weight, (a.x + b.x) / 2.0 AS x, (a.y + b.y) / 2.0 AS y FROM edges JOIN nodes a ON u = a.node
+    JOIN nodes b ON v = b.node) SELECT u, v, CAST(weight + 5000 * (SELECT count(*) FROM nodes f
+    WHERE f.node % 6 = 1 AND sqrt((f.x - m.x) ** 2 + (f.y - m.y) ** 2) <= 5.0) AS DOUBLE) AS weight FROM m""", "nodes", "edges"))
 def r17(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d)
     at = lambda k: n.select(F.col("node").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
@@ -109,7 +117,8 @@ def r17(spark: SparkSession, d: str) -> DataFrame:
     return graph.fire_weights(e, n.where("node % 6 = 1"))
 
 
-@query("r19_reachable", sql(f", {SYM}, r(source, node) AS (SELECT node, node FROM nodes UNION SELECT r.source, s.v FROM r JOIN sym s ON r.node = s.u) SELECT source, count(*) AS n FROM r GROUP BY source", "nodes", "edges", recursive=True))
+@query("r19_reachable", sql(f""", {SYM}, r(source, node) AS (SELECT node, node FROM nodes UNION SELECT r.source, s.v FROM r
+    JOIN sym s ON r.node = s.u) SELECT source, count(*) AS n FROM r GROUP BY source""", "nodes", "edges", recursive=True))
 def r19(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(domain.nodes(spark, d).select("node"), domain.edges(spark, d)).select(F.col("node").alias("source"), "n")
 
@@ -137,18 +146,22 @@ def t03(spark: SparkSession, d: str) -> DataFrame:
     return scores.linear_front(n, (0.0, 0.0), (40.0, 40.0)).select("node", F.round("start", 6).alias("start"))
 
 
-@query("t04_phases", sql(", p AS (SELECT node, node // 5 AS phase FROM nodes) SELECT node, 'ramp' AS kind, 5.0 + phase * 6.0 AS start, 6.0 AS dur, 0.5 AS v1, 0 AS ordinal FROM p UNION ALL SELECT node, 'hold', 5.0 + phase * 6.0 + 6.0, 12.0, 0.5, 1 FROM p UNION ALL SELECT node, 'ramp', 5.0 + phase * 6.0 + 18.0, 8.0, 1.0, 2 FROM p", "nodes"))
+@query("t04_phases", sql(""", p AS (SELECT node, node // 5 AS phase FROM nodes) SELECT node, 'ramp' AS kind, 5.0 + phase * 6.0 AS start, 6.0 AS dur,
+    0.5 AS v1, 0 AS ordinal FROM p UNION ALL SELECT node, 'hold', 5.0 + phase * 6.0 + 6.0, 12.0, 0.5, 1 FROM p UNION ALL
+    SELECT node, 'ramp', 5.0 + phase * 6.0 + 18.0, 8.0, 1.0, 2 FROM p""", "nodes"))
 def t04(spark: SparkSession, d: str) -> DataFrame:
     return scores.phases(domain.nodes(spark, d).select("node", F.floor(F.col("node") / 5).alias("phase")), "ramp_hold").select("node", "kind", "start", "dur", "v1", "ordinal")
 
 
-@query("t09_tumbling_states", sql("SELECT room, time_bucket(INTERVAL 6 HOURS, ts) AS w, count(*) AS n, round(avg(value), 6) AS mean FROM readings GROUP BY 1, 2", "readings"))
+@query("t09_tumbling_states", sql("""SELECT room, time_bucket(INTERVAL 6 HOURS, ts) AS w, count(*) AS n, round(avg(value), 6) AS mean FROM readings
+    GROUP BY 1, 2""", "readings"))
 def t09(spark: SparkSession, d: str) -> DataFrame:
     w = F.window("ts", "6 hours")
     return domain.readings(spark, d).groupBy("room", w.alias("win")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean")).select("room", F.col("win.start").cast("timestamp_ntz").alias("w"), "n", "mean")
 
 
-@query("t08_sliding_medians", sql("SELECT room, w, round(median(value), 6) AS med FROM (SELECT room, value, time_bucket(INTERVAL 3 HOURS, ts) - k * INTERVAL 3 HOURS AS w FROM readings, range(0, 2) r(k)) GROUP BY 1, 2", "readings"))
+@query("t08_sliding_medians", sql("""SELECT room, w, round(median(value), 6) AS med
+    FROM (SELECT room, value, time_bucket(INTERVAL 3 HOURS, ts) - k * INTERVAL 3 HOURS AS w FROM readings, range(0, 2) r(k)) GROUP BY 1, 2""", "readings"))
 def t08(spark: SparkSession, d: str) -> DataFrame:
     w = F.window("ts", "6 hours", "3 hours")
     return domain.readings(spark, d).groupBy("room", w.alias("win")).agg(F.round(F.median("value"), 6).alias("med")).select("room", F.col("win.start").cast("timestamp_ntz").alias("w"), "med")
@@ -166,20 +179,25 @@ def f23(spark: SparkSession, d: str) -> DataFrame:
     return cep.room_states(m).select("room", "sev_co2", "sev_tvoc", "sev_temp", "fire", "leak", "severity", F.round("risk", 6).alias("risk"))
 
 
-@query("f25_hazard_weights", sql(", s AS (SELECT node, 1 - coalesce(score, 1.0) AS r FROM nodes) SELECT u, v, round(CASE WHEN greatest(a.r, b.r) >= 0.85 OR weight / 1.2 / 60 > 0.2 THEN NULL ELSE weight * (1 + 3 * greatest(a.r, b.r)) END, 6) AS weight FROM edges JOIN s a ON u = a.node JOIN s b ON v = b.node", "nodes", "edges"))
+@query("f25_hazard_weights", sql(""", s AS (SELECT node, 1 - coalesce(score, 1.0) AS r FROM nodes)
+    SELECT u, v, round(CASE WHEN greatest(a.r, b.r) >= 0.85 OR weight / 1.2 / 60 > 0.2 THEN NULL ELSE weight * (1 + 3 * greatest(a.r, b.r)) END, 6) AS
+    weight FROM edges JOIN s a ON u = a.node JOIN s b ON v = b.node""", "nodes", "edges"))
 def f25(spark: SparkSession, d: str) -> DataFrame:
     s = domain.nodes(spark, d).select("node", (1 - F.coalesce("score", F.lit(1.0))).alias("r"))
     e = domain.edges(spark, d).join(s.select(F.col("node").alias("u"), F.col("r").alias("ru")), "u").join(s.select(F.col("node").alias("v"), F.col("r").alias("rv")), "v")
     return e.select("u", "v", F.round(scalars.hazard_weight(F.col("weight"), F.greatest("ru", "rv"), F.col("weight") / 1.2 / 60, F.lit(0.2)), 6).alias("weight"))
 
 
-@query("t13_current_readings", sql("SELECT room, variable, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY room, variable ORDER BY ts DESC, event_id DESC) AS rn FROM readings) WHERE rn = 1", "readings"))
+@query("t13_current_readings", sql("""SELECT room, variable, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY room, variable
+    ORDER BY ts DESC, event_id DESC) AS rn FROM readings) WHERE rn = 1""", "readings"))
 def t13(spark: SparkSession, d: str) -> DataFrame:
     r = domain.readings(spark, d).select("room", "variable", "ts", "event_id", "value")
     return cep.upserted(r.where("event_id % 2 = 0"), r.where("event_id % 2 = 1")).select("room", "variable", "event_id", "value")
 
 
-@query("t19_hazard_growth", sql("SELECT node, t, least(2.0 + 1.5 * t, 12.0) AS radius, count(*) FILTER (WHERE inside) AS nodes_inside FROM (SELECT f.node, k AS t, sqrt((n.x - f.x) ** 2 + (n.y - f.y) ** 2) <= least(2.0 + 1.5 * k, 12.0) AS inside FROM nodes f, nodes n, range(0, 10) r(k) WHERE f.node % 8 = 0) GROUP BY 1, 2", "nodes"))
+@query("t19_hazard_growth", sql("""SELECT node, t, least(2.0 + 1.5 * t, 12.0) AS radius, count(*) FILTER (WHERE inside) AS nodes_inside
+    FROM (SELECT f.node, k AS t, sqrt((n.x - f.x) ** 2 + (n.y - f.y) ** 2) <= least(2.0 + 1.5 * k, 12.0) AS inside
+    FROM nodes f, nodes n, range(0, 10) r(k) WHERE f.node % 8 = 0) GROUP BY 1, 2""", "nodes"))
 def t19(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d).select("node", "x", "y")
     return scores.growing_hazards(n.where("node % 8 = 0"), n, 2.0, 1.5, 12.0, 10).select("node", "t", "radius", "nodes_inside")

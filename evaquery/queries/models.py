@@ -38,8 +38,11 @@ def model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 MODEL = f"""{CONTACT}, cc AS (SELECT cell AS k, cell_id AS cell, kind, function_code <> 'WINDOW' AS open FROM cells),
 mb AS (SELECT 'B-' || c.a || '-' || c.b AS boundary, x.cell AS a, y.cell AS b, x.kind AS ka, y.kind AS kb, x.open AS oa, y.open AS ob, x.kind = 'GENERAL' AND y.kind = 'GENERAL' AND (c.a + c.b) % 3 = 0 AS soft FROM contact c JOIN cc x ON c.a = x.k JOIN cc y ON c.b = y.k)"""
-VIA = "via AS (SELECT a AS via, b AS cell, oa AS open FROM mb WHERE ka = 'TRANSFER' AND kb = 'GENERAL' UNION SELECT b, a, ob FROM mb WHERE kb = 'TRANSFER' AND ka = 'GENERAL')"
-FOUND = "found AS (SELECT a AS u, b AS v, boundary, CASE WHEN soft THEN 'virtual' ELSE 'direct' END AS kind, true AS t FROM mb WHERE ka = 'GENERAL' AND kb = 'GENERAL' UNION ALL SELECT p.cell, q.cell, p.via, 'transfer', p.open FROM via p JOIN via q ON p.via = q.via AND p.cell < q.cell)"
+VIA = """via AS (SELECT a AS via, b AS cell, oa AS open FROM mb WHERE ka = 'TRANSFER' AND kb = 'GENERAL' UNION SELECT b, a, ob FROM mb
+    WHERE kb = 'TRANSFER' AND ka = 'GENERAL')"""
+FOUND = """found AS (SELECT a AS u, b AS v, boundary, CASE WHEN soft THEN 'virtual' ELSE 'direct' END AS kind, true AS t FROM mb
+    WHERE ka = 'GENERAL' AND kb = 'GENERAL' UNION ALL SELECT p.cell, q.cell, p.via, 'transfer', p.open FROM via p
+    JOIN via q ON p.via = q.via AND p.cell < q.cell)"""
 
 
 @query("v01_base_dual", sql(f", {MODEL} SELECT boundary, a AS u, b AS v FROM mb", "cells"))
@@ -47,12 +50,17 @@ def v01(spark: SparkSession, d: str) -> DataFrame:
     return views.base_dual(*model(spark, d))[1].select("boundary", "u", "v")
 
 
-@query("v02_space_adjacency", sql(f", {MODEL}, {VIA}, {FOUND} SELECT u, v, list_sort(list_distinct(list(boundary))) AS boundaries, list_sort(list_distinct(list(kind))) AS kinds, bool_or(t) AS traversable, 'SAG_' || CASE WHEN row_number() OVER (ORDER BY u, v) < 1000 THEN lpad(CAST(row_number() OVER (ORDER BY u, v) AS VARCHAR), 3, '0') ELSE CAST(row_number() OVER (ORDER BY u, v) AS VARCHAR) END AS edge FROM found GROUP BY u, v", "cells"))
+@query("v02_space_adjacency", sql(f""", {MODEL}, {VIA}, {FOUND} SELECT u, v, list_sort(list_distinct(list(boundary))) AS boundaries,
+    list_sort(list_distinct(list(kind))) AS kinds, bool_or(t) AS traversable, 'SAG_' ||
+    CASE WHEN row_number() OVER (ORDER BY u, v) < 1000 THEN lpad(CAST(row_number() OVER (ORDER BY u, v) AS VARCHAR), 3, '0') ELSE CAST(row_number()
+    OVER (ORDER BY u, v) AS VARCHAR) END AS edge FROM found GROUP BY u, v""", "cells"))
 def v02(spark: SparkSession, d: str) -> DataFrame:
     return views.space_adjacency(*model(spark, d))
 
 
-@query("v03_rooms", sql(f", {MODEL}, bi AS (SELECT a AS u, b AS v FROM mb WHERE soft UNION SELECT b, a FROM mb WHERE soft), r(cell, root) AS (SELECT cell, cell FROM cc WHERE kind = 'GENERAL' UNION SELECT bi.v, r.root FROM r JOIN bi ON r.cell = bi.u) SELECT cell, min(root) AS room FROM r GROUP BY cell", "cells", recursive=True))
+@query("v03_rooms", sql(f""", {MODEL}, bi AS (SELECT a AS u, b AS v FROM mb WHERE soft UNION SELECT b, a FROM mb
+    WHERE soft), r(cell, root) AS (SELECT cell, cell FROM cc WHERE kind = 'GENERAL' UNION SELECT bi.v, r.root FROM r JOIN bi ON r.cell = bi.u)
+    SELECT cell, min(root) AS room FROM r GROUP BY cell""", "cells", recursive=True))
 def v03(spark: SparkSession, d: str) -> DataFrame:
     return views.rooms(*model(spark, d)).select("cell", "room")
 
@@ -67,7 +75,9 @@ def v04(spark: SparkSession, d: str) -> DataFrame:
     return views.room_to_room(*model(spark, d))
 
 
-@query("v05_space_connectivity", sql(f", {MODEL} SELECT boundary, a AS u, 'VTN_' || boundary AS v FROM mb WHERE soft UNION ALL SELECT boundary, b, 'VTN_' || boundary FROM mb WHERE soft UNION ALL SELECT boundary, a, b FROM mb WHERE (ka = 'TRANSFER' AND kb = 'GENERAL' AND oa) OR (ka = 'GENERAL' AND kb = 'TRANSFER' AND ob)", "cells"))
+@query("v05_space_connectivity", sql(f""", {MODEL} SELECT boundary, a AS u, 'VTN_' || boundary AS v FROM mb WHERE soft UNION ALL
+    SELECT boundary, b, 'VTN_' || boundary FROM mb WHERE soft UNION ALL SELECT boundary, a, b FROM mb
+    WHERE (ka = 'TRANSFER' AND kb = 'GENERAL' AND oa) OR (ka = 'GENERAL' AND kb = 'TRANSFER' AND ob)""", "cells"))
 def v05(spark: SparkSession, d: str) -> DataFrame:
     return views.space_connectivity(*model(spark, d))[1].select("boundary", "u", "v")
 
@@ -82,7 +92,9 @@ def v07(spark: SparkSession, d: str) -> DataFrame:
     return views.door_to_door(*model(spark, d))
 
 
-@query("b11_dual_edges", sql(f", {MODEL}, mid AS (SELECT cell_id, (x0 + x1) / 2.0 AS x, (y0 + y1) / 2.0 AS y FROM cells) SELECT boundary, a, b, CASE WHEN sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) > 0 THEN round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6) ELSE 1.0 END AS weight FROM mb JOIN mid p ON a = p.cell_id JOIN mid q ON b = q.cell_id WHERE CASE WHEN ka = 'TRANSFER' THEN oa WHEN kb = 'TRANSFER' THEN ob ELSE true END", "cells"))
+@query("b11_dual_edges", sql(f""", {MODEL}, mid AS (SELECT cell_id, (x0 + x1) / 2.0 AS x, (y0 + y1) / 2.0 AS y FROM cells) SELECT boundary, a, b,
+    CASE WHEN sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) > 0 THEN round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6) ELSE 1.0 END AS weight FROM mb
+    JOIN mid p ON a = p.cell_id JOIN mid q ON b = q.cell_id WHERE CASE WHEN ka = 'TRANSFER' THEN oa WHEN kb = 'TRANSFER' THEN ob ELSE true END""", "cells"))
 def b11(spark: SparkSession, d: str) -> DataFrame:
     return builder.dual(*model(spark, d))[1].select("boundary", "a", "b", "weight")
 

@@ -21,7 +21,9 @@ def p01(spark: SparkSession, d: str) -> DataFrame:
     return filters.optional_equal(domain.cells(spark, d), level=None, kind="TRANSFER").select("cell_id", "level", "kind")
 
 
-@query("p05_p07_exits_and_positive_edges", sql("SELECT u, v, weight FROM edges WHERE weight > 3 AND (u IN (SELECT node FROM nodes WHERE is_exit OR upper(function_code) IN ('EXIT','EMERGENCY_EXIT')) OR v IN (SELECT node FROM nodes WHERE is_exit OR upper(function_code) IN ('EXIT','EMERGENCY_EXIT')))", "nodes", "edges"))
+@query("p05_p07_exits_and_positive_edges", sql("""SELECT u, v, weight FROM edges WHERE weight > 3 AND (u IN (SELECT node FROM nodes
+    WHERE is_exit OR upper(function_code) IN ('EXIT','EMERGENCY_EXIT')) OR v IN (SELECT node FROM nodes
+    WHERE is_exit OR upper(function_code) IN ('EXIT','EMERGENCY_EXIT')))""", "nodes", "edges"))
 def p05(spark: SparkSession, d: str) -> DataFrame:
     exits = domain.nodes(spark, d).where(filters.is_exit()).select("node")
     e = filters.positive(domain.edges(spark, d).withColumn("weight", F.col("weight") - 3)).withColumn("weight", F.col("weight") + 3)
@@ -45,7 +47,9 @@ def j01(spark: SparkSession, d: str) -> DataFrame:
     return domain.cells(spark, d).withColumn("k", (F.col("cell") % 40).cast("int")).join(n, F.col("k") == F.col("node"), "left").select("cell_id", "node", "node_kind")
 
 
-@query("j16_fire_edge_penalties", sql(", m AS (SELECT u, v, (a.x + b.x) / 2.0 AS x, (a.y + b.y) / 2.0 AS y FROM edges JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node) SELECT u, v, count(*) AS fires FROM m JOIN nodes f ON f.node % 3 = 0 AND (f.x - m.x) ** 2 + (f.y - m.y) ** 2 <= 100 GROUP BY u, v", "nodes", "edges"))
+@query("j16_fire_edge_penalties", sql(""", m AS (SELECT u, v, (a.x + b.x) / 2.0 AS x, (a.y + b.y) / 2.0 AS y FROM edges JOIN nodes a ON u = a.node
+    JOIN nodes b ON v = b.node) SELECT u, v, count(*) AS fires FROM m JOIN nodes f ON f.node % 3 = 0 AND (f.x - m.x) ** 2 + (f.y - m.y) ** 2 <= 100
+    GROUP BY u, v""", "nodes", "edges"))
 def j16(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.joins import within
 
@@ -55,7 +59,8 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
     return within(m, n.where("node % 3 = 0").select("node", "x", "y"), 10.0).groupBy(F.col("p_u").alias("u"), F.col("p_v").alias("v")).agg(F.count(F.lit(1)).alias("fires"))
 
 
-@query("j23_w04_door_edges", sql("SELECT 'EG-' || lpad(CAST(row_number() OVER (ORDER BY a.node, b.node) AS VARCHAR), 4, '0') AS id, a.node AS a, b.node AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS cost FROM nodes a JOIN nodes b ON a.level = b.level AND a.node < b.node", "nodes"))
+@query("j23_w04_door_edges", sql("""SELECT 'EG-' || lpad(CAST(row_number() OVER (ORDER BY a.node, b.node) AS VARCHAR), 4, '0') AS id, a.node AS a,
+    b.node AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS cost FROM nodes a JOIN nodes b ON a.level = b.level AND a.node < b.node""", "nodes"))
 def j23(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d)
     a, b = n.select("level", F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), n.select("level", F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
@@ -74,7 +79,10 @@ def j27(spark: SparkSession, d: str) -> DataFrame:
     return domain.edges(spark, d).select(F.concat_ws("-", F.col("u").cast("string"), F.col("v").cast("string")).alias("boundary"), F.explode(F.array("u", "v")).alias("cell"))
 
 
-@query("a04_merged_contacts", sql(", c AS (SELECT least(u, v) AS u, greatest(u, v) AS v, 'B' || weight AS b, CASE WHEN weight % 2 = 0 THEN 'door' ELSE 'wall' END AS k, weight % 2 = 0 AS t FROM edges UNION ALL SELECT u, v, 'X', 'virtual', false FROM edges WHERE weight > 8) SELECT u, v, list_sort(list_distinct(list(b))) AS boundaries, list_sort(list_distinct(list(k))) AS kinds, bool_or(t) AS traversable FROM c GROUP BY u, v", "edges"))
+@query("a04_merged_contacts", sql(""", c AS (SELECT least(u, v) AS u, greatest(u, v) AS v, 'B' || weight AS b,
+    CASE WHEN weight % 2 = 0 THEN 'door' ELSE 'wall' END AS k, weight % 2 = 0 AS t FROM edges UNION ALL SELECT u, v, 'X', 'virtual', false FROM edges
+    WHERE weight > 8) SELECT u, v, list_sort(list_distinct(list(b))) AS boundaries, list_sort(list_distinct(list(k))) AS kinds, bool_or(t) AS
+    traversable FROM c GROUP BY u, v""", "edges"))
 def a04(spark: SparkSession, d: str) -> DataFrame:
     e = domain.edges(spark, d)
     even = F.col("weight") % 2 == 0
@@ -90,13 +98,16 @@ def a05(spark: SparkSession, d: str) -> DataFrame:
     return numbered(domain.edges(spark, d).select("u", "v"), "SAG").select("edge", "u", "v")
 
 
-@query("a16_status_by_block", sql("SELECT CAST(step // 5 AS INTEGER) AS block, count(*) FILTER (WHERE event = 'EVACUACION_COMPLETA') AS done, count(*) FILTER (WHERE event <> 'EVACUACION_COMPLETA') AS moving FROM log GROUP BY 1", "log"))
+@query("a16_status_by_block", sql("""SELECT CAST(step // 5 AS INTEGER) AS block, count(*) FILTER (WHERE event = 'EVACUACION_COMPLETA') AS done,
+    count(*) FILTER (WHERE event <> 'EVACUACION_COMPLETA') AS moving FROM log GROUP BY 1""", "log"))
 def a16(spark: SparkSession, d: str) -> DataFrame:
     over = F.col("event") == "EVACUACION_COMPLETA"
     return domain.event_log(spark, d).groupBy(F.floor(F.col("step") / 5).cast("int").alias("block")).agg(F.count_if(over).alias("done"), F.count_if(~over).alias("moving"))
 
 
-@query("a22_a23_limits_and_severity", sql("SELECT room, least(min(CASE WHEN variable = 'view' AND value > 50 THEN 3.0 END), min(CASE WHEN variable = 'click' AND value > 50 THEN 5.0 END)) AS t_max, greatest(max(CASE WHEN variable = 'view' THEN CAST(value > 50 AS INTEGER) END), max(CASE WHEN variable = 'click' THEN CAST(value > 90 AS INTEGER) * 2 END)) AS severity FROM readings GROUP BY room", "readings"))
+@query("a22_a23_limits_and_severity", sql("""SELECT room, least(min(CASE WHEN variable = 'view' AND value > 50 THEN 3.0 END), min(CASE WHEN variable
+    = 'click' AND value > 50 THEN 5.0 END)) AS t_max, greatest(max(CASE WHEN variable = 'view' THEN CAST(value > 50 AS INTEGER) END), max(CASE WHEN
+    variable = 'click' THEN CAST(value > 90 AS INTEGER) * 2 END)) AS severity FROM readings GROUP BY room""", "readings"))
 def a22(spark: SparkSession, d: str) -> DataFrame:
     v, x = F.col("variable"), F.col("value")
     limit = F.least(F.min(F.when((v == "view") & (x > 50), 3.0)), F.min(F.when((v == "click") & (x > 50), 5.0)))
@@ -120,13 +131,16 @@ def w08(spark: SparkSession, d: str) -> DataFrame:
     return domain.event_log(spark, d).select("event_id", (~before.eqNullSafe(F.col("event"))).alias("replan"))
 
 
-@query("w12_sliding_room_means", sql("SELECT event_id, round(avg(value) OVER (PARTITION BY room ORDER BY ts RANGE BETWEEN INTERVAL 30 HOURS PRECEDING AND CURRENT ROW), 6) AS mean FROM readings", "readings"))
+@query("w12_sliding_room_means", sql("""SELECT event_id, round(avg(value) OVER (PARTITION BY room
+    ORDER BY ts RANGE BETWEEN INTERVAL 30 HOURS PRECEDING AND CURRENT ROW), 6) AS mean FROM readings""", "readings"))
 def w12(spark: SparkSession, d: str) -> DataFrame:
     domain.readings(spark, d).createOrReplaceTempView("sliding_readings")
-    return spark.sql("SELECT event_id, round(avg(value) OVER (PARTITION BY room ORDER BY ts RANGE BETWEEN INTERVAL 30 HOURS PRECEDING AND CURRENT ROW), 6) AS mean FROM sliding_readings")
+    return spark.sql("""SELECT event_id, round(avg(value) OVER (PARTITION BY room
+    ORDER BY ts RANGE BETWEEN INTERVAL 30 HOURS PRECEDING AND CURRENT ROW), 6) AS mean FROM sliding_readings""")
 
 
-@query("w15_part_numbers", sql("SELECT cell_id, 'PART_' || lpad(CAST(row_number() OVER (PARTITION BY level ORDER BY cell) AS VARCHAR), 4, '0') AS part, count(*) OVER (PARTITION BY level) AS parts FROM cells", "cells"))
+@query("w15_part_numbers", sql("""SELECT cell_id, 'PART_' || lpad(CAST(row_number() OVER (PARTITION BY level
+    ORDER BY cell) AS VARCHAR), 4, '0') AS part, count(*) OVER (PARTITION BY level) AS parts FROM cells""", "cells"))
 def w15(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("level")
     return domain.cells(spark, d).select("cell_id", F.concat(F.lit("PART_"), F.lpad(F.row_number().over(by.orderBy("cell")).cast("string"), 4, "0")).alias("part"), F.count(F.lit(1)).over(by).alias("parts"))
@@ -137,7 +151,8 @@ def o03(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")).orderBy("id", "name")
 
 
-@query("o06_top_two_by_contact", sql("SELECT u, v, weight FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY weight DESC, v) AS rk FROM edges) WHERE rk <= 2", "edges"))
+@query("o06_top_two_by_contact", sql("""SELECT u, v, weight FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY weight DESC, v) AS rk
+    FROM edges) WHERE rk <= 2""", "edges"))
 def o06(spark: SparkSession, d: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("weight"), "v"))
     return domain.edges(spark, d).withColumn("rk", rank).where("rk <= 2").select("u", "v", "weight")
@@ -148,21 +163,27 @@ def o11(spark: SparkSession, d: str) -> DataFrame:
     return domain.edges(spark, d).groupBy("u").agg(F.max("weight").alias("longest"), F.max_by("v", F.col("weight") * 100 - F.col("v")).alias("v"))
 
 
-@query("u04_changed_sets", sql("SELECT count(*) > 0 AS changed FROM ((SELECT node FROM nodes WHERE coalesce(score, 1.0) >= 0.6 EXCEPT SELECT node FROM nodes WHERE coalesce(score, 1.0) >= 0.5) UNION ALL (SELECT node FROM nodes WHERE coalesce(score, 1.0) >= 0.5 EXCEPT SELECT node FROM nodes WHERE coalesce(score, 1.0) >= 0.6))", "nodes"))
+@query("u04_changed_sets", sql("""SELECT count(*) > 0 AS changed FROM ((SELECT node FROM nodes WHERE coalesce(score, 1.0) >= 0.6 EXCEPT SELECT node
+    FROM nodes WHERE coalesce(score, 1.0) >= 0.5) UNION ALL (SELECT node FROM nodes WHERE coalesce(score, 1.0) >= 0.5 EXCEPT SELECT node FROM nodes
+    WHERE coalesce(score, 1.0) >= 0.6))""", "nodes"))
 def u04(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d)
     a, b = n.where(filters.safe(0.6)).select("node"), n.where(filters.safe(0.5)).select("node")
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg((F.count(F.lit(1)) > 0).alias("changed"))
 
 
-@query("u06_u07_key_sets", sql(", k AS (SELECT room, list_sort(list_distinct(list(variable))) AS ks FROM readings WHERE event_id % 2 = 0 GROUP BY room), l AS (SELECT room, list_sort(list_distinct(list(variable))) AS ks FROM readings WHERE event_id % 2 = 1 GROUP BY room) SELECT room, list_sort(CASE WHEN len(list_intersect(k.ks, l.ks)) > 0 THEN list_intersect(k.ks, l.ks) ELSE list_distinct(list_concat(k.ks, l.ks)) END) AS shared FROM k JOIN l USING (room)", "readings"))
+@query("u06_u07_key_sets", sql(""", k AS (SELECT room, list_sort(list_distinct(list(variable))) AS ks FROM readings WHERE event_id % 2 = 0
+    GROUP BY room), l AS (SELECT room, list_sort(list_distinct(list(variable))) AS ks FROM readings WHERE event_id % 2 = 1 GROUP BY room)
+    SELECT room, list_sort(CASE WHEN len(list_intersect(k.ks, l.ks)) > 0 THEN list_intersect(k.ks, l.ks) ELSE list_distinct(list_concat(k.ks, l.ks))
+    END) AS shared FROM k JOIN l USING (room)""", "readings"))
 def u06(spark: SparkSession, d: str) -> DataFrame:
     r = domain.readings(spark, d)
     side = lambda k, name: r.where(F.col("event_id") % 2 == k).groupBy("room").agg(F.sort_array(F.collect_set("variable")).alias(name))
     return side(0, "a").join(side(1, "b"), "room").select("room", scalars.shared_locomotion(F.col("a"), F.col("b")).alias("shared"))
 
 
-@query("f10_f31_clamped", sql("SELECT cell, round(least(greatest((x0 - 100) / 200.0, 0.0), 1.0), 6) AS share, round(10.0 + (20.0 - 10.0) * least(greatest((x0 - 100) / 200.0, 0.0), 1.0), 6) AS mixed FROM cells", "cells"))
+@query("f10_f31_clamped", sql("""SELECT cell, round(least(greatest((x0 - 100) / 200.0, 0.0), 1.0), 6) AS share, round(10.0 + (20.0 - 10.0) *
+    least(greatest((x0 - 100) / 200.0, 0.0), 1.0), 6) AS mixed FROM cells""", "cells"))
 def f10(spark: SparkSession, d: str) -> DataFrame:
     t = scalars.clamp((F.col("x0") - 100) / 200.0)
     return domain.cells(spark, d).select("cell", scalars.rounded6(t).alias("share"), scalars.rounded6(scalars.lerp(F.lit(10.0), F.lit(20.0), t)).alias("mixed"))
@@ -178,7 +199,9 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
     return domain.cells(spark, d).select("cell", G.boundary_key(F.col("x1"), F.col("y1"), F.col("x0"), F.col("y0")).alias("k"))
 
 
-@query("g41_stacked_levels", sql(", b AS (SELECT level, min(y0) AS low, max(y1) AS high FROM cells GROUP BY level), s AS (SELECT max(greatest(1.35 * (high - low), (high - low) + 4, 4)) AS step FROM b) SELECT c.cell, round(c.y0 + c.level * s.step, 6) AS y FROM cells c, s", "cells"))
+@query("g41_stacked_levels", sql(""", b AS (SELECT level, min(y0) AS low, max(y1) AS high FROM cells
+    GROUP BY level), s AS (SELECT max(greatest(1.35 * (high - low), (high - low) + 4, 4)) AS step FROM b)
+    SELECT c.cell, round(c.y0 + c.level * s.step, 6) AS y FROM cells c, s""", "cells"))
 def g41(spark: SparkSession, d: str) -> DataFrame:
     c = domain.cells(spark, d)
     h = F.col("high") - F.col("low")
@@ -186,7 +209,9 @@ def g41(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(step), how="cross").select("cell", F.round(F.col("y0") + F.col("level") * F.col("step"), 6).alias("y"))
 
 
-@query("r07_relaxed_threshold", sql(f", {SYM.replace('FROM edges', 'FROM ok')}, {REACH} SELECT source, min(CASE WHEN node IN (7, 19) THEN CAST(cost AS DOUBLE) END) AS cost FROM r GROUP BY source", "nodes", "edges", recursive=True).replace("sym AS (", f"ok AS (SELECT u, v, weight FROM edges WHERE u IN (SELECT node FROM nodes WHERE {MOVES}) AND v IN (SELECT node FROM nodes WHERE {MOVES})), sym AS (", 1))
+@query("r07_relaxed_threshold", sql(f""", {SYM.replace('FROM edges', 'FROM ok')}, {REACH}
+    SELECT source, min(CASE WHEN node IN (7, 19) THEN CAST(cost AS DOUBLE) END) AS cost FROM r GROUP BY source""", "nodes", "edges", recursive=True).replace("sym AS (", f"""ok
+    AS (SELECT u, v, weight FROM edges WHERE u IN (SELECT node FROM nodes WHERE {MOVES}) AND v IN (SELECT node FROM nodes WHERE {MOVES})), sym AS (""", 1))
 def r07(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d)
     ok = n.where(filters.mobility_allowed(WALKERS))
@@ -199,7 +224,9 @@ def r15(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.degrees(domain.edges(spark, d))
 
 
-@query("r18_congestion", sql(", m AS (SELECT u, v, weight, (a.x + b.x) / 2.0 AS x, (a.y + b.y) / 2.0 AS y FROM edges JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node) SELECT u, v, CAST(weight + 2.0 * (SELECT count(*) FROM nodes f WHERE (f.x - m.x) ** 2 + (f.y - m.y) ** 2 <= 9) AS DOUBLE) AS weight FROM m", "nodes", "edges"))
+@query("r18_congestion", sql(""", m AS (SELECT u, v, weight, (a.x + b.x) / 2.0 AS x, (a.y + b.y) / 2.0 AS y FROM edges JOIN nodes a ON u = a.node
+    JOIN nodes b ON v = b.node) SELECT u, v, CAST(weight + 2.0 * (SELECT count(*) FROM nodes f
+    WHERE (f.x - m.x) ** 2 + (f.y - m.y) ** 2 <= 9) AS DOUBLE) AS weight FROM m""", "nodes", "edges"))
 def r18(spark: SparkSession, d: str) -> DataFrame:
     from ..plans.legacy import congested
 
@@ -209,6 +236,7 @@ def r18(spark: SparkSession, d: str) -> DataFrame:
     return congested(m, n).select("u", "v", F.col("weight").cast("double").alias("weight"))
 
 
-@query("b13_back_references", sql("SELECT node, list_sort(list(b)) AS boundaries FROM (SELECT u AS node, u || '-' || v AS b FROM edges UNION ALL SELECT v, u || '-' || v FROM edges) GROUP BY node", "edges"))
+@query("b13_back_references", sql("""SELECT node, list_sort(list(b)) AS boundaries FROM (SELECT u AS node, u || '-' || v AS b FROM edges UNION ALL
+    SELECT v, u || '-' || v FROM edges) GROUP BY node""", "edges"))
 def b13(spark: SparkSession, d: str) -> DataFrame:
     return j27(spark, d).groupBy(F.col("cell").alias("node")).agg(F.sort_array(F.collect_list("boundary")).alias("boundaries"))

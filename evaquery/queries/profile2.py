@@ -36,12 +36,16 @@ def frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return spaces.drop("cell"), links, points
 
 
-@query("b23_v2_spaces", sql(f", {NAMED} SELECT model, id AS space_id, CASE category WHEN 'Room' THEN 'navigable_space' WHEN 'Exit' THEN 'exit_space' ELSE 'transfer_space' END AS space_type, CASE category WHEN 'Room' THEN 'General' WHEN 'Exit' THEN 'ExitSpace' ELSE 'ConnectionSpace' END AS function, CASE WHEN category = 'Room' THEN 'walking,rolling' WHEN cell % 2 = 0 THEN 'rolling' ELSE 'step' END AS locomotion FROM sp", "plan"))
+@query("b23_v2_spaces", sql(f""", {NAMED} SELECT model, id AS space_id, CASE category WHEN 'Room' THEN 'navigable_space' WHEN 'Exit' THEN 'exit_space'
+    ELSE 'transfer_space' END AS space_type, CASE category WHEN 'Room' THEN 'General' WHEN 'Exit' THEN 'ExitSpace' ELSE 'ConnectionSpace' END AS
+    function, CASE WHEN category = 'Room' THEN 'walking,rolling' WHEN cell % 2 = 0 THEN 'rolling' ELSE 'step' END AS locomotion FROM sp""", "plan"))
 def b23(spark: SparkSession, d: str) -> DataFrame:
     return profile2.spaces(frames(spark, d)[0]).select("model", "space_id", "space_type", "function", F.array_join("locomotion", ",").alias("locomotion"))
 
 
-@query("b23_v2_boundaries", sql(f", {NAMED} SELECT model, 'BOUNDARY_NAV_' || CASE WHEN index < 1000 THEN lpad(CAST(index AS VARCHAR), 3, '0') ELSE CAST(index AS VARCHAR) END AS boundary_id, ida AS source_space_id, idb AS target_space_id, 'navigable_boundary' AS boundary_type, CASE WHEN destino LIKE '%EAST%' THEN 2.0 ELSE 3.0 END::DOUBLE AS length, false AS approximate FROM lk", "plan"))
+@query("b23_v2_boundaries", sql(f""", {NAMED} SELECT model, 'BOUNDARY_NAV_' || CASE WHEN index < 1000 THEN lpad(CAST(index AS VARCHAR), 3, '0') ELSE
+    CAST(index AS VARCHAR) END AS boundary_id, ida AS source_space_id, idb AS target_space_id, 'navigable_boundary' AS boundary_type,
+    CASE WHEN destino LIKE '%EAST%' THEN 2.0 ELSE 3.0 END::DOUBLE AS length, false AS approximate FROM lk""", "plan"))
 def b23_boundaries(spark: SparkSession, d: str) -> DataFrame:
     own, links, _ = frames(spark, d)
     part = lambda i: F.get("line", F.lit(i))
@@ -57,13 +61,17 @@ def b23_graph(spark: SparkSession, d: str) -> DataFrame:
     return made.select("model", "edge_id", "source_node_id", "target_node_id", F.round("distance_m", 6).alias("distance_m"), "connector_type", F.array_join("allowed_flows", ",").alias("flows"), "through_space_id")
 
 
-@query("b23_v2_spawns", sql(f", {NAMED}, p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY cell) AS n FROM sp WHERE category = 'Room' AND cell % 5 = 0) SELECT model, 'SPAWN_' || lpad(CAST(n AS VARCHAR), 3, '0') AS spawn_id, CASE WHEN cell % 2 = 0 THEN id ELSE (SELECT min(s.id) FROM sp s WHERE s.model = p.model) END AS space_ref, cell % 2 <> 0 AS inferred FROM p", "plan"))
+@query("b23_v2_spawns", sql(f""", {NAMED}, p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY cell) AS n FROM sp
+    WHERE category = 'Room' AND cell % 5 = 0) SELECT model, 'SPAWN_' || lpad(CAST(n AS VARCHAR), 3, '0') AS spawn_id,
+    CASE WHEN cell % 2 = 0 THEN id ELSE (SELECT min(s.id) FROM sp s WHERE s.model = p.model) END AS space_ref, cell % 2 <> 0 AS inferred FROM p""", "plan"))
 def b23_spawns(spark: SparkSession, d: str) -> DataFrame:
     own, _, points = frames(spark, d)
     return profile2.spawns(points, profile2.spaces(own)).select("model", "spawn_id", "space_ref", "inferred")
 
 
-@query("s20_v2_documents", sql(f", {NAMED} SELECT m.model, (SELECT count(*) FROM sp WHERE sp.model = m.model) AS spaces, coalesce((SELECT count(*) FROM lk WHERE lk.model = m.model), 0) AS edges, coalesce((SELECT count(DISTINCT x) FROM (SELECT model, unnest([ida, idb]) AS x FROM lk) z WHERE z.model = m.model), 0) AS nodes FROM (SELECT DISTINCT model FROM sp) m", "plan"))
+@query("s20_v2_documents", sql(f""", {NAMED} SELECT m.model, (SELECT count(*) FROM sp WHERE sp.model = m.model) AS spaces, coalesce((SELECT count(*)
+    FROM lk WHERE lk.model = m.model), 0) AS edges, coalesce((SELECT count(DISTINCT x) FROM (SELECT model, unnest([ida, idb]) AS x FROM lk) z
+    WHERE z.model = m.model), 0) AS nodes FROM (SELECT DISTINCT model FROM sp) m""", "plan"))
 def s20(spark: SparkSession, d: str) -> DataFrame:
     """The documents as text, parsed again: how many members each has."""
     made = profile2.document(*frames(spark, d))

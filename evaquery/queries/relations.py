@@ -48,7 +48,9 @@ def v04(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ways(where: str, prefix: str) -> str:
-    return sql(f", {TOUCH}, w AS (SELECT a.room AS space, a.via AS u, b.via AS v, round(sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2), 6) AS distance FROM touch a JOIN touch b ON a.room = b.room AND a.via < b.via WHERE {where}) SELECT space, u, v, distance, '{prefix}_' || {NUMBER} AS edge FROM w", "plan")
+    return sql(f""", {TOUCH}, w AS (SELECT a.room AS space, a.via AS u, b.via AS v, round(sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2), 6) AS
+    distance FROM touch a JOIN touch b ON a.room = b.room AND a.via < b.via WHERE {where})
+    SELECT space, u, v, distance, '{prefix}_' || {NUMBER} AS edge FROM w""", "plan")
 
 
 @query("v06_ways_between_transfers", ways("true", "T2T"))
@@ -61,7 +63,9 @@ def v07(spark: SparkSession, d: str) -> DataFrame:
     return views.door_to_door(*model(spark, d))
 
 
-@query("v08_b12_b14_vertical_links", sql(", c AS (SELECT name, category, cell // 3 % 5 AS connector, cell // 3 AS k FROM plan WHERE category IN ('Stair', 'Ramp')), up AS (SELECT name AS u, lead(name) OVER (PARTITION BY connector ORDER BY k, name) AS v FROM c) SELECT 'node' AS kind, name AS u, category AS v FROM c UNION ALL SELECT 'vertical', u, v FROM up WHERE v IS NOT NULL", "plan"))
+@query("v08_b12_b14_vertical_links", sql(""", c AS (SELECT name, category, cell // 3 % 5 AS connector, cell // 3 AS k FROM plan
+    WHERE category IN ('Stair', 'Ramp')), up AS (SELECT name AS u, lead(name) OVER (PARTITION BY connector ORDER BY k, name) AS v FROM c)
+    SELECT 'node' AS kind, name AS u, category AS v FROM c UNION ALL SELECT 'vertical', u, v FROM up WHERE v IS NOT NULL""", "plan"))
 def v08(spark: SparkSession, d: str) -> DataFrame:
     cells, bounds = model(spark, d)
     k = F.floor(F.col("cell") / 3)
@@ -75,7 +79,11 @@ def b32(spark: SparkSession, d: str) -> DataFrame:
     return views.room_nodes(*model(spark, d))
 
 
-@query("b09_b10_a02_exposed_borders", sql(f", {TOUCH}, t AS (SELECT room AS cell, via, CASE WHEN via LIKE '%EAST%' THEN 2 ELSE 3 END AS len FROM touch UNION ALL SELECT via, room, CASE WHEN via LIKE '%EAST%' THEN 2 ELSE 3 END FROM touch), s AS (SELECT cell, sum(len) AS shared, count(*) AS lines FROM t GROUP BY 1) SELECT name AS cell, round(2.0 * (x1 - x0 + y1 - y0) - coalesce(shared, 0), 6)::DOUBLE AS exposed, lines, CAST(shared AS DOUBLE) AS length FROM plan LEFT JOIN s ON cell = name".replace("SELECT name AS cell", "SELECT plan.name AS cell").replace("ON cell = name", "ON s.cell = plan.name"), "plan"))
+@query("b09_b10_a02_exposed_borders", sql(f""", {TOUCH}, t AS (SELECT room AS cell, via, CASE WHEN via LIKE '%EAST%' THEN 2 ELSE 3 END AS len
+    FROM touch UNION ALL SELECT via, room, CASE WHEN via LIKE '%EAST%' THEN 2 ELSE 3 END
+    FROM touch), s AS (SELECT cell, sum(len) AS shared, count(*) AS lines FROM t GROUP BY 1)
+    SELECT name AS cell, round(2.0 * (x1 - x0 + y1 - y0) - coalesce(shared, 0), 6)::DOUBLE AS exposed, lines, CAST(shared AS DOUBLE) AS length
+    FROM plan LEFT JOIN s ON cell = name""".replace("SELECT name AS cell", "SELECT plan.name AS cell").replace("ON cell = name", "ON s.cell = plan.name"), "plan"))
 def b09(spark: SparkSession, d: str) -> DataFrame:
     cells, bounds = model(spark, d)
     lines = aggregates.shared_lines(bounds.select("a", "b", F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("bx").alias("x1"), F.col("by").alias("y1")))
@@ -87,14 +95,17 @@ def j20(spark: SparkSession, d: str) -> DataFrame:
     return views._members(*model(spark, d), ("TransferSpace",)).select("via", "cell", "category", "traversable")
 
 
-@query("x07_edge_modes", sql(f", {TOUCH} SELECT 'navigation' AS mode, count(*) FILTER (WHERE open) AS edges FROM touch UNION ALL SELECT 'all_adjacency', count(*) FROM touch", "plan"))
+@query("x07_edge_modes", sql(f""", {TOUCH} SELECT 'navigation' AS mode, count(*) FILTER (WHERE open) AS edges FROM touch UNION ALL
+    SELECT 'all_adjacency', count(*) FROM touch""", "plan"))
 def x07(spark: SparkSession, d: str) -> DataFrame:
     cells, bounds = model(spark, d)
     n = lambda mode: builder.dual(cells, bounds, mode)[1].agg(F.count(F.lit(1)).alias("edges")).select(F.lit(mode).alias("mode"), "edges")
     return n("navigation").unionByName(n("all_adjacency"))
 
 
-@query("q17_opening_rules", sql(f", {TOUCH}, n AS (SELECT via, count(DISTINCT room) AS n FROM touch GROUP BY 1) SELECT CASE category WHEN 'Door' THEN 'door without two spaces' ELSE 'window without a space' END AS rule, name AS key FROM plan LEFT JOIN n ON via = name WHERE (category = 'Door' AND coalesce(n, 0) <> 2) OR (category = 'Window' AND coalesce(n, 0) < 1)", "plan"))
+@query("q17_opening_rules", sql(f""", {TOUCH}, n AS (SELECT via, count(DISTINCT room) AS n FROM touch GROUP BY 1) SELECT
+    CASE category WHEN 'Door' THEN 'door without two spaces' ELSE 'window without a space' END AS rule, name AS key FROM plan LEFT
+    JOIN n ON via = name WHERE (category = 'Door' AND coalesce(n, 0) <> 2) OR (category = 'Window' AND coalesce(n, 0) < 1)""", "plan"))
 def q17(spark: SparkSession, d: str) -> DataFrame:
     return dq.opening_faults(*model(spark, d))
 
@@ -131,7 +142,8 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     return got.select("start", "cost", F.col("robustness").cast("bigint").alias("robustness"), "path")
 
 
-@query("r13_a14_route_counts", sql(f", {EVERY} SELECT start, count(*) AS routes, count(DISTINCT path) AS distinct FROM (SELECT start, path FROM ways UNION ALL SELECT start, path FROM main) GROUP BY 1".replace("AS distinct FROM", 'AS "distinct" FROM'), "edges", "regions", recursive=True))
+@query("r13_a14_route_counts", sql(f""", {EVERY} SELECT start, count(*) AS routes, count(DISTINCT path) AS distinct FROM (SELECT start, path FROM ways
+    UNION ALL SELECT start, path FROM main) GROUP BY 1""".replace("AS distinct FROM", 'AS "distinct" FROM'), "edges", "regions", recursive=True))
 def r13(spark: SparkSession, d: str) -> DataFrame:
     """All loopless routes, and the main one once more: how many, how many different."""
     e = domain.regions(spark, d).withColumn("grp", F.lit("all"))
@@ -148,7 +160,9 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.distinct_routes(e.groupBy("grp").applyInPandas(every, "start long, path array<long>"), "start")
 
 
-@query("r21_disjoint_routes", sql(", sides AS (SELECT m, list_filter([0, 1, 2, 3], lambda n: (m >> n) & 1 = 1) AS side FROM range(1, 16) r(m)) SELECT CAST(s AS BIGINT) AS start, min((SELECT count(*) FROM regions WHERE list_contains(side, u) <> list_contains(side, v))) AS routes FROM sides, range(0, 4) t(s) WHERE list_contains(side, s) GROUP BY 1", "edges", "regions"))
+@query("r21_disjoint_routes", sql(""", sides AS (SELECT m, list_filter([0, 1, 2, 3], lambda n: (m >> n) & 1 = 1) AS side FROM range(1, 16) r(m))
+    SELECT CAST(s AS BIGINT) AS start, min((SELECT count(*) FROM regions WHERE list_contains(side, u) <> list_contains(side, v))) AS routes
+    FROM sides, range(0, 4) t(s) WHERE list_contains(side, s) GROUP BY 1""", "edges", "regions"))
 def r21(spark: SparkSession, d: str) -> DataFrame:
     """Routes that share no edge; the SQL counts the least cut over all ways to part the nodes."""
     e = domain.regions(spark, d).withColumn("grp", F.lit("all"))
@@ -162,7 +176,10 @@ def r21(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("grp").applyInPandas(count, "start long, routes long")
 
 
-@query("r14_betweenness", sql(f", {EVERY.replace('WHERE node = 4 AND start <> 4', 'WHERE node <> start')}, best AS (SELECT start, path[-1] AS goal, arg_min(path, cost) AS path FROM ways GROUP BY 1, 2), inner_ AS (SELECT unnest(path[2:len(path) - 1]) AS node FROM best) SELECT CAST(n.node AS BIGINT) AS node, round((SELECT count(*) FROM inner_ i WHERE i.node = n.node) / 12.0, 6) AS score FROM (SELECT DISTINCT u AS node FROM sy) n", "edges", "regions", recursive=True))
+@query("r14_betweenness", sql(f""", {EVERY.replace('WHERE node = 4 AND start <> 4', 'WHERE node <> start')}, best AS (SELECT start, path[-1] AS goal,
+    arg_min(path, cost) AS path FROM ways GROUP BY 1, 2), inner_ AS (SELECT unnest(path[2:len(path) - 1]) AS node FROM best)
+    SELECT CAST(n.node AS BIGINT) AS node, round((SELECT count(*) FROM inner_ i WHERE i.node = n.node) / 12.0, 6) AS score
+    FROM (SELECT DISTINCT u AS node FROM sy) n""", "edges", "regions", recursive=True))
 def r14(spark: SparkSession, d: str) -> DataFrame:
     e = domain.regions(spark, d).withColumn("grp", F.lit("all"))
 
@@ -176,7 +193,8 @@ def r14(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("grp").applyInPandas(score, "node long, score double")
 
 
-@query("x04_r22_algorithms_by_name", sql(f", {EVERY} SELECT g AS grp, CAST(start AS BIGINT) AS start, cost, len(path) AS stops FROM main, (VALUES ('astar'), ('dijkstra'), ('yen_ksp')) t(g)", "edges", "regions", recursive=True))
+@query("x04_r22_algorithms_by_name", sql(f""", {EVERY} SELECT g AS grp, CAST(start AS BIGINT) AS start, cost, len(path) AS stops
+    FROM main, (VALUES ('astar'), ('dijkstra'), ('yen_ksp')) t(g)""", "edges", "regions", recursive=True))
 def x04(spark: SparkSession, d: str) -> DataFrame:
     e, out = domain.regions(spark, d), None
     for name in kernels.ALGORITHMS:
@@ -185,7 +203,10 @@ def x04(spark: SparkSession, d: str) -> DataFrame:
     return out.select("grp", "start", "cost", F.size("path").cast("bigint").alias("stops"))
 
 
-@query("x05_a13_a27_route_ratings", sql(f", {EVERY} SELECT array_to_string(path, '-') AS path_id, round(min(s), 6) AS least, round(avg(s), 6) AS mean, round(CASE WHEN min(CASE WHEN i > 1 AND i < len(path) THEN c END) IS NULL THEN NULL ELSE exp(avg(CASE WHEN i > 1 AND i < len(path) THEN ln(c) END)) END, 6) AS agility FROM (SELECT start, path, i, 1 - path[i] / 10.0::DOUBLE AS s, path[i] + 1.0 AS c FROM ways, range(1, 6) r(i) WHERE i <= len(path)) GROUP BY path", "edges", "regions", recursive=True))
+@query("x05_a13_a27_route_ratings", sql(f""", {EVERY} SELECT array_to_string(path, '-') AS path_id, round(min(s), 6) AS least, round(avg(s), 6) AS
+    mean, round(CASE WHEN min(CASE WHEN i > 1 AND i < len(path) THEN c END) IS NULL THEN NULL ELSE exp(avg(CASE WHEN i > 1 AND i < len(path) THEN
+    ln(c) END)) END, 6) AS agility FROM (SELECT start, path, i, 1 - path[i] / 10.0::DOUBLE AS s, path[i] + 1.0 AS c FROM ways, range(1, 6) r(i)
+    WHERE i <= len(path)) GROUP BY path""", "edges", "regions", recursive=True))
 def x05(spark: SparkSession, d: str) -> DataFrame:
     """Every route rated by its scores and by an agility that the caller hands in."""
     e = domain.regions(spark, d).withColumn("grp", F.lit("all"))
@@ -222,7 +243,10 @@ def r16(spark: SparkSession, d: str) -> DataFrame:
     return start.join(graph.reach(ways_, n.where("is_exit")), "node", "left").select("agent", F.col("node").alias("start"), "target", "cost")
 
 
-@query("r23_runtime_graph", sql("SELECT u, v, round(weight * (1 + 3 * greatest(1 - coalesce(a.score, 1.0), 1 - coalesce(b.score, 1.0))), 6) AS weight FROM edges JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node WHERE weight <= 12 UNION ALL SELECT u, v, round(weight / 2.0 * (1 + 3 * greatest(1 - coalesce(a.score, 1.0), 1 - coalesce(b.score, 1.0))), 6) FROM edges JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node WHERE weight <= 24", "nodes", "edges"))
+@query("r23_runtime_graph", sql("""SELECT u, v, round(weight * (1 + 3 * greatest(1 - coalesce(a.score, 1.0), 1 - coalesce(b.score, 1.0))), 6) AS
+    weight FROM edges JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node WHERE weight <= 12 UNION ALL
+    SELECT u, v, round(weight / 2.0 * (1 + 3 * greatest(1 - coalesce(a.score, 1.0), 1 - coalesce(b.score, 1.0))), 6) FROM edges
+    JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node WHERE weight <= 24""", "nodes", "edges"))
 def r23(spark: SparkSession, d: str) -> DataFrame:
     e = domain.edges(spark, d)
     hazard = domain.nodes(spark, d).select("node", (1 - F.coalesce("score", F.lit(1.0))).alias("risk"))
@@ -231,12 +255,16 @@ def r23(spark: SparkSession, d: str) -> DataFrame:
 
 
 # joins, sets, reports
-@query("j04_orphans", "SELECT DISTINCT 'order without customer' AS rule, CAST(o_custkey AS VARCHAR) AS key FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c_acctbal > 1000)")
+@query("j04_orphans", """SELECT DISTINCT 'order without customer' AS rule, CAST(o_custkey AS VARCHAR) AS key FROM orders o WHERE NOT EXISTS (SELECT 1
+    FROM customer c WHERE c.c_custkey = o.o_custkey AND c_acctbal > 1000)""")
 def j04(spark: SparkSession, d: str) -> DataFrame:
     return dq.dangling(table(spark, d, "orders"), "order without customer", "o_custkey", table(spark, d, "customer").where("c_acctbal > 1000"), "c_custkey")
 
 
-@query("j12_assigned_rooms", sql(", p AS (SELECT s_suppkey AS point, s_suppkey * 7 % 520 AS x, s_suppkey * 3 % 50 AS y FROM supplier), rooms AS (SELECT * FROM plan WHERE category = 'Room'), i AS (SELECT point, min(name) AS room FROM p JOIN rooms ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1) SELECT point, coalesce(room, (SELECT min(name) FROM rooms)) AS room, room IS NULL AS inferred FROM p LEFT JOIN i USING (point)", "plan"))
+@query("j12_assigned_rooms", sql(""", p AS (SELECT s_suppkey AS point, s_suppkey * 7 % 520 AS x, s_suppkey * 3 % 50 AS y
+    FROM supplier), rooms AS (SELECT * FROM plan WHERE category = 'Room'), i AS (SELECT point, min(name) AS room FROM p
+    JOIN rooms ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1) SELECT point, coalesce(room, (SELECT min(name)
+    FROM rooms)) AS room, room IS NULL AS inferred FROM p LEFT JOIN i USING (point)""", "plan"))
 def j12(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("point"), (F.col("s_suppkey") * 7 % 520).alias("x"), (F.col("s_suppkey") * 3 % 50).alias("y"))
     return legacy.assigned(p, domain.plan(spark, d).where("category = 'Room'").select("name", "x0", "y0", "x1", "y1"))
@@ -250,7 +278,8 @@ def j17(spark: SparkSession, d: str) -> DataFrame:
     return ref.withColumn("tail", ids.tail(F.col("ref"))).join(c, "tail").select("o_orderkey", "c_name")
 
 
-@query("j18_s11_matrix_join", "SELECT i, j, CAST(CASE WHEN (i * 3 + j) % 10 / 10.0 < 0.4 AND (i + j) % 4 <> 0 THEN 0 ELSE i * 8 + j END AS BIGINT) AS cost FROM range(0, 8) a(i), range(0, 8) b(j)")
+@query("j18_s11_matrix_join", """SELECT i, j, CAST(CASE WHEN (i * 3 + j) % 10 / 10.0 < 0.4 AND (i + j) % 4 <> 0 THEN 0 ELSE i * 8 + j END AS BIGINT)
+    AS cost FROM range(0, 8) a(i), range(0, 8) b(j)""")
 def j18(spark: SparkSession, d: str) -> DataFrame:
     """Literal matrices in long form: costs cut where a known safety is too low."""
     both = spark.range(8).select(F.col("id").alias("i")).crossJoin(spark.range(8).select(F.col("id").alias("j")))
@@ -258,7 +287,8 @@ def j18(spark: SparkSession, d: str) -> DataFrame:
     return filters.safety_cut(both.withColumn("cost", F.col("i") * 8 + F.col("j")), safety, 0.4)
 
 
-@query("j22_best_two_cells", sql(f", {TOUCH} SELECT via, room, rk FROM (SELECT via, room, row_number() OVER (PARTITION BY via ORDER BY CASE WHEN via LIKE '%EAST%' THEN 2 ELSE 3 END DESC, room) AS rk FROM touch) WHERE rk <= 2", "plan"))
+@query("j22_best_two_cells", sql(f""", {TOUCH} SELECT via, room, rk FROM (SELECT via, room, row_number() OVER (PARTITION BY via ORDER BY
+    CASE WHEN via LIKE '%EAST%' THEN 2 ELSE 3 END DESC, room) AS rk FROM touch) WHERE rk <= 2""", "plan"))
 def j22(spark: SparkSession, d: str) -> DataFrame:
     """The two cells that share most border with each passage."""
     cells, bounds = model(spark, d)
@@ -278,13 +308,17 @@ def b20(spark: SparkSession, d: str) -> DataFrame:
     return legacy.links(p.where("category = 'Room'").select(*box), doors.select(*box))
 
 
-@query("b22_layer_links", sql("SELECT name AS nodo_id, CASE category WHEN 'Room' THEN 'adyacencia_fisica' ELSE 'navegable_puerta' END AS capa_superior, CASE category WHEN 'Room' THEN 'navegable_puerta' ELSE 'door_to_door' END AS capa_inferior, 'representa_el_mismo_espacio' AS tipo_conexion FROM plan WHERE category IN ('Room', 'Door', 'Exit')", "plan"))
+@query("b22_layer_links", sql("""SELECT name AS nodo_id, CASE category WHEN 'Room' THEN 'adyacencia_fisica' ELSE 'navegable_puerta' END AS
+    capa_superior, CASE category WHEN 'Room' THEN 'navegable_puerta' ELSE 'door_to_door' END AS capa_inferior, 'representa_el_mismo_espacio' AS
+    tipo_conexion FROM plan WHERE category IN ('Room', 'Door', 'Exit')""", "plan"))
 def b22(spark: SparkSession, d: str) -> DataFrame:
     klass = F.when(F.col("category") == "Room", "NavigableSpace").when(F.col("category") == "Door", "TransferSpace").when(F.col("category") == "Exit", "AnchorSpace")
     return legacy.layer_links(domain.plan(spark, d).select("name", klass.alias("klass")))
 
 
-@query("t20_beacon_cells", sql("SELECT b.node AS beacon, c.node AS cell FROM nodes b JOIN nodes c ON sqrt((b.x - c.x) ** 2 + (b.y - c.y) ** 2) <= 8 + b.node % 7 WHERE b.node % 3 = 0 UNION ALL SELECT node, unnest([node, (node + 1) % 25]) FROM nodes WHERE node % 3 = 1", "nodes"))
+@query("t20_beacon_cells", sql("""SELECT b.node AS beacon, c.node AS cell FROM nodes b
+    JOIN nodes c ON sqrt((b.x - c.x) ** 2 + (b.y - c.y) ** 2) <= 8 + b.node % 7 WHERE b.node % 3 = 0 UNION ALL
+    SELECT node, unnest([node, (node + 1) % 25]) FROM nodes WHERE node % 3 = 1""", "nodes"))
 def t20(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d)
     refs = F.when(F.col("node") % 3 == 1, F.array(F.col("node"), ((F.col("node") + 1) % 25).cast(n.schema["node"].dataType)))
@@ -292,32 +326,41 @@ def t20(spark: SparkSession, d: str) -> DataFrame:
     return legacy.beacon_cells(b, n.select(F.col("node").alias("cell"), "x", "y"))
 
 
-@query("t10_presence_sessions", "WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE value > 0), g AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR ts - before >= INTERVAL 6 HOURS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id AS room, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s")
+@query("t10_presence_sessions", """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events
+    WHERE value > 0), g AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR ts - before >= INTERVAL 6 HOURS) OVER (PARTITION BY user_id
+    ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id AS room, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s""")
 def t10(spark: SparkSession, d: str) -> DataFrame:
     r = domain.readings(spark, d).withColumn("variable", F.lit("pir_count"))
     return sensors.presence_sessions(r, "6 hours", None).select("room", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("w09_route_overlaps", sql(", p AS (SELECT user_id AS agent, event_id, ts, [event_id % 5, event_id % 7, event_id % 3] AS path FROM events), l AS (SELECT *, lag(path) OVER (PARTITION BY agent ORDER BY event_id) AS before FROM p) SELECT agent, event_id, CASE WHEN before IS NOT NULL THEN round(len(list_intersect(list_distinct(path), list_distinct(before))) / len(list_distinct(list_concat(path, before)))::DOUBLE, 6) END AS overlap FROM l", "nodes"))
+@query("w09_route_overlaps", sql(""", p AS (SELECT user_id AS agent, event_id, ts, [event_id % 5, event_id % 7, event_id % 3] AS path
+    FROM events), l AS (SELECT *, lag(path) OVER (PARTITION BY agent ORDER BY event_id) AS before FROM p) SELECT agent, event_id,
+    CASE WHEN before IS NOT NULL THEN round(len(list_intersect(list_distinct(path), list_distinct(before))) / len(list_distinct(list_concat(path,
+    before)))::DOUBLE, 6) END AS overlap FROM l""", "nodes"))
 def w09(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     p = table(spark, d, "events").select(F.col("user_id").alias("agent"), "event_id", F.array(e % 5, e % 7, e % 3).alias("path"))
     return windows.jaccard_with_previous(p, "agent", "event_id", "path").select("agent", "event_id", F.round("overlap", 6).alias("overlap"))
 
 
-@query("w10_m09_stuck", "SELECT room, event_id, moved FROM (SELECT user_id AS room, event_id, round(sqrt((event_id % 3 * 0.05 - lag(event_id % 3 * 0.05, 19) OVER w) ** 2 + (user_id % 2 * 0.01 - lag(user_id % 2 * 0.01, 19) OVER w) ** 2), 6)::DOUBLE AS moved FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE moved < 0.06")
+@query("w10_m09_stuck", """SELECT room, event_id, moved FROM (SELECT user_id AS room, event_id, round(sqrt((event_id % 3 * 0.05 - lag(event_id % 3 *
+    0.05, 19) OVER w) ** 2 + (user_id % 2 * 0.01 - lag(user_id % 2 * 0.01, 19) OVER w) ** 2), 6)::DOUBLE AS moved
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE moved < 0.06""")
 def w10(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "events").select(F.col("user_id").alias("room"), "event_id", (F.col("event_id") % 3 * 0.05).alias("x"), (F.col("user_id") % 2 * 0.01).alias("y"))
     return windows.stuck(p, "room", "event_id", 20, 0.06).select("room", "event_id", F.round("moved", 6).alias("moved"))
 
 
-@query("a26_run_totals", sql("SELECT agent, count(*) AS frames, count(*) FILTER (WHERE event = 'RECALCULO') AS replans, round(sum(value), 6) AS travelled, round(avg(value), 6) AS mean, max(value) AS longest FROM log GROUP BY 1", "log"))
+@query("a26_run_totals", sql("""SELECT agent, count(*) AS frames, count(*) FILTER (WHERE event = 'RECALCULO') AS replans, round(sum(value), 6) AS
+    travelled, round(avg(value), 6) AS mean, max(value) AS longest FROM log GROUP BY 1""", "log"))
 def a26(spark: SparkSession, d: str) -> DataFrame:
     log = domain.event_log(spark, d)
     return aggregates.run_totals(log.select("agent", (F.col("event") == "RECALCULO").alias("replan"), F.col("value").alias("length")), "agent")
 
 
-@query("a06_document_counts", sql(f", {TOUCH} SELECT (SELECT count(*) FROM plan) AS cells, (SELECT count(*) FROM touch) AS boundaries, (SELECT count(DISTINCT category) FROM plan) AS categories", "plan"))
+@query("a06_document_counts", sql(f""", {TOUCH} SELECT (SELECT count(*) FROM plan) AS cells, (SELECT count(*)
+    FROM touch) AS boundaries, (SELECT count(DISTINCT category) FROM plan) AS categories""", "plan"))
 def a06(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the members of documents, one document a category."""
     cells, bounds = model(spark, d)
@@ -327,7 +370,8 @@ def a06(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.document_counts(docs.join(b.groupBy("category").agg(F.collect_list("boundary").alias("bounds")), "category", "left").withColumn("bounds", F.coalesce("bounds", F.array().cast("array<string>"))), cells="cells", boundaries="bounds", categories="categories")
 
 
-@query("o02_existence_probes", "SELECT n_nationkey AS nation, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0 LIMIT 1) AS found FROM nation")
+@query("o02_existence_probes", """SELECT n_nationkey AS nation, EXISTS (SELECT 1 FROM supplier
+    WHERE s_nationkey = n_nationkey AND s_acctbal < 0 LIMIT 1) AS found FROM nation""")
 def o02(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"))
     low = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("nation")).distinct().withColumn("found", F.lit(True))
@@ -340,7 +384,10 @@ def o05(spark: SparkSession, d: str) -> DataFrame:
     return windows.global_row_number(c, "low", "left", "size", "cell").select("cell", "n")
 
 
-@query("o09_q11_overlap_warnings", sql(", o AS (SELECT a.cell AS a, b.cell AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area FROM cells a JOIN cells b ON a.level = b.level AND a.cell < b.cell), s AS (SELECT a AS cell, b AS other, area FROM o WHERE area > 0 UNION ALL SELECT b, a, area FROM o WHERE area > 0) SELECT cell, other, area FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY area DESC, other) AS rn FROM s) WHERE rn <= 2", "cells"))
+@query("o09_q11_overlap_warnings", sql(""", o AS (SELECT a.cell AS a, b.cell AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) *
+    greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area FROM cells a JOIN cells b ON a.level = b.level AND a.cell < b.cell), s AS (SELECT a
+    AS cell, b AS other, area FROM o WHERE area > 0 UNION ALL SELECT b, a, area FROM o WHERE area > 0) SELECT cell, other, area
+    FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY area DESC, other) AS rn FROM s) WHERE rn <= 2""", "cells"))
 def o09(spark: SparkSession, d: str) -> DataFrame:
     return dq.warnings_by_cell(topology.overlaps(domain.cells(spark, d)), 2)
 
@@ -351,12 +398,14 @@ def o10(spark: SparkSession, d: str) -> DataFrame:
     return dq.first_errors(c, 50)
 
 
-@query("o12_largest_shells", sql("SELECT level, size, cell, kind FROM (SELECT level, w * h AS size, cell, kind, row_number() OVER (PARTITION BY level ORDER BY w * h DESC, cell) AS rn FROM cells) WHERE rn = 1", "cells"))
+@query("o12_largest_shells", sql("""SELECT level, size, cell, kind FROM (SELECT level, w * h AS size, cell, kind, row_number() OVER (PARTITION BY
+    level ORDER BY w * h DESC, cell) AS rn FROM cells) WHERE rn = 1""", "cells"))
 def o12(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.largest(domain.cells(spark, d).select("level", (F.col("w") * F.col("h")).alias("size"), "cell", "kind"), "level", "size", "cell")
 
 
-@query("u01_u03_u08_unions", sql("SELECT 'exit' AS part, node FROM nodes WHERE is_exit OR upper(function_code) IN ('EXIT', 'EMERGENCY_EXIT') UNION SELECT 'exit', node FROM nodes WHERE upper(function_code) IN ('WINDOW', 'VENTANA') UNION ALL SELECT 'level ' || level, node FROM nodes", "nodes"))
+@query("u01_u03_u08_unions", sql("""SELECT 'exit' AS part, node FROM nodes WHERE is_exit OR upper(function_code) IN ('EXIT', 'EMERGENCY_EXIT') UNION
+    SELECT 'exit', node FROM nodes WHERE upper(function_code) IN ('WINDOW', 'VENTANA') UNION ALL SELECT 'level ' || level, node FROM nodes""", "nodes"))
 def u01(spark: SparkSession, d: str) -> DataFrame:
     """Exits and windows as one set, and the documents of all levels one after another."""
     n = domain.nodes(spark, d)
@@ -366,13 +415,15 @@ def u01(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("u05_u09_kinds_of_levels", sql("SELECT level, list_sort(list_distinct(list(kind))) AS kinds, list_sort(list_distinct(list_concat(list(kind), list(function_code)))) AS together FROM cells GROUP BY 1", "cells"))
+@query("u05_u09_kinds_of_levels", sql("""SELECT level, list_sort(list_distinct(list(kind))) AS kinds, list_sort(list_distinct(list_concat(list(kind),
+    list(function_code)))) AS together FROM cells GROUP BY 1""", "cells"))
 def u05(spark: SparkSession, d: str) -> DataFrame:
     c = domain.cells(spark, d).groupBy("level").agg(F.collect_set("kind").alias("kinds"), F.collect_set("function_code").alias("codes"))
     return c.select("level", F.array_sort("kinds").alias("kinds"), F.array_sort(F.array_distinct(F.concat("kinds", "codes"))).alias("together"))
 
 
-@query("q02_ring_faults", sql("SELECT cell, CASE WHEN cell % 5 = 0 THEN 'too few points' WHEN cell % 5 = 1 THEN 'open' WHEN cell % 5 = 2 THEN 'no area' END AS fault FROM cells", "cells"))
+@query("q02_ring_faults", sql("""SELECT cell, CASE WHEN cell % 5 = 0 THEN 'too few points' WHEN cell % 5 = 1 THEN 'open' WHEN cell % 5 = 2 THEN
+    'no area' END AS fault FROM cells""", "cells"))
 def q02(spark: SparkSession, d: str) -> DataFrame:
     """Rings cut short, left open, or flattened by the cell's number, and what is found wrong."""
     r = G.rect()
@@ -417,7 +468,8 @@ def q06(spark: SparkSession, d: str) -> DataFrame:
     return dq.foreign_keys(database(spark, d), schemas.FOREIGN_KEYS)
 
 
-@query("q05_unique_keys", sql(f", {DATABASE} SELECT 'dual_space_layer(id_theme_layer)' AS rule, 'TH-01' AS key UNION ALL SELECT 'cell_boundary(boundary_key)', key FROM cb GROUP BY key HAVING count(*) > 1", "plan"))
+@query("q05_unique_keys", sql(f""", {DATABASE} SELECT 'dual_space_layer(id_theme_layer)' AS rule, 'TH-01' AS key UNION ALL
+    SELECT 'cell_boundary(boundary_key)', key FROM cb GROUP BY key HAVING count(*) > 1""", "plan"))
 def q05(spark: SparkSession, d: str) -> DataFrame:
     return dq.unique_keys(database(spark, d), schemas.UNIQUE_KEYS)
 
@@ -438,7 +490,11 @@ def q07(spark: SparkSession, d: str) -> DataFrame:
     return dq.nodes_outside(nodes, p.withColumnRenamed("cell", "id_cell"), database(spark, d)["dual_space_layer"])
 
 
-@query("q13_tile_chains", "WITH t AS (SELECT l_orderkey AS chain, l_linenumber AS pos, l_linenumber + CASE WHEN l_linenumber >= 4 AND l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS x, 0 AS y FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber + 10, 1, 1 FROM lineitem WHERE l_linenumber = 1), s AS (SELECT *, count(*) OVER (PARTITION BY chain, x, y) AS seen, abs(x - lag(x) OVER w) + abs(y - lag(y) OVER w) AS step FROM t WINDOW w AS (PARTITION BY chain ORDER BY pos)) SELECT chain, pos, CASE WHEN seen > 1 THEN 'repeated' ELSE 'gap' END AS fault FROM s WHERE seen > 1 OR step <> 1")
+@query("q13_tile_chains", """WITH t AS (SELECT l_orderkey AS chain, l_linenumber AS pos, l_linenumber +
+    CASE WHEN l_linenumber >= 4 AND l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS x, 0 AS y FROM lineitem UNION ALL
+    SELECT l_orderkey, l_linenumber + 10, 1, 1 FROM lineitem WHERE l_linenumber = 1), s AS (SELECT *, count(*) OVER (PARTITION BY chain, x, y) AS
+    seen, abs(x - lag(x) OVER w) + abs(y - lag(y) OVER w) AS step FROM t WINDOW w AS (PARTITION BY chain ORDER BY pos)) SELECT chain, pos,
+    CASE WHEN seen > 1 THEN 'repeated' ELSE 'gap' END AS fault FROM s WHERE seen > 1 OR step <> 1""")
 def q13(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("pos"))
     jump = F.when((F.col("pos") >= 4) & (F.col("chain") % 3 == 0), 1).otherwise(0)
@@ -446,7 +502,9 @@ def q13(spark: SparkSession, d: str) -> DataFrame:
     return dq.chain_faults(tiles)
 
 
-@query("m07_m10_walked_frames", sql("SELECT u * 100 + v AS agent, leg, frame, round(ax + (bx - ax) * frame / 25.0, 6) AS x, round(ay + (yb - ay) * frame / 25.0, 6) AS y FROM (SELECT u, v, weight AS leg, a.x::DOUBLE AS ax, a.y::DOUBLE AS ay, b.x::DOUBLE AS bx, b.y::DOUBLE AS yb FROM edges JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node), range(0, 25) r(frame)", "edges", "nodes"))
+@query("m07_m10_walked_frames", sql("""SELECT u * 100 + v AS agent, leg, frame, round(ax + (bx - ax) * frame / 25.0, 6) AS x, round(ay + (yb - ay) *
+    frame / 25.0, 6) AS y FROM (SELECT u, v, weight AS leg, a.x::DOUBLE AS ax, a.y::DOUBLE AS ay, b.x::DOUBLE AS bx, b.y::DOUBLE AS yb FROM edges
+    JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node), range(0, 25) r(frame)""", "edges", "nodes"))
 def m07(spark: SparkSession, d: str) -> DataFrame:
     from .columns import lines
 
@@ -454,7 +512,8 @@ def m07(spark: SparkSession, d: str) -> DataFrame:
     return sim.walked(legs).select("agent", "leg", F.col("frame").cast("bigint").alias("frame"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("m03_m05_evacuated", sql("SELECT p.node AS agent, min(t) AS t FROM nodes p, range(0, 40) r(t), nodes e WHERE e.is_exit AND sqrt((p.x + t - e.x) ** 2 + (p.y - e.y) ** 2) <= 2.0 GROUP BY 1", "nodes"))
+@query("m03_m05_evacuated", sql("""SELECT p.node AS agent, min(t) AS t FROM nodes p, range(0, 40) r(t), nodes e
+    WHERE e.is_exit AND sqrt((p.x + t - e.x) ** 2 + (p.y - e.y) ** 2) <= 2.0 GROUP BY 1""", "nodes"))
 def m03(spark: SparkSession, d: str) -> DataFrame:
     """Everybody walks east a metre a step; the step that brings them within two metres of an exit."""
     n = domain.nodes(spark, d)

@@ -26,14 +26,17 @@ def rooms(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("ell", ell).withColumn("box", _ring((0, 0), (w, 0), (w, h), (0, h)))
 
 
-@query("g04_g11_g31_g45_cleaned_rings", f"WITH {ROOM}, s AS (SELECT *, w * h - a * b AS area FROM r) SELECT k, CAST(6 AS INTEGER) AS points, round(area, 6)::DOUBLE AS area, false AS ell_convex, true AS box_convex, round((w * h * w / 2.0 - a * b * (w - a / 2.0)) / area, 6) AS x, round((w * h * h / 2.0 - a * b * (h - b / 2.0)) / area, 6) AS y FROM s")
+@query("g04_g11_g31_g45_cleaned_rings", f"""WITH {ROOM}, s AS (SELECT *, w * h - a * b AS area FROM r)
+    SELECT k, CAST(6 AS INTEGER) AS points, round(area, 6)::DOUBLE AS area, false AS ell_convex, true AS box_convex, round((w * h * w / 2.0 - a * b *
+    (w - a / 2.0)) / area, 6) AS x, round((w * h * h / 2.0 - a * b * (h - b / 2.0)) / area, 6) AS y FROM s""")
 def g04(spark: SparkSession, d: str) -> DataFrame:
     point = S.node_point(F.col("ell"))
     made = rooms(spark, d).select("k", S.clean(F.col("ell")).alias("ring"), S.convex(F.col("ell")).alias("ell_convex"), S.convex(F.col("box")).alias("box_convex"), point.alias("p"))
     return made.select("k", F.size("ring").alias("points"), F.round(S.area(F.col("ring")), 6).alias("area"), "ell_convex", "box_convex", F.round(F.get("p", F.lit(0)), 6).alias("x"), F.round(F.get("p", F.lit(1)), 6).alias("y"))
 
 
-@query("g05_g06_g07_g28_set_operations", f"WITH {ROOM} SELECT k, round(w * h + w * h - 2.0 * (h - 1), 6) AS together, round(w * h - a * b, 6)::DOUBLE AS both, round(a * b, 6)::DOUBLE AS either, round(w * h - a * b - 1.5 * 1.0, 6)::DOUBLE AS rest FROM r")
+@query("g05_g06_g07_g28_set_operations", f"""WITH {ROOM} SELECT k, round(w * h + w * h - 2.0 * (h - 1), 6) AS together, round(w * h - a * b,
+    6)::DOUBLE AS both, round(a * b, 6)::DOUBLE AS either, round(w * h - a * b - 1.5 * 1.0, 6)::DOUBLE AS rest FROM r""")
 def g07(spark: SparkSession, d: str) -> DataFrame:
     """Two boxes as one, a box and its L, and what a column leaves of an L."""
     w, h = F.col("w"), F.col("h")
@@ -45,7 +48,8 @@ def g07(spark: SparkSession, d: str) -> DataFrame:
     return left.groupBy("k", "together", "both", "either").agg(F.sum("size").alias("rest")).select("k", *[F.round(c, 6).alias(c) for c in ("together", "both", "either", "rest")])
 
 
-@query("g30_g32_g33_b19_q15_decompositions", f"WITH {ROOM} SELECT k, CAST(4 AS INTEGER) AS triangles, true AS joined, round(w * h - a * b, 6)::DOUBLE AS area, true AS all_convex FROM r")
+@query("g30_g32_g33_b19_q15_decompositions", f"""WITH {ROOM} SELECT k, CAST(4 AS INTEGER) AS triangles, true AS joined, round(w * h - a * b,
+    6)::DOUBLE AS area, true AS all_convex FROM r""")
 def g30(spark: SparkSession, d: str) -> DataFrame:
     """An L falls into convex parts that hang together by their borders, cover it and do not overlap."""
     made = rooms(spark, d).select("k", F.size(S.triangulated(F.col("ell"))).alias("triangles"), S.decomposed(F.col("ell")).alias("ps"), F.size(S.inner_borders(F.col("ell"))).alias("borders"))
@@ -71,7 +75,8 @@ def g40(spark: SparkSession, d: str) -> DataFrame:
     return rooms(spark, d).select("k", F.round(bent, 6).alias("bent"), F.round(straight, 6).alias("straight"))
 
 
-@query("g29_faces", f"WITH {ROOM} SELECT k, CAST(2 AS INTEGER) AS faces, round(greatest(2 * h, (w - 2) * h), 6)::DOUBLE AS largest, round(w * h, 6)::DOUBLE AS area FROM r")
+@query("g29_faces", f"""WITH {ROOM} SELECT k, CAST(2 AS INTEGER) AS faces, round(greatest(2 * h, (w - 2) * h), 6)::DOUBLE AS largest, round(w * h,
+    6)::DOUBLE AS area FROM r""")
 def g29(spark: SparkSession, d: str) -> DataFrame:
     """Rooms that four walls, one inside and one that ends in nothing enclose."""
     w, h = (F.col(c).cast("double") for c in "wh")
@@ -98,7 +103,8 @@ def g39(spark: SparkSession, d: str) -> DataFrame:
     return rooms(spark, d).select("k", F.round(S.tile_area(chain, 0.5), 6).alias("area"))
 
 
-@query("g38_b06_side_coverage", f"WITH {ROOM} SELECT k, round(0.12 * (2 * w + 2 * (h + 0.24) - CASE WHEN k % 3 = 0 THEN w WHEN k % 3 = 1 THEN w + h + 0.24 ELSE 0 END), 6)::DOUBLE AS area FROM r")
+@query("g38_b06_side_coverage", f"""WITH {ROOM} SELECT k, round(0.12 * (2 * w + 2 * (h + 0.24) -
+    CASE WHEN k % 3 = 0 THEN w WHEN k % 3 = 1 THEN w + h + 0.24 ELSE 0 END), 6)::DOUBLE AS area FROM r""")
 def g38(spark: SparkSession, d: str) -> DataFrame:
     sides = F.when(F.col("k") % 3 == 0, F.array(F.lit("north"))).when(F.col("k") % 3 == 1, F.array(F.lit("south"), F.lit("east"))).otherwise(F.array().cast("array<string>"))
     box = F.array(F.lit(0.0), F.lit(0.0), F.col("w").cast("double"), F.col("h").cast("double"))

@@ -17,9 +17,11 @@ from ..sources.domain import sql, table
 OVER = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
 LEN = """CASE WHEN a.x1 = b.x0 OR b.x1 = a.x0 THEN greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) WHEN a.y1 = b.y0 OR b.y1 = a.y0 THEN greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) ELSE 0 END"""
 PAIR = "FROM cells a JOIN cells b ON a.level = b.level AND a.cell < b.cell"
-CONTACT = f"contact AS (SELECT a.cell AS a, b.cell AS b, a.level, greatest(a.x0, b.x0) AS x0, greatest(a.y0, b.y0) AS y0, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1, {LEN} AS length {PAIR} WHERE {OVER} = 0 AND {LEN} > 0)"
+CONTACT = f"""contact AS (SELECT a.cell AS a, b.cell AS b, a.level, greatest(a.x0, b.x0) AS x0, greatest(a.y0, b.y0) AS y0, least(a.x1, b.x1) AS x1,
+    least(a.y1, b.y1) AS y1, {LEN} AS length {PAIR} WHERE {OVER} = 0 AND {LEN} > 0)"""
 KEY = "md5(concat_ws('|', x0, y0, x1, y1))"
-BOUNDS = f"bounds AS (SELECT k AS boundary_key, level, m.a AS a, m.b AS b, m.length AS length FROM (SELECT {KEY} AS k, level, min({{'a': a, 'b': b, 'length': length}}) AS m FROM contact GROUP BY 1, 2))"
+BOUNDS = f"""bounds AS (SELECT k AS boundary_key, level, m.a AS a, m.b AS b, m.length AS length
+    FROM (SELECT {KEY} AS k, level, min({{'a': a, 'b': b, 'length': length}}) AS m FROM contact GROUP BY 1, 2))"""
 
 
 @query("f01_tokens", "SELECT p_partkey, trim(upper(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g')), '_') AS token FROM part")
@@ -33,13 +35,15 @@ def f03(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", ref.alias("ref")).select("c_custkey", "ref", ids.tail(F.col("ref")).alias("tail"))
 
 
-@query("f04_f05_derived_ids", sql("SELECT cell_id, 'N_' || replace(upper(cell_id), '-', '_') AS node, 'ND-' || substr(cell_id, 4) AS db_node, 'EG-' || substr(cell_id, 4) AS db_edge FROM cells", "cells"))
+@query("f04_f05_derived_ids", sql("""SELECT cell_id, 'N_' || replace(upper(cell_id), '-', '_') AS node, 'ND-' || substr(cell_id, 4) AS db_node, 'EG-'
+    || substr(cell_id, 4) AS db_edge FROM cells""", "cells"))
 def f04(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("cell_id")
     return domain.cells(spark, d).select(c, ids.node_of_cell(c).alias("node"), ids.db_node_of_cell(c).alias("db_node"), ids.db_edge_of_boundary(F.regexp_replace(c, "^CS-", "CB-")).alias("db_edge"))
 
 
-@query("f06_f08_padded_ids", "SELECT p_partkey, 'CB-' || CASE WHEN length(CAST(p_partkey AS VARCHAR)) >= 4 THEN CAST(p_partkey AS VARCHAR) ELSE lpad(CAST(p_partkey AS VARCHAR), 4, '0') END AS boundary, 'L' || CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size AS level_code FROM part")
+@query("f06_f08_padded_ids", """SELECT p_partkey, 'CB-' || CASE WHEN length(CAST(p_partkey AS VARCHAR)) >= 4 THEN CAST(p_partkey AS VARCHAR) ELSE
+    lpad(CAST(p_partkey AS VARCHAR), 4, '0') END AS boundary, 'L' || CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size AS level_code FROM part""")
 def f06(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", ids.numbered("CB-", F.col("p_partkey"), 4).alias("boundary"), ids.level_code(F.concat(F.lit("LEVEL_"), F.col("p_size").cast("string"))).alias("level_code"))
 
@@ -63,7 +67,9 @@ def f16(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("f18_f19_risk_costs", sql(", s AS (SELECT node, coalesce(score, 1.0) AS s FROM nodes) SELECT u, v, round(weight * (1 + 2.0 * greatest(1 - a.s, 1 - b.s)), 6) AS risk_weight, round(weight * 2.0 * greatest(1 - a.s, 1 - b.s), 6) AS penalty FROM edges JOIN s a ON u = a.node JOIN s b ON v = b.node", "nodes", "edges"))
+@query("f18_f19_risk_costs", sql(""", s AS (SELECT node, coalesce(score, 1.0) AS s FROM nodes)
+    SELECT u, v, round(weight * (1 + 2.0 * greatest(1 - a.s, 1 - b.s)), 6) AS risk_weight, round(weight * 2.0 * greatest(1 - a.s, 1 - b.s), 6) AS
+    penalty FROM edges JOIN s a ON u = a.node JOIN s b ON v = b.node""", "nodes", "edges"))
 def f18(spark: SparkSession, d: str) -> DataFrame:
     s = domain.nodes(spark, d).select("node", F.coalesce("score", F.lit(1.0)).alias("s"))
     e = domain.edges(spark, d).join(s.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(s.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
@@ -71,14 +77,16 @@ def f18(spark: SparkSession, d: str) -> DataFrame:
     return e.select("u", "v", F.round(w, 6).alias("risk_weight"), F.round(w - scalars.cost_base(w, risk), 6).alias("penalty"))
 
 
-@query("g12_cell_measures", sql("SELECT cell_id, CAST(w * h AS DOUBLE) AS area, CAST(2 * (w + h) AS DOUBLE) AS perimeter, round(x0 + w / 2.0, 6) AS cx, round(y0 + h / 2.0, 6) AS cy, round(x0 + w / 2.0, 6) AS mx FROM cells", "cells"))
+@query("g12_cell_measures", sql("""SELECT cell_id, CAST(w * h AS DOUBLE) AS area, CAST(2 * (w + h) AS DOUBLE) AS perimeter, round(x0 + w / 2.0, 6) AS
+    cx, round(y0 + h / 2.0, 6) AS cy, round(x0 + w / 2.0, 6) AS mx FROM cells""", "cells"))
 def g12(spark: SparkSession, d: str) -> DataFrame:
     c = domain.cells(spark, d).select("cell_id", G.ring(G.rect()).alias("ring"))
     centre, mean = G.ring_centroid(F.col("ring")), G.vertex_mean(F.col("ring"))
     return c.select("cell_id", F.abs(G.ring_area(F.col("ring"))).alias("area"), G.ring_length(F.col("ring")).alias("perimeter"), F.round(centre["x"], 6).alias("cx"), F.round(centre["y"], 6).alias("cy"), F.round(mean["x"], 6).alias("mx"))
 
 
-@query("g14_points_in_cells", sql("SELECT c.cell_id, n.node FROM cells c JOIN nodes n ON n.x * 7.3 + 0.05 > c.x0 AND n.x * 7.3 + 0.05 < c.x1 AND n.y * 7.3 + 0.05 > c.y0 AND n.y * 7.3 + 0.05 < c.y1", "cells", "nodes"))
+@query("g14_points_in_cells", sql("""SELECT c.cell_id, n.node FROM cells c JOIN nodes n ON n.x * 7.3 + 0.05 > c.x0 AND n.x * 7.3 + 0.05 < c.x1 AND
+    n.y * 7.3 + 0.05 > c.y0 AND n.y * 7.3 + 0.05 < c.y1""", "cells", "nodes"))
 def g14(spark: SparkSession, d: str) -> DataFrame:
     c = joins.tiles(domain.cells(spark, d).select("cell_id", "x0", "y0", "x1", "y1"), topology.TILE, G.rect()).withColumn("ring", G.ring(G.rect()))
     p = domain.nodes(spark, d).select("node", (F.col("x") * 7.3 + 0.05).alias("px"), (F.col("y") * 7.3 + 0.05).alias("py"))
@@ -93,7 +101,8 @@ def g20(spark: SparkSession, d: str) -> DataFrame:
     return p.where(G.overlap_area(a, b) > 0).select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b"), F.round(G.iou(a, b), 6).alias("iou"))
 
 
-@query("g25_projection", sql("SELECT u, v, round(least(greatest((a.x * 0 + 12.0 - a.x) * (b.x - a.x) + (17.0 - a.y) * (b.y - a.y), 0) / nullif((b.x - a.x) ** 2 + (b.y - a.y) ** 2, 0), 1), 6) AS t FROM edges JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node", "nodes", "edges"))
+@query("g25_projection", sql("""SELECT u, v, round(least(greatest((a.x * 0 + 12.0 - a.x) * (b.x - a.x) + (17.0 - a.y) * (b.y - a.y), 0) / nullif((b.x
+    - a.x) ** 2 + (b.y - a.y) ** 2, 0), 1), 6) AS t FROM edges JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node""", "nodes", "edges"))
 def g25(spark: SparkSession, d: str) -> DataFrame:
     n = domain.nodes(spark, d)
     e = domain.edges(spark, d).join(n.select(F.col("node").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay")), "u").join(n.select(F.col("node").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by")), "v")
@@ -122,7 +131,8 @@ def j08(spark: SparkSession, d: str) -> DataFrame:
     return both.where(G.overlap_area(r, t) > 0.03 * G.area(t)).select(room("cell").alias("room"), door("cell").alias("door"))
 
 
-@query("j15_cells_near_fires", sql("SELECT c.cell, f.cell AS fire FROM cells c JOIN cells f ON f.is_exit WHERE sqrt((c.x0 - f.x0) ** 2 + (c.y0 - f.y0) ** 2) <= 35.0", "cells"))
+@query("j15_cells_near_fires", sql("""SELECT c.cell, f.cell AS fire FROM cells c JOIN cells f ON f.is_exit
+    WHERE sqrt((c.x0 - f.x0) ** 2 + (c.y0 - f.y0) ** 2) <= 35.0""", "cells"))
 def j15(spark: SparkSession, d: str) -> DataFrame:
     c = domain.cells(spark, d).select("cell", F.col("x0").alias("x"), F.col("y0").alias("y"), "is_exit")
     return joins.within(c.drop("is_exit"), c.where("is_exit").drop("is_exit"), 35.0).select(F.col("p_cell").alias("cell"), F.col("t_cell").alias("fire"))
@@ -133,7 +143,8 @@ def b15(spark: SparkSession, d: str) -> DataFrame:
     return topology.boundaries(domain.cells(spark, d))
 
 
-@query("b15_rebuild_actions", sql(f", {CONTACT}, {BOUNDS} SELECT DISTINCT boundary_key, CASE WHEN a % 5 = 0 THEN 'insert' WHEN a % 7 = 0 THEN 'delete' ELSE 'keep' END AS action FROM bounds WHERE NOT (a % 5 = 0 AND a % 7 = 0)", "cells"))
+@query("b15_rebuild_actions", sql(f""", {CONTACT}, {BOUNDS} SELECT DISTINCT boundary_key,
+    CASE WHEN a % 5 = 0 THEN 'insert' WHEN a % 7 = 0 THEN 'delete' ELSE 'keep' END AS action FROM bounds WHERE NOT (a % 5 = 0 AND a % 7 = 0)""", "cells"))
 def b15r(spark: SparkSession, d: str) -> DataFrame:
     b = topology.boundaries(domain.cells(spark, d)).where("not (a % 5 = 0 and a % 7 = 0)")
     return topology.rebuilt(b.where("a % 5 <> 0").select("boundary_key").distinct(), b.where("a % 7 <> 0").select("boundary_key").distinct()).distinct()
@@ -144,7 +155,9 @@ def b16(spark: SparkSession, d: str) -> DataFrame:
     return topology.node_rows(domain.cells(spark, d))
 
 
-@query("b17_a01_edges", sql(f", {CONTACT}, {BOUNDS} SELECT boundary_key AS boundary, a AS u, b AS v, round(sqrt(((p.x0 + p.x1) / 2.0 - (q.x0 + q.x1) / 2.0) ** 2 + ((p.y0 + p.y1) / 2.0 - (q.y0 + q.y1) / 2.0) ** 2), 6) AS weight FROM bounds o JOIN cells p ON p.cell = o.a JOIN cells q ON q.cell = o.b WHERE (SELECT count(*) FROM bounds z WHERE z.boundary_key = o.boundary_key) = 1", "cells"))
+@query("b17_a01_edges", sql(f""", {CONTACT}, {BOUNDS} SELECT boundary_key AS boundary, a AS u, b AS v, round(sqrt(((p.x0 + p.x1) / 2.0 - (q.x0 + q.x1)
+    / 2.0) ** 2 + ((p.y0 + p.y1) / 2.0 - (q.y0 + q.y1) / 2.0) ** 2), 6) AS weight FROM bounds o JOIN cells p ON p.cell = o.a
+    JOIN cells q ON q.cell = o.b WHERE (SELECT count(*) FROM bounds z WHERE z.boundary_key = o.boundary_key) = 1""", "cells"))
 def b17(spark: SparkSession, d: str) -> DataFrame:
     c = domain.cells(spark, d)
     return topology.edge_rows(topology.membership(topology.boundaries(c)), topology.node_rows(c))
@@ -163,6 +176,7 @@ def q_rules(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
-@query("q08_navigation_coherence", sql("SELECT cell_id, f.kind, CASE WHEN f.kind = 'TRANSFER' THEN coalesce(c.locomotion, f.loc) END AS locomotion, f.kind IS NULL AS unknown_code FROM cells c LEFT JOIN (VALUES " + ", ".join(map(str, schemas.NAVIGATION_FUNCTIONS)) + ") f(code, label, kind, loc) ON c.function_code = f.code", "cells"))
+@query("q08_navigation_coherence", sql("""SELECT cell_id, f.kind, CASE WHEN f.kind = 'TRANSFER' THEN coalesce(c.locomotion, f.loc) END AS locomotion,
+    f.kind IS NULL AS unknown_code FROM cells c LEFT JOIN (VALUES """ + ", ".join(map(str, schemas.NAVIGATION_FUNCTIONS)) + ") f(code, label, kind, loc) ON c.function_code = f.code", "cells"))
 def q08(spark: SparkSession, d: str) -> DataFrame:
     return dq.coherent_navigation(domain.cells(spark, d), schemas.navigation_functions(spark))

@@ -48,14 +48,18 @@ def arriving(spark: SparkSession, d: str) -> DataFrame:
     return domain.readings(spark, d).select("room", "variable", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
 
 
-@query("t11_stream_hysteresis", sql(", s AS (SELECT room, ts, value, last_value(CASE WHEN value >= 60 THEN true WHEN value < 20 THEN false END IGNORE NULLS) OVER (PARTITION BY room ORDER BY ts, value ROWS UNBOUNDED PRECEDING) AS a FROM readings), c AS (SELECT room, ts, coalesce(a, false) AS active, lag(coalesce(a, false), 1, false) OVER (PARTITION BY room ORDER BY ts, value) AS before FROM s) SELECT room, ts, active FROM c WHERE active <> before", "readings"))
+@query("t11_stream_hysteresis", sql(""", s AS (SELECT room, ts, value, last_value(CASE WHEN value >= 60 THEN true WHEN value < 20 THEN false END
+    IGNORE NULLS) OVER (PARTITION BY room ORDER BY ts, value ROWS UNBOUNDED PRECEDING) AS a
+    FROM readings), c AS (SELECT room, ts, coalesce(a, false) AS active, lag(coalesce(a, false), 1, false) OVER (PARTITION BY room
+    ORDER BY ts, value) AS before FROM s) SELECT room, ts, active FROM c WHERE active <> before""", "readings"))
 def t11(spark: SparkSession, d: str) -> DataFrame:
     rows = arriving(spark, d).withColumn("room", F.col("room").cast("string"))
     made = streamed(spark, rows, lambda s: sensors.hysteresis(s, 60.0, 20.0))
     return made.select(F.col("room").cast(domain.readings(spark, d).schema["room"].dataType).alias("room"), F.col("ts").cast("timestamp_ntz").alias("ts"), "active")
 
 
-@query("t07_stream_throttle", sql(", r(agent, ts) AS (SELECT room, min(ts) FROM readings GROUP BY 1 UNION ALL SELECT r.agent, min(e.ts) FROM r JOIN readings e ON e.room = r.agent AND e.ts >= r.ts + INTERVAL 24 HOURS GROUP BY r.agent, r.ts) SELECT agent, ts FROM r", "readings", recursive=True))
+@query("t07_stream_throttle", sql(""", r(agent, ts) AS (SELECT room, min(ts) FROM readings GROUP BY 1 UNION ALL SELECT r.agent, min(e.ts) FROM r
+    JOIN readings e ON e.room = r.agent AND e.ts >= r.ts + INTERVAL 24 HOURS GROUP BY r.agent, r.ts) SELECT agent, ts FROM r""", "readings", recursive=True))
 def t07(spark: SparkSession, d: str) -> DataFrame:
     """Replan requests of an agent at least a day apart."""
     rows = arriving(spark, d).select(F.col("room").cast("string").alias("agent"), "ts")
@@ -63,13 +67,15 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("agent").cast(domain.readings(spark, d).schema["room"].dataType).alias("agent"), F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("t12_stream_tumbling", sql("SELECT room, variable, time_bucket(INTERVAL 6 HOURS, ts) AS start, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM readings GROUP BY 1, 2, 3", "readings"))
+@query("t12_stream_tumbling", sql("""SELECT room, variable, time_bucket(INTERVAL 6 HOURS, ts) AS start, count(*) AS n, round(avg(value), 6) AS mean,
+    max(value) AS most FROM readings GROUP BY 1, 2, 3""", "readings"))
 def t12(spark: SparkSession, d: str) -> DataFrame:
     made = streamed(spark, arriving(spark, d), lambda s: sensors.tumbling_states(s, "6 hours", None), mode="complete")
     return made.select("room", "variable", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"), "most")
 
 
-@query("t06_t17_stream_current", sql("SELECT room, variable, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY room, variable ORDER BY ts DESC, event_id DESC) AS rn FROM readings) WHERE rn = 1", "readings"))
+@query("t06_t17_stream_current", sql("""SELECT room, variable, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY room, variable
+    ORDER BY ts DESC, event_id DESC) AS rn FROM readings) WHERE rn = 1""", "readings"))
 def t17(spark: SparkSession, d: str) -> DataFrame:
     """The table of current readings, kept up batch by batch, as it is when all have arrived."""
     current = sensors.CurrentReadings(f"{shared_dir(spark)}/current-{uuid.uuid4().hex}")
@@ -77,7 +83,9 @@ def t17(spark: SparkSession, d: str) -> DataFrame:
     return current.read(spark).select("room", "variable", "event_id", "value")
 
 
-@query("t21_locations_and_routes", sql(", l AS (SELECT room AS agent, ts, event_id % 25 AS node FROM readings), h AS (SELECT agent, count(DISTINCT node) AS visited, max_by(node, ts) AS node FROM l GROUP BY 1) SELECT agent, visited, h.node, n.level FROM h JOIN nodes n ON n.node = h.node", "readings", "nodes"))
+@query("t21_locations_and_routes", sql(""", l AS (SELECT room AS agent, ts, event_id % 25 AS node
+    FROM readings), h AS (SELECT agent, count(DISTINCT node) AS visited, max_by(node, ts) AS node FROM l GROUP BY 1)
+    SELECT agent, visited, h.node, n.level FROM h JOIN nodes n ON n.node = h.node""", "readings", "nodes"))
 def t21(spark: SparkSession, d: str) -> DataFrame:
     """Where each agent is, how many places they have been to, and the level they are on."""
     r = domain.readings(spark, d).select(F.col("room").alias("agent"), "ts", (F.col("event_id") % 25).alias("node"))
@@ -100,18 +108,22 @@ def t05(spark: SparkSession, d: str) -> DataFrame:
     return made.select("t", "start", F.round("cost", 6).alias("cost"), F.coalesce(F.size("path"), F.lit(0)).cast("bigint").alias("stops"))
 
 
-@query("x09_subdivided_rooms", "SELECT p_partkey AS k, i AS part, CASE i WHEN 0 THEN w * (h - 1) ELSE w - a END AS area FROM (SELECT p_partkey, 4 + p_size % 5 AS w, 3 + p_size % 4 AS h, 1 + p_size % 2 AS a FROM part), range(0, 2) r(i)")
+@query("x09_subdivided_rooms", """SELECT p_partkey AS k, i AS part, CASE i WHEN 0 THEN w * (h - 1) ELSE w - a END AS area
+    FROM (SELECT p_partkey, 4 + p_size % 5 AS w, 3 + p_size % 4 AS h, 1 + p_size % 2 AS a FROM part), range(0, 2) r(i)""")
 def x09(spark: SparkSession, d: str) -> DataFrame:
     """An L-shaped room as rows of two boxes, by a table-valued function called sideways."""
     from ..functions.tables import register
 
     register(spark)
     domain.table(spark, d, "part").createOrReplaceTempView("evaquery_part")
-    boxes = spark.sql("SELECT p_partkey AS k, b.part, (b.x1 - b.x0) * (b.y1 - b.y0) AS area FROM evaquery_part, LATERAL subdivide_l_shape(CAST(4 + p_size % 5 AS DOUBLE), CAST(3 + p_size % 4 AS DOUBLE), CAST(1 + p_size % 2 AS DOUBLE), 1.0D) b")
+    boxes = spark.sql("""SELECT p_partkey AS k, b.part, (b.x1 - b.x0) * (b.y1 - b.y0) AS area
+    FROM evaquery_part, LATERAL subdivide_l_shape(CAST(4 + p_size % 5 AS DOUBLE), CAST(3 + p_size % 4 AS DOUBLE), CAST(1 + p_size % 2 AS DOUBLE),
+    1.0D) b""")
     return boxes.select("k", "part", F.col("area").cast("bigint").alias("area"))
 
 
-@query("t24_interval_and_radius_joins", sql(", w AS (SELECT node, node * 1.0 AS start, 10.0 AS dur FROM nodes) SELECT w.node, count(*) AS n FROM w JOIN readings r ON r.room % 25 = w.node AND (r.event_id % 40) BETWEEN start AND start + dur GROUP BY 1", "nodes", "readings"))
+@query("t24_interval_and_radius_joins", sql(""", w AS (SELECT node, node * 1.0 AS start, 10.0 AS dur FROM nodes) SELECT w.node, count(*) AS n FROM w
+    JOIN readings r ON r.room % 25 = w.node AND (r.event_id % 40) BETWEEN start AND start + dur GROUP BY 1""", "nodes", "readings"))
 def t24(spark: SparkSession, d: str) -> DataFrame:
     spans = domain.nodes(spark, d).select("node", F.col("node").cast("double").alias("start"), F.lit(10.0).alias("dur"))
     times = domain.readings(spark, d).select((F.col("room") % 25).cast(spans.schema["node"].dataType).alias("node"), (F.col("event_id") % 40).cast("double").alias("t"))
