@@ -146,3 +146,23 @@ def tile_area(tiles: Column, size: float) -> Column:
 def coverage_area(box: Column, open_sides: Column) -> Column:
     """Area of the frame around a connector's box [x0, y0, x1, y1], open sides left out."""
     return _mapped(lambda b, s: P.total(P.side_coverage(tuple(b), set(s))), "double", box, open_sides)
+
+
+def ribbon_area(line: Column, thickness: Column) -> Column:
+    """Area of a wall along a bent centre line, its bends mitred."""
+    return _mapped(lambda ps, t: None if ps is None or t is None else P.total(P.ribbon(_points(ps), float(t))), "double", line, thickness)
+
+
+def chained(lines: Column) -> Column:
+    """Lines, as [ax, ay, bx, by], joined end to end where just two meet."""
+    return _mapped(lambda ls: _listed(P.chained([((x[0], x[1]), (x[2], x[3])) for x in ls])), RINGS, lines)
+
+
+def junction_area(lines: Column, thickness: Column) -> Column:
+    """Area that the walls of each junction of ``lines`` share, drawn out to each other, all junctions together."""
+
+    def mass(ls, t) -> float:
+        walls = [((x[0], x[1]), (x[2], x[3]), float(t)) for x in ls]
+        return sum(P.total(P.junction_mass(walls, p, [i, j], sine)) for p, i, j, _, sine in P.junctions([w[:2] for w in walls]))
+
+    return _mapped(mass, "double", lines, thickness)

@@ -335,3 +335,12 @@ def x02(spark: SparkSession, d: str) -> DataFrame:
 def x01(spark: SparkSession, d: str) -> DataFrame:
     """The id that follows the greatest one in use."""
     return table(spark, d, "part").agg(F.max("p_partkey").alias("last")).select("last", numbered("CB-", F.col("last") + 1, 4).alias("next"))
+
+
+@query("b26_b29_p27_obstacles", f"WITH {HOUSES} SELECT model, round((2 * w + 1) * 0.2, 6)::DOUBLE AS walls, 1.0::DOUBLE AS transfers, round((2 * w + 1) * 0.2 + 1.0, 6)::DOUBLE AS obstacles FROM s")
+def b26(spark: SparkSession, d: str) -> DataFrame:
+    """What the rooms of each level are clipped by: its walls, and its transfers."""
+    cells = builder.cells(houses(spark, d))
+    area = lambda kind: F.sum(F.when(F.col("navigation_type") == kind, F.col("area")).otherwise(0.0))
+    made = cells.groupBy("model").agg(area("NonNavigableSpace").alias("walls"), area("TransferSpace").alias("transfers"))
+    return made.select("model", F.round("walls", 6).alias("walls"), F.round("transfers", 6).alias("transfers"), F.round(F.col("walls") + F.col("transfers"), 6).alias("obstacles"))

@@ -95,7 +95,7 @@ def j20(spark: SparkSession, d: str) -> DataFrame:
     return views._members(*model(spark, d), ("TransferSpace",)).select("via", "cell", "category", "traversable")
 
 
-@query("x07_edge_modes", sql(f""", {TOUCH} SELECT 'navigation' AS mode, count(*) FILTER (WHERE open) AS edges FROM touch UNION ALL
+@query("f35_x07_edge_modes", sql(f""", {TOUCH} SELECT 'navigation' AS mode, count(*) FILTER (WHERE open) AS edges FROM touch UNION ALL
     SELECT 'all_adjacency', count(*) FROM touch""", "plan"))
 def x07(spark: SparkSession, d: str) -> DataFrame:
     cells, bounds = model(spark, d)
@@ -540,3 +540,26 @@ def m06(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_nationkey") + F.col("leg")
     legs = c.where("c_custkey % 7 <> 0").withColumn("leg", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(F.col("c_custkey").alias("agent"), "leg", (k % 25).alias("u"), ((k + 1) % 25).alias("v"), (5.0 + k % 4).alias("length"))
     return sim.discrete(c.select(F.col("c_custkey").alias("agent")), legs, 12, tick=2.0)
+
+
+@query("j21_connector_cells", sql("SELECT 'C' || (cell // 3) AS endpoint, name AS cell FROM plan WHERE category IN ('Stair', 'Ramp') AND name LIKE '%EAST%'", "plan"))
+def j21(spark: SparkSession, d: str) -> DataFrame:
+    """Endpoints of connectors joined to their cells by the id that follows from level, side and number."""
+    p = domain.plan(spark, d)
+    k = F.floor(F.col("cell") / 3)
+    ends = p.where("category in ('Stair', 'Ramp') and name like '%EAST%'").select(F.concat(F.lit("C"), k.cast("string")).alias("endpoint"), ids.numbered("CS_L00_EAST_", k, 6).alias("name"))
+    return ends.join(p.select("name"), "name").select("endpoint", F.col("name").alias("cell"))
+
+
+@query("g43_walkable_places", sql(""", p AS (SELECT s_suppkey AS place, s_suppkey * 13 % 560 - 30 AS x, s_suppkey * 5 % 60 AS y FROM supplier) SELECT place, x BETWEEN 0 AND 500 AND y BETWEEN 0 AND 50 AND NOT EXISTS (SELECT 1 FROM plan
+    WHERE category = 'Window' AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) AS walkable FROM p""", "plan"))
+def g43(spark: SparkSession, d: str) -> DataFrame:
+    """Places on the canvas that no window takes."""
+    k = F.col("s_suppkey")
+    p = table(spark, d, "supplier").select(k.alias("place"), (k * 13 % 560 - 30).alias("x"), (k * 5 % 60).alias("y"))
+    windows_ = domain.plan(spark, d).where("category = 'Window'").select("x0", "y0", "x1", "y1")
+    cut = joins.tiles(windows_, 20.0, G.rect())
+    at = p.withColumn("tx", F.floor(F.col("x") / 20.0)).withColumn("ty", F.floor(F.col("y") / 20.0))
+    taken = at.join(cut, ["tx", "ty"]).where("x between x0 and x1 and y between y0 and y1").select("place").distinct().withColumn("taken", F.lit(True))
+    inside = (F.col("x").between(0, 500)) & (F.col("y").between(0, 50))
+    return p.join(taken, "place", "left").select("place", (inside & F.col("taken").isNull()).alias("walkable"))

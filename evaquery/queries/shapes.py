@@ -109,3 +109,28 @@ def g38(spark: SparkSession, d: str) -> DataFrame:
     sides = F.when(F.col("k") % 3 == 0, F.array(F.lit("north"))).when(F.col("k") % 3 == 1, F.array(F.lit("south"), F.lit("east"))).otherwise(F.array().cast("array<string>"))
     box = F.array(F.lit(0.0), F.lit(0.0), F.col("w").cast("double"), F.col("h").cast("double"))
     return rooms(spark, d).select("k", F.round(S.coverage_area(box, sides), 6).alias("area"))
+
+
+@query("g03_mitred_walls", f"WITH {ROOM} SELECT k, round(0.4 * (w + h), 6)::DOUBLE AS area FROM r")
+def g03(spark: SparkSession, d: str) -> DataFrame:
+    """Walls around a corner: what the mitre adds outside it takes away inside."""
+    line = _ring((0, 0), (F.col("w") / 2, 0), (F.col("w"), 0), (F.col("w"), F.col("h")))
+    return rooms(spark, d).select("k", F.round(S.ribbon_area(line, F.lit(0.4)), 6).alias("area"))
+
+
+@query("g21_merged_lines", f"WITH {ROOM} SELECT k, CAST(3 AS INTEGER) AS lines, CAST(3 AS INTEGER) AS longest FROM r")
+def g21(spark: SparkSession, d: str) -> DataFrame:
+    """Five lines, one of them twice, three of which meet in a point: three lines come of them."""
+    w, h = (F.col(c).cast("double") for c in "wh")
+    zero = F.lit(0.0)
+    lines = F.array(F.array(zero, zero, w, zero), F.array(w, zero, zero, zero), F.array(w, h, w, zero), F.array(w, h, 2 * w, h), F.array(3 * w, h, 2 * w, h), F.array(w, h, w, 2 * h))
+    made = rooms(spark, d).select("k", S.chained(lines).alias("ls"))
+    return made.select("k", F.size("ls").alias("lines"), F.array_max(F.transform("ls", F.size)).alias("longest"))
+
+
+@query("g37_junction_masses", f"WITH {ROOM} SELECT k, round(0.3 * 0.3, 6)::DOUBLE AS area FROM r")
+def g37(spark: SparkSession, d: str) -> DataFrame:
+    """Where two walls of 0.3 meet at a right angle they share a square."""
+    w, h = (F.col(c).cast("double") for c in "wh")
+    zero = F.lit(0.0)
+    return rooms(spark, d).select("k", F.round(S.junction_area(F.array(F.array(zero, zero, w, zero), F.array(w, zero, w, h)), F.lit(0.3)), 6).alias("area"))
