@@ -63,7 +63,7 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def wide_fingerprint(text: str, shingle: int = 5, words: int = 4) -> bytes:
+def wide_fingerprint(text: str, shingle: int = 5, words: int = 8) -> bytes:
     """``words`` times 64 bits of SimHash; no words give zeros."""
     hashes = shingle_hashes(text, shingle)
     return b"".join(majority(mixed(hashes, i)).to_bytes(8, "little") for i in range(words))
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(texts(docs, id_col, text_col), rows, "doc_id bigint, fp bigint")
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4) -> DataFrame:
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8) -> DataFrame:
     """(doc_id, fp binary): one row for each row of ``docs``; a null text counts as empty."""
 
     def rows(x: dict[str, list]) -> dict[str, list]:
@@ -258,19 +258,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, words: int = 4, block_bits: int = 20) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.94, words: int = 8, block_bits: int = 20) -> DataFrame:
     """(doc_id, component_id): a row for each row of ``docs``, groups of texts alike in ``similarity`` of their shingles.
 
     Similarity is that of shingle sets (Jaccard), measured by ``words`` * 64 bits of SimHash:
-    texts link at the number of differing bits that is expected at ``similarity`` and half a
-    standard deviation more. So wide a distance leaves no block untouched for certain; the
+    texts link at the number of differing bits that is expected at ``similarity`` and three
+    quarters of a standard deviation more. So wide a distance leaves no block untouched for certain; the
     bits are split at random into blocks of ``block_bits``, as often as a pair at ``similarity``
     needs to share one with probability ``recall``, closer pairs with more. A bucket holds
     one part in 2 ** block_bits of unlike texts: larger corpora take more bits. Nulls,
     empty texts, copies and empty tables are as in ``near_duplicates``.
     """
     bits, share = BITS * words, bit_difference(similarity)
-    distance = int(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    distance = int(bits * share + 0.75 * math.sqrt(bits * share * (1 - share)))
     splits = split_count(similarity, recall, bits, block_bits)
     own = stored(wide_fingerprints(docs, id_col, text_col, shingle, words))
     return _groups(own, lambda fps: in_split_blocks(fps, words, block_bits, splits), distance).select("doc_id", "component_id")

@@ -114,7 +114,7 @@ def test_wide_fingerprints_join_as_by_brute_force(spark):
     own = simhash.similar_documents(spark.createDataFrame([(i, t, 0, "f") for i, t in rows], "doc_id bigint, text string, component_id int, fp string"), recall=0.9999)
     got = sorted(((r.doc_id, r.component_id) for r in own.collect()), key=str)
     share = simhash.bit_difference(0.8)
-    most = int(256 * share + 0.5 * (256 * share * (1 - share)) ** 0.5)
+    most = int(512 * share + 0.75 * (512 * share * (1 - share)) ** 0.5)
     at = components(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i][1] ^ fps[j][1]).bit_count() <= most])
     least = {}
     for i, (d, _) in enumerate(fps):
