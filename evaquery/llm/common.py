@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -49,31 +50,50 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-_scratch: list[list[str]] = []
+_scratch = threading.local()
+
+
+def _open() -> list[list[str]]:
+    """The pieces of work that are open in this thread, each with what it stored."""
+    if not hasattr(_scratch, "open"):
+        _scratch.open = []
+    return _scratch.open
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes, at its end, what ``stored`` wrote inside; for work whose own result is written before."""
-    _scratch.append([])
+    _open().append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        for path in _open().pop():
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go when each is done, by Spark's own setting, which is put back after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors.
 
-    Within ``scratch`` the files go at its end unless they are to be kept; elsewhere they
-    stay, as a frame that reads them may be used at any time.
+    Within ``scratch`` the files go at its end unless they are to be kept, in which case those
+    that an enclosing ``scratch`` holds go at its end; elsewhere they stay, as a frame that reads them may be used at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evaquery-{uuid.uuid4().hex}"
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if _open() and not keep:
+        _open()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

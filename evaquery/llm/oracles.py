@@ -59,3 +59,53 @@ f AS (SELECT lang, {summed('classes', 6)} AS rc, {summed('commons', rules.LONGES
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND NOT coalesce(n_words >= {class_words} AND {_divergence('classes', 'rc')} > {class_distance}, false) AND NOT coalesce(n_words >= {common_words} AND {_divergence('commons', 'rw')} > {common_distance}, false) AS kept
 FROM c LEFT JOIN f USING (lang)"""
+
+
+def repeats(length: int = 50) -> str:
+    """``op11``: every window of every text, those of an earlier document joined to islands; bytes as hex digits."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT rid, id, unnest(range(0, length(x) // 2 - {length - 1})) AS p, unnest(list_transform(range(0, length(x) // 2 - {length - 1}), lambda p: substr(x, 2 * p + 1, {2 * length}))) AS s FROM d),
+f AS (SELECT s, min(id) AS least FROM w GROUP BY s HAVING min(id) < max(id)),
+i AS (SELECT rid, p, coalesce(p > lag(p) OVER (PARTITION BY rid ORDER BY p) + {length}, true) AS opens FROM w JOIN f USING (s) WHERE least < id),
+g AS (SELECT rid, p, sum(opens::INT) OVER (PARTITION BY rid ORDER BY p) AS island FROM i),
+s AS (SELECT rid, min(p) AS a, max(p) + {length} AS b FROM g GROUP BY rid, island),
+k AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS last FROM s),
+r AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head, max(b) AS last FROM k JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN r USING (rid)"""
+
+
+def fill_in_middle(percent: int = 50, spm_percent: int = 80, seed: str = "42") -> str:
+    """``op12``: lists of tokens, cut by slices."""
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok, sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, len(tok) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(s, i, 8))::BIGINT) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+ CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= {percent} THEN 'plain' WHEN h[4] % 100 < {spm_percent} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(tok[1:a], '') AS pre, array_to_string(tok[a + 1:b], '') AS mid, array_to_string(tok[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+ sha256(CASE form WHEN 'plain' THEN text ELSE pre || mid || suf END) AS restored_sha256 FROM p"""
+
+
+def resampled(buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: str = "2024") -> str:
+    """``op13`` with single words as features; crc32 by its table, over distinct words."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH z AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, md5(coalesce(text, '')) AS row, {words} AS words FROM documents),
+e AS (SELECT rid, unnest(words) AS word FROM d),
+t AS (SELECT unnest({words}) AS word FROM benchmark),
+u AS (SELECT DISTINCT word, hex(encode(word)) AS x FROM (SELECT word FROM e UNION ALL SELECT word FROM t)),
+b AS MATERIALIZED (SELECT word, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % {buckets} AS bucket FROM u, z),
+sc AS (SELECT bucket, count(*) AS n FROM e JOIN b USING (word) GROUP BY bucket),
+tc AS (SELECT bucket, count(*) AS n FROM t JOIN b USING (word) GROUP BY bucket),
+al AS (SELECT coalesce((SELECT sum(n) FROM sc), 0)::DOUBLE + {buckets} AS s, coalesce((SELECT sum(n) FROM tc), 0)::DOUBLE + {buckets} AS t),
+g AS MATERIALIZED (SELECT b.bucket, floor(1000 * ln((coalesce(tc.n, 0) + 1)::DOUBLE * al.s / ((coalesce(sc.n, 0) + 1)::DOUBLE * al.t)))::BIGINT AS gain
+ FROM range({buckets}) b(bucket) LEFT JOIN sc ON sc.bucket = b.bucket LEFT JOIN tc ON tc.bucket = b.bucket, al),
+w AS (SELECT rid, sum(gain)::BIGINT AS weight FROM e JOIN b USING (word) JOIN g USING (bucket) GROUP BY rid),
+o AS (SELECT rid, doc_id, row, len(words) AS n, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (rid)),
+r AS (SELECT *, row_number() OVER (ORDER BY n < {least_words}, score DESC, doc_id NULLS LAST, row) AS place, count(*) FILTER (WHERE n >= {least_words}) OVER () AS all_n FROM o)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN place <= all_n * {percent} // 100 THEN place END AS rank FROM r"""

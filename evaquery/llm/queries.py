@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, oracles, pfor, pii, quality, rules, simhash, templates, tokencount
+from . import bpe, decontaminate, fim, langid, lpf, oracles, pfor, pii, quality, resample, rules, simhash, templates, tokencount
 from .common import documents
 from .sample import fold
 
@@ -76,6 +76,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
+def op11_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf.repeat_report(lpf.without_repeats(documents(spark, sf_dir), length=50))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(fim.fill_in_middle(documents(spark, sf_dir), percent=50, spm_percent=80, seed="42"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample.resampled(documents(spark, sf_dir), target, n=1, buckets=10_000, percent=10, least_words=20, seed="2024")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_offsets": op1_pii_offsets,
     "op2_quality_rules": op2_quality_rules,
@@ -87,9 +100,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_longest_previous_factor": op11_longest_previous_factor,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE: dict[str, str] = {
     "op2_quality_rules": oracles.quality_rules(),
     "op7_line_templates": oracles.line_templates(),
+    "op11_longest_previous_factor": oracles.repeats(),
+    "op12_fill_in_middle": oracles.fill_in_middle(),
+    "op13_importance_resampling": oracles.resampled(),
 }
