@@ -92,8 +92,9 @@ def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evaquery-{uuid.uuid4().hex}"
-    if _open() and not keep:
-        _open()[-1].append(path)
+    held = _open()[:-1] if keep else _open()
+    if held:
+        held[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -102,14 +103,24 @@ def stored(df: DataFrame, keep: bool = False) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def small(table: DataFrame, beyond: str = "merge") -> DataFrame:
+def small(table: DataFrame, beyond: str = "merge", width: Column | None = None) -> DataFrame:
     """``table``, to be broadcast if a count of it finds no more rows than the limit.
 
-    For stored tables of narrow rows. Beyond the limit the join shuffles, as the hint
-    ``beyond`` says; since neither side is aggregated in the join's own stage, adaptive
-    execution can split a hot key.
+    For stored tables of narrow rows; of rows that hold arrays, ``width`` gives the bytes,
+    which are summed and held to as many as the limit allows. Beyond it the join
+    shuffles, as the hint ``beyond`` says; since neither side is aggregated in the join's
+    own stage, adaptive execution can split a hot key.
     """
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint(beyond)
+    fits = table.count() <= BROADCAST_ROWS if width is None else (table.agg(F.sum(width)).first()[0] or 0) <= 100 * BROADCAST_ROWS
+    return F.broadcast(table) if fits else table.hint(beyond)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``df`` has it, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: A key with more than one in so many of all rows is hot; there are fewer hot keys than this.

@@ -13,6 +13,7 @@ import hashlib
 import re
 import unicodedata
 from array import array
+from bisect import bisect_right
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -276,9 +277,15 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     out = undisguised(text)
     if out is None:
         return base, []
+    starts, ends = ([[b[i] for b in base if b[2] == k] for k in range(len(KINDS))] for i in (0, 1))
+
+    def covered(i: int, j: int, k: int) -> bool:
+        """Base spans of a kind are in order and do not overlap, so only the last to start at or before ``i`` can."""
+        at = bisect_right(starts[k], i) - 1
+        return at >= 0 and j <= ends[k][at]
+
     seen = {(*out.source(i, j), k) for i, j, k in detect(out.text)}
-    added = [s for s in seen if not any(b[2] == s[2] and b[0] <= s[0] and s[1] <= b[1] for b in base)]
-    return base, sorted(added, key=lambda s: (s[0], s[2], s[1]))
+    return base, sorted((s for s in seen if not covered(*s)), key=lambda s: (s[0], s[2], s[1]))
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:

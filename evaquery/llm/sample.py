@@ -12,21 +12,27 @@ def fold(id_column: Column, folds: int) -> Column:
 
 
 def sampled(rows: DataFrame, label: str, per_label: int, most_rows: int, key: str = "doc_id", seed: int = 17) -> list:
-    """About ``per_label`` rows of every label, fewer of each if they would exceed ``most_rows``, collected.
+    """``per_label`` rows of every label, fewer of each if they would exceed ``most_rows``, collected.
 
-    Labels are counted over all rows, and none is left out; a row is taken if the hash of
-    its key falls under its label's share, so the same table gives the same sample in any
-    partitioning. At most 1.3 times the rows of a label's share, and 50, come to the driver.
-    With more labels than ``most_rows`` there is no such sample, which is an error.
+    Rows are told by all their columns and drawn by the hash of them: of each label those
+    with the least hashes, so the same table gives the same sample in any partitioning,
+    rows that share a key are drawn one by one and equal ones count once. Every label is
+    counted and has a row in the sample. With more labels than ``most_rows`` there is
+    no such sample, which is an error. What comes to the driver is bounded by ``most_rows``.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(label).limit(most_rows + 1).collect()
+    whole = 1 << 62
+    drawn = rows.where(F.col(label).isNotNull()).withColumn("__draw", F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(whole)))
+    pairs = drawn.select(label, "__draw").distinct()
+    counts = pairs.groupBy(label).count().orderBy(label).limit(most_rows + 1).collect()
     if not counts:
         return []
     if len(counts) > most_rows:
         raise ValueError(f"more than {most_rows} labels")
     each = min(per_label, most_rows // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(1.0, each / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    bound = sum(min(r["count"], int(1.3 * each) + 50) for r in counts)
-    taken = rows.where(draw < share[F.col(label)]).limit(bound).collect()
-    return sorted(taken, key=lambda r: (r[key] is None, *map(str, r)))
+    # A label's least hashes lie under a bound that twice as many and 60 more are expected to pass.
+    bound = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(whole, int(whole * (2 * each + 60) / r["count"])))])
+    near = pairs.where(F.col("__draw") < bound[F.col(label)])
+    least = near.groupBy(label).agg(F.slice(F.array_sort(F.collect_list("__draw")), 1, each).alias("draws"))
+    taken = drawn.join(F.broadcast(least.select(label, F.explode("draws").alias("__draw"))), [label, "__draw"])
+    once = taken.groupBy(label, "__draw").agg(F.min(F.struct(*[F.col(c) for c in rows.columns])).alias("row")).select("row.*").collect()
+    return sorted(once, key=lambda r: (r[key] is None, *map(str, r)))

@@ -16,7 +16,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, small, stored
+from .common import col, free_name, small, stored
 from .graph import connected_components
 from .rules import SPACE, SPACES
 
@@ -26,7 +26,6 @@ WILDCARD = "<*>"
 ROW_GROUP = 32
 #: Templates in a chunk of a larger key, two of which are compared in one row.
 TILE = 128
-_ID, _ROW, _DROP = "__line_dedup_id", "__line_dedup_row", "__line_dedup_drop"
 
 
 def _digest(text: Column) -> Column:
@@ -127,12 +126,12 @@ def template_links(tokens: DataFrame, depth: int, similarity: float) -> DataFram
             return links
         large = stored(kept.where(F.col("n") > ROW_GROUP))
         least = stored(large.where("template = least").select("key", F.col("tokens").alias("least_tokens")))
-        met = stored(large.join(small(least), "key").withColumn("alike", _alike(F.col("tokens"), F.col("least_tokens"), F.col("edits"))).drop("least_tokens"))
+        met = stored(large.join(small(least, width=8 * F.size("least_tokens") + 40), "key").withColumn("alike", _alike(F.col("tokens"), F.col("least_tokens"), F.col("edits"))).drop("least_tokens"))
         links = links.unionByName(met.where("alike and template <> least").select(F.col("template").alias("a"), F.col("least").alias("b")))
         rests = stored(met.where("not alike").groupBy("key").agg(F.count(F.lit(1)).alias("rest")))
         few = met.where("not alike").join(small(rests.where(F.col("rest") <= ROW_GROUP)), "key").groupBy("key").agg(F.collect_list(F.struct("template", "tokens")).alias("others"))
         close = F.filter("others", lambda o: (o["template"] != F.col("template")) & _alike(o["tokens"], F.col("tokens"), F.col("edits")))
-        links = links.unionByName(met.join(small(stored(few)), "key").select("template", F.explode(close).alias("o")).select(F.col("template").alias("a"), F.col("o.template").alias("b")))
+        links = links.unionByName(met.join(small(stored(few), width=F.size("others") * (8 * F.size(F.col("others")[0]["tokens"]) + 40)), "key").select("template", F.explode(close).alias("o")).select(F.col("template").alias("a"), F.col("o.template").alias("b")))
         many = met.join(small(rests.where(F.col("rest") > ROW_GROUP)), "key").drop("least", "alike", "rest")
         if many.isEmpty():
             return links
@@ -166,17 +165,18 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, lea
     return extra.groupBy("id", "row").agg(F.collect_set("pos").alias("drop"))
 
 
-def _with_drops(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> DataFrame:
-    """``docs`` and, for each row, the numbers of the lines to drop (null: none)."""
+def _with_drops(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens: int, similarity: float) -> tuple[DataFrame, Column]:
+    """``docs`` with further columns, and the one that has, for each row, the numbers of the lines to drop (null: none)."""
     drops = recurring_lines(docs, id_col, text_col, depth, least_tokens, similarity)
-    drops = drops.select(F.col("id").alias(_ID), F.col("row").alias(_ROW), F.col("drop").alias(_DROP))
+    own_id, own_row, drop = (free_name(docs, c) for c in ("drop_id", "drop_row", "drop_lines"))
+    drops = drops.select(F.col("id").alias(own_id), F.col("row").alias(own_row), F.col("drop").alias(drop))
     row = F.xxhash64(F.coalesce(col(text_col), F.lit("")))
-    return docs.join(drops.hint("shuffle_hash"), col(id_col).cast("bigint").eqNullSafe(F.col(_ID)) & (row == F.col(_ROW)), "left")
+    return docs.join(drops.hint("shuffle_hash"), col(id_col).cast("bigint").eqNullSafe(col(own_id)) & (row == col(own_row)), "left"), col(drop)
 
 
-def _cleaned(text: Column) -> Column:
-    kept = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(_DROP)), lambda i: F.get(x, i)), "\n")
-    return F.when(F.col(_DROP).isNull(), text).otherwise(F.transform(F.array(F.split(text, "\n")), kept)[0])
+def _cleaned(text: Column, drop: Column) -> Column:
+    kept = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), drop), lambda i: F.get(x, i)), "\n")
+    return F.when(drop.isNull(), text).otherwise(F.transform(F.array(F.split(text, "\n")), kept)[0])
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_tokens: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -190,14 +190,14 @@ def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     a null text stays null and a text may become empty; repeated rows are treated alike;
     an empty table gives no rows.
     """
-    joined = _with_drops(docs, id_col, text_col, depth, least_tokens, similarity)
-    return joined.select(*[_cleaned(col(text_col)).alias(c) if c == text_col else col(c) for c in docs.columns])
+    joined, drop = _with_drops(docs, id_col, text_col, depth, least_tokens, similarity)
+    return joined.select(*[_cleaned(col(text_col), drop).alias(c) if c == text_col else col(c) for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_tokens: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): ``without_recurring_lines`` with line counts; a null text counts no line."""
     own = docs.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
-    joined = _with_drops(own, "doc_id", "text", depth, least_tokens, similarity)
+    joined, drop = _with_drops(own, "doc_id", "text", depth, least_tokens, similarity)
     lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
-    dropped = F.when(F.col(_DROP).isNull(), 0).otherwise(F.size(_DROP)).cast("bigint")
-    return joined.select("doc_id", lines.alias("n_lines"), dropped.alias("n_dropped"), _cleaned(F.col("text")).alias("text"))
+    dropped = F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("bigint")
+    return joined.select("doc_id", lines.alias("n_lines"), dropped.alias("n_dropped"), _cleaned(F.col("text"), drop).alias("text"))

@@ -64,7 +64,7 @@ def test_against_every_window(spark, seed, length, kmer, bucket):
 def test_long_texts_and_cut_passages(spark):
     rnd = random.Random(9)
     passage = "".join(rnd.choice("abcdefgh ") for _ in range(400))
-    long = "".join(rnd.choice("abcdefgh ") for _ in range(lpf.BLOCK + 50_000))
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(3 * lpf.BLOCK + 50_000))
     edge = lpf.BLOCK - 200
     rows = [(1, passage), (2, long[:edge] + passage + long[edge:]), (3, long[edge - 3000 : edge + 4000]), (4, passage[100:149]), (5, "z" + passage[100:150] + "z")]
     found = {r.doc_id: r for r in lpf.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}

@@ -56,6 +56,14 @@ def test_every_language_is_learned_in_a_bounded_sample(spark):
         sampled(df, "lang", 10, 59)
 
 
+def test_rows_that_share_an_id_are_drawn_one_by_one(spark):
+    rows = [(7, f"x{i} " * 5, "xx") for i in range(2000)] + [(100 + i, f"word {i}", "en") for i in range(500)] + [(None, "same", "null")] * 3000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = sampled(df, "lang", 1000, 50_000)
+    assert {lang: sum(r.lang == lang for r in got) for lang in ("xx", "en", "null")} == {"xx": 1000, "en": 500, "null": 1}
+    assert got == sampled(df.repartition(7), "lang", 1000, 50_000)
+
+
 def plain_language(model, text):
     """The prediction by the definition: every subword of the whole text, one after another."""
     if not any(c.isalpha() for c in text):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from evaquery.llm import common, simhash
@@ -94,32 +95,50 @@ def edited_corpus(seed=2):
     return rows
 
 
+def check_groups(got, sets, least_recall):
+    """Every group is connected by pairs at 0.8 or more, and such pairs share a group."""
+    near = alike_pairs(sets, 0.8)
+    reach = components(sets, [(a, b) for a, b, _ in near])
+    assert sum(got[a] == got[b] for a, b, _ in near) >= least_recall * len(near)
+    for i, c in got.items():
+        assert c <= i and reach[c] == reach[i]
+    return near
+
+
 def test_groups_of_similar_texts(spark):
     rows = edited_corpus()
-    sets = {i: shingles(t) for i, t in rows}
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    pairs = alike_pairs(sets, 0.0)
-    near, close = [p for p in pairs if p[2] >= 0.8], [p for p in pairs if p[2] >= 0.87]
-    assert len(near) > 500 and sum(got[a] == got[b] for a, b, _ in near) >= 0.93 * len(near)
-    assert sum(got[a] == got[b] for a, b, _ in close) >= 0.99 * len(close)
-    far = [p for p in pairs if p[2] < 0.55]
-    reach = components(sets, [(a, b) for a, b, j in pairs if j >= 0.62])
-    assert len(far) > 100 and not any(got[a] == got[b] != reach[a] and reach[a] != reach[b] for a, b, _ in far)
-    assert {i: got[i] for i in got if i % 6 == 1} and all(got[i] <= i for i in got)
-
-
-def test_wide_fingerprints_join_as_by_brute_force(spark):
-    rows = [(i, t) for i, t in edited_corpus(4) if i % 5 < 3][:200] + [(900, None), (901, ""), (None, "x y"), (902, "x y"), (902, "x y")]
-    fps = [(i, int.from_bytes(simhash.wide_fingerprint(t or ""), "little")) for i, t in rows]
-    own = simhash.similar_documents(spark.createDataFrame([(i, t, 0, "f") for i, t in rows], "doc_id bigint, text string, component_id int, fp string"), recall=0.9999)
-    got = sorted(((r.doc_id, r.component_id) for r in own.collect()), key=str)
-    share = simhash.bit_difference(0.8)
-    most = int(512 * share + 0.75 * (512 * share * (1 - share)) ** 0.5)
-    at = components(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i][1] ^ fps[j][1]).bit_count() <= most])
-    least = {}
-    for i, (d, _) in enumerate(fps):
-        least[at[i]] = min(least.get(at[i], 10**9), 10**9 if d is None else d)
-    assert got == sorted(((d, least[at[i]]) for i, (d, _) in enumerate(fps)), key=str)
+    assert len(check_groups(got, {i: shingles(t) for i, t in rows}, 0.97)) > 500
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_groups_of_the_tables_texts(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    texts, first = {}, {}
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        first[r.doc_id] = texts.setdefault(r.text, r.doc_id)
+    assert all(got[i] == got[j] for i, j in first.items())
+    near = check_groups({i: got[i] for i in texts.values()}, {i: shingles(t) for t, i in texts.items()}, 0.95)
+    assert len(near) >= 5
+
+
+def test_verified_groups_of_odd_rows(spark):
+    rows = [(900, None), (901, ""), (None, "x y"), (902, "x y"), (902, "x y"), (903, "X  y"), (904, "x y z"), (None, "only without an id here and there"), (905, "a b c d e f a b c d e f"), (906, "a b c d e f a b c d e f a b c d e f")]
+    own = simhash.similar_documents(spark.createDataFrame([(i, t, 0, "f") for i, t in rows], "doc_id bigint, text string, component_id int, fp string"))
+    want = [(900, 900), (901, 900), (None, 902), (902, 902), (902, 902), (903, 902), (904, 904), (None, None), (905, 905), (906, 905)]
+    assert sorted(((r.doc_id, r.component_id) for r in own.collect()), key=str) == sorted(want, key=str)
+    assert simhash.similar_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_similar_pairs_connect_like_all_pairs():
+    rows = edited_corpus(6)[:240]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    fps = np.frombuffer(b"".join(simhash.wide_fingerprint(s)[: simhash.SHORT] for s in sets), dtype="<u8").reshape(len(sets), -1)
+    pairs = simhash.similar_pairs(fps, sets, 0.8)
+    own = dict(enumerate(map(set, map(np.ndarray.tolist, sets))))
+    assert all(len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]) for a, b in pairs)
+    assert components(own, pairs) == components(own, [(a, b) for a, b, _ in alike_pairs(own, 0.8)])
 
 
 def test_buckets_in_tiles_give_the_same(spark, monkeypatch):
@@ -128,6 +147,7 @@ def test_buckets_in_tiles_give_the_same(spark, monkeypatch):
     want = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
     wide = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
     monkeypatch.setattr(simhash, "CHUNK", 6)
+    monkeypatch.setattr(simhash, "SET_BYTES", 20_000)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common, "HOT_SHARE", 30)
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
