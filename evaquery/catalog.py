@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import columns, documents, hazards, models, more, profile2, relational, relations, shapes, spatial, streams  # noqa: F401
+from .queries import columns, documents, hazards, models, more, overlays, profile2, relational, relations, shapes, spatial, streams  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "slice1_masked_graph_summary"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,12 @@ def document_counts(models: DataFrame, **arrays: str) -> DataFrame:
     return models.agg(*[F.sum(F.coalesce(F.size(a), F.lit(0))).alias(name) for name, a in arrays.items()])
 
 
+def member_counts(**members: DataFrame) -> DataFrame:
+    """One row: how many rows each frame has, by name; a count each before anything moves."""
+    kinds = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("kind")) for name, df in members.items()])
+    return kinds.groupBy("kind").count().agg(*[F.coalesce(F.sum(F.when(F.col("kind") == name, F.col("count"))), F.lit(0)).alias(name) for name in members])
+
+
 def distinct_routes(routes: DataFrame, *by: str) -> DataFrame:
     """(by, routes, distinct): how many routes (path) there are, and how many different ones."""
     return routes.groupBy(*by).agg(F.count(F.lit(1)).alias("routes"), F.countDistinct("path").alias("distinct"))

@@ -3,21 +3,25 @@
 Features are rows (level, kind, name, ring, thickness, width, host): walls, doors, exits
 and windows are centre lines of two points; spaces, objects and connector endpoints are
 rings; virtual boundaries are lines. Features of many models carry a column model too.
-Levels of models are independent, so each is built in a task of its own; inside a level
-order matters, and follows the feature's name.
+Inside a level order matters, and follows the feature's name; a feature meets only those
+near it, so a level of any size is built by many tasks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import polygon as P
+from ..functions.geometry import on_segment
 from ..functions.ids import compact_cell, edge_of_boundary, node_of_cell, numbered
 from ..functions.scalars import boundary_role, edge_weight, exterior_role
+from ..operators.joins import box_join, box_pairs
+from ..sources.storage import stored
 
 FEATURE = "level string, kind string, name string, ring array<array<double>>, thickness double, width double, host string"
 CELL = "level string, cell string, source string, navigation_type string, category string, traversable boolean, ring array<array<double>>, x double, y double, area double"
@@ -58,9 +62,10 @@ def connector_locomotion(kind: Column) -> Column:
 
 
 def next_level(levels: DataFrame) -> DataFrame:
-    """(id, target): the level above in order, a top level itself."""
-    by = Window.orderBy("order", "id")
-    return levels.select("id", F.coalesce(F.lead("id").over(by), F.col("id")).alias("target"))
+    """(id, target): the level above in order, a top level itself; of levels that name their model, (model, id, target) within it."""
+    model = [c for c in ("model",) if c in levels.columns]
+    by = (Window.partitionBy(*model) if model else Window).orderBy("order", "id")
+    return levels.select(*model, "id", F.coalesce(F.lead("id").over(by), F.col("id")).alias("target"))
 
 
 def is_object(markers: Column) -> Column:
@@ -105,92 +110,149 @@ def _named(rows: pd.DataFrame, key: tuple, ddl: str, out: list[tuple]) -> pd.Dat
     return made
 
 
-def _level_cells(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    level, code = key[-1], "_".join(key)
-    rows = rows.sort_values(["kind", "name"])
-    lines = {r.name_: r for r in rows.rename(columns={"name": "name_"}).itertuples()}
-    out: list[tuple] = []
-    count: dict[str, int] = {}
-
-    def add(kind: str, name: str, parts: list[P.Ring], nav: str, category: str, traversable: bool | None) -> None:
-        for ring in parts:
-            count[kind] = count.get(kind, 0) + 1
-            x, y = P.inner_point(ring)
-            out.append((level, f"CS_{code}_{kind}_{count[kind]:03d}", name, nav, category, traversable, [list(p) for p in ring], x, y, abs(P.area(ring))))
-
-    def opening(r) -> P.Ring | None:
-        a, b = _points(r.ring)[:2]
-        host = lines.get(r.host)
-        thick = host.thickness if host is not None else r.thickness if r.thickness == r.thickness and r.thickness else 0.1
-        size = math.dist(a, b)
-        if r.width == r.width and r.width and size:
-            mid, half = ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2), r.width / 2 / size
-            a, b = (mid[0] - (b[0] - a[0]) * half, mid[1] - (b[1] - a[1]) * half), (mid[0] + (b[0] - a[0]) * half, mid[1] + (b[1] - a[1]) * half)
-        return P.band(a, b, thick)
-
-    taken: list[P.Ring] = []
-    for r in rows[rows["kind"] == "object"].itertuples():
-        parts = P.difference(P.convex_parts(P.cleaned(_points(r.ring))), taken)
-        add("OBJECT", r.name, P.merged(parts), "ObjectSpace", "Column", False)
-        taken += parts
-    for r in rows[rows["kind"].isin([*OPENINGS, *CONNECTORS])].itertuples():
+#: Size of the tiles in which the features of a level look for those they meet.
+TILE = 16.0
+RINGS = "array<array<array<double>>>"
+BOX = "x0 double, y0 double, x1 double, y1 double"
+PART = f"rank int, turn string, label string, source string, navigation_type string, category string, traversable boolean, parts {RINGS}, {BOX}"
+
+
+def _box(parts: list[P.Ring]) -> tuple[float, float, float, float]:
+    xs, ys = [p[0] for r in parts for p in r], [p[1] for r in parts for p in r]
+    return min(xs), min(ys), max(xs), max(ys)
+
+
+def _rings(parts: list[P.Ring]) -> list:
+    return [[list(p) for p in r] for r in parts]
+
+
+def _opening(r) -> P.Ring | None:
+    """The footprint of an opening: as wide as it is given, as thick as its host."""
+    a, b = _points(r.ring)[:2]
+    thick = r.host_thickness if r.hosted else r.thickness if r.thickness == r.thickness and r.thickness else 0.1
+    size = math.dist(a, b)
+    if r.width == r.width and r.width and size:
+        mid, half = ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2), r.width / 2 / size
+        a, b = (mid[0] - (b[0] - a[0]) * half, mid[1] - (b[1] - a[1]) * half), (mid[0] + (b[0] - a[0]) * half, mid[1] + (b[1] - a[1]) * half)
+    return P.band(a, b, thick)
+
+
+def _footprint(r) -> tuple | None:
+    """(rank, label, navigation type, category, traversable, convex parts) of one feature."""
+    if r.kind == "object":
+        ring, own = P.cleaned(_points(r.ring)), (0, "OBJECT", "ObjectSpace", "Column", False)
+    elif r.kind in OPENINGS or r.kind in CONNECTORS:
         category = OPENINGS.get(r.kind) or CONNECTORS[r.kind]
-        ring = opening(r) if r.kind in OPENINGS else P.cleaned(_points(r.ring))
-        if ring:
-            parts = P.difference([ring], taken)
-            add(category.upper(), r.name, P.merged(parts), "TransferSpace", category, category != "Window")
-            taken += parts
-    wall_mass: list[P.Ring] = []
-    walls = [(r.name, *_points(r.ring)[:2], r.thickness) for r in rows[rows["kind"].isin(WALLS)].itertuples()]
-    met = P.junctions([(a, b) for _, a, b, _ in walls])
-    for point, i, j, _, sine in met:
-        mass = P.difference(P.junction_mass([w[1:] for w in walls], point, [i, j], sine), taken + wall_mass)
-        add("WALLJUNCTION", f"{walls[i][0]}+{walls[j][0]}", P.merged(mass), "NonNavigableSpace", "WallJunction", False)
-        wall_mass += mass
-    for name, a, b, thick in walls:
-        ring = P.band(a, b, thick)
-        if ring:
-            parts = P.difference([ring], taken + wall_mass)
-            add("WALL", name, P.merged(parts), "NonNavigableSpace", "WallSegment", False)
-            wall_mass += parts
-    taken += wall_mass
-    for r in rows[rows["kind"] == "space"].itertuples():
-        ring = P.cleaned(_points(r.ring))
-        if ring:
-            parts = P.merged(P.difference(P.convex_parts(ring), taken))
-            add("ROOM", r.name, parts, "GeneralSpace", "Room", None)
-            taken += parts
-    return _named(rows, key, CELL, out)
+        ring, own = _opening(r) if r.kind in OPENINGS else P.cleaned(_points(r.ring)), (1, category.upper(), "TransferSpace", category, category != "Window")
+    elif r.kind in WALLS:
+        ring, own = P.band(*_points(r.ring)[:2], r.thickness), (3, "WALL", "NonNavigableSpace", "WallSegment", False)
+    else:
+        ring, own = P.cleaned(_points(r.ring)), (4, "ROOM", "GeneralSpace", "Room", None)
+    return (*own, P.convex_parts(ring)) if ring else None
+
+
+def footprints(features: DataFrame) -> DataFrame:
+    """(level, rank, turn, label, source, ..., parts, x0, y0, x1, y1): what each feature would cover alone, in convex parts.
+
+    A feature yields to those of lesser (rank, turn): objects, openings and connectors,
+    junctions of walls, walls, spaces, and among these by kind and name.
+    """
+    by = _by(features)
+    hosts = features.groupBy(*by, F.col("name").alias("host")).agg(F.max_by("thickness", "kind").alias("host_thickness")).withColumn("hosted", F.lit(True))
+    known = features.where(F.col("kind").isin("object", "space", *OPENINGS, *CONNECTORS, *WALLS))
+    own = known.join(hosts, [*by, "host"], "left").withColumn("hosted", F.coalesce("hosted", F.lit(False)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                if made := _footprint(r):
+                    rank, label, nav, category, passes, parts = made
+                    out.append((*(getattr(r, c) for c in by), rank, f"{r.kind}\x01{r.name}", label, r.name, nav, category, passes, _rings(parts), *_box(parts)))
+            yield pd.DataFrame(out, columns=[*by, *(c.split(" ")[0] for c in PART.split(", "))]).astype({"traversable": object})
+
+    made = own.select(*by, "kind", "name", "ring", "thickness", "width", "hosted", "host_thickness").mapInPandas(run, _schema(features, f"level string, {PART}"))
+    return made.unionByName(junctions(features))
+
+
+def junctions(features: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """The masses where two walls of a level meet, as ``footprints`` has them; only walls whose boxes come near are compared."""
+    by = _by(features)
+    end = lambda i, k: F.get(F.get("ring", F.lit(i)), F.lit(k))
+    wall = features.where(F.col("kind").isin(*WALLS)).select(*by, F.concat_ws("\x01", "kind", "name").alias("wall"), F.col("name").alias("wall_name"), "ring", "thickness", *[(f(end(0, k), end(1, k)) + F.lit(d)).alias(n) for n, f, k, d in (("x0", F.least, 0, -tolerance), ("y0", F.least, 1, -tolerance), ("x1", F.greatest, 0, tolerance), ("y1", F.greatest, 1, tolerance))])
+    near = box_pairs(wall, "wall", by, TILE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                both = [(*_points(ring)[:2], thick) for ring, thick in ((r.a_ring, r.a_thickness), (r.b_ring, r.b_thickness))]
+                for n, (point, i, j, _, sine) in enumerate(P.junctions([w[:2] for w in both], tolerance)):
+                    if mass := P.junction_mass(both, point, [i, j], sine):
+                        out.append((*(getattr(r, f"a_{c}") for c in by), 2, f"{r.a_wall}\x01{r.b_wall}\x01{n}", "WALLJUNCTION", f"{r.a_wall_name}+{r.b_wall_name}", "NonNavigableSpace", "WallJunction", False, _rings(mass), *_box(mass)))
+            yield pd.DataFrame(out, columns=[*by, *(c.split(" ")[0] for c in PART.split(", "))]).astype({"traversable": object})
+
+    return near.mapInPandas(run, _schema(features, f"level string, {PART}"))
 
 
 def cells(features: DataFrame) -> DataFrame:
-    """Non-overlapping cells of every level: objects, transfers, walls, then rooms, each clipped by those before."""
-    return features.groupBy(*_by(features)).applyInPandas(_level_cells, _schema(features, CELL))
+    """Non-overlapping cells of every level: objects, transfers, walls, then rooms, each clipped by those before.
+
+    What those before leave is what no footprint of theirs covers, so a feature is clipped by
+    the footprints of greater priority that its box meets, and by itself: features, not
+    levels, are dealt over the tasks. Only the numbers of cells are given in order of a level's kind.
+    """
+    by = _by(features)
+    all_ = stored(footprints(features).withColumn("key", F.struct("rank", "turn")))
+    met = box_pairs(all_.select(*by, "key", "parts", "x0", "y0", "x1", "y1"), "key", by, TILE)
+    over = met.groupBy(*[F.col(f"b_{c}").alias(c) for c in by], F.col("b_key").alias("key")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("a_key", "a_parts"))), lambda x: x["a_parts"])).alias("over"))
+    names = [*by, "rank", "turn", "label", "source", "navigation_type", "category", "traversable"]
+    own = all_.join(over, [*by, "key"], "left").select(*names, "parts", "over")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                left = P.difference([_points(x) for x in r.parts], [] if r.over is None else [_points(x) for x in r.over])
+                for n, ring in enumerate(P.merged(left)):
+                    out.append((*(getattr(r, c) for c in names), n, [list(p) for p in ring], *P.inner_point(ring), abs(P.area(ring))))
+            yield pd.DataFrame(out, columns=[*names, "part", "ring", "x", "y", "area"]).astype({"traversable": object})
+
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    made = own.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", part int, ring array<array<double>>, x double, y double, area double")
+    no = F.row_number().over(Window.partitionBy(*by, "label").orderBy("rank", "turn", "part"))
+    cell = numbered(F.concat(F.concat_ws("_", F.lit("CS"), *by, "label"), F.lit("_")), no, 3)
+    return made.select(*by, cell.alias("cell"), "source", "navigation_type", "category", "traversable", "ring", "x", "y", "area")
 
 
 def contacts(cells_: DataFrame, features: DataFrame) -> DataFrame:
-    """Straight borders of two cells of a level; those along a virtual line are virtual."""
-
-    def run(key: tuple, own: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        rings = [(c, _points(r)) for c, r in zip(own["cell"], own["ring"])]
-        virtual = [tuple(_points(r)[:2]) for k, r in zip(lines["kind"], lines["ring"]) if k == "frontera_virtual"]
-        boxes = [(min(p[0] for p in r), min(p[1] for p in r), max(p[0] for p in r), max(p[1] for p in r)) for _, r in rings]
-        order = sorted(range(len(rings)), key=lambda i: boxes[i][0])
-        out, open_ = [], []
-        for i in order:  # a sweep along x: only cells whose boxes meet are compared
-            open_ = [j for j in open_ if boxes[j][2] >= boxes[i][0] - 1e-6]
-            for j in open_:
-                if boxes[j][3] < boxes[i][1] - 1e-6 or boxes[i][3] < boxes[j][1] - 1e-6:
-                    continue
-                a, b = sorted((i, j), key=lambda k: rings[k][0])
-                line = P.contact(rings[a][1], rings[b][1])
-                if line:
-                    soft = any(P.project(p, *v)[2] <= 1e-6 and P.project(q, *v)[2] <= 1e-6 for v in virtual for p, q in (line,))
-                    out.append((key[-1], rings[a][0], rings[b][0], soft, *line[0], *line[1], math.dist(*line)))
-            open_.append(i)
-        return _named(own, key, CONTACT, out)
-
-    return cells_.groupBy(*_by(cells_)).cogroup(features.groupBy(*_by(features))).applyInPandas(run, _schema(cells_, CONTACT))
+    """Straight borders of two cells of a level; those along a virtual line are virtual.
+
+    Only cells whose boxes meet are compared, a pair a row, and only lines whose boxes meet a border's.
+    """
+    by, near = _by(cells_), 1e-6
+    xs = lambda k: F.transform("ring", lambda p: F.get(p, F.lit(k)))
+    boxes = [(f(xs(k)) + F.lit(d)).alias(n) for n, f, k, d in (("x0", F.array_min, 0, -near), ("y0", F.array_min, 1, -near), ("x1", F.array_max, 0, near), ("y1", F.array_max, 1, near))]
+    pairs = box_pairs(cells_.select(*by, "cell", "ring", *boxes), "cell", by, TILE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                if line := P.contact(_points(r.a_ring), _points(r.b_ring)):
+                    out.append((*(getattr(r, f"a_{c}") for c in by), r.a_cell, r.b_cell, *line[0], *line[1], math.dist(*line)))
+            yield pd.DataFrame(out, columns=[*by, "a", "b", "ax", "ay", "bx", "by", "length"])
+
+    found = stored(pairs.mapInPandas(run, _schema(cells_, "level string, a string, b string, ax double, ay double, bx double, by double, length double")))
+    sides = [(f(F.col(f"a{k}"), F.col(f"b{k}")) + F.lit(d)).alias(f"{k}{n}") for f, n, d in ((F.least, 0, -near), (F.greatest, 1, near)) for k in "xy"]
+    end = lambda i, k: F.get(F.get("ring", F.lit(i)), F.lit(k))
+    virtual = features.where("kind = 'frontera_virtual'").select(*by, *[end(i, k).alias(n) for n, i, k in (("ax", 0, 0), ("ay", 0, 1), ("bx", 1, 0), ("by", 1, 1))]).select("*", *sides)
+    met = box_join(found.select(*by, "a", "b", "ax", "ay", "bx", "by", *sides), virtual, by, TILE)
+    line = [F.col(f"r_{c}") for c in ("ax", "ay", "bx", "by")]
+    on = lambda e: on_segment(F.col(f"l_{e}x"), F.col(f"l_{e}y"), *line)["d"] <= near
+    soft = met.where(on("a") & on("b")).select(*[F.col(f"l_{c}").alias(c) for c in (*by, "a", "b")]).distinct().withColumn("is_virtual", F.lit(True))
+    both = found.join(soft, [*by, "a", "b"], "left").withColumn("is_virtual", F.coalesce("is_virtual", F.lit(False)))
+    return both.select(*by, "a", "b", "is_virtual", "ax", "ay", "bx", "by", "length")
 
 
 def boundaries(cells_: DataFrame, contacts_: DataFrame) -> DataFrame:

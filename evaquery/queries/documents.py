@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import numbered
 from ..operators import dq
-from ..plans import builder, legacy, reexport, topology
+from ..plans import builder, cascade, legacy, reexport, topology
 from ..registry import query
 from ..sources import documents, domain, sinks
 from ..sources.domain import sql, table
 from ..sources.storage import shared_dir, stored
 from .relations import TOUCH, model
+from .spatial import BOUNDS, CONTACT
 
 
 def folder(spark: SparkSession) -> str:
@@ -331,6 +332,24 @@ def x02(spark: SparkSession, d: str) -> DataFrame:
     return count(nodes, "node").unionByName(count(edges, "edge"))
 
 
+#: Cells after a change: some narrower, some gone, and copies of others on a level of their own.
+CHANGED = """fresh AS (SELECT cell, level, x0, y0, CASE WHEN cell % 97 = 0 THEN x1 - 1 ELSE x1 END AS x1, y1 FROM cells WHERE cell % 194 <> 0
+ UNION ALL SELECT cell + 10000000, 9, x0, y0, x1, y1 FROM cells WHERE cell % 50 < 6 AND cell % 97 < 20)"""
+
+
+@query("t18_incremental_cascade", sql(f""", {CHANGED}, {CONTACT.replace('cells', 'fresh')}, {BOUNDS} SELECT boundary_key AS boundary, a AS u, b AS v, round(sqrt(((p.x0 + p.x1) / 2.0 - (q.x0 + q.x1)
+    / 2.0) ** 2 + ((p.y0 + p.y1) / 2.0 - (q.y0 + q.y1) / 2.0) ** 2), 6) AS weight FROM bounds o JOIN fresh p ON p.cell = o.a
+    JOIN fresh q ON q.cell = o.b WHERE (SELECT count(*) FROM bounds z WHERE z.boundary_key = o.boundary_key) = 1""", "cells"))
+def t18(spark: SparkSession, d: str) -> DataFrame:
+    """Edges after a change of cells, of which only the regions that it touches are derived anew; the SQL rebuilds all."""
+    c = domain.cells(spark, d).select("cell", *cascade.BOX)
+    narrower = F.when(F.col("cell") % 97 == 0, F.col("x1") - 1).otherwise(F.col("x1"))
+    copies = c.where("cell % 50 < 6 and cell % 97 < 20").withColumns({"cell": F.col("cell") + 10_000_000, "level": F.lit(9)})
+    fresh = c.where("cell % 194 <> 0").withColumn("x1", narrower).unionByName(copies)
+    have = {k: stored(v) for k, v in cascade.derived(c, 64).items()}
+    return cascade.cascaded(c, fresh, have, 64)["edges"].select("boundary", "u", "v", "weight")
+
+
 @query("x01_database_ids", "SELECT max(p_partkey) AS last, 'CB-' || lpad(CAST(max(p_partkey) + 1 AS VARCHAR), 4, '0') AS next FROM part")
 def x01(spark: SparkSession, d: str) -> DataFrame:
     """The id that follows the greatest one in use."""

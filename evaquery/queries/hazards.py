@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import filters
-from ..plans import cep, graph, kernels, scores
+from ..plans import cep, graph, routing, scores
 from ..registry import query
 from ..sources import domain
 from ..sources.domain import sql
+from ..sources.storage import stored
 
 SYM = "sym AS (SELECT u, v, weight FROM edges UNION ALL SELECT v, u, weight FROM edges)"
 #: Costs from every source: the frontier keeps one least cost a (source, node) and step.
@@ -91,20 +92,103 @@ def r05_large(spark: SparkSession, d: str) -> DataFrame:
 @query("r03_r04_kernel_routes", sql(f""", {SYM}, {REACH} SELECT g AS grp, source AS start, node AS goal, CAST(cost AS DOUBLE) AS cost
     FROM r, (VALUES ('dijkstra'), ('astar'), ('yen_ksp')) t(g) WHERE node IN (7, 19)""", "nodes", "edges", recursive=True))
 def r03(spark: SparkSession, d: str) -> DataFrame:
-    e, n, out = domain.edges(spark, d), domain.nodes(spark, d).select("node"), None
-    asked = n.select(F.col("node").cast("long").alias("start")).crossJoin(n.where("node in (7, 19)").select(F.col("node").cast("long").alias("goal")))
-    for name in kernels.ALGORITHMS:
-        made = kernels.routes(e.withColumn("grp", F.lit(name)), asked.withColumn("grp", F.lit(name)), "grp", name).select("grp", "start", "goal", "cost")
+    e, asked, out = domain.edges(spark, d), to_exits(spark, d), None
+    for name, search in routing.ALGORITHMS.items():
+        made = search(e, asked).join(asked, "q").select(F.lit(name).alias("grp"), "start", "goal", "cost")
         out = made if out is None else out.unionByName(made)
     return out
 
 
-@query("r10_r12_resilience")
+def to_exits(spark: SparkSession, d: str) -> DataFrame:
+    """(q, start, goal): a query from every node to each of the two exits."""
+    n = domain.nodes(spark, d).select(F.col("node").cast("long").alias("start"))
+    return n.select((F.col("start") * 100).alias("base"), "start", F.explode(F.array(F.lit(7), F.lit(19)).cast("array<bigint>")).alias("goal")).select((F.col("base") + F.col("goal")).alias("q"), "start", "goal")
+
+
+#: Loopless routes to an exit, a row a route, while they can still cost no more than ``most``: by the costs of REACH, which count back from the exits too.
+def routes_up_to(most: str) -> str:
+    return f"""least AS (SELECT source AS goal, node, cost FROM r WHERE source IN (7, 19)), ways(start, goal, path, node, cost, most) AS (SELECT node, goal, [node], node, 0, {most} FROM least
+ UNION ALL SELECT start, w.goal, list_append(path, s.v), s.v, w.cost + s.weight, most FROM ways w JOIN sym s ON w.node = s.u JOIN least l ON l.goal = w.goal AND l.node = s.v
+ WHERE w.node <> w.goal AND NOT list_contains(path, s.v) AND w.cost + s.weight + l.cost <= most),
+ found AS (SELECT start, goal, path, cost FROM ways WHERE node = goal),
+ uses AS (SELECT start, goal, path, cost, i, path[i] AS a, path[i + 1] AS b, [least(path[i], path[i + 1]), greatest(path[i], path[i + 1])] AS e FROM found, range(1, 26) t(i) WHERE i < len(path)),
+ main AS (SELECT start, goal, min(cost) AS cost, (min({{'c': cost, 'p': path}})).p AS path FROM found GROUP BY 1, 2)"""
+
+
+#: The cheapest found route of each main route without each of its edges, within the tolerance.
+ONE = """one AS (SELECT m.start, m.goal, m.cost AS least, u.i AS leg, u.e AS lost, min({'c': f.cost, 'p': f.path}) AS b FROM main m JOIN uses u ON u.start = m.start AND u.goal = m.goal AND u.path = m.path
+ JOIN found f ON f.start = m.start AND f.goal = m.goal AND NOT EXISTS (SELECT 1 FROM range(1, 26) t(i) WHERE i < len(f.path) AND least(f.path[i], f.path[i + 1]) = u.e[1] AND greatest(f.path[i], f.path[i + 1]) = u.e[2])
+ WHERE f.cost <= 1.5 * m.cost GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query("r04_k_routes", sql(f""", {SYM}, {REACH}, {routes_up_to('cost + 10')} SELECT start, goal, CAST(rank AS INTEGER) AS rank, CAST(cost AS DOUBLE) AS cost, list_transform(path, lambda x: CAST(x AS BIGINT)) AS path
+    FROM (SELECT *, row_number() OVER (PARTITION BY start, goal ORDER BY cost, path) AS rank FROM found) WHERE rank <= 5""", "nodes", "edges", recursive=True))
+def r04(spark: SparkSession, d: str) -> DataFrame:
+    """The five cheapest loopless routes of every node to each exit."""
+    asked = to_exits(spark, d)
+    return routing.k_routes(domain.edges(spark, d), asked, 5).join(asked, "q").select("start", "goal", "rank", "cost", "path")
+
+
+@query("r10_r12_resilience", sql(f""", {SYM}, {REACH}, {routes_up_to('1.5 * cost')}, {ONE},
+    two AS (SELECT o.start, o.goal, o.leg, g.i, min({{'c': f.cost, 'p': f.path}}) AS b FROM one o, range(1, 26) g(i), found f WHERE g.i < len(o.b.p) AND f.start = o.start AND f.goal = o.goal AND NOT EXISTS (SELECT 1 FROM range(1, 26) t(i) WHERE t.i < len(f.path)
+    AND [least(f.path[t.i], f.path[t.i + 1]), greatest(f.path[t.i], f.path[t.i + 1])] IN (o.lost, [least(o.b.p[g.i], o.b.p[g.i + 1]), greatest(o.b.p[g.i], o.b.p[g.i + 1])])) GROUP BY 1, 2, 3, 4)
+    SELECT m.start, m.goal, CAST(m.cost AS DOUBLE) AS cost, (SELECT count(*) FROM one o WHERE o.start = m.start AND o.goal = m.goal) AS level1, (SELECT count(DISTINCT b.p) FROM one o WHERE o.start = m.start AND o.goal = m.goal) AS distinct1,
+    (SELECT count(*) FROM two o WHERE o.start = m.start AND o.goal = m.goal) AS level2, (SELECT count(DISTINCT b.p) FROM two o WHERE o.start = m.start AND o.goal = m.goal) AS distinct2 FROM main m""", "nodes", "edges", recursive=True))
 def r10(spark: SparkSession, d: str) -> DataFrame:
-    n = domain.nodes(spark, d).select("node")
-    exits = domain.nodes(spark, d).where("is_exit").select(F.col("node").cast("long").alias("goal"))
-    asked = n.select(F.col("node").cast("long").alias("start"), F.lit("all").alias("grp")).join(F.broadcast(exits), how="cross")  # two exits
-    return kernels.resilience(domain.edges(spark, d).withColumn("grp", F.lit("all")), asked, "grp")
+    """Evacuation centrality of every node towards each exit: alternatives after the loss of one edge, and of two."""
+    asked = to_exits(spark, d)
+    got = routing.evacuation_centrality(domain.edges(spark, d), asked)
+    return got.join(asked, "q").select("start", "goal", "cost", "level1", "distinct1", "level2", "distinct2")
+
+
+@query("r11_robust_to_exits", sql(f""", {SYM}, {REACH}, {routes_up_to('1.44 * cost + 0.001')},
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start, goal ORDER BY cost, path) AS rk, min(cost) OVER (PARTITION BY start, goal) AS least FROM found) WHERE rk <= 3 AND cost <= 1.2 * least),
+    again AS (SELECT n.start, n.goal, n.path, u.i FROM near n JOIN uses u ON u.start = n.start AND u.goal = n.goal AND u.path = n.path JOIN found f ON f.start = n.start AND f.goal = n.goal AND f.cost <= 1.2 * n.cost
+    AND NOT EXISTS (SELECT 1 FROM range(1, 26) t(i) WHERE t.i < len(f.path) AND least(f.path[t.i], f.path[t.i + 1]) = u.e[1] AND greatest(f.path[t.i], f.path[t.i + 1]) = u.e[2]) GROUP BY 1, 2, 3, 4),
+    rated AS (SELECT n.start, n.goal, n.path, n.cost, (SELECT count(*) FROM again a WHERE a.start = n.start AND a.goal = n.goal AND a.path = n.path) AS robustness FROM near n)
+    SELECT start, goal, CAST(cost AS DOUBLE) AS cost, robustness, list_transform(path, lambda x: CAST(x AS BIGINT)) AS path FROM (SELECT *, row_number() OVER (PARTITION BY start, goal ORDER BY robustness DESC, cost, path) AS rn FROM rated) WHERE rn = 1""", "nodes", "edges", recursive=True))
+def r11(spark: SparkSession, d: str) -> DataFrame:
+    """Of the three cheapest routes to each exit within a fifth more, the one that stands the loss of most of its edges."""
+    asked = to_exits(spark, d)
+    return routing.most_robust(domain.edges(spark, d), asked, tolerance=0.2).join(asked, "q").select("start", "goal", "cost", "robustness", "path")
+
+
+@query("r14_betweenness_all_nodes", sql(f""", {SYM}, {REACH}, walk(source, node) AS (SELECT node, node FROM nodes UNION ALL SELECT w.source, s.v FROM walk w JOIN sym s ON s.u = w.node JOIN r a ON a.source = w.source AND a.node = w.node JOIN r b ON b.source = w.source AND b.node = s.v WHERE a.cost + s.weight = b.cost),
+    ways AS (SELECT source, node, count(*) AS n FROM walk GROUP BY 1, 2), full_ AS (SELECT source, node, cost, n FROM r JOIN ways USING (source, node))
+    SELECT CAST(m.node AS BIGINT) AS node, round(coalesce((SELECT sum(a.n * b.n / c.n) FROM full_ a JOIN full_ b ON b.source = a.node JOIN full_ c ON c.source = a.source AND c.node = b.node WHERE a.node = m.node AND a.source <> m.node AND b.node <> m.node AND a.source <> b.node AND a.cost + b.cost = c.cost), 0), 6) AS score
+    FROM (SELECT DISTINCT u AS node FROM sym) m""", "nodes", "edges", recursive=True))
+def r14(spark: SparkSession, d: str) -> DataFrame:
+    """Betweenness with every node as a source; the SQL counts it by the closed form."""
+    return routing.betweenness(domain.edges(spark, d), domain.nodes(spark, d).select("node")).select("node", F.round("score", 6).alias("score"))
+
+
+@query("r14_betweenness_large", sql(f""", {LARGE},
+    walk(id, path, node) AS (SELECT node, [node], node FROM depot UNION ALL SELECT s.v, list_append(w.path, s.v), s.v FROM walk w JOIN both_ways s ON s.u = w.node JOIN r a ON a.node = s.u JOIN r b ON b.node = s.v WHERE a.cost + s.weight = b.cost),
+    ways AS (SELECT node, count(*) AS n FROM walk GROUP BY 1), passed AS (SELECT unnest(path[2:len(path) - 1]) AS node, 1.0::DOUBLE / n AS share FROM walk JOIN ways USING (node))
+    SELECT m.node, round(coalesce(s, 0.0::DOUBLE), 6) AS score FROM (SELECT DISTINCT u AS node FROM both_ways) m LEFT JOIN (SELECT node, sum(share) AS s FROM passed GROUP BY 1) p USING (node)""", "stock", recursive=True))
+def r14_large(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of cheapest routes from one pivot that pass each node of the large graph; the SQL lists every such route."""
+    e = domain.stock(spark, d)
+    return routing.betweenness(e, e.agg(F.min("v").alias("node"))).select("node", F.round("score", 6).alias("score"))
+
+
+@query("r03_landmark_routes", sql(f""", {LARGE} SELECT node AS goal, cost, true AS fewer FROM r WHERE node % 2 = 1 AND node % 331 = 0""", "stock", recursive=True))
+def r03_landmarks(spark: SparkSession, d: str) -> DataFrame:
+    """From the depot to some parts by a search that four landmarks keep narrow: the costs, and whether it touched fewer nodes than there are."""
+    e = stored(domain.stock(spark, d))
+    goals = e.where("v % 331 = 0").select(F.col("v").alias("goal")).distinct()
+    asked = goals.join(e.agg(F.min("v").alias("start")), how="cross").select(F.col("goal").alias("q"), "start", "goal")  # one start
+    found = routing.point_to_point(e, asked, routing.landmarks(e, 4))
+    n = e.select(F.col("u").alias("node")).union(e.select("v")).distinct().count()
+    return found.select("goal", "cost", (F.col("touched") < n).alias("fewer"))
+
+
+@query("r21_disjoint_to_exits", sql(f""", {SYM}, deg AS (SELECT u AS node, count(*) AS n FROM sym GROUP BY 1) SELECT a.node AS start, b.node AS goal, least(a.n, b.n) AS routes FROM deg a, deg b WHERE b.node IN (7, 19) AND a.node <> b.node""", "nodes", "edges"))
+def r21(spark: SparkSession, d: str) -> DataFrame:
+    """Routes to each exit that share no edge. The SQL has the least degree of both ends, which is the most there can
+    be and, in so dense a graph, what routes of one and two legs already make."""
+    asked = to_exits(spark, d)
+    return routing.disjoint_routes(domain.edges(spark, d), asked).join(asked, "q").select("start", "goal", "routes")
 
 
 @query("r17_fire_penalty", sql(""", m AS (SELECT u, v, weight, (a.x + b.x) / 2.0 AS x, (a.y + b.y) / 2.0 AS y FROM edges JOIN nodes a ON u = a.node

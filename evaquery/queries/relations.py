@@ -9,7 +9,7 @@ from .. import schemas
 from ..functions import geometry as G
 from ..functions import ids
 from ..operators import aggregates, dq, filters, joins, windows
-from ..plans import builder, graph, kernels, legacy, sim, topology, views
+from ..plans import builder, graph, legacy, routing, sim, topology, views
 from ..registry import query
 from ..sources import domain
 from ..sources.domain import sql, table
@@ -119,7 +119,7 @@ uses AS (SELECT start, path, list(e) AS es FROM legs GROUP BY 1, 2)"""
 
 
 def asked(spark: SparkSession) -> DataFrame:
-    return spark.range(4).select(F.col("id").alias("start"), F.lit(4).cast("long").alias("goal"), F.lit("all").alias("grp"))
+    return spark.range(4).select(F.col("id").alias("q"), F.col("id").alias("start"), F.lit(4).cast("long").alias("goal"))
 
 
 @query("r10_r12_robust_routes", sql(f""", {EVERY}, lost AS (SELECT m.start, l.e, (SELECT min(w.cost) FROM ways w JOIN uses u ON u.start = w.start AND u.path = w.path WHERE w.start = m.start AND NOT list_contains(u.es, l.e)) AS again, m.cost FROM main m JOIN legs l ON l.start = m.start AND l.path = m.path),
@@ -127,10 +127,8 @@ def asked(spark: SparkSession) -> DataFrame:
     SELECT m.start, m.cost, (SELECT count(*) FROM lost l WHERE l.start = m.start AND l.again <= 1.5 * l.cost) AS kept, (SELECT count(*) FROM alt a WHERE a.start = m.start AND a.c <= 1.5 * a.cost) AS level1, (SELECT count(DISTINCT a.path) FROM alt a WHERE a.start = m.start AND a.c <= 1.5 * a.cost) AS distinct1 FROM main m""", "edges", "regions", recursive=True))
 def r10(spark: SparkSession, d: str) -> DataFrame:
     """Of every main route: its cost, how many of its edges can be lost, and the alternatives that leaves."""
-    e = domain.regions(spark, d).withColumn("grp", F.lit("all"))
-    got = kernels.resilience(e, asked(spark), "grp")
-    main = kernels.routes(e, asked(spark), "grp").select("start", F.col("cost").alias("least"))
-    return got.join(main, "start").select("start", F.col("least").alias("cost"), F.col("level1").cast("bigint").alias("kept"), F.col("level1").cast("bigint").alias("level1"), F.col("distinct1").cast("bigint").alias("distinct1"))
+    got = routing.evacuation_centrality(domain.regions(spark, d), asked(spark))
+    return got.select(F.col("q").alias("start"), "cost", F.col("level1").alias("kept"), "level1", "distinct1")
 
 
 @query("r11_o08_most_robust", sql(f""", {EVERY}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY cost, path) AS rk, min(cost) OVER (PARTITION BY start) AS least FROM ways) WHERE rk <= 3 AND cost <= 1.5 * least),
@@ -138,26 +136,16 @@ def r10(spark: SparkSession, d: str) -> DataFrame:
     rated AS (SELECT start, path, any_value(cost) AS cost, count(*) FILTER (WHERE again <= 1.5 * cost) AS robustness FROM lost GROUP BY 1, 2)
     SELECT start, cost, robustness, list_transform(path, x -> CAST(x AS BIGINT)) AS path FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY robustness DESC, cost, path) AS rn FROM rated) WHERE rn = 1""".replace("x -> CAST(x AS BIGINT)", "lambda x: CAST(x AS BIGINT)"), "edges", "regions", recursive=True))
 def r11(spark: SparkSession, d: str) -> DataFrame:
-    got = kernels.resilience(domain.regions(spark, d).withColumn("grp", F.lit("all")), asked(spark), "grp")
-    return got.select("start", "cost", F.col("robustness").cast("bigint").alias("robustness"), "path")
+    return routing.most_robust(domain.regions(spark, d), asked(spark)).select(F.col("q").alias("start"), "cost", "robustness", "path")
 
 
 @query("r13_a14_route_counts", sql(f""", {EVERY} SELECT start, count(*) AS routes, count(DISTINCT path) AS distinct FROM (SELECT start, path FROM ways
     UNION ALL SELECT start, path FROM main) GROUP BY 1""".replace("AS distinct FROM", 'AS "distinct" FROM'), "edges", "regions", recursive=True))
 def r13(spark: SparkSession, d: str) -> DataFrame:
     """All loopless routes, and the main one once more: how many, how many different."""
-    e = domain.regions(spark, d).withColumn("grp", F.lit("all"))
-
-    def every(rows):
-        import pandas as pd
-
-        graph_, out = kernels.graph_of(rows), []
-        for start in range(4):
-            found = kernels.cheapest(graph_, start, 4, 10_000)
-            out += [(start, [int(x) for x in p]) for _, p in [*found, *found[:1]]]
-        return pd.DataFrame(out, columns=["start", "path"])
-
-    return aggregates.distinct_routes(e.groupBy("grp").applyInPandas(every, "start long, path array<long>"), "start")
+    e = domain.regions(spark, d)
+    ways = routing.every_route(e, asked(spark)).unionByName(routing.k_routes(e, asked(spark), 1).drop("rank"))
+    return aggregates.distinct_routes(ways.select(F.col("q").alias("start"), "path"), "start")
 
 
 @query("r21_disjoint_routes", sql(""", sides AS (SELECT m, list_filter([0, 1, 2, 3], lambda n: (m >> n) & 1 = 1) AS side FROM range(1, 16) r(m))
@@ -165,15 +153,7 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
     FROM sides, range(0, 4) t(s) WHERE list_contains(side, s) GROUP BY 1""", "edges", "regions"))
 def r21(spark: SparkSession, d: str) -> DataFrame:
     """Routes that share no edge; the SQL counts the least cut over all ways to part the nodes."""
-    e = domain.regions(spark, d).withColumn("grp", F.lit("all"))
-
-    def count(rows):
-        import pandas as pd
-
-        graph_ = kernels.graph_of(rows)
-        return pd.DataFrame([(s, kernels.edge_disjoint(graph_, s, 4)) for s in range(4)], columns=["start", "routes"])
-
-    return e.groupBy("grp").applyInPandas(count, "start long, routes long")
+    return routing.disjoint_routes(domain.regions(spark, d), asked(spark)).select(F.col("q").alias("start"), "routes")
 
 
 @query("r14_betweenness", sql(f""", {EVERY.replace('WHERE node = 4 AND start <> 4', 'WHERE node <> start')}, best AS (SELECT start, path[-1] AS goal,
@@ -181,26 +161,18 @@ def r21(spark: SparkSession, d: str) -> DataFrame:
     SELECT CAST(n.node AS BIGINT) AS node, round((SELECT count(*) FROM inner_ i WHERE i.node = n.node) / 12.0, 6) AS score
     FROM (SELECT DISTINCT u AS node FROM sy) n""", "edges", "regions", recursive=True))
 def r14(spark: SparkSession, d: str) -> DataFrame:
-    e = domain.regions(spark, d).withColumn("grp", F.lit("all"))
-
-    def score(rows):
-        import pandas as pd
-
-        graph_ = kernels.graph_of(rows)
-        n = len(graph_)
-        return pd.DataFrame([(k, round(x * ((n - 1) * (n - 2)) / 12.0, 6)) for k, x in kernels.betweenness(graph_, list(graph_), list(graph_)).items()], columns=["node", "score"])
-
-    return e.groupBy("grp").applyInPandas(score, "node long, score double")
+    e = domain.regions(spark, d)
+    return routing.betweenness(e, spark.range(5).withColumnRenamed("id", "node")).select("node", F.round(F.col("score") / 12.0, 6).alias("score"))
 
 
 @query("x04_r22_algorithms_by_name", sql(f""", {EVERY} SELECT g AS grp, CAST(start AS BIGINT) AS start, cost, len(path) AS stops
     FROM main, (VALUES ('astar'), ('dijkstra'), ('yen_ksp')) t(g)""", "edges", "regions", recursive=True))
 def x04(spark: SparkSession, d: str) -> DataFrame:
     e, out = domain.regions(spark, d), None
-    for name in kernels.ALGORITHMS:
-        own = kernels.routes(e.withColumn("grp", F.lit(name)), asked(spark).withColumn("grp", F.lit(name)), "grp", name)
+    for name, search in routing.ALGORITHMS.items():
+        own = search(e, asked(spark)).select(F.lit(name).alias("grp"), F.col("q").alias("start"), "cost", F.size("path").cast("bigint").alias("stops"))
         out = own if out is None else out.unionByName(own)
-    return out.select("grp", "start", "cost", F.size("path").cast("bigint").alias("stops"))
+    return out
 
 
 @query("x05_a13_a27_route_ratings", sql(f""", {EVERY} SELECT array_to_string(path, '-') AS path_id, round(min(s), 6) AS least, round(avg(s), 6) AS
@@ -209,15 +181,7 @@ def x04(spark: SparkSession, d: str) -> DataFrame:
     WHERE i <= len(path)) GROUP BY path""", "edges", "regions", recursive=True))
 def x05(spark: SparkSession, d: str) -> DataFrame:
     """Every route rated by its scores and by an agility that the caller hands in."""
-    e = domain.regions(spark, d).withColumn("grp", F.lit("all"))
-
-    def every(rows):
-        import pandas as pd
-
-        graph_ = kernels.graph_of(rows)
-        return pd.DataFrame([("-".join(map(str, p)), [int(x) for x in p]) for s in range(4) for _, p in kernels.cheapest(graph_, s, 4, 10_000)], columns=["path_id", "path"])
-
-    paths = stored(e.groupBy("grp").applyInPandas(every, "path_id string, path array<long>"))
+    paths = stored(routing.every_route(domain.regions(spark, d), asked(spark)).select(F.array_join(F.col("path").cast("array<string>"), "-").alias("path_id"), "path"))
     nodes = spark.range(5).select(F.col("id").alias("node"))
     scores = aggregates.path_scores(paths, nodes.withColumn("score", 1 - F.col("node") / 10.0))
     return scores.withColumn("least", F.round("least", 6)).join(rated(paths, aggregates.geometric_agility, nodes.withColumn("c", F.col("node") + 1.0)), "path_id", "left").select("path_id", "least", "mean", F.round("agility", 6).alias("agility"))
@@ -362,12 +326,9 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
 @query("a06_document_counts", sql(f""", {TOUCH} SELECT (SELECT count(*) FROM plan) AS cells, (SELECT count(*)
     FROM touch) AS boundaries, (SELECT count(DISTINCT category) FROM plan) AS categories""", "plan"))
 def a06(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of the members of documents, one document a category."""
+    """How many members of each kind the model has, counted as rows."""
     cells, bounds = model(spark, d)
-    docs = cells.groupBy("category").agg(F.collect_list("cell").alias("cells"), F.collect_set("category").alias("categories"))
-    b = bounds.join(cells.where("category = 'Room'").select(F.col("cell").alias("a")), "a", "left_semi").select(F.lit("Room").alias("category"), "boundary")
-    b = b.unionByName(bounds.join(cells.where("category = 'Room'").select(F.col("cell").alias("a")), "a", "left_anti").select(F.lit("Door").alias("category"), "boundary"))
-    return aggregates.document_counts(docs.join(b.groupBy("category").agg(F.collect_list("boundary").alias("bounds")), "category", "left").withColumn("bounds", F.coalesce("bounds", F.array().cast("array<string>"))), cells="cells", boundaries="bounds", categories="categories")
+    return aggregates.member_counts(cells=cells, boundaries=bounds, categories=cells.select("category").distinct())
 
 
 @query("o02_existence_probes", """SELECT n_nationkey AS nation, EXISTS (SELECT 1 FROM supplier

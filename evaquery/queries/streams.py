@@ -21,27 +21,23 @@ from .relations import asked
 def streamed(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame | None:
     """What a stream of ``rows`` (with a column ts) through ``build`` has written when it has read all.
 
-    The first half in time arrives before the second. Results are appended to files, or
-    each batch goes to ``each``; a complete result replaces the one before.
+    The first half in time arrives, in as many files as there are tasks, and is read; then
+    the second, by the same query started again from its checkpoint. Results are appended
+    to files, or each batch goes to ``each``; a complete result replaces the one before.
     """
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     half = rows.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0] or 0
     early = F.unix_micros(F.col("ts").cast("timestamp")) <= half
-    for part in (early, ~early):
-        rows.where(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    made = build(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"))
-    writer = made.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    put = each
     if each is None and mode == "complete":
-        each = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
-        running = writer.foreachBatch(each).start()
-    elif each is None:
-        running = writer.format("parquet").start(f"{at}/out")
-    else:
-        running = writer.foreachBatch(each).start()
+        put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
+    for part in (early, ~early):
+        rows.where(part).write.mode("append").parquet(f"{at}/in")
+        made = build(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
+        writer = made.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+        running = writer.foreachBatch(put).start() if put else writer.format("parquet").start(f"{at}/out")
         running.awaitTermination()
-        return None
-    running.awaitTermination()
-    return spark.read.schema(made.schema).parquet(f"{at}/out")
+    return None if each else spark.read.schema(made.schema).parquet(f"{at}/out")
 
 
 def arriving(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans import cep
 from ..sources.storage import stored
@@ -56,69 +56,151 @@ def presence_sessions(readings: DataFrame, gap: str = "5 minutes", late: str | N
     return seen.groupBy("room", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("room", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
-def hysteresis(readings: DataFrame, high: float, low: float) -> DataFrame:
-    """(room, ts, active): changes of a switch that goes on at ``high`` and off under ``low``; a flag of state a room."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active = state.get[0] if state.exists else False
-        out = []
-        for rows in batches:
-            for ts, value in sorted(zip(rows["ts"], rows["value"])):
-                now = True if value >= high else False if value < low else active
-                if now != active:
-                    active = now
-                    out.append((key[0], ts, active))
-        state.update((active,))
+class _Switch(StatefulProcessor):
+    """A switch a key, on at ``high`` and off under ``low``; a switch that is on is held, one that is off is no state."""
+
+    def __init__(self, high: float, low: float, forget: float | None) -> None:
+        self.high, self.low, self.forget = high, low, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.on = handle.getValueState("on", "on boolean")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        active, out = self.on.exists(), []
+        timer = until = self.timer.get()[0] if self.timer.exists() else None
+        for ts, value in sorted((ts, v) for part in rows for ts, v in zip(part["ts"], part["value"])):
+            at = int(ts.timestamp() * 1000)
+            if active and until is not None and at > until:
+                active = False
+                out.append((key[0], pd.Timestamp(until, unit="ms"), False))
+            now = True if value >= self.high else False if value < self.low else active
+            if now != active:
+                active = now
+                out.append((key[0], ts, active))
+            until = None if self.forget is None else at + int(self.forget * 1000)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+            self.timer.clear()
+        if not active:
+            self.on.clear()
+        else:
+            self.on.update((True,))
+            if until is not None:
+                self.handle.registerTimer(until)
+                self.timer.update((until,))
         yield pd.DataFrame(out, columns=["room", "ts", "active"])
 
-    return readings.select("room", "ts", "value").groupBy("room").applyInPandasWithState(step, "room string, ts timestamp, active boolean", "active boolean", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        was = self.on.exists()
+        self.on.clear()
+        self.timer.clear()
+        yield pd.DataFrame([(key[0], pd.Timestamp(at, unit="ms"), False)] if was else [], columns=["room", "ts", "active"])
+
+    def close(self) -> None:
+        pass
+
+
+class _Throttle(StatefulProcessor):
+    """The time of a key's last request that was let through, held as long as it can hold one back."""
 
+    def __init__(self, seconds: float, ends: bool) -> None:
+        self.seconds, self.ends = seconds, ends
 
-def throttled(requests: DataFrame, seconds: float = 2.0) -> DataFrame:
-    """(agent, ts): replan requests of an agent at least ``seconds`` apart; the last time is the state."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at double")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = last = self.last.get()[0] if self.last.exists() else None
         out = []
-        for rows in batches:
-            for ts in sorted(rows["ts"]):
-                at = ts.timestamp()
-                if last is None or at - last >= seconds:
-                    last = at
-                    out.append((key[0], ts))
-        if last is not None:
-            state.update((last,))
+        for ts in sorted(ts for part in rows for ts in part["ts"]):
+            if last is None or ts.timestamp() - last >= self.seconds:
+                last = ts.timestamp()
+                out.append((key[0], ts))
+        if last != before:
+            due = lambda at: int((at + self.seconds) * 1000)
+            if self.ends:
+                if before is not None:
+                    self.handle.deleteTimer(due(before))
+                self.handle.registerTimer(due(last))
+            self.last.update((last,))
         yield pd.DataFrame(out, columns=["agent", "ts"])
 
-    return requests.select("agent", "ts").groupBy("agent").applyInPandasWithState(step, "agent string, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame([], columns=["agent", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stateful(spark: SparkSession) -> None:
+    """Keyed state with timers needs this store; a session that names another for its streams cannot have both."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+
+
+def hysteresis(readings: DataFrame, high: float, low: float, forget: float | None = None, late: str = "2 minutes") -> DataFrame:
+    """(room, ts, active): changes of a switch that goes on at ``high`` and off under ``low``.
+
+    Only switches that are on are state. With ``forget``, a room that has been silent for so
+    many seconds, by the stream's own time, goes off at that time and leaves no state;
+    readings later than ``late`` may then come too late. Without, a room that stays on stays held.
+    """
+    _stateful(readings.sparkSession)
+    own = (readings if forget is None else _bounded(readings, late)).select("room", "ts", "value").groupBy("room")
+    return own.transformWithStateInPandas(_Switch(high, low, forget), "room string, ts timestamp, active boolean", "append", "none" if forget is None else "eventTime")
+
+
+def throttled(requests: DataFrame, seconds: float = 2.0, late: str | None = None) -> DataFrame:
+    """(agent, ts): replan requests of an agent at least ``seconds`` apart; the last time is the state.
+
+    With ``late``, the watermark of the stream, a time is forgotten as soon as no request
+    that can still come could be held back by it.
+    """
+    _stateful(requests.sparkSession)
+    own = (requests if late is None else _bounded(requests, late)).select("agent", "ts").groupBy("agent")
+    return own.transformWithStateInPandas(_Throttle(seconds, late is not None), "agent string, ts timestamp", "append", "none" if late is None else "eventTime")
 
 
 class CurrentReadings:
-    """For ``foreachBatch``: the newest reading of each (room, variable) in a versioned table, all in a history.
+    """For ``foreachBatch``: the newest reading of each (room, variable), in folders by a hash of the key, and all readings in a history by batch.
 
-    Each batch writes version ``batch_id`` whole and only then is it the newest, so a
-    batch that is run again replaces itself and readers never see half of one.
+    A batch reads and replaces the buckets that its own keys fall into, by dynamic partition
+    overwrite, and writes its own part of the history; what it writes follows its keys and
+    not the table. The newest of two readings is the same whichever comes first, so a batch
+    that is run again, or in part, gives the same table.
     """
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, buckets: int = 64) -> None:
+        self.path, self.buckets = path, buckets
+
+    def _there(self, spark: SparkSession) -> bool:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
+    def read(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame | None:
+        """The table, or some of its buckets, whose folders alone are read; None before the first batch."""
+        if not self._there(spark):
             return None
-        done = [int(s.getPath().getName()) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        done = [v for v in done if before is None or v < before]
-        return spark.read.parquet(f"{self.path}/current/{max(done)}") if done else None
+        whole = spark.read.parquet(f"{self.path}/current")
+        return (whole if buckets is None else whole.where(F.col("bucket").isin(buckets))).drop("bucket")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         own = batch.select("room", "variable", "ts", "event_id", "value")
-        had = self.read(batch.sparkSession, batch_id)
-        merged = cep.upserted(had, own) if had is not None else cep.upserted(own, own.limit(0))
-        merged.write.mode("overwrite").parquet(f"{self.path}/current/{batch_id}")
         own.write.mode("overwrite").parquet(f"{self.path}/history/batch={batch_id}")
+        own = spark.read.schema(own.schema).parquet(f"{self.path}/history/batch={batch_id}")
+        bucket = F.pmod(F.xxhash64("room", "variable"), F.lit(self.buckets)).cast("int").alias("bucket")
+        touched = [r["bucket"] for r in own.select(bucket).distinct().collect()]
+        had = self.read(spark, touched)
+        merged = stored(cep.upserted(own.limit(0) if had is None else had, own).select("*", bucket))
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/current")
 
 
 def simulated(spark: SparkSession, rooms: int, seconds: int, seed: int = 1) -> DataFrame:

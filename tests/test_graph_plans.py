@@ -122,3 +122,24 @@ def test_moving_averages(spark):
         own[k, t] = own[k, t - 1] * 0.7 + v * 0.3 if t else v
     assert {r.k: r.ema for r in windows.ema(df, "k", "t", "v").collect()} == {k: pytest.approx(x, abs=1e-6) for k, x in end.items()}
     assert {(r.k, r.t): r.v for r in windows.smoothed(df, "k", "t", "v", 0.3).collect()} == {k: pytest.approx(x) for k, x in own.items()}
+
+
+def test_one_key_is_averaged_in_ranges(spark):
+    rnd = random.Random(8)
+    data = [("a", float(i), rnd.random()) for i in range(3000)] + [("b", 0.0, 1.0), (None, 1.0, 0.5), (None, 2.0, 0.0)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(data, "k string, t double, v double").repartition(5)
+        parts = windows._averaged(df, "k", ["t"], "v", 0.2).groupBy("part").count().collect()
+        got = {(r.k, r.t): r.v for r in windows.smoothed(df, "k", "t", "v", 0.2).collect()}
+        end = {r.k: (r.ema, r.n) for r in windows.ema(df, "k", "t", "v", 0.2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 2500
+    mean, one, at = {}, {}, {}
+    for k, t, v in data:
+        mean[k] = mean[k] * 0.8 + v * 0.2 if k in mean else v
+        one[k] = one.get(k, 1.0) * 0.8 + v * 0.2
+        at[k, t] = mean[k]
+    assert got == {x: pytest.approx(y) for x, y in at.items()}
+    assert end == {k: (pytest.approx(one[k], abs=1e-6), n) for k, n in (("a", 3000), ("b", 1), (None, 2))}

@@ -83,3 +83,45 @@ def test_refresh_order(spark):
     build = lambda name, have: calls.append(name) or have["cells"].select(F.lit(name).alias("n"))
     out = sensors.refreshed(build, {"boundaries": {"cells"}, "nodes": {"cells"}, "edges": {"boundaries", "nodes"}, "other": {"elsewhere"}}, {"cells"}, {"cells": spark.range(1).toDF("c")})
     assert calls == ["boundaries", "nodes", "edges"] and set(out) == {"cells", "boundaries", "nodes", "edges"}
+
+
+def stepped(spark, tmp_path, steps, schema, build):
+    """The rows that a stream gives for each step of rows, and the rows of state after it; a query goes on from its checkpoint."""
+    out, states = [], []
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        made = build(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        seen = []
+        q = made.writeStream.foreachBatch(lambda b, _: seen.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()  # noqa: B023
+        q.awaitTermination(120)
+        assert q.exception() is None
+        out.append(sorted(seen))
+        states.append(sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]))
+    return out, states
+
+
+def test_silent_rooms_go_off_and_leave_no_state(spark, tmp_path):
+    steps = [[("a", at(0), 90.0), ("b", at(0), 90.0), ("c", at(0), 10.0)], [("b", at(100), 70.0)], [("b", at(400), 70.0)], [("b", at(401), 10.0)], [("z", at(2000), 0.0)]]
+    out, states = stepped(spark, tmp_path, steps, "room string, ts timestamp, value double", lambda s: sensors.hysteresis(s, 80, 60, forget=200.0, late="1 second"))
+    flat = sorted(r for step in out for r in step)
+    assert flat == [("a", at(0), True), ("a", at(200), False), ("b", at(0), True), ("b", at(300), False)]
+    assert states[0] > states[-1] == 0
+
+
+def test_throttled_agents_are_forgotten(spark, tmp_path):
+    steps = [[("a", at(0)), ("b", at(1))], [("a", at(1)), ("a", at(60))], [("c", at(500))], [("c", at(501)), ("a", at(502))], [("z", at(5000))], [("z", at(9000))]]
+    out, states = stepped(spark, tmp_path, steps, "agent string, ts timestamp", lambda s: sensors.throttled(s, 30.0, late="1 second"))
+    assert sorted(r for step in out for r in step) == sorted([("a", at(0)), ("b", at(1)), ("a", at(60)), ("c", at(500)), ("a", at(502)), ("z", at(5000)), ("z", at(9000))])
+    assert max(states) > states[-1] and states[-1] <= 3
+
+
+def test_batches_rewrite_their_buckets_only(spark, tmp_path):
+    sink = sensors.CurrentReadings(str(tmp_path / "t"), buckets=16)
+    schema = "room string, variable string, ts timestamp, event_id long, value double"
+    sink(spark.createDataFrame([(f"r{i}", "co2", at(0), i, 1.0) for i in range(100)], schema), 0)
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.glob("t/current/bucket=*/*.parquet")}
+    sink(spark.createDataFrame([("r7", "co2", at(5), 200, 2.0)], schema), 1)
+    kept = [p for p, t in before.items() if p.exists() and p.stat().st_mtime_ns == t]
+    assert len(before) > 10 and len(kept) == len(before) - 1
+    rows = {r.room: r.value for r in sink.read(spark).collect()}
+    assert len(rows) == 100 and rows["r7"] == 2.0 and sum(rows.values()) == 101.0
