@@ -36,7 +36,7 @@ def test_errors_of_the_corpus_part_are_not_hidden(tmp_path):
     at = copied(tmp_path)
     if not (at / "evaquery" / "llm").exists():
         return
-    assert len(json.loads(listed(at).stdout)[1]) == 11
+    assert len(json.loads(listed(at).stdout)[1]) == 14
     with open(at / "evaquery" / "llm" / "common.py", "a") as f:
         f.write("\nimport a_module_that_is_not_there\n")
     assert "a_module_that_is_not_there" in listed(at).stderr
