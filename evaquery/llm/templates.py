@@ -80,26 +80,41 @@ def _branches(members: DataFrame) -> DataFrame:
 
 
 def _linked(groups: DataFrame) -> DataFrame:
-    """(a, b): links that connect the alike members of each small group, each to the least it is connected to."""
-    own = groups.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("template", "tokens", "edits", F.col("template").alias("label")))).alias("all"))
+    """(a, b): links that connect the alike members of each small group, each to the least it is connected to.
+
+    ``label`` is what a member is known to be connected to; members of one label are not compared.
+    """
+    own = groups.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("template", "tokens", "edits", "label"))).alias("all"))
+    put = lambda f, to: F.struct(f["template"].alias("template"), f["tokens"].alias("tokens"), f["edits"].alias("edits"), to.alias("label"))
 
     def joined(done: Column, t: Column) -> Column:
-        met = F.transform(F.filter(done, lambda f: _alike(f["tokens"], t["tokens"], t["edits"])), lambda f: f["label"])
-        label = F.coalesce(F.array_min(met), t["template"])
-        put = lambda f, to: F.struct(f["template"].alias("template"), f["tokens"].alias("tokens"), f["edits"].alias("edits"), to.alias("label"))
-        return F.concat(F.transform(done, lambda f: put(f, F.when(F.array_contains(met, f["label"]), label).otherwise(f["label"]))), F.array(put(t, label)))
+        met = F.transform(F.filter(done, lambda f: (f["label"] != t["label"]) & _alike(f["tokens"], t["tokens"], t["edits"])), lambda f: f["label"])
+        labels = F.array_distinct(F.concat(F.array(t["label"]), met))
+
+        def relabelled(at: Column) -> Column:
+            to = lambda f: F.when(F.array_contains(at["labels"], f["label"]), at["least"]).otherwise(f["label"])
+            return F.concat(F.when(F.size(at["labels"]) > 1, F.transform(done, lambda f: put(f, to(f)))).otherwise(done), F.array(put(t, at["least"])))
+
+        # each is bound by a transform of one element: an expression that a lambda names is worked out for every element it runs over
+        bound = F.transform(F.array(labels), lambda found: F.struct(found.alias("labels"), F.array_min(found).alias("least")))
+        return F.transform(bound, relabelled)[0]
 
-    ends = own.select(F.inline(F.aggregate("all", F.slice("all", 1, 0), joined)))
+    ends = own.select(F.inline_outer(F.aggregate("all", F.slice("all", 1, 0), joined)))
     return ends.where("label <> template").select(F.col("template").alias("a"), F.col("label").alias("b"))
 
 
 def _in_tiles(groups: DataFrame) -> DataFrame:
-    """The members of groups of ``n``, cut into chunks of TILE and dealt so that any two meet in a tile, which is the new key."""
-    chunks = F.ceil(F.col("n") / TILE).cast("bigint")
-    own = groups.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("template"), F.col("chunks")))
-    tile = lambda other: F.xxhash64("key", F.least("chunk", other), F.greatest("chunk", other))
-    each = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), tile)
-    return own.select("template", "tokens", "edits", F.explode(each).alias("key"))
+    """The members of groups of ``n``, ``rest`` of which are not alike their ``least``, cut into chunks of TILE and dealt so
+    that any two meet in a tile, which is the new key, but for two that are alike the least: these are connected."""
+    chunks = lambda n: F.ceil(n / TILE).cast("bigint")
+    own = groups.withColumns({"rests": chunks(F.col("rest")), "likes": chunks(F.col("n") - F.col("rest"))})
+    own = own.withColumn("chunk", F.pmod(F.xxhash64("template"), F.when(F.col("alike"), F.col("likes")).otherwise(F.col("rests"))))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    within = F.transform(upto(F.col("rests")), lambda i: F.xxhash64("key", F.least("chunk", i), F.greatest("chunk", i)))
+    across = lambda rest, like: F.xxhash64("key", rest, F.lit("like"), like)
+    of_like, of_rest = F.transform(upto(F.col("rests")), lambda i: across(i, F.col("chunk"))), F.transform(upto(F.col("likes")), lambda i: across(F.col("chunk"), i))
+    label = F.when(F.col("alike"), F.col("least")).otherwise(F.col("template")).alias("label")
+    return own.select("template", "tokens", "edits", label, F.explode(F.when(F.col("alike"), of_like).otherwise(F.concat(within, of_rest))).alias("key"))
 
 
 def template_links(tokens: DataFrame, depth: int, similarity: float) -> DataFrame:
@@ -110,7 +125,7 @@ def template_links(tokens: DataFrame, depth: int, similarity: float) -> DataFram
     a key, at first the leaf, are compared in one row. In a larger key all are compared
     with the least; the rest that is unlike it is, up to ROW_GROUP of them, compared with
     all. With a larger rest the tree goes on in branches (see ``_branches``) if these hold
-    fewer pairs than the key does, and else the key is compared in tiles of bounded rows.
+    fewer pairs than the key has to compare, and else the key is compared in tiles of bounded rows.
     """
     spare = F.floor((1 - similarity) * F.size("tokens") + 1e-9).cast("int")
     members = tokens.select("template", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"), spare.alias("edits"), F.col("leaf").alias("key"))
@@ -120,7 +135,7 @@ def template_links(tokens: DataFrame, depth: int, similarity: float) -> DataFram
     while True:
         sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("template").alias("least")).where("n > 1"))
         kept = members.join(small(sizes), "key")
-        found = _linked(kept.where(F.col("n") <= ROW_GROUP))
+        found = _linked(kept.where(F.col("n") <= ROW_GROUP).withColumn("label", F.col("template")))
         links = found if links is None else links.unionByName(found)
         if sizes.where(F.col("n") > ROW_GROUP).isEmpty():
             return links
@@ -131,14 +146,15 @@ def template_links(tokens: DataFrame, depth: int, similarity: float) -> DataFram
         rests = stored(met.where("not alike").groupBy("key").agg(F.count(F.lit(1)).alias("rest")))
         few = met.where("not alike").join(small(rests.where(F.col("rest") <= ROW_GROUP)), "key").groupBy("key").agg(F.collect_list(F.struct("template", "tokens")).alias("others"))
         close = F.filter("others", lambda o: (o["template"] != F.col("template")) & _alike(o["tokens"], F.col("tokens"), F.col("edits")))
-        links = links.unionByName(met.join(small(stored(few), width=F.size("others") * (8 * F.size(F.col("others")[0]["tokens"]) + 40)), "key").select("template", F.explode(close).alias("o")).select(F.col("template").alias("a"), F.col("o.template").alias("b")))
-        many = met.join(small(rests.where(F.col("rest") > ROW_GROUP)), "key").drop("least", "alike", "rest")
+        links = links.unionByName(met.join(small(stored(few), width=F.size("others") * (8 * F.size(F.col("others")[0]["tokens"]) + 40)), "key").select("template", F.explode_outer(close).alias("o")).where("o is not null").select(F.col("template").alias("a"), F.col("o.template").alias("b")))
+        many = met.join(small(rests.where(F.col("rest") > ROW_GROUP)), "key")
         if many.isEmpty():
             return links
         many = stored(many)
         below = stored(_branches(many))
+        pairs = F.col("rest").cast("double") * (2 * F.col("n") - F.col("rest"))
         children = below.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("parent").alias("key")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
-        worth = stored(many.groupBy("key").agg(F.first("n").alias("n")).join(children, "key").select("key", (F.col("pairs") < F.col("n").cast("double") * F.col("n")).alias("worth")))
+        worth = stored(many.groupBy("key").agg(F.first(pairs).alias("left")).join(children, "key").select("key", (F.col("pairs") < F.col("left")).alias("worth")))
         links = links.unionByName(_linked(_in_tiles(many.join(small(worth.where("not worth")), "key"))))
         members = stored(below.join(small(worth.where("worth").select(F.col("key").alias("parent"))), "parent", "left_semi").drop("parent"))
 
