@@ -59,6 +59,11 @@ def numbered(prefix: str | Column, n: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0")))
 
 
+def fixed(prefix: str | Column, n: Column, width: int) -> Column:
+    """Prefix and the number in just ``width`` places, as the database's lpad: zeros before a short one, a long one cut at its end."""
+    return F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))
+
+
 def compact_cell(cell: Column) -> Column:
     return token(F.regexp_replace(cell, "^CS_(L00_)?", ""))
 
