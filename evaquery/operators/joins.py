@@ -53,6 +53,7 @@ def box_pairs(df: DataFrame, key: str, same: list[str], size: float, most: int |
     Boxes meet within a tile of their own, so the join is on tiles, not on all pairs; a
     pair is taken in the one tile that holds the low corner of what both cover. Dense
     tiles are cut until they hold ``most`` boxes, but for boxes that lie on one another, all of whose pairs are wanted.
+    The join shuffles: Spark takes what rows are cut into for no larger than the file they come from, and would broadcast it.
     """
     cut = tree_tiles(df, same, size, most or TILE_ROWS)
     a, b = (cut.select(*[F.col(c).alias(f"{p}_{c}") for c in cut.columns]) for p in "ab")
@@ -60,7 +61,7 @@ def box_pairs(df: DataFrame, key: str, same: list[str], size: float, most: int |
     ra, rb = rect("a_"), rect("b_")
     own = F.lit(float(size)) / F.pow(F.lit(2.0), F.col("a_depth"))
     corner = (F.floor(F.greatest(ra["x0"], rb["x0"]) / own) == F.col("a_tx")) & (F.floor(F.greatest(ra["y0"], rb["y0"]) / own) == F.col("a_ty"))
-    pairs = a.join(b, on).where((F.col(f"a_{key}") < F.col(f"b_{key}")) & boxes_meet(ra, rb) & corner)
+    pairs = a.join(b.hint("merge"), on).where((F.col(f"a_{key}") < F.col(f"b_{key}")) & boxes_meet(ra, rb) & corner)
     return pairs.drop("a_tx", "a_ty", "a_depth", "b_tx", "b_ty", "b_depth")
 
 
@@ -83,6 +84,7 @@ def within(points: DataFrame, targets: DataFrame, radius: float, most: int | Non
     Targets go to their own grid cell, points to the nine around theirs. A cell with more
     than ``most`` points is dealt over as many shares as hold that many each, and its
     targets go to every share: a pair still meets once, and no share has more points.
+    The join shuffles, as in ``box_pairs``.
     """
     near = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
     around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
@@ -97,7 +99,7 @@ def within(points: DataFrame, targets: DataFrame, radius: float, most: int | Non
         near = known(near).withColumn("__share", F.pmod(F.xxhash64("p_x", "p_y", F.monotonically_increasing_id()), F.col("__shares")).cast("int")).drop("__shares")
         far = known(far).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__shares")
         on = ["gx", "gy", "__share"]
-    joined = near.join(far, on).withColumn("d", distance(F.col("p_x"), F.col("p_y"), F.col("t_x"), F.col("t_y")))
+    joined = near.join(far.hint("merge"), on).withColumn("d", distance(F.col("p_x"), F.col("p_y"), F.col("t_x"), F.col("t_y")))
     return joined.where(F.col("d") <= radius).drop("gx", "gy", "dx", "dy", "__share")
 
 

@@ -26,8 +26,12 @@ ADJACENT = f"""adj AS (SELECT u, v, list_sort(list_distinct(list(via))) AS bound
 
 
 def model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, boundaries) of the floor plan, as the views take them."""
-    p = domain.plan(spark, d)
+    """(cells, boundaries) of the floor plan, as the views take them.
+
+    Both are joined by shuffle: a part makes three rows, of which Spark's estimate knows
+    nothing, so by the size of the file of parts it would broadcast millions of rows.
+    """
+    p = domain.plan(spark, d).hint("merge")
     r = G.rect()
     ring = F.array(*[F.array(x.cast("double"), y.cast("double")) for x, y in ((r["x0"], r["y0"]), (r["x1"], r["y0"]), (r["x1"], r["y1"]), (r["x0"], r["y1"]))])
     cells = p.select(F.col("name").alias("cell"), F.col("level").cast("string").alias("level"), "navigation_type", "category", "traversable", ((r["x0"] + r["x1"]) / 2).alias("x"), ((r["y0"] + r["y1"]) / 2).alias("y"), ring.alias("ring"))
