@@ -53,7 +53,7 @@ def spaces(own: DataFrame) -> DataFrame:
 def _linked(links: DataFrame, made: DataFrame) -> DataFrame:
     """Links both of whose ends are spaces, with both."""
     side = lambda name, p: made.select("model", F.col("name").alias(name), *[F.col(c).alias(f"{p}{c}") for c in ("space_id", "x", "y", "ring", "locomotion")])
-    return links.join(side("origen", "a_"), ["model", "origen"]).join(side("destino", "b_"), ["model", "destino"])
+    return links.join(side("origen", "a_").hint("merge"), ["model", "origen"]).join(side("destino", "b_").hint("merge"), ["model", "destino"])
 
 
 def boundaries(links: DataFrame, made: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def boundaries(links: DataFrame, made: DataFrame) -> DataFrame:
 def graph_nodes(links: DataFrame, made: DataFrame) -> DataFrame:
     """The spaces that links of each type join, once a graph."""
     ends = _linked(links, made).select("model", "tipo", F.explode(F.array("origen", "destino")).alias("name")).where(_by_type(F.col("tipo"), 0).isNotNull()).distinct()
-    both = ends.join(made.select("model", "name", "space_id", "x", "y"), ["model", "name"])
+    both = ends.join(made.select("model", "name", "space_id", "x", "y").hint("merge"), ["model", "name"])
     name = F.col("name")
     return both.select("model", _by_type(F.col("tipo"), 0).alias("graph"), F.concat_ws("_", _by_type(F.col("tipo"), 2), F.regexp_replace(prefixed("", name), "^_", "")).alias("node_id"), F.col("space_id").alias("space_ref"), node_type(name).alias("node_type"), F.lit(LEVEL).alias("level_id"), "x", "y")
 

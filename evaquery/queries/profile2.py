@@ -21,7 +21,7 @@ def frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     """(spaces, links, spawn points)."""
     cells, bounds = model(spark, d)
     word = F.when(F.col("category") == "Room", "Sala ").when(F.col("category") == "Exit", "Salida ").otherwise("Puerta ")
-    own = cells.where("category in ('Room', 'Door', 'Exit')").join(domain.plan(spark, d).select(F.col("name").alias("cell"), F.col("cell").alias("k")), "cell")
+    own = cells.where("category in ('Room', 'Door', 'Exit')").join(domain.plan(spark, d).select(F.col("name").alias("cell"), F.col("cell").alias("k")).hint("merge"), "cell")
     own = own.withColumn("model", F.concat(F.lit("B"), F.floor(F.floor(F.col("k") / 3) / 50).cast("string"))).withColumn("name", F.concat(word, "cell"))
     loco = F.when(F.col("category") == "Room", F.array(F.lit("Walking"), F.lit("Rolling"), F.lit("Walking"))).when(F.col("k") % 2 == 0, F.array(F.lit("Rolling"))).otherwise(F.array(F.lit("Step")))
     spaces = own.select("model", "name", "cell", "x", "y", "ring", F.lit(None).cast("string").alias("klass"), F.lit(None).cast("string").alias("category"), loco.alias("locomotion"))
