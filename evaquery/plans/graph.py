@@ -76,13 +76,14 @@ def distances(edges: DataFrame, sources: DataFrame, small: int = SMALL_GRAPH) ->
 def components(nodes: DataFrame, links: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(node, root): the least node that undirected ``links`` (u, v) reach, itself if none.
 
-    Links with a null end do not exist. Labels fall to the least of a node's neighbours
-    and then to the label of the label, so rounds grow with the logarithm of the longest
-    path; they end when no label falls.
+    Links with a null end do not exist. In a round every node points to its neighbour of
+    least rank, a hash of node and round, unless its own is less; links are rewritten to what
+    their ends point to, and loops and repeats go. So rounds grow with the logarithm of the
+    longest path, each over the links between what is not yet one, which soon are few.
     """
     known = links.where("u is not null and v is not null")
-    both = stored(known.select("u", "v").union(known.select("v", "u")))
-    if both.count() <= small:
+    pairs = stored(known.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    if 2 * pairs.count() <= small:
         own: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -91,21 +92,28 @@ def components(nodes: DataFrame, links: DataFrame, small: int = SMALL_GRAPH) ->
                 x = own[x]
             return x
 
-        for u, v in both.collect():
+        for u, v in pairs.collect():
             a, b = root(u), root(v)
             own[max(a, b)] = min(a, b)
         kind = nodes.schema["node"].dataType.simpleString()
         named = nodes.sparkSession.createDataFrame([(x, root(x)) for x in own], f"k {kind}, least {kind}")
         return nodes.select("node").distinct().join(F.broadcast(named), F.col("node") == F.col("k"), "left").select("node", F.coalesce("least", "node").alias("root"))
-    label = stored(nodes.select("node", F.col("node").alias("root")).distinct())
-    while True:
-        heard = both.join(label, F.col("u") == F.col("node")).groupBy("v").agg(F.min("root").alias("heard"))
-        near = label.join(heard, F.col("node") == F.col("v"), "left").select("node", "root", F.least("root", F.coalesce("heard", "root")).alias("next"))
-        jump = near.select(F.col("node").alias("k"), F.col("next").alias("then"))
-        moved = stored(near.join(jump, F.col("next") == F.col("k"), "left").select("node", "root", F.least("next", F.coalesce("then", "next")).alias("next")))
-        label = moved.select("node", F.col("next").alias("root"))
-        if moved.where("next <> root").isEmpty():
-            return label
+    label, turn = None, 0
+    while not pairs.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("r"), F.col(c).alias("n"))  # noqa: B023,E731
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        to = stored(both.groupBy("u").agg(F.min(rank("v")).alias("best")).select(F.col("u").alias("k"), F.least("best", rank("u")).getField("n").alias("p")))
+        if label is None:
+            label = to.select(F.col("k").alias("node"), F.col("p").alias("root"))
+        else:
+            label = stored(label.join(to, F.col("root") == F.col("k"), "left").select("node", F.coalesce("p", "root").alias("root")))
+        moved = pairs.join(to.select(F.col("k").alias("u"), F.col("p").alias("pu")), "u").join(to.select(F.col("k").alias("v"), F.col("p").alias("pv")), "v").where("pu <> pv")
+        pairs, turn = stored(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()), turn + 1
+    if label is None:
+        return nodes.select("node").distinct().withColumn("root", F.col("node"))
+    # the least of a group is its root, whichever node the others came to
+    named = label.join(label.groupBy("root").agg(F.min("node").alias("least")), "root").select(F.col("node").alias("k"), "least")
+    return nodes.select("node").distinct().join(named, F.col("node") == F.col("k"), "left").select("node", F.coalesce("least", "node").alias("root"))
 
 
 def reach(edges: DataFrame, targets: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:

@@ -143,3 +143,15 @@ def test_one_key_is_averaged_in_ranges(spark):
         at[k, t] = mean[k]
     assert got == {x: pytest.approx(y) for x, y in at.items()}
     assert end == {k: (pytest.approx(one[k], abs=1e-6), n) for k, n in (("a", 3000), ("b", 1), (None, 2))}
+
+
+def test_components_go_on_with_the_links_that_are_left(spark, monkeypatch):
+    """After a round only links between what is not yet one are rows, and each once; labels that fall need all links in every round."""
+    edges, nodes = frames(spark, [(a, b, 1.0) for g in range(40) for a in range(g * 8, g * 8 + 8) for b in range(g * 8, a)], 325)
+    seen = []
+    keep = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: seen.append(keep(df)) or seen[-1])
+    found = {r.node: r.root for r in graph.components(nodes, edges, small=0).collect()}
+    assert found == {n: n // 8 * 8 if n < 320 else n for n in range(325)}
+    sizes = [df.count() for df in seen if df.columns == ["u", "v"]]
+    assert sizes[0] == 40 * 28 and all(b < a / 2 for a, b in zip(sizes, sizes[1:]) if a) and sizes[-1] == 0
