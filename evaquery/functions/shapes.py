@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,17 +34,36 @@ def _listed(rings: list[P.Ring]) -> list:
     return [[list(p) for p in r] for r in rings]
 
 
+def _same(value) -> object:
+    """A key that only values of the same bits share: arrays by their bytes, nested ones element by element."""
+    if isinstance(value, np.ndarray):
+        return tuple(map(_same, value)) if value.dtype == object else value.tobytes()
+    return value.hex() if isinstance(value, float) else value
+
+
+def _once(f: Callable, *columns: pd.Series) -> pd.Series:
+    """``f`` of each row's values, worked out once for rows of a batch that are the same."""
+    made: dict = {}
+    out = []
+    for row in zip(*columns):
+        key = tuple(map(_same, row))
+        if key not in made:
+            made[key] = f(*row)
+        out.append(made[key])
+    return pd.Series(out, dtype=object)
+
+
 def _mapped(f: Callable, schema: str, *columns: Column) -> Column:
-    """``f`` of each row's values, in Arrow batches."""
+    """``f`` of each row's values, in Arrow batches; shapes that a batch repeats are worked out once."""
 
     def one(a: pd.Series) -> pd.Series:
-        return pd.Series([f(x) for x in a], dtype=object)
+        return _once(f, a)
 
     def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(*row) for row in zip(a, b)], dtype=object)
+        return _once(f, a, b)
 
     def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([f(*row) for row in zip(a, b, c)], dtype=object)
+        return _once(f, a, b, c)
 
     return F.pandas_udf((one, two, three)[len(columns) - 1], schema)(*columns)
 

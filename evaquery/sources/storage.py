@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -36,3 +37,12 @@ BROADCAST_ROWS = 200_000
 def small(table: DataFrame) -> DataFrame:
     """``table``, to be broadcast if a count of it finds no more rows than the limit."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+#: Rows whose Python work one task does; a small file of many rows would be one task whatever its rows cost.
+TASK_ROWS = 5_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys over as many tasks as hold ``TASK_ROWS`` rows each, counted first."""
+    return df.repartition(max(1, math.ceil(df.count() / TASK_ROWS)), *keys)
