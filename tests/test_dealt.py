@@ -9,7 +9,7 @@ from evaquery.sources import storage
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["g05_g06_g07_g28_set_operations", "g30_g32_g33_b19_q15_decompositions", "g39_b24_tile_chains", "g29_faces"])
+@pytest.mark.parametrize("name", ["g05_g06_g07_g28_set_operations", "g30_g32_g33_b19_q15_decompositions", "g39_b24_tile_chains", "g29_faces", "g40_ways_inside"])
 def test_shapes_are_dealt_before_any_python(spark, name, monkeypatch):
     """A file of many rows is one or two splits: without dealing one task does all the Python."""
     monkeypatch.setattr(storage, "TASK_ROWS", 50)
