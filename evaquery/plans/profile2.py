@@ -91,7 +91,7 @@ def graph_edges(links: DataFrame, made: DataFrame) -> DataFrame:
     kind = connector_type(F.col("origen"), F.col("destino"))
     flows = F.when(kind == "emergency_exit", F.array(F.lit("pedestrian"), F.lit("emergency_exit"))).otherwise(F.array(F.lit("pedestrian")))
     known = made.select("model", F.col("name").alias("room"), F.col("space_id").alias("through_space_id"))
-    edges = own.withColumn("n", n).withColumn("room", room).join(known, ["model", "room"], "left")
+    edges = own.withColumn("n", n).withColumn("room", room).join(known.hint("merge"), ["model", "room"], "left")
     return edges.select(
         "model", _by_type(F.col("tipo"), 0).alias("graph"), F.concat(_by_type(F.col("tipo"), 3), numbered("_", F.col("n"), 3)).alias("edge_id"), node("origen").alias("source_node_id"), node("destino").alias("target_node_id"), far.alias("distance_m"),
         F.when(F.col("tipo") == "adyacencia_fisica", "physical_adjacency").when(F.col("tipo") == "door_to_door", "door_to_door").alias("relationship_type"), F.when(door, kind).alias("connector_type"), F.when(door, flows).alias("allowed_flows"),

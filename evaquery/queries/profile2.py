@@ -27,7 +27,7 @@ def frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     spaces = own.select("model", "name", "cell", "x", "y", "ring", F.lit(None).cast("string").alias("klass"), F.lit(None).cast("string").alias("category"), loco.alias("locomotion"))
     side = lambda c, n, m: spaces.select(F.col("cell").alias(c), F.col("name").alias(n), F.col("model").alias(m))
     ends = bounds.select(F.col("a").alias("p"), F.col("b").alias("q")).unionByName(bounds.select(F.col("b").alias("p"), F.col("a").alias("q")))
-    links = ends.join(side("p", "origen", "model"), "p").join(side("q", "destino", "other"), "q").where("model = other and origen like 'Sala%' and destino not like 'Sala%'")
+    links = ends.join(side("p", "origen", "model").hint("merge"), "p").join(side("q", "destino", "other").hint("merge"), "q").where("model = other and origen like 'Sala%' and destino not like 'Sala%'")
     index = F.row_number().over(Window.partitionBy("model").orderBy("origen", "destino"))
     links = links.select("model", index.alias("index"), "origen", "destino", F.lit("navegable_puerta").alias("tipo"), F.lit(None).cast("string").alias("contexto"))
     rooms = own.where("category = 'Room' and k % 5 = 0")
