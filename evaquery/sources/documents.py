@@ -98,11 +98,11 @@ def edges(m: DataFrame) -> DataFrame:
 
 
 def cross_maps(m: DataFrame) -> DataFrame:
-    """(cell, node, boundaries, edges): what belongs to each cell."""
+    """(cell, node, boundaries, edges): what belongs to each cell. Joined by shuffle: documents hold many rows each, of which Spark's estimate knows nothing."""
     n = nodes(m).select("cell", F.col("id").alias("node"))
     b = boundaries(m).select(F.explode("cells").alias("cell"), "id").groupBy("cell").agg(F.sort_array(F.collect_set("id")).alias("boundaries"))
     e = edges(m).select(F.explode("ends").alias("node"), "id").groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("edges"))
-    return cells(m).select(F.col("id").alias("cell")).join(n, "cell", "left").join(b, "cell", "left").join(e, "node", "left").select("cell", "node", "boundaries", "edges")
+    return cells(m).select(F.col("id").alias("cell")).join(n.hint("merge"), "cell", "left").join(b.hint("merge"), "cell", "left").join(e.hint("merge"), "node", "left").select("cell", "node", "boundaries", "edges")
 
 
 def reference_keys(id_: Column, layer: Column, container: Column) -> Column:
