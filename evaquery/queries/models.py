@@ -17,8 +17,11 @@ CATEGORY = {"DOOR": "Door", "WINDOW": "Window", "STAIRS": "Stair", "RAMP": "Ramp
 
 
 def model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, boundaries) as the views take them: contacts of the rectangular cells, those of two general cells virtual by a third."""
-    c = domain.cells(spark, d)
+    """(cells, boundaries) as the views take them: contacts of the rectangular cells, those of two general cells virtual by a third.
+
+    Both are joined by shuffle, as the floor plan's are: what a part makes is larger than the file of parts.
+    """
+    c = domain.cells(spark, d).hint("merge")
     category = F.coalesce(F.create_map(*[F.lit(x) for kv in CATEGORY.items() for x in kv])[F.col("function_code")], F.lit("Room"))
     r = G.rect()
     ring = F.array(*[F.array(x.cast("double"), y.cast("double")) for x, y in ((r["x0"], r["y0"]), (r["x1"], r["y0"]), (r["x1"], r["y1"]), (r["x0"], r["y1"]))])
