@@ -67,9 +67,9 @@ def discrete(agents: DataFrame, routes: DataFrame, ticks: int, tick: float = 1.0
 
     Each tick counts the agents on every undirected edge, works out the time that edge
     takes at that load, and moves those who have been on it long enough. An agent without
-    a route is stuck.
+    a route is stuck. More than ``BROADCAST_ROWS`` legs meet agents by shuffle: their file is far smaller than they are.
     """
-    legs = stored(routes.select("agent", "leg", F.least("u", "v").alias("eu"), F.greatest("u", "v").alias("ev"), "length"))
+    legs = small(stored(routes.select("agent", "leg", F.least("u", "v").alias("eu"), F.greatest("u", "v").alias("ev"), "length")))
     last = legs.groupBy("agent").agg(F.max("leg").alias("last"))
     state = agents.select("agent").join(last, "agent", "left").select("agent", "last", F.lit(0).alias("leg"), F.lit(0.0).alias("spent"), F.when(F.col("last").isNull(), "stuck").otherwise("moving").alias("status"), F.lit(0).alias("t"))
     state = stored(state)
@@ -77,8 +77,8 @@ def discrete(agents: DataFrame, routes: DataFrame, ticks: int, tick: float = 1.0
         if state.where("status = 'moving'").isEmpty():
             break
         at = state.join(legs, ["agent", "leg"], "left")
-        load = at.where("status = 'moving'").groupBy("eu", "ev").agg(F.count(F.lit(1)).alias("n"))
-        at = at.join(load, ["eu", "ev"], "left")
+        load = stored(at.where("status = 'moving'").groupBy("eu", "ev").agg(F.count(F.lit(1)).alias("n")))
+        at = at.join(small(load), ["eu", "ev"], "left")
         need = F.col("length") / speed * (1 + alpha * F.greatest(F.lit(0), F.col("n") - capacity) / max(1, capacity))
         spent = F.col("spent") + tick
         over = (F.col("status") == "moving") & (spent >= need)

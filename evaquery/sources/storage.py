@@ -35,8 +35,9 @@ BROADCAST_ROWS = 200_000
 
 
 def small(table: DataFrame) -> DataFrame:
-    """``table``, to be broadcast if a count of it finds no more rows than the limit."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """``table``, to be broadcast if a count of it finds no more rows than the limit, and joined by shuffle if it has more,
+    however small its file makes it look."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
 
 
 #: Rows whose Python work one task does; a small file of many rows would be one task whatever its rows cost.

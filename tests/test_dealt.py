@@ -24,3 +24,9 @@ def test_shapes_that_a_batch_repeats_are_worked_out_once():
     rows = pd.Series([np.array([r for r in ring(z)] + [None], dtype=object) for z in (0.0, 0.0, -0.0, 2.0)])
     made = shapes._once(lambda r, t: asked.append(t) or (len(asked), t), rows, pd.Series(["a", "a", "a", "a"]))
     assert list(made) == [(1, "a"), (1, "a"), (2, "a"), (3, "a")]
+
+
+def test_a_table_with_more_rows_than_are_broadcast_is_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 3)
+    plan = lambda n: spark.range(9).join(storage.small(spark.range(n)), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(3) and "BroadcastHashJoin" not in plan(4)
