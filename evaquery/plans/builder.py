@@ -21,7 +21,7 @@ from ..functions.geometry import on_segment
 from ..functions.ids import compact_cell, edge_of_boundary, node_of_cell, numbered
 from ..functions.scalars import boundary_role, edge_weight, exterior_role
 from ..operators.joins import box_join, box_pairs
-from ..sources.storage import stored
+from ..sources.storage import stored, tasks
 
 FEATURE = "level string, kind string, name string, ring array<array<double>>, thickness double, width double, host string"
 CELL = "level string, cell string, source string, navigation_type string, category string, traversable boolean, ring array<array<double>>, x double, y double, area double"
@@ -357,6 +357,10 @@ def vertical_links(endpoints: DataFrame) -> DataFrame:
     return up.where("upper is not null").select("connector", F.col("level").alias("lower"), "upper", F.col("cell").alias("from_cell"), "to_cell")
 
 
+#: Features whose levels one task looks through for rooms: levels are few bytes and much work, so their bytes would make too few tasks.
+LEVEL_ROWS = 2_000
+
+
 def detected_spaces(features: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """(level, space, ring, area, status): rooms that the wall lines of a level enclose, minus its objects.
 
@@ -389,6 +393,8 @@ def detected_spaces(features: DataFrame, previous: DataFrame | None = None) -> D
 
     if previous is None:
         previous = features.sparkSession.createDataFrame([], _schema(features, "level string, space string, ring array<array<double>>"))
+    n = tasks(features, LEVEL_ROWS)
+    features, previous = (df.repartition(n, *_by(df)) for df in (features, previous))
     return features.groupBy(*_by(features)).cogroup(previous.groupBy(*_by(previous))).applyInPandas(run, _schema(features, out))
 
 

@@ -44,6 +44,11 @@ def small(table: DataFrame) -> DataFrame:
 TASK_ROWS = 5_000
 
 
+def tasks(df: DataFrame, most: int | None = None) -> int:
+    """Number of tasks of at most ``most`` rows each that the rows of ``df``, counted now, are dealt over."""
+    return max(1, math.ceil(df.count() / (most or TASK_ROWS)))
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt by its keys over as many tasks as hold ``TASK_ROWS`` rows each, counted first."""
-    return df.repartition(max(1, math.ceil(df.count() / TASK_ROWS)), *keys)
+    """``df`` dealt by its keys over as many tasks as hold ``TASK_ROWS`` rows each."""
+    return df.repartition(tasks(df), *keys)

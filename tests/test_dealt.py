@@ -4,6 +4,7 @@ import pytest
 
 from evaquery import catalog
 from evaquery.functions import shapes
+from evaquery.plans import builder
 from evaquery.sources import storage
 
 SF = "/root/testdata/sf0.001"
@@ -26,6 +27,12 @@ def test_shapes_that_a_batch_repeats_are_worked_out_once():
     assert list(made) == [(1, "a"), (1, "a"), (2, "a"), (3, "a")]
 
 
+def test_levels_are_dealt_by_their_number_not_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(builder, "LEVEL_ROWS", 10, raising=False)
+    plan = catalog.QUERIES["b18_q16_detected_spaces"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_a_table_with_more_rows_than_are_broadcast_is_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(storage, "BROADCAST_ROWS", 3)
     plan = lambda n: spark.range(9).join(storage.small(spark.range(n)), "id")._jdf.queryExecution().executedPlan().toString()
