@@ -101,12 +101,15 @@ def graph_edges(links: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def spawns(points: DataFrame, made: DataFrame) -> DataFrame:
-    """Spawn points (model, index, x, y) with the space they are in, its border included; the first space, marked, where they are in none."""
+    """Spawn points (model, index, x, y) with the space they are in, its border included; the first space, marked, where they are in none.
+
+    Joined by shuffle: of how many rows the spaces have Spark's estimate knows nothing.
+    """
     ends = made.select("model", "space_id", F.transform("ring", lambda p: F.get(p, F.lit(0))).alias("xs"), F.transform("ring", lambda p: F.get(p, F.lit(1))).alias("ys"))
     boxes = ends.select("model", "space_id", F.array_min("xs").alias("x0"), F.array_max("xs").alias("x1"), F.array_min("ys").alias("y0"), F.array_max("ys").alias("y1"))
-    inside = points.join(boxes, "model").where("x between x0 and x1 and y between y0 and y1").groupBy("model", "index").agg(F.min("space_id").alias("space"))
+    inside = points.join(boxes.hint("merge"), "model").where("x between x0 and x1 and y between y0 and y1").groupBy("model", "index").agg(F.min("space_id").alias("space"))
     first = made.groupBy("model").agg(F.min("space_id").alias("first"))
-    both = points.join(inside, ["model", "index"], "left").join(first, "model", "left")
+    both = points.join(inside.hint("merge"), ["model", "index"], "left").join(first.hint("merge"), "model", "left")
     return both.select("model", numbered("SPAWN_", F.col("index"), 3).alias("spawn_id"), F.lit(LEVEL).alias("level_id"), F.coalesce("space", "first", F.lit("UNKNOWN_SPACE")).alias("space_ref"), "x", "y", F.col("space").isNull().alias("inferred"))
 
 
