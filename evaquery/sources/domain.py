@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import numbered
+from .storage import tasks
+
+#: Parts that one task makes a floor plan of, three rows each; a file of many parts may be one split, whose task would aggregate them all.
+PLAN_PARTS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +69,11 @@ def stock_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A floor plan: a room for each part on a grid of 50 columns, with a passage to the room on its right and one
-    to the room above; each passage is a door, exit, window, stair or ramp by the part's size."""
+    to the room above; each passage is a door, exit, window, stair or ramp by the part's size. Parts are dealt over tasks before they are rooms."""
     k = F.col("p_partkey")
-    base = table(spark, sf_dir, "part").select(k.alias("k"), "p_size", ((k - 1) % 50 * 10).cast("int").alias("x"), F.expr("(p_partkey - 1) div 50 * 10").cast("int").alias("y"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    n = tasks(parts, PLAN_PARTS)
+    base = (parts.repartition(n, "p_partkey") if n > 1 else parts).select(k.alias("k"), "p_size", ((k - 1) % 50 * 10).cast("int").alias("x"), F.expr("(p_partkey - 1) div 50 * 10").cast("int").alias("y"))
     box = lambda name, tag, x0, y0, x1, y1, category: F.struct((F.col("k") * 3 + tag).alias("cell"), numbered(name, F.col("k"), 6).alias("name"), (F.col("x") + x0).alias("x0"), (F.col("y") + y0).alias("y0"), (F.col("x") + x1).alias("x1"), (F.col("y") + y1).alias("y1"), category.alias("category"))
     kinds = F.array(*map(F.lit, ("Door", "Door", "Exit", "Window", "Door", "Stair", "Door", "Ramp")))
     kind = lambda shift: F.get(kinds, ((F.col("p_size") + shift) % 8).cast("int"))

@@ -1,4 +1,7 @@
+import pytest
+
 from evaquery import catalog
+from evaquery.sources import domain
 
 SF = "/root/testdata/sf0.001"
 
@@ -8,3 +11,12 @@ def test_what_spawn_points_meet_is_not_broadcast_while_the_query_runs(spark):
     assert df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["b09_b10_a02_exposed_borders", "q17_opening_rules", "a06_document_counts", "b23_v2_spawns"])
+def test_parts_are_dealt_before_they_are_a_floor_plan(spark, name, monkeypatch):
+    """A file of many parts may be one split, whose task would hold the groups of all of them."""
+    monkeypatch.setattr(domain, "PLAN_PARTS", 50, raising=False)
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("\n") if "FileScan" in x and "p_partkey" in x]
+    assert scans and plan.count("REPARTITION_BY_NUM") >= len(scans)
