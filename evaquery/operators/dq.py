@@ -7,6 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import tasks
+
+#: Rows of a table whose keys one task holds; more are counted and dealt by key, as a few dozen compressed megabytes of keys are gigabytes in a task.
+KEY_ROWS = 200_000
+
 
 def breach(df: DataFrame, rule: str, key: Column | str, wrong: Column) -> DataFrame:
     """Rows for which ``wrong`` holds; null is not wrong."""
@@ -27,13 +32,25 @@ def dangling(df: DataFrame, rule: str, column: str, target: DataFrame, target_co
 
 
 def foreign_keys(tables: dict[str, DataFrame], keys: Iterable[tuple[str, str, str, str]]) -> DataFrame:
-    """(rule, key): references (table, column, target table, target column) that lead nowhere."""
-    return report(dangling(tables[t], f"{t}.{c}", c, tables[target], tc) for t, c, target, tc in keys)
+    """(rule, key): references (table, column, target table, target column) that lead nowhere.
+
+    Two tables that are both of many rows are dealt by key before they meet.
+    """
+    keys = list(keys)
+    n = {t: tasks(tables[t], KEY_ROWS) for t in {t for key in keys for t in (key[0], key[2])}}
+
+    def own(t: str, column: str, other: str) -> DataFrame:
+        return tables[t].repartition(max(n[t], n[other]), column) if min(n[t], n[other]) > 1 else tables[t]
+
+    return report(dangling(own(t, c, target), f"{t}.{c}", c, own(target, tc, t), tc) for t, c, target, tc in keys)
 
 
 def unique_keys(tables: dict[str, DataFrame], keys: Iterable[tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """(rule, key): values that occur twice where (table, columns) says once; rows with a null among them are free."""
-    known = lambda t, cs: tables[t].where(" and ".join(f"{c} is not null" for c in cs))
+    """(rule, key): values that occur twice where (table, columns) says once; rows with a null among them are free. Many rows are dealt by key."""
+    keys = list(keys)
+    n = {t: tasks(tables[t], KEY_ROWS) for t in {t for t, _ in keys}}
+    dealt = lambda t, cs: tables[t].repartition(n[t], *cs) if n[t] > 1 else tables[t]
+    known = lambda t, cs: dealt(t, cs).where(" and ".join(f"{c} is not null" for c in cs))
     return report(repeated(known(t, cs), f"{t}({', '.join(cs)})", *cs) for t, cs in keys)
 
 

@@ -1,6 +1,7 @@
 import pytest
 
 from evaquery import catalog
+from evaquery.operators import dq
 from evaquery.sources import domain
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +21,12 @@ def test_parts_are_dealt_before_they_are_a_floor_plan(spark, name, monkeypatch):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     scans = [x for x in plan.split("\n") if "FileScan" in x and "p_partkey" in x]
     assert scans and plan.count("REPARTITION_BY_NUM") >= len(scans)
+
+
+@pytest.mark.parametrize("name", ["q05_unique_keys", "q06_foreign_keys"])
+def test_keys_of_many_rows_are_dealt_by_their_number(spark, name, monkeypatch):
+    whole = sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(dq, "KEY_ROWS", 100, raising=False)
+    df = catalog.QUERIES[name](spark, SF)
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == whole
