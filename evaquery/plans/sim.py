@@ -104,8 +104,44 @@ def evacuated(positions: DataFrame, exits: DataFrame, radius: float = 2.0) -> Da
     return within(positions.select("agent", "t", "x", "y"), exits.select("x", "y"), radius).groupBy(F.col("p_agent").alias("agent")).agg(F.min("p_t").alias("t"))
 
 
-def steer(pos: np.ndarray, vel: np.ndarray, goal: np.ndarray, limit: np.ndarray, walls: np.ndarray, body: float = 0.2, most: float = 6.0) -> np.ndarray:
-    """New velocities of all agents: pull to the goal, push from walls and from each other, inertia 0.7."""
+#: Pairs of neighbours that are worked out at once.
+PAIRS = 1_000_000
+
+
+def pushes(pos: np.ndarray, weight: np.ndarray, body: float, reach: float = 0.5) -> np.ndarray:
+    """What those within ``reach`` push each body away, each as many times as its weight says; bodies on one spot do not push.
+
+    Neighbours are looked for in the nine grid cells around, so work grows with those who
+    are near and not with all pairs; a body's neighbours add up in their order.
+    """
+    force, own = np.zeros_like(pos), np.flatnonzero(np.isfinite(pos).all(axis=1))
+    if len(own) < 2:
+        return force
+    at = np.floor(pos[own] / reach).astype(np.int64)
+    at -= at.min(axis=0) - 1
+    tall = int(at[:, 1].max()) + 2
+    cell = at[:, 0] * tall + at[:, 1]
+    order = np.argsort(cell, kind="stable")
+    low, high = (np.stack([np.searchsorted(cell[order], cell + dx * tall + dy, side) for dx in (-1, 0, 1)], axis=1) for dy, side in ((-1, "left"), (1, "right")))
+    many = high - low
+    block = np.cumsum(many.sum(axis=1)) // PAIRS
+    for rows in np.split(np.arange(len(own)), np.flatnonzero(np.diff(block)) + 1):
+        n, start = many[rows].ravel(), low[rows].ravel()
+        first = np.repeat(rows, many[rows].sum(axis=1))
+        second = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)]
+        inward = np.lexsort((second, first))
+        i, j = own[first[inward]], own[second[inward]]
+        apart = pos[i] - pos[j]
+        gap = np.linalg.norm(apart, axis=1)
+        near = (gap < reach) & (gap > 1e-3)
+        i, j, apart, gap = i[near], j[near], apart[near], gap[near]
+        push = apart / gap[:, None] * (1.5 * np.exp(-(gap - 2 * body)) * weight[j])[:, None]
+        force += np.stack([np.bincount(i, push[:, k], len(pos)) for k in (0, 1)], axis=1)
+    return force
+
+
+def steer(pos: np.ndarray, vel: np.ndarray, goal: np.ndarray, limit: np.ndarray, walls: np.ndarray, body: float = 0.2, most: float = 6.0, weight: np.ndarray | None = None) -> np.ndarray:
+    """New velocities of all agents, each as many as its weight says: pull to the goal, push from walls and from each other, inertia 0.7."""
     to = goal - pos
     far = np.linalg.norm(to, axis=1, keepdims=True)
     force = np.divide(to, far, out=np.zeros_like(to), where=far > 0)
@@ -115,10 +151,7 @@ def steer(pos: np.ndarray, vel: np.ndarray, goal: np.ndarray, limit: np.ndarray,
         away = pos - (np.array([ax, ay]) + t * d)
         gap = np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-3)
         force += away / gap * 4 * np.exp(-8 * np.maximum(gap - body, 1e-3)) * (gap - body < 1.0)
-    apart = pos[:, None] - pos[None]
-    gap = np.linalg.norm(apart, axis=2)
-    near = (gap < 0.5) & (gap > 1e-3)
-    force += (np.divide(apart, gap[..., None], out=np.zeros_like(apart), where=near[..., None]) * (1.5 * np.exp(-(gap - 2 * body)))[..., None]).sum(axis=1)
+    force += pushes(pos, np.ones(len(pos)) if weight is None else weight, body)
     size = np.linalg.norm(force, axis=1, keepdims=True)
     force = np.where(size > most, force / np.maximum(size, 1e-9) * most, force)
     vel = 0.7 * vel + 0.3 * force
@@ -130,32 +163,36 @@ def continuous(runs: DataFrame, agents: DataFrame, exits: list[tuple[float, floa
     """The event log of every run (run): agents (run, agent, profile, x, y) head for their nearest exit.
 
     Agents within two metres of an exit are out. An agent that moved under 0.2 m in 20
-    steps is stuck and replans to the next exit.
+    steps is stuck and replans to the next exit. Agents that start on one spot at one pace
+    feel the same forces and stay together, so they move as one body of their number.
     """
     out, gates = np.array(exits, dtype=float), np.array(walls, dtype=float).reshape(-1, 4)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("agent")
         run, names = int(rows["run"].iloc[0]), rows["agent"].tolist()
-        pos = rows[["x", "y"]].to_numpy(float)
-        limit = 0.1 * rows["profile"].map({"Rolling": 1.2, "Elderly": 0.5}).fillna(1.0).to_numpy()
+        pace = 0.1 * rows["profile"].map({"Rolling": 1.2, "Elderly": 0.5}).fillna(1.0).to_numpy()
+        _, start, of, weight = np.unique(np.column_stack([rows[["x", "y"]].to_numpy(float), pace]), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(start)  # bodies in the order of their first agents
+        of, weight, start = np.argsort(order)[of.ravel()], weight[order].astype(float), start[order]
+        pos, limit = rows[["x", "y"]].to_numpy(float)[start], pace[start]
         vel, log, active = np.zeros_like(pos), [], np.ones(len(pos), dtype=bool)
         choice = np.array([int(np.argmin([math.dist(p, e) for e in out])) for p in pos])
-        log += [(run, 0, str(n), "CAMBIO_RUTA", f"exit {c}", *p) for n, c, p in zip(names, choice, pos)]
+        log += [(run, 0, str(n), "CAMBIO_RUTA", f"exit {c}", *p) for n, c, p in zip(names, choice[of], pos[of])]
         trail = [pos.copy()]
         for step in range(1, steps + 1):
             if not active.any():
                 break
-            vel[active] = steer(pos[active], vel[active], out[choice[active]], limit[active], gates)
+            vel[active] = steer(pos[active], vel[active], out[choice[active]], limit[active], gates, weight=weight[active])
             pos[active] += vel[active]
             trail = [*trail[-19:], pos.copy()]
             gone = active & (np.linalg.norm(pos - out[choice], axis=1) < 2.0)
-            log += [(run, step, str(names[i]), "EVACUACION_COMPLETA", None, *pos[i]) for i in np.flatnonzero(gone)]
+            log += [(run, step, str(names[i]), "EVACUACION_COMPLETA", None, *pos[of[i]]) for i in np.flatnonzero(gone[of])]
             active &= ~gone
             if len(trail) == 20 and step % 20 == 0 and len(out) > 1:
                 still = active & (np.linalg.norm(pos - trail[0], axis=1) < 0.2)
                 choice[still] = (choice[still] + 1) % len(out)
-                log += [(run, step, str(names[i]), "RECALCULO", f"exit {choice[i]}", *pos[i]) for i in np.flatnonzero(still)]
+                log += [(run, step, str(names[i]), "RECALCULO", f"exit {choice[of[i]]}", *pos[of[i]]) for i in np.flatnonzero(still[of])]
         return pd.DataFrame(log, columns=[c.split(" ")[0] for c in EVENTS.split(", ")])
 
     return runs.select("run").distinct().join(agents, "run").groupBy("run").applyInPandas(one, EVENTS)
