@@ -35,9 +35,12 @@ def _listed(rings: list[P.Ring]) -> list:
 
 
 def _same(value) -> object:
-    """A key that only values of the same bits share: arrays by their bytes, nested ones element by element."""
-    if isinstance(value, np.ndarray):
-        return tuple(map(_same, value)) if value.dtype == object else value.tobytes()
+    """A key that only values of the same bits share: arrays by their bytes, nested ones and the lists that another
+    function of the same task has made element by element."""
+    if isinstance(value, np.ndarray) and value.dtype != object:
+        return value.tobytes()
+    if isinstance(value, (np.ndarray, list, tuple)):
+        return tuple(map(_same, value))
     return value.hex() if isinstance(value, float) else value
 
 

@@ -27,6 +27,17 @@ def test_shapes_that_a_batch_repeats_are_worked_out_once():
     assert list(made) == [(1, "a"), (1, "a"), (2, "a"), (3, "a")]
 
 
+def test_a_shape_that_another_function_has_made_is_a_list_and_is_worked_out():
+    asked = []
+    made = shapes._once(lambda r: asked.append(r) or len(asked), pd.Series([[[0.0, 1.0]], [[0.0, 1.0]], [[-0.0, 1.0]], [], None]))
+    assert list(made) == [1, 1, 2, 3, 4]
+
+
+def test_functions_of_shapes_take_what_others_make(spark):
+    square = spark.range(3).selectExpr("array(array(0D, 0D), array(2D, 0D), array(2D, 1D), array(2D, 2D), array(0D, 2D)) AS r")
+    assert [row.a for row in square.select(shapes.area(shapes.clean(square.r)).alias("a")).collect()] == [4.0] * 3
+
+
 def test_levels_are_dealt_by_their_number_not_by_their_bytes(spark, monkeypatch):
     monkeypatch.setattr(builder, "LEVEL_ROWS", 10, raising=False)
     plan = catalog.QUERIES["b18_q16_detected_spaces"](spark, SF)._jdf.queryExecution().executedPlan().toString()
