@@ -13,6 +13,14 @@ def noisy_or(weight: Column, severity: Column) -> Column:
     return 1 - F.product(1 - weight * severity)
 
 
+def steady_mean(value: Column) -> Column:
+    """The mean of doubles that are short decimals, of at most nine places, from their exact sum, so one that is to be held
+    against a bound does not depend on the order of its rows; the plain mean of a group with any other double."""
+    short = value.try_cast("decimal(28,9)")
+    exact = F.try_divide(F.try_sum(short).cast("double"), F.count(value))
+    return F.coalesce(F.when(F.bool_and(short.cast("double").eqNullSafe(value)), exact), F.avg(value))
+
+
 def two_sided(membership: DataFrame) -> DataFrame:
     """(boundary, a, b): boundaries that exactly two cells share."""
     return membership.groupBy("boundary").agg(F.min("cell").alias("a"), F.max("cell").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")

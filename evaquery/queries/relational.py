@@ -242,7 +242,7 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
 @query("a21_noisy_or_risk", sql("""SELECT room, round(1 - product(1 - 0.25 * CASE WHEN value > 75 THEN 1.0 WHEN value > 50 THEN 0.66 WHEN value > 25
     THEN 0.33 ELSE 0.0 END), 6) AS risk FROM (SELECT room, variable, avg(value) AS value FROM readings GROUP BY 1, 2) GROUP BY room""", "readings"))
 def a21(spark: SparkSession, d: str) -> DataFrame:
-    mean = domain.readings(spark, d).groupBy("room", "variable").agg(F.avg("value").alias("value"))
+    mean = domain.readings(spark, d).groupBy("room", "variable").agg(aggregates.steady_mean(F.col("value")).alias("value"))
     s = F.when(F.col("value") > 75, 1.0).when(F.col("value") > 50, 0.66).when(F.col("value") > 25, 0.33).otherwise(0.0)
     return mean.groupBy("room").agg(F.round(aggregates.noisy_or(F.lit(0.25), s), 6).alias("risk"))
 
