@@ -84,18 +84,22 @@ def labelled(edges: DataFrame) -> DataFrame:
     """(grp, h, u, v, face): half-edges (grp, u, v, next) with the least half-edge of the face they go round.
 
     A half-edge knows the least of the 2 ** k that follow it and the one behind them; a round
-    joins the two halves of twice as many. It ends when no name falls any more.
+    joins the two halves of twice as many. One that is the least of those that follow it has
+    been gone round to, so all that name it are done and take part no more: rounds are as many
+    as the longest way round takes, but only its own half-edges are in the last of them.
     """
     named = edges.select("grp", F.xxhash64("grp", "u", "v").alias("h"), F.xxhash64("grp", "v", "next").alias("to"), "u", "v")
     known = stored(named)
-    state = stored(known.select("h", "to", F.least("h", "to").alias("face")))
+    open_, done = known.select("h", F.col("to").alias("face"), "to"), None  # the next one is the least of one
     while True:
-        ahead = state.select(F.col("h").alias("k"), F.col("to").alias("then"), F.col("face").alias("further"))
-        step = state.join(ahead, F.col("to") == F.col("k")).select("h", F.col("then").alias("to"), F.least("face", "further").alias("face"), (F.col("further") < F.col("face")).alias("fell"))
-        step = stored(step)
-        state = step.select("h", "to", "face")
-        if step.where("fell").isEmpty():
-            return known.join(state.select("h", "face"), "h").select("grp", "h", "u", "v", "face")
+        ahead = open_.select(F.col("h").alias("k"), F.col("to").alias("then"), F.col("face").alias("further"))
+        step = stored(open_.join(ahead, F.col("to") == F.col("k")).select("h", F.least("face", "further").alias("face"), F.col("then").alias("to")))
+        closed = step.where("h = face").select(F.col("face").alias("least"))
+        step = stored(step.join(closed, F.col("face") == F.col("least"), "left").select("h", "face", "to", F.col("least").isNotNull().alias("closed")))
+        over, open_ = step.where("closed").select("h", "face"), step.where("not closed").select("h", "face", "to")
+        done = over if done is None else done.unionByName(over)
+        if open_.isEmpty():
+            return known.join(done, "h").select("grp", "h", "u", "v", "face")
 
 
 def faces(segments: DataFrame, size: float, least: float = 1e-4, most: int | None = None) -> tuple[DataFrame, DataFrame]:

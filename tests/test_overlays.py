@@ -137,3 +137,22 @@ def test_full_cells_are_dealt(spark):
     df = spark.createDataFrame(pts, "id long, x double, y double")
     pairs = lambda most: sorted((r.p_id, r.t_id, r.d) for r in joins.within(df, df.where("id % 3 = 0"), 2.0, most).collect())
     assert pairs(5) == pairs(10_000) and len(pairs(5)) == sum((x - a) ** 2 + (y - b) ** 2 <= 4 for _, x, y in pts for i, a, b in pts if i % 3 == 0)
+
+
+def test_closed_faces_leave_the_rounds(spark, monkeypatch):
+    """A grid of 8 by 8 squares: the last round has the half-edges around the whole only."""
+    kept = halfedges.stored
+    rows = []
+
+    def counted(df):
+        made = kept(df)
+        rows.append(made.count())
+        return made
+
+    monkeypatch.setattr(halfedges, "stored", counted)
+    n = 8
+    lines = [((x, y), (x + 1, y)) for x in range(n) for y in range(n + 1)] + [((x, y), (x, y + 1)) for x in range(n + 1) for y in range(n)]
+    pieces = spark.createDataFrame([(0, tuple(map(float, a)), tuple(map(float, b))) for a, b in lines], "grp int, a struct<x:double,y:double>, b struct<x:double,y:double>")
+    sizes = sorted(r[0] for r in halfedges.labelled(halfedges.half_edges(pieces)).groupBy("face").count().select("count").collect())
+    assert sizes == [4] * n * n + [4 * n]
+    assert rows[0] == 2 * len(lines) and rows[-1] == 4 * n
