@@ -121,3 +121,13 @@ def test_landmarks_keep_a_search_narrow(spark):
     costs = {(r.source, r.node): r.cost for r in graph.distances(edges, q.select(F.col("start").alias("node"))).collect()}
     assert {i: r.cost for i, r in got.items()} == {i: costs[a, b] for i, (a, b) in enumerate([(0, 30), (100, 101), (5, 5)])}
     assert all(r.touched < 60 for r in got.values())
+
+
+def test_landmarks_take_one_search_each_and_one_to_begin_with(spark, monkeypatch):
+    asked = []
+    search = routing.distances
+    monkeypatch.setattr(routing, "distances", lambda edges, sources: asked.append([r[0] for r in sources.collect()]) or search(edges, sources))
+    line = spark.createDataFrame([(i, i + 1, 1.0) for i in range(8)], "u long, v long, weight double")
+    got = {(m, n): c for m, n, c in routing.landmarks(line, 3).select("landmark", "node", "cost").collect()}
+    assert asked == [[0], [8], [0], [4]]
+    assert got == {(m, n): float(abs(m - n)) for m in (8, 0, 4) for n in range(9)}
